@@ -17,6 +17,7 @@ Two documents link when den * |A & B| >= num * |A | B| for their sets of word sh
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,22 +43,26 @@ class Levels:
     """Size classes such that linked sets are in the same or in adjacent ones."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.low = num, den, [1]
+        self.num, self.den, self.low, self.most = num, den, [1], {}
+
+    def _add(self) -> None:
+        s = self.low[-1]
+        self.low.append(max(s + 1, (s - 1) * self.den // self.num + 1))
 
     def of(self, size: int) -> int:
         while self.low[-1] <= size:
-            s = self.low[-1]
-            self.low.append(max(s + 1, (s - 1) * self.den // self.num + 1))
-        return int(np.searchsorted(self.low, size, "right")) - 1
+            self._add()
+        return bisect_right(self.low, size) - 1
 
     def difference(self, level: int) -> int:
         """Most elements in which a linked pair can differ whose smaller set is in this level."""
-        self.of(self.low[-1])
-        while len(self.low) < level + 3:
-            self.of(self.low[-1])
-        a = self.low[level + 1] - 1
-        b = min(a * self.den // self.num, self.low[level + 2] - 1)
-        return (a + b) * (self.den - self.num) // (self.den + self.num)
+        if level not in self.most:
+            while len(self.low) < level + 3:
+                self._add()
+            a = self.low[level + 1] - 1
+            b = min(a * self.den // self.num, self.low[level + 2] - 1)
+            self.most[level] = (a + b) * (self.den - self.num) // (self.den + self.num)
+        return self.most[level]
 
 
 def signatures(s: np.ndarray, levels: Levels) -> np.ndarray:
@@ -280,3 +285,14 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, block_shingl
     out = thin.select("doc_id", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """docs, all columns, with one document of each component: the one with the smallest doc_id. Rows that
+    repeat both doc_id and text are one document. Rows with a null doc_id are in no group and stay."""
+    found = jaccard_components(docs.select("doc_id", "text"), k, num, den)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.where("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    once = kept.withColumn("__times", F.row_number().over(same)).where("__times = 1").drop("__times")
+    return once.unionByName(docs.where("doc_id is null"))
