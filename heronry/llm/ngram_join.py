@@ -274,7 +274,8 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, block_shingl
     apart = F.when(F.col("parts") == 1, F.col("block")).otherwise(F.xxhash64("block", "one", "two"))
     dealt = dealt.select("rep", "c1", "c2", "parts", apart.alias("block"), bucket.alias("bucket"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).where("rep is not null and text is not null")
-    links = written(texts.join(dealt, "rep").groupBy("bucket").applyInArrow(_search_kernel(k, num, den), LINKS), "links")
+    # A merge join at every size: the members grow with the documents, so they are not to be broadcast.
+    links = written(texts.join(dealt.hint("merge"), "rep").groupBy("bucket").applyInArrow(_search_kernel(k, num, den), LINKS), "links")
     if links.where("not whole").limit(1).count():
         many = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")), "joined")
         roots = many.select(F.col("node").alias("rep"), F.col("component").alias("root"))
