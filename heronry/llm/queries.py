@@ -5,9 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import lmscore, suffix_dedup
+from .classifier import held_out, trained
+from .classifier import scored as quality_scored
+from .decontamination import contamination
+from .htmltext import extracted
+from .mixing import mix
 from .ngram_join import jaccard_components
+from .preferences import paired
 from .runtime import table
+from .sharding import shard
+from .topk import top_k
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +25,69 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 20 by integer inner product for the vectors whose id is divisible by 20, against all others."""
+    return top_k(table(spark, sf_dir, "embeddings"), 20, 20, 64)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extracted(table(spark, sf_dir, "pages"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = trained(docs, table(spark, sf_dir, "labels"))
+    return quality_scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items and the fewest edits."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of each pair of conversations."""
+    out = paired(table(spark, sf_dir, "conversations"))
+    spans = {c: F.concat_ws(",", F.transform(c, lambda x: F.concat(x["begin"].cast("string"), F.lit("-"), x["finish"].cast("string")))) for c in ("chosen_mask", "rejected_mask")}
+    return out.withColumns(spans)
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 50-byte strings that start in earlier ones."""
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document by counts over all documents."""
+    return lmscore.scored(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 23 over virtual slots, by bytes."""
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-}
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_exact_top_k, op3_source_mixing, op4_html_extraction, op5_quality_classifier, op6_benchmark_decontamination,
+        op7_preference_formatting, op8_suffix_array_dedup, op9_lm_scoring, op10_sharding, pipeline,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": """
@@ -34,5 +104,67 @@ pairs AS (
 edges AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
 reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM sized UNION SELECT r.doc_id, e.y FROM reach r JOIN edges e ON e.x = r.seen)
 SELECT s.doc_id, s.n AS n_shingles, min(r.seen) AS component_id FROM sized s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.n
+""",
+    "op2_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op3_source_mixing": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, 2.0::DOUBLE * source_size AS most, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS weight FROM s),
+fill(source, source_size, most, weight, target, step) AS (
+  SELECT source, source_size, most, weight, 0::DOUBLE, 0 FROM w
+  UNION ALL
+  SELECT source, source_size, most, weight,
+    CASE WHEN step > 0 AND target >= most THEN most ELSE
+      (sum(source_size) OVER () * 1.5::DOUBLE - sum(CASE WHEN step > 0 AND target >= most THEN most ELSE 0 END) OVER ())
+        * weight / sum(CASE WHEN step > 0 AND target >= most THEN 0 ELSE weight END) OVER () END, step + 1
+  FROM fill WHERE step < 60),
+t AS (SELECT source, source_size, least(target, most) AS target FROM fill WHERE step = 60),
+o AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('17:' || d.doc_id), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(pos + size, quota) - pos) + greatest(0, least(pos + source_size + size, quota) - (pos + source_size)))::BIGINT AS taken FROM o
+""",
+    "op7_preference_formatting": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns FROM t GROUP BY conv_id),
+p AS (SELECT a.conv_id // 2 AS pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.turns AS c, b.turns AS r FROM c a JOIN c b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
+n AS (
+  SELECT *, least(len(c) - 1, len(r) - 1, coalesce(list_min(list_filter(range(0, greatest(len(c), len(r))::BIGINT), lambda i: c[i + 1] IS DISTINCT FROM r[i + 1])), len(c)))::INTEGER AS k FROM p),
+x AS (
+  SELECT pair_id, chosen_id, rejected_id, k AS prompt_turns,
+    list_transform(c, lambda z: '<|' || z.role || '|>' || chr(10) || z.text || '<|end|>' || chr(10)) AS cs,
+    list_transform(r, lambda z: '<|' || z.role || '|>' || chr(10) || z.text || '<|end|>' || chr(10)) AS rs, c, r, k FROM n)
+SELECT pair_id, chosen_id, rejected_id, prompt_turns,
+  array_to_string(cs[1:k], '') AS prompt, array_to_string(cs[k + 1:], '') AS chosen, array_to_string(rs[k + 1:], '') AS rejected,
+  array_to_string(list_transform(list_filter(range(k + 1, len(cs) + 1), lambda i: c[i].role = 'assistant'),
+    lambda i: (length(array_to_string(cs[k + 1:i - 1], '')) + length(c[i].role) + 5) || '-' || length(array_to_string(cs[k + 1:i], ''))), ',') AS chosen_mask,
+  array_to_string(list_transform(list_filter(range(k + 1, len(rs) + 1), lambda i: r[i].role = 'assistant'),
+    lambda i: (length(array_to_string(rs[k + 1:i - 1], '')) + length(r[i].role) + 5) || '-' || length(array_to_string(rs[k + 1:i], ''))), ',') AS rejected_mask
+FROM x
+""",
+    "op9_lm_scoring": """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS w, unnest([NULL] || w[1:len(w) - 1]) AS v FROM w WHERE len(w) > 0),
+u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+h AS (SELECT v, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v),
+b AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w),
+s AS (
+  SELECT t.doc_id, CASE WHEN b.c >= 2 THEN log10(b.c / h.c) WHEN t.v IS NULL THEN log10(u.c / (SELECT count(*) FROM t)) ELSE log10(0.4::DOUBLE * u.c / (SELECT count(*) FROM t)) END AS x
+  FROM t JOIN u ON u.w = t.w LEFT JOIN h ON h.v = t.v LEFT JOIN b ON b.v = t.v AND b.w = t.w),
+a AS (SELECT doc_id, count(*) AS n, sum(x) AS x FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a.n, 0)::BIGINT AS n_words, round(coalesce(a.x, 0), 6) AS log_score, round(a.x / a.n, 6) AS mean_score FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN a USING (doc_id)
 """,
 }
