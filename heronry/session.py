@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +28,16 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the path goes to Spark's reader untouched."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df written once as Parquet in the folder that spark.checkpoint.dir names (all executors see it), and
+    read back; only where that is unset, in a temporary folder of this machine."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='heronry-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
