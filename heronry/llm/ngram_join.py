@@ -28,11 +28,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import components
-from .runtime import written
+from .runtime import released, written
 from .textkernel import mix, shingle_sets, text_buffers
 
 #: Shingles that one search task holds.
 BLOCK_SHINGLES = 1_500_000
+#: Bytes of text behind each bucket of signatures.
+SIGNATURE_BYTES = 40 << 20
 #: Cuts tried for sets with an empty segment; the last one emits empty segments too.
 CUTS = 7
 #: DivideSkip's weight of a long list's probes.
@@ -97,18 +99,10 @@ THIN = T.StructType(
         T.StructField("n", T.LongType()),
         T.StructField("c1", T.LongType()),
         T.StructField("c2", T.LongType()),
-        T.StructField("sigs", T.ArrayType(T.LongType())),
-        T.StructField("links", T.ArrayType(T.LongType())),
     ]
 )
 
 
-def _lists(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
-
-
 def _set_names(s: np.ndarray) -> tuple[int, int]:
     return (
         int(np.add.reduce(mix(s ^ np.uint64(0x1234567)), dtype=np.uint64)),
@@ -120,43 +114,89 @@ def _as_long(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _sets_kernel(k: int, num: int, den: int):
+def _named_sets(batch: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], list[tuple]]:
+    data, offsets = text_buffers(batch.column("text"))
+    sets = shingle_sets(data, offsets, k)
+    return sets, [_set_names(s) if len(s) else (None, None) for s in sets]
+
+
+def _sets_kernel(k: int):
+    """Size and 128-bit name of each row's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(num, den)
         for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            sets = shingle_sets(data, offsets, k)
-            names = [_set_names(s) if len(s) else (None, None) for s in sets]
-            # A class that the batch has had adds no signatures; a signature that it has had adds a link.
-            seen: set = set()
-            sigs = []
-            for s, name in zip(sets, names, strict=True):
-                fresh = len(s) and name not in seen
-                seen.add(name)
-                sigs.append(signatures(s, levels) if fresh else np.zeros(0, np.uint64))
-            lengths = np.array([len(x) for x in sigs], np.int64)
-            flat = np.concatenate(sigs) if len(sigs) else np.zeros(0, np.uint64)
-            owner = np.repeat(np.arange(len(sigs)), lengths)
-            _, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
-            holder = owner[first[inverse]] if len(flat) else owner
-            keep = np.arange(len(flat)) == first[inverse] if len(flat) else np.zeros(0, bool)
-            pairs = np.unique(np.stack([owner, holder], 1)[holder != owner], axis=0) if len(flat) else np.zeros((0, 2), np.int64)
-            c1 = np.array([0 if x[0] is None else x[0] for x in names], np.uint64)
+            sets, names = _named_sets(batch, k)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([None if x[0] is None else _as_long(x[0]) for x in names], pa.int64()),
                     pa.array([None if x[1] is None else _as_long(x[1]) for x in names], pa.int64()),
-                    _lists(flat[keep], np.bincount(owner[keep], minlength=len(sets)).astype(np.int64)),
-                    _lists(c1[pairs[:, 1]], np.bincount(pairs[:, 0], minlength=len(sets)).astype(np.int64)),
                 ],
-                names=["doc_id", "n", "c1", "c2", "sigs", "links"],
+                names=["doc_id", "n", "c1", "c2"],
             )
 
     return run
 
 
+PACK = "bucket int, sigs binary, owners binary, runs binary"
+
+
+def _signature_kernel(k: int, num: int, den: int, parts: int):
+    """Signatures dealt to buckets, packed in six bytes each, their sets (c1) as runs of equal ones; one row
+    per bucket and part of a batch. Of a class only the first row in a batch has signatures, and of rows with
+    one signature only the first; the others go with it as a signature of their own that only the two have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = Levels(num, den)
+        for batch in batches:
+            sets, names = _named_sets(batch, k)
+            seen: set = set()
+            sigs, owner = [], []
+            for s, name in zip(sets, names, strict=True):
+                if len(s) and name not in seen:
+                    seen.add(name)
+                    x = signatures(s, levels)
+                    sigs.append(x)
+                    owner.append(np.full(len(x), name[0], np.uint64))
+            flat = np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)
+            own = np.concatenate(owner) if owner else flat
+            _, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
+            holder = own[first[inverse]]
+            keep = np.arange(len(flat)) == first[inverse]
+            pairs = np.unique(np.stack([own, holder], 1)[holder != own], axis=0)
+            tie = mix(pairs[:, 0] * np.uint64(3) + mix(pairs[:, 1]))
+            flat = np.concatenate([flat[keep], tie, tie])
+            own = np.concatenate([own[keep], pairs[:, 0], pairs[:, 1]])
+            bucket = ((flat >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)
+            order = np.lexsort((own, bucket))
+            rows = []
+            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+                o = own[part]
+                new = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
+                low = flat[part].view(np.uint8).reshape(-1, 8)[:, :6]
+                rows.append((int(bucket[part[0]]), low.tobytes(), o[new].tobytes(), np.diff(np.append(new, len(o))).astype(np.uint16).tobytes()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "sigs", "owners", "runs"])
+
+    return run
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Edges between each set of a bucket and the least one with the same signature."""
+    raw = {c: b"".join(table.column(c).to_pylist()) for c in ("sigs", "owners", "runs")}
+    sig = np.zeros((len(raw["sigs"]) // 6, 8), np.uint8)
+    sig[:, :6] = np.frombuffer(raw["sigs"], np.uint8).reshape(-1, 6)
+    sig = sig.view("<u8").ravel()
+    own = np.repeat(np.frombuffer(raw["owners"], np.int64), np.frombuffer(raw["runs"], np.uint16))
+    order = np.argsort(sig, kind="stable")
+    sig, own = sig[order], own[order]
+    new = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    least = np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(own))))
+    pairs = np.unique(np.stack([own, least], 1)[own != least], axis=0)
+    return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
+
+
 def t_occurrence(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Component label (an index) of each of the sets, linked at num / den, by DivideSkip."""
     m = len(sets)
@@ -254,11 +294,13 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, block_shingl
     Null text counts as empty. A document without words has n_shingles 0 and is linked with nothing.
     Rows with a null doc_id are sized, take no part in links and have a null component. Rows that
     repeat a doc_id each keep their own set. Other columns are not looked at."""
-    thin = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sets_kernel(k, num, den), THIN), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    thin = written(texts.mapInArrow(_sets_kernel(k), THIN), "sets")
     linked = thin.where("doc_id is not null and c1 is not null")
-    bysig = linked.select("c1", F.explode("sigs").alias("sig"))
-    shared = bysig.withColumn("m", F.min("c1").over(Window.partitionBy("sig"))).where("c1 <> m").select(F.col("c1").alias("u"), F.col("m").alias("v"))
-    blocks = components(shared.unionByName(linked.select(F.col("c1").alias("u"), F.explode("links").alias("v"))), "blocks")
+    total = int(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"])
+    packed = texts.where("doc_id is not null").mapInArrow(_signature_kernel(k, num, den, max(12, total // SIGNATURE_BYTES)), PACK)
+    blocks = components(packed.groupBy("bucket").applyInArrow(_shared, "u long, v long"), "blocks")
+    released(docs.sparkSession)
     classes = linked.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     members = written(classes.join(blocks, F.col("c1") == F.col("node")).select("rep", "n", "c1", "c2", F.col("component").alias("block")), "members")
     totals = members.groupBy("block").agg(F.sum("n").alias("all"))
@@ -273,7 +315,7 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, block_shingl
     # A part pair of a large block is a block of its own.
     apart = F.when(F.col("parts") == 1, F.col("block")).otherwise(F.xxhash64("block", "one", "two"))
     dealt = dealt.select("rep", "c1", "c2", "parts", apart.alias("block"), bucket.alias("bucket"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).where("rep is not null and text is not null")
+    texts = texts.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "rep")
     # A merge join at every size: the members grow with the documents, so they are not to be broadcast.
     links = written(texts.join(dealt.hint("merge"), "rep").groupBy("bucket").applyInArrow(_search_kernel(k, num, den), LINKS), "links")
     if links.where("not whole").limit(1).count():
