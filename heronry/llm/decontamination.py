@@ -59,6 +59,24 @@ def grams(chars: np.ndarray) -> np.ndarray:
     return mix(acc)
 
 
+def distinct_places(doc: np.ndarray, item: np.ndarray, band: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, item, band) with the number of item places hit in the band or in the next one."""
+    doc, item, place = np.tile(doc, 2), np.tile(item, 2), np.tile(place, 2)
+    band = np.concatenate([band, band - 1]) + 1
+    sizes = [int(x.max()) + 1 for x in (doc, item, band, place)]
+    if sizes[0] * sizes[1] * sizes[2] * sizes[3] >= 1 << 62:
+        rows = np.unique(np.stack([doc, item, band, place], 1), axis=0)
+        heads, number = np.unique(rows[:, :3], axis=0, return_counts=True)
+    else:  # one number per row sorts much faster
+        key = np.sort(((doc * sizes[1] + item) * sizes[2] + band) * sizes[3] + place)
+        key = key[np.append(True, key[1:] != key[:-1])] // sizes[3]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        number, key = np.diff(np.append(new, len(key))), key[new]
+        heads = np.stack([key // sizes[2] // sizes[1], key // sizes[2] % sizes[1], key % sizes[2]], 1)
+    heads[:, 2] -= 1
+    return heads, number
+
+
 class Index:
     """q-grams of a block of items, for lookups by hash."""
 
@@ -117,6 +135,8 @@ class Index:
         doc = np.searchsorted(bounds, at, "right") - 1
         inside = at + Q <= bounds[doc + 1]
         at, spot, doc = at[inside], spot[inside], doc[inside]
+        if not len(at):
+            return []
         many = self.first[spot + 1] - self.first[spot]
         own = np.repeat(np.arange(len(at)), many)
         posting = np.repeat(self.first[spot], many) + (np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many))
@@ -125,9 +145,7 @@ class Index:
         half = 2 * self.edits[item] + 1
         diagonal = where - place + int(self.size.max())
         band = diagonal // half
-        table = np.concatenate([np.stack([doc, item, b, place], 1) for b in (band, band - 1)])
-        table = np.unique(table, axis=0)
-        heads, number = np.unique(table[:, :3], axis=0, return_counts=True)
+        heads, number = distinct_places(doc, item, band, place)
         good = heads[number >= np.maximum(self.bound[heads[:, 1]], 1)]
         out: dict[tuple[int, int], set] = {}
         for d, i, b in good.tolist():
