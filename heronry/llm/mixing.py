@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SPACES = "[\\x20\\x09-\\x0D]+"
+from .runtime import written
+
 WEIGHTS = (3, 1, 2)
 #: Rows that one bucket of a permuted line has in the mean.
 BUCKET_ROWS = 20_000
@@ -26,8 +27,10 @@ BLOCKS = 4096
 
 def word_count(text: Column) -> Column:
     """Number of runs of bytes other than space and 0x09-0x0D; null has none."""
-    flat = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))
-    return F.when(F.coalesce(F.length(flat), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(F.split(flat, " +"))).cast("long")
+    flat = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
+    single = F.when(flat.contains("  "), F.regexp_replace(flat, " +", " ")).otherwise(flat)
+    blanks = F.octet_length(single) - F.octet_length(F.replace(single, F.lit(" "), F.lit("")))
+    return F.when(F.octet_length(flat) == 0, F.lit(0)).otherwise(blanks + 1).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -127,9 +130,9 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 17, weights: tuple[int, .
     have it; else a block's edge may cut a record, and a source's taken words are its target, rounded.
     A null or blank text has size 0 and takes nothing. Null is a source of its own, the last. A source
     without words has target 0. Repeated rows are records each. Reruns agree, whatever the partitions."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")
-    )
+    size = word_count(F.col("text").cast("string"))
+    # Texts are read once; sums, order and pieces need ids and sizes only.
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     aims = aims.withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
     block = aims.groupBy().agg(F.greatest(F.lit(1), F.ceil(F.sum("quota") / F.lit(BLOCKS))).cast("long").alias("block"))
