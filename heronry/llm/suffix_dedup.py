@@ -37,6 +37,8 @@ WINDOW = SPAN - GRAM + 1
 PARTITION_BYTES, DOC_BYTES = 24 << 20, 16 << 20
 #: Contexts in doubt from which an anchor is dealt by windows.
 FREQUENT = 20_000
+#: Bytes of text whose contexts are compared before any is dealt.
+FIND_BYTES = 8 << 20
 PLACE = np.uint64(28)
 
 
@@ -127,7 +129,7 @@ def least_of(group: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 def sort_suffixes(prefix: np.ndarray, data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mergesort of the suffixes data[at : at + SPAN] within groups (numbers in ascending order) -> (order,
-    class of each in that order). All merges of a level are done at once: each suffix finds its place in the
+    common extension of each with the one before it). All merges of a level are done at once: each suffix finds its place in the
     run beside its own by binary search."""
     down = powers(len(prefix))[1]
 
@@ -178,16 +180,30 @@ def sort_suffixes(prefix: np.ndarray, data: np.ndarray, at: np.ndarray, group: n
         order = order.copy()
         order[target] = moved
         run *= 2
-    # Neighbours with a common extension of SPAN bytes, verified by their bytes.
-    new = np.ones(n, bool)
+    # Common extension of each with the one before it in its group.
+    near = np.zeros(n, np.int64)
     if n > 1:
-        x, y = at[order[:-1]], at[order[1:]]
-        same = np.flatnonzero((group[:-1] == group[1:]) & (common(x, y) >= SPAN))
-        for a in range(0, len(same), 1 << 16):
-            part = same[a : a + (1 << 16)]
-            equal = (data[x[part][:, None] + np.arange(SPAN)] == data[y[part][:, None] + np.arange(SPAN)]).all(1)
-            new[part[equal] + 1] = False
-    return order, np.cumsum(new) - 1
+        near[1:] = np.where(group[:-1] == group[1:], common(at[order[:-1]], at[order[1:]]), 0)
+    return order, near
+
+
+def classes(data: np.ndarray, at: np.ndarray, order: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Class of each sorted suffix: neighbours that agree in SPAN bytes, verified byte by byte."""
+    new = np.ones(len(order), bool)
+    same = np.flatnonzero(near >= SPAN)
+    for a in range(0, len(same), 1 << 15):
+        part = same[a : a + (1 << 15)]
+        x, y = at[order[part - 1]][:, None] + np.arange(SPAN), at[order[part]][:, None] + np.arange(SPAN)
+        new[part[(data[x] == data[y]).all(1)]] = False
+    return np.cumsum(new) - 1
+
+
+def extensions(prefix: np.ndarray, data: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Longest common extension, up to SPAN, of each suffix with any other of its group."""
+    order, near = sort_suffixes(prefix, data, at, group)
+    out = np.empty(len(at), np.int64)
+    out[order] = np.maximum(near, np.append(near[1:], 0))
+    return out
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,23 +245,25 @@ def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_by
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets, ids, null = named(batch)
-            got = []
-            for a, b in passes(offsets):
-                piece, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                found = anchors(piece, off)
-                names = text_names(piece, off)
-                keep = ~null[found[0] + a]
-                got.append([ids[found[0][keep] + a], names[found[0][keep]], *[x[keep] for x in found[1:]]])
-            doc, name, a, c, start, more, shift = (np.concatenate(x) for x in zip(*got, strict=True)) if got else [np.zeros(0, np.int64)] * 7
-            order, group = groups(c, a)
-            low = np.empty(len(doc), np.int64)
-            low[order] = least_of(group, doc[order])
-            known = doc > low  # an earlier document of this batch has the context
-            fields = {"a": a, "c": c, "start": start, "more": more, "shift": shift}
-            bucket = (mix(a.view(np.uint64) & np.uint64((1 << 48) - 1)) % np.uint64(parts)).astype(np.int64)
-            out = packs(bucket[~known], doc[~known], name[~known], {k: v[~known] for k, v in fields.items()})
-            out += packs(parts + place_of(doc[known]), doc[known], name[known], {k: fields[k][known] for k in ("start", "more")})
-            yield pa.RecordBatch.from_pylist(out, PACK)
+            for low_row, high_row in passes(offsets, FIND_BYTES):
+                got = []
+                for a, b in passes(offsets[low_row : high_row + 1]):
+                    a, b = a + low_row, b + low_row
+                    piece, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                    found = anchors(piece, off)
+                    names = text_names(piece, off)
+                    keep = ~null[found[0] + a]
+                    got.append([ids[found[0][keep] + a], names[found[0][keep]], *[x[keep] for x in found[1:]]])
+                doc, name, a, c, start, more, shift = (np.concatenate(x) for x in zip(*got, strict=True))
+                order, group = groups(c, a)
+                low = np.empty(len(doc), np.int64)
+                low[order] = least_of(group, doc[order])
+                known = doc > low  # an earlier document of these has the context
+                fields = {"a": a, "c": c, "start": start, "more": more, "shift": shift}
+                bucket = (mix(a.view(np.uint64) & np.uint64((1 << 48) - 1)) % np.uint64(parts)).astype(np.int64)
+                out = packs(bucket[~known], doc[~known], name[~known], {k: v[~known] for k, v in fields.items()})
+                out += packs(parts + place_of(doc[known]), doc[known], name[known], {k: fields[k][known] for k in ("start", "more")})
+                yield pa.RecordBatch.from_pylist(out, PACK)
 
     def judge(table: pa.Table) -> pa.Table:
         """Packed rows by place of document: spans that go (no a), and contexts in doubt (with a)."""
@@ -306,24 +324,33 @@ def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_by
         origin = np.cumsum(length) - length
         order = np.argsort(x["a"], kind="stable")
         out: list[dict] = []
-        # Whole anchors at a time, about 2**18 suffixes.
-        load = np.cumsum(x["more"][order] + 1) >> 18
+        # Whole anchors at a time, about 2**15 contexts.
         anchor = np.cumsum(np.append(False, x["a"][order][1:] != x["a"][order][:-1]))
-        load = load[np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))][anchor]
+        heads = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        load = (heads >> 15)[anchor]
         for part in np.split(order, np.flatnonzero(np.diff(load)) + 1):
             size = length[part]
             local = np.cumsum(size) - size
-            data = x["data"][np.repeat(origin[part] - local, size) + np.arange(int(size.sum()))]
-            times = x["more"][part] + 1
+            data = np.append(x["data"][np.repeat(origin[part] - local, size) + np.arange(int(size.sum()))], np.zeros(SPAN, np.uint8))
+            key = x["a"][part]
+            group = np.cumsum(np.append(False, key[1:] != key[:-1]))
+            # How far any other context agrees to the right of the anchor, and to its left; only windows within both can agree.
+            shift, middle = x["shift"][part], local + x["shift"][part]
+            prefix = prefix_hashes(data)
+            right = extensions(prefix, data, middle, group)
+            back = data[::-1].copy()
+            left = extensions(prefix_hashes(np.append(back, np.zeros(SPAN, np.uint8))), np.append(back, np.zeros(SPAN, np.uint8)), len(data) - middle, group)
+            low = np.maximum(shift - left, 0)
+            high = np.minimum(x["more"][part], shift + right - SPAN)
+            times = np.maximum(high - low + 1, 0)
             row = np.repeat(np.arange(len(part)), times)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            at = local[row] + step
-            key, offset = x["a"][part][row], step - x["shift"][part][row]
-            by, group = groups(offset, key)
-            at, row, step = at[by], row[by], step[by]
-            if len(at) < 2:
+            step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + low[row]
+            if len(row) < 2:
                 continue
-            sorted_, cls = sort_suffixes(prefix_hashes(data), data, at, group)
+            by, group = groups(step - shift[row], key[row])
+            at, row, step = (local[row] + step)[by], row[by], step[by]
+            sorted_, near = sort_suffixes(prefix, data, at, group)
+            cls = classes(data, at, sorted_, near)
             doc = x["doc"][part][row[sorted_]]
             gone = np.flatnonzero(doc > least_of(cls, doc))
             which, start = row[sorted_[gone]], step[sorted_[gone]] + x["start"][part][row[sorted_[gone]]]
