@@ -72,8 +72,8 @@ def new_map(sums: list[tuple[int, int, int]], shards: int, version: int = 1) ->
 
 def rebalanced(old: list[tuple], sums: list[tuple[int, int, int]], shards: int, slack: float = 0.02) -> list[tuple]:
     """The next version of a map for new sums or another number of shards. Slots stay where they are,
-    unless their shard is gone or has more than the mean and slack: then its slots, the largest that
-    fit first, move to the shard with the fewest bytes."""
+    unless their shard is gone or has more than the mean and slack: then it gives up slots, the largest
+    first, until it is down to the mean; they go to the shard with the fewest bytes."""
     version = max((x[0] for x in old), default=0) + 1
     where = {x[1]: x[2] for x in old}
     size_of = {v: (rows, size) for v, rows, size in sums}
@@ -89,8 +89,9 @@ def rebalanced(old: list[tuple], sums: list[tuple[int, int, int]], shards: int,
     most = sum(load.values()) + sum(size_of[v][1] for v in loose)
     mean = most / shards
     for s in range(shards):
+        over = load[s] > mean * (1 + slack)
         for v in sorted(held[s], key=lambda v: (-size_of[v][1], v)):
-            if load[s] > mean * (1 + slack) and load[s] - size_of[v][1] >= mean * (1 - slack):
+            if over and load[s] > mean and load[s] - size_of[v][1] >= mean * (1 - slack):
                 load[s] -= size_of[v][1]
                 held[s].remove(v)
                 loose.append(v)
