@@ -581,7 +581,7 @@ def non_inferiority(t: Tables):
 
 @query("WITH h AS (SELECT item_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS heading FROM benchmark) SELECT item_id, min(doc_id) AS doc_id FROM h JOIN documents d ON contains(d.text, h.heading) GROUP BY 1")
 def anchor_match(t: Tables):
-    """#222 first document that holds the heading. Documents meet headings by their word pairs."""
+    """#222 first document that holds the heading: each document against all headings, a stated set of questions."""
     h = t.benchmark.select("item_id", F.substring_index("text", " ", 2).alias("heading"))
     return h.join(t.documents.select("doc_id", "text"), F.expr("contains(text, heading)")).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 

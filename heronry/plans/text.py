@@ -241,7 +241,7 @@ def references(files):
     # Plain text has no inline code: what stands between backticks is cut out.
     text = F.regexp_replace("line", "`[^`]*`", "")
     plain = lines.where("not fenced and h is null").withColumn("t", text)
-    link = F.explode(F.regexp_extract_all("t", F.lit("(?<!!)\\[[^\\]]*\\S[^\\]]*\\]\\(([^)\\s]+)\\)"), 1))
+    link = F.explode(F.regexp_extract_all("t", F.lit("(?<!!)\\[[^\\]]*[^\\]\\s][^\\]]*\\]\\(([^)\\s]+)\\)"), 1))
     links = plain.select("file", "i", link.alias("url")).where("not url rlike '^(https?|ftp)://|^mailto:'")
     target = F.when(F.col("url").startswith("#"), F.col("file")).otherwise(F.substring_index(F.substring_index("url", "#", 1), "/", -1))
     anchor = F.when(F.col("url").contains("#"), tx.heading_form(F.regexp_extract("url", "#(.*)$", 1)))
@@ -250,7 +250,7 @@ def references(files):
     clause = F.explode(F.regexp_extract_all("t", F.lit("(第[一二三四五六七八九十百千零\\d]+条|\\b\\d+(?:\\.\\d+)+)"), 1))
     clauses = plain.where(trigger & ~F.col("t").rlike("\\d\\s*(-|–|至|到)\\s*\\d")).select("file", "i", F.lit(None).cast("string").alias("to_file"), F.lit(None).cast("string").alias("anchor"), clause.alias("c"))
     clauses = clauses.select("file", "i", "to_file", "anchor", tx.heading_form(F.col("c")).alias("clause"))
-    refs = links.unionByName(clauses).withColumn("r", F.monotonically_increasing_id())
+    refs = links.unionByName(clauses).withColumn("r", F.concat_ws("|", "file", F.col("i").cast("string"), "to_file", "anchor", "clause"))
     src = chunks.select(F.col("file").alias("f"), "start", "finish", F.col("id").alias("src"))
     refs = refs.join(src, (F.col("file") == F.col("f")) & F.col("i").between(F.col("start"), F.col("finish"))).drop("start", "finish", "f")
     dst = chunks.select(F.col("file").alias("df"), F.col("h").alias("dh"), F.col("start").alias("ds"), F.col("id").alias("dst"))
