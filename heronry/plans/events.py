@@ -346,7 +346,7 @@ def rank_paths(t: Tables):
     return out
 
 
-@query(f"WITH {RANKS} SELECT path, scope_id, memory_id, rank FROM ranks")
+@query(f"WITH {RANKS} SELECT path, scope_id, memory_id, rank::INTEGER AS rank FROM ranks")
 def memory_rank_paths(t: Tables):
     """#93 the four rank lists."""
     return rt.unioned(df.select(F.lit(n).alias("path"), "scope_id", "memory_id", "rank") for n, df in rank_paths(t).items())

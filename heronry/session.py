@@ -40,4 +40,6 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # results may read it until then
     return spark.read.schema(df.schema).parquet(path)
