@@ -6,7 +6,9 @@ Two documents link when den * |A & B| >= num * |A | B| for their sets of word sh
 2. Blocking without loss. If A and B link, |A ^ B| <= d, with d from their sizes. The range of shingle
    hashes is cut into d + 1 segments; at least one segment of A then equals B's. Each set emits one
    signature per segment, and sets that share a signature are put in one block (connected components).
-   A segment that is empty tells nothing; a set with one also emits the segments of the next cut.
+   A segment that is empty tells nothing: there are some segments to spare, and a set with more empty ones
+   than those also emits the segments of another cut. Under SHARED_BELOW segments are short, and sets that
+   share passages only would meet; so sets of which too few shingles are in any other set go first.
 3. T-occurrence search in each block (DivideSkip): inverted lists of the block's shingles; for each set
    the L longest of its lists are set aside, the short ones are merged and counted, sets that reach
    T - L occurrences are probed by binary search in the long lists, and those that reach T link.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,12 @@ from .textkernel import mix, shingle_sets, text_buffers
 BLOCK_SHINGLES = 1_500_000
 #: Bytes of text behind each bucket of signatures.
 SIGNATURE_BYTES = 40 << 20
+#: Bytes of text behind each bucket of shingles.
+SHINGLE_BYTES = 16 << 20
 #: Cuts tried for sets with an empty segment; the last one emits empty segments too.
 CUTS = 7
+#: Similarity under which sets go first that can't link, by the number of their shingles in other sets.
+SHARED_BELOW = 0.85
 #: DivideSkip's weight of a long list's probes.
 MU = 0.01
 
@@ -45,7 +52,7 @@ class Levels:
     """Size classes such that linked sets are in the same or in adjacent ones."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.low, self.most = num, den, [1], {}
+        self.num, self.den, self.low, self.most, self.cuts = num, den, [1], {}, {}
 
     def _add(self) -> None:
         s = self.low[-1]
@@ -67,16 +74,39 @@ class Levels:
         return self.most[level]
 
 
+    def segments(self, level: int) -> tuple[int, int]:
+        """(number of segments, empty ones that a set may have in one cut). With d + 1 + spare segments a linked
+        pair has over `spare` equal ones; a set with at most `spare` empty ones has one that isn't empty among
+        them. `spare` is the least that a set of this level exceeds with a chance under 5 %."""
+        if level not in self.cuts:
+            d, size, spare = self.difference(level), self.low[level], 0
+            # Where d is about a set's size or more, no number of segments will do: then the cuts go on to the last.
+            while d and d < 0.7 * size:
+                n = d + 1 + spare
+                mean = n * exp(-size / n)
+                term = tail = exp(-mean)
+                for i in range(1, spare + 1):
+                    term *= mean / i
+                    tail += term
+                if (1 - tail < 0.05) if mean < 30 else (spare > mean + 1.65 * mean**0.5):
+                    break
+                spare += 1
+                if spare > 2 * d + 16:
+                    spare = 0
+                    break
+            self.cuts[level] = (d + 1 + spare if d else 0, spare)
+        return self.cuts[level]
+
+
 def signatures(s: np.ndarray, levels: Levels) -> np.ndarray:
     """Segment signatures of a sorted set of hashes, for its own level and the one below."""
     if not len(s):
         return np.zeros(0, np.uint64)
     out, own = [], levels.of(len(s))
     for level in (own, own - 1):
-        d = levels.difference(level) if level >= 0 else 0
-        if not d:
+        n, spare = levels.segments(level) if level >= 0 else (0, 0)
+        if not n:
             continue
-        n = d + 1
         for cut in range(CUTS):
             h = s if not cut else np.sort(mix(s + np.uint64(cut)))
             segment = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
@@ -86,10 +116,10 @@ def signatures(s: np.ndarray, levels: Levels) -> np.ndarray:
             full = at[1:] > at[:-1]
             names = np.arange(n, dtype=np.uint64) + np.uint64((level * CUTS + cut) << 32)
             sig = mix(sums[at[1:]] - sums[at[:-1]] + mix(names + np.uint64(1)))
-            if full.all():
-                out.append(sig)
+            enough = len(full) - int(full.sum()) <= spare
+            out.append(sig if cut == CUTS - 1 and not enough else sig[full])
+            if enough:
                 break
-            out.append(sig if cut == CUTS - 1 else sig[full])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -142,6 +172,62 @@ def _sets_kernel(k: int):
 PACK = "bucket int, sigs binary, owners binary, runs binary"
 
 
+def _packed(flat: np.ndarray, own: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Hashes and their owners as one row per bucket: six bytes a hash, owners as runs of equal ones."""
+    bucket = ((flat >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)
+    order = np.lexsort((own, bucket))
+    rows = []
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+        o = own[part]
+        new = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
+        low = np.ascontiguousarray(flat[part]).view(np.uint8).reshape(-1, 8)[:, :6]
+        rows.append((int(bucket[part[0]]), low.tobytes(), o[new].tobytes(), np.diff(np.append(new, len(o))).astype(np.uint32).tobytes()))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "sigs", "owners", "runs"])
+
+
+def _unpacked(table: pa.Table, slices: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, owner) of the rows of a bucket, by hash and owner, without repeats; in slices of the hashes, so
+    that what is sorted at once stays small."""
+    raw = {c: b"".join(x.as_py() for x in table.column(c)) for c in ("sigs", "owners", "runs")}
+    six = np.frombuffer(raw["sigs"], np.uint8).reshape(-1, 6)
+    own = np.repeat(np.frombuffer(raw["owners"], np.int64), np.frombuffer(raw["runs"], np.uint32))
+    part = six[:, 0] % slices  # the low byte of a hash
+    for i in range(slices):
+        mine = np.flatnonzero(part == i)
+        sig = np.zeros((len(mine), 8), np.uint8)
+        sig[:, :6] = six[mine]
+        sig, o = sig.view("<u8").ravel(), own[mine]
+        order = np.lexsort((o, sig))
+        sig, o = sig[order], o[order]
+        new = np.append(True, (sig[1:] != sig[:-1]) | (o[1:] != o[:-1])) if len(sig) else np.zeros(0, bool)
+        yield sig[new], o[new]
+
+
+def _shingle_kernel(k: int, parts: int):
+    """Shingles of each class of a batch, dealt to buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, names = _named_sets(batch, k)
+            first = {name: i for i, name in reversed(list(enumerate(names))) if name[0] is not None}
+            flat = np.concatenate([sets[i] for i in first.values()]) if first else np.zeros(0, np.uint64)
+            own = np.repeat(np.array([name[0] for name in first], np.uint64), [len(sets[i]) for i in first.values()]) if first else flat
+            yield _packed(flat, own, parts)
+
+    return run
+
+
+def _in_others(table: pa.Table) -> pa.Table:
+    """(c1, shared): of each class the shingles of this bucket that another class has too."""
+    found = []
+    for sig, own in _unpacked(table):
+        group = np.cumsum(np.append(False, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+        found.append(own[np.bincount(group)[group] > 1] if len(sig) else own)
+    c1, n = np.unique(np.concatenate(found), return_counts=True)
+    return pa.table({"c1": pa.array(c1, pa.int64()), "shared": pa.array(n, pa.int64())})
+
+
 def _signature_kernel(k: int, num: int, den: int, parts: int):
     """Signatures dealt to buckets, packed in six bytes each, their sets (c1) as runs of equal ones; one row
     per bucket and part of a batch. Of a class only the first row in a batch has signatures, and of rows with
@@ -168,32 +254,20 @@ def _signature_kernel(k: int, num: int, den: int, parts: int):
             tie = mix(pairs[:, 0] * np.uint64(3) + mix(pairs[:, 1]))
             flat = np.concatenate([flat[keep], tie, tie])
             own = np.concatenate([own[keep], pairs[:, 0], pairs[:, 1]])
-            bucket = ((flat >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)
-            order = np.lexsort((own, bucket))
-            rows = []
-            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-                o = own[part]
-                new = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
-                low = flat[part].view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append((int(bucket[part[0]]), low.tobytes(), o[new].tobytes(), np.diff(np.append(new, len(o))).astype(np.uint16).tobytes()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "sigs", "owners", "runs"])
+            yield _packed(flat, own, parts)
 
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """Edges between each set of a bucket and the least one with the same signature."""
-    raw = {c: b"".join(table.column(c).to_pylist()) for c in ("sigs", "owners", "runs")}
-    sig = np.zeros((len(raw["sigs"]) // 6, 8), np.uint8)
-    sig[:, :6] = np.frombuffer(raw["sigs"], np.uint8).reshape(-1, 6)
-    sig = sig.view("<u8").ravel()
-    own = np.repeat(np.frombuffer(raw["owners"], np.int64), np.frombuffer(raw["runs"], np.uint16))
-    order = np.argsort(sig, kind="stable")
-    sig, own = sig[order], own[order]
-    new = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    least = np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(own))))
-    pairs = np.unique(np.stack([own, least], 1)[own != least], axis=0)
+    found = [np.zeros((0, 2), np.int64)]
+    for sig, own in _unpacked(table):
+        if len(sig):
+            new = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            least = np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(own))))
+            found.append(np.unique(np.stack([own, least], 1)[own != least], axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0)
     return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
 
 
@@ -298,10 +372,21 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, block_shingl
     thin = written(texts.mapInArrow(_sets_kernel(k), THIN), "sets")
     linked = thin.where("doc_id is not null and c1 is not null")
     total = int(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"])
-    packed = texts.where("doc_id is not null").mapInArrow(_signature_kernel(k, num, den, max(12, total // SIGNATURE_BYTES)), PACK)
+    parts = max(12, total // SIGNATURE_BYTES)
+    classes = linked.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    texts = texts.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "rep")
+    if num < SHARED_BELOW * den:
+        buckets = max(12, total // SHINGLE_BYTES)
+        shared = texts.select("text").mapInArrow(_shingle_kernel(k, buckets), PACK).groupBy("bucket").applyInArrow(_in_others, "c1 long, shared long")
+        shared = written(shared, "shared").groupBy("c1").agg(F.sum("shared").alias("shared"))
+        released(docs.sparkSession)
+        # Whoever links with another set shares at least num / den of its own shingles with it.
+        able = classes.join(shared, "c1").where(F.col("shared") * F.lit(den) >= F.col("n") * F.lit(num))
+        texts = written(texts.join(able.select("rep").distinct().hint("merge"), "rep", "left_semi"), "able")
+        released(docs.sparkSession)
+    packed = texts.select("text").mapInArrow(_signature_kernel(k, num, den, parts), PACK)
     blocks = components(packed.groupBy("bucket").applyInArrow(_shared, "u long, v long"), "blocks")
     released(docs.sparkSession)
-    classes = linked.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     members = written(classes.join(blocks, F.col("c1") == F.col("node")).select("rep", "n", "c1", "c2", F.col("component").alias("block")), "members")
     totals = members.groupBy("block").agg(F.sum("n").alias("all"))
     totals = totals.select("block", F.ceil(F.col("all") / F.lit(block_shingles)).cast("int").alias("parts"))
@@ -315,7 +400,6 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, block_shingl
     # A part pair of a large block is a block of its own.
     apart = F.when(F.col("parts") == 1, F.col("block")).otherwise(F.xxhash64("block", "one", "two"))
     dealt = dealt.select("rep", "c1", "c2", "parts", apart.alias("block"), bucket.alias("bucket"))
-    texts = texts.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "rep")
     # A merge join at every size: the members grow with the documents, so they are not to be broadcast.
     links = written(texts.join(dealt.hint("merge"), "rep").groupBy("bucket").applyInArrow(_search_kernel(k, num, den), LINKS), "links")
     if links.where("not whole").limit(1).count():

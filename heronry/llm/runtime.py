@@ -24,12 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def forgotten_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the path's file system delete it when the driver's JVM ends; until then results may read it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df written once as a Parquet table in the shared folder and read back: a cut in the lineage
     that survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    forgotten_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
