@@ -398,6 +398,16 @@ def test_lm_scores(docs, none):
     assert lm.scored(none).count() == 0
 
 
+def test_packed_runs_of_any_length():
+    import pyarrow as pa
+
+    doc = np.repeat(np.array([5, -3, 9]), [200_000, 65_535, 1])
+    v, w = np.arange(len(doc)) % (1 << 40), np.arange(len(doc))[::-1].copy()
+    rows = lm.packs(np.zeros(len(doc), np.int64), v, w, doc)
+    got = lm.unpack(pa.Table.from_batches([lm.pack_batch(rows)]))
+    assert all((a == b).all() for a, b in zip(got, (v, w, doc), strict=True))
+
+
 def test_sharding(docs, none):
     rows, got = docs.collect(), sh.shard(docs, 5, 64).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in rows)
