@@ -421,5 +421,5 @@ def parsed(files: DataFrame) -> DataFrame:
 def ingested(spark, folder: str) -> DataFrame:
     """All files under a folder, parsed by their format."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("length").between(1, MOST_BYTES))
-    text = F.decode("content", "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return parsed(files.select("path", format_of(F.col("path"), text).alias("format"), "content").where("format is not null"))
