@@ -34,7 +34,7 @@ from .textkernel import mix, passes, powers, prefix_hashes, range_hashes, text_b
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
 #: Bytes of text behind each partition of anchors, and of each partition of documents.
-PARTITION_BYTES, DOC_BYTES = 24 << 20, 16 << 20
+PARTITION_BYTES, DOC_BYTES = 18 << 20, 12 << 20
 #: Contexts in doubt from which an anchor is dealt by windows.
 FREQUENT = 20_000
 #: Bytes of text whose contexts are compared before any is dealt.
@@ -324,10 +324,10 @@ def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_by
         origin = np.cumsum(length) - length
         order = np.argsort(x["a"], kind="stable")
         out: list[dict] = []
-        # Whole anchors at a time, about 2**15 contexts.
+        # Whole anchors at a time, about 2**14 contexts.
         anchor = np.cumsum(np.append(False, x["a"][order][1:] != x["a"][order][:-1]))
         heads = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-        load = (heads >> 15)[anchor]
+        load = (heads >> 14)[anchor]
         for part in np.split(order, np.flatnonzero(np.diff(load)) + 1):
             size = length[part]
             local = np.cumsum(size) - size
