@@ -25,17 +25,23 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import released, written
 from .textkernel import mix, passes, text_buffers, word_hashes
 
-ALPHA, LEAST, HOT = 0.4, 2, 2000
+ALPHA, LEAST, HOT = 0.4, 2, 20_000
 #: Bytes of text for each partition of the n-gram tables.
-PARTITION_BYTES = 36 << 20
+PARTITION_BYTES = 20 << 20
+#: Bytes of text behind each place where sums of documents meet.
+PLACE_BYTES = 48 << 20
 #: Words are told apart by so many leading bits of their hashes.
 BITS = np.uint64(40)
 
 PACK = "bucket int, v binary, w binary, docs binary, runs binary"
 EMPTY = np.zeros(0, np.int64)
+#: Parts of a partition that are sorted one after another; bytes of packed rows that are sent on at once.
+SLICES, SEND_BYTES = 4, 8 << 20
+LONGEST = (1 << 16) - 1
+COUNT_WORDS = 1 << 20
 
 
 def five(x: np.ndarray) -> bytes:
@@ -59,12 +65,22 @@ def word_rows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, cnt, heads) of about COUNT_WORDS words at a time."""
+
+    def summed(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        heads = np.concatenate([np.append(d[1:] == d[:-1], False) for _, d in found])
+        word, inverse, n = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True, return_counts=True)
+        return pa.RecordBatch.from_pydict({"word": word, "cnt": n.astype(np.int64), "heads": np.bincount(inverse, heads, len(word)).astype(np.int64)})
+
     for batch in batches:
-        found = list(word_rows(batch.column("text")))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for rows in word_rows(batch.column("text")):
+            found.append(rows)
+            if sum(len(w) for w, _ in found) > COUNT_WORDS:
+                yield summed(found)
+                found = []
         if found:
-            heads = np.concatenate([np.append(d[1:] == d[:-1], False) for _, d in found])
-            word, inverse, n = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"word": word, "cnt": n.astype(np.int64), "heads": np.bincount(inverse, heads, len(word)).astype(np.int64)})
+            yield summed(found)
 
 
 def packs(bucket: np.ndarray, v: np.ndarray, w: np.ndarray, doc: np.ndarray) -> list[tuple]:
@@ -74,7 +90,11 @@ def packs(bucket: np.ndarray, v: np.ndarray, w: np.ndarray, doc: np.ndarray) ->
     for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
         d = doc[part]
         new = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        out.append((int(bucket[part[0]]), five(v[part]) if len(v) else b"", five(w[part]), d[new].tobytes(), np.diff(np.append(new, len(d))).astype(np.uint32).tobytes()))
+        n = np.diff(np.append(new, len(d)))
+        pieces = -(-n // LONGEST)  # a longer run is several
+        runs = np.full(int(pieces.sum()), LONGEST)
+        runs[np.cumsum(pieces) - 1] = n - (pieces - 1) * LONGEST
+        out.append((int(bucket[part[0]]), five(v[part]) if len(v) else b"", five(w[part]), np.repeat(d[new], pieces).tobytes(), runs.astype(np.uint16).tobytes()))
     return out
 
 
@@ -86,36 +106,76 @@ def pack_batch(rows: list[tuple]) -> pa.RecordBatch:
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(v, w, doc) of packed rows."""
     raw = {c: b"".join(table.column(c).to_pylist()) for c in ("v", "w", "docs", "runs")}
-    return unfive(raw["v"]), unfive(raw["w"]), np.repeat(np.frombuffer(raw["docs"], np.int64), np.frombuffer(raw["runs"], np.uint32))
+    return unfive(raw["v"]), unfive(raw["w"]), np.repeat(np.frombuffer(raw["docs"], np.int64), np.frombuffer(raw["runs"], np.uint16))
+
+
+def sliced(table: pa.Table, slices: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(v, w, doc) of packed rows in parts by v's low byte; only a part is ever decoded."""
+    rows = []
+    for v, w, docs, runs in zip(*(table.column(c) for c in ("v", "w", "docs", "runs")), strict=True):
+        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in (v, w)]
+        rows.append((raw[0].reshape(-1, 5), raw[1].reshape(-1, 5), np.frombuffer(docs.as_buffer(), np.int64), np.frombuffer(runs.as_buffer(), np.uint16)))
+
+    def decoded(five_bytes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(five_bytes), 8), np.uint8)
+        out[:, :5] = five_bytes
+        return out.view("<i8").ravel()
+
+    for i in range(slices):
+        v, w, doc = [EMPTY], [EMPTY], [EMPTY]
+        for v5, w5, docs, runs in rows:
+            mine = np.flatnonzero(v5[:, 0] % slices == i)
+            v.append(decoded(v5[mine]))
+            w.append(decoded(w5[mine]))
+            doc.append(np.repeat(docs, runs)[mine])
+        yield np.concatenate(v), np.concatenate(w), np.concatenate(doc)
+
+
+def times(x: np.ndarray) -> np.ndarray:
+    """How often each element occurs."""
+    order = np.argsort(x)
+    s = x[order]
+    new = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else EMPTY
+    number = np.diff(np.append(new, len(s)))
+    out = np.empty(len(x), np.int64)
+    out[order] = np.repeat(number, number)
+    return out
 
 
-def summed(doc: np.ndarray, value: np.ndarray, words: int) -> pa.RecordBatch:
-    """(doc, value, n_words, v, w, docs, runs): partial sums, no packed rows."""
+def per_document(doc: np.ndarray, value: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, sums, word counts); every row is a word unless n says how many it is."""
     ids, inverse = np.unique(doc, return_inverse=True)
-    sums = np.bincount(inverse, value, len(ids)) if len(ids) else np.zeros(0)
-    n = np.bincount(inverse, minlength=len(ids)) * words if len(ids) else EMPTY
-    return ids, sums, n.astype(np.int64)
+    return ids, np.bincount(inverse, value, len(ids)), np.bincount(inverse, n, len(ids)).astype(np.int64)
+
+
+def sums_by_place(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], places: int) -> list[tuple]:
+    """Partial sums of per_document as one per document, packed by place: (place, ids, sums, word counts)."""
+    if not sum(len(x[0]) for x in parts):
+        return []
+    ids, sums, n = per_document(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    place = (mix(ids.view(np.uint64) + np.uint64(7)) % np.uint64(places)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    n = n.astype(np.uint32)
+    return [(int(place[p[0]]), ids[p].tobytes(), sums[p].tobytes(), n[p].tobytes()) for p in np.split(order, np.flatnonzero(np.diff(place[order])) + 1)]
+
+
+RESULT = "bucket int, w binary, docs binary, runs binary, place int, ids binary, sums binary, counts binary"
 
 
-RESULT = "doc long, value double, n long, bucket int, w binary, docs binary, runs binary"
+def _result(sums: list[tuple], rest: list[tuple]) -> pa.Table:
+    rows = [(r[0], *r[2:], None, None, None, None) for r in rest] + [(None, None, None, None, *x) for x in sums]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    return pa.table({n: pa.array(c, pa.int32() if n in ("bucket", "place") else pa.binary()) for n, c in zip(names, columns, strict=True)})
 
 
-def _result(ids: np.ndarray, sums: np.ndarray, n: np.ndarray, rest: list[tuple]) -> pa.Table:
-    k, m = len(ids), len(rest)
-    none = [None] * m
-    columns = list(zip(*rest, strict=True)) if rest else [[]] * 5
-    blank = [None] * k
-    return pa.table(
-        {
-            "doc": pa.array([*ids.tolist(), *none], pa.int64()),
-            "value": pa.array([*sums.tolist(), *none], pa.float64()),
-            "n": pa.array([*n.tolist(), *none], pa.int64()),
-            "bucket": pa.array([*blank, *columns[0]], pa.int32()),
-            "w": pa.array([*blank, *columns[2]], pa.binary()),
-            "docs": pa.array([*blank, *columns[3]], pa.binary()),
-            "runs": pa.array([*blank, *columns[4]], pa.binary()),
-        }
-    )
+def _totals(table: pa.Table) -> pa.Table:
+    """(doc, value, n) of the documents of a place."""
+    raw = {c: b"".join(table.column(c).to_pylist()) for c in ("ids", "sums", "counts")}
+    ids, inverse = np.unique(np.frombuffer(raw["ids"], np.int64), return_inverse=True)
+    value = np.bincount(inverse, np.frombuffer(raw["sums"], np.float64), len(ids))
+    n = np.bincount(inverse, np.frombuffer(raw["counts"], np.uint32), len(ids)).astype(np.int64)
+    return pa.table({"doc": pa.array(ids, pa.int64()), "value": pa.array(value), "n": pa.array(n)})
 
 
 def scored(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, hot: int = HOT, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
@@ -126,9 +186,11 @@ def scored(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, hot: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = rows.select("text").mapInArrow(_counts, "word long, cnt long, heads long")
     words = written(counted.groupBy("word").agg(F.sum("cnt").alias("cnt"), F.sum("heads").alias("heads")), "words")
+    del counted
+    released(spark)
     total = int(words.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).first()["n"])
     size = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"])
-    parts = max(12, size // partition_bytes)
+    parts, places = max(12, size // partition_bytes), max(12, size // PLACE_BYTES)
     frequent = words.where(F.col("cnt") * F.lit(hot) > F.lit(total)).orderBy("word").collect()  # fewer than `hot` rows
     known = spark.sparkContext.broadcast(tuple(np.array([x[i] for x in frequent], np.int64) for i in range(3)))
 
@@ -157,37 +219,50 @@ def scored(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, hot: int =
                 out += packs(bucket, v, x, doc)
                 start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
                 out += packs(spread(w[start]) + parts, EMPTY, w[start], names[row[start]])
+                if sum(len(x[1]) for x in out) > SEND_BYTES:
+                    yield pack_batch(out)
+                    out = []
             yield pack_batch(out)
 
     nobody = np.iinfo(np.int64).min
 
-    def bigrams(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        v, w, doc = unpack(table)
-        if bucket >= parts:  # first words go on as they are, without the penalty:
-            real = doc != nobody
-            return _result(EMPTY, np.zeros(0), EMPTY, packs(np.full(int(real.sum()), bucket - parts), EMPTY, w[real], doc[real]) if real.any() else [])
-        pair = mix(mix(v.astype(np.uint64)) + w.astype(np.uint64))
-        _, inverse, number = np.unique(pair, return_inverse=True, return_counts=True)
-        seen = number[inverse]
+    def judged(v: np.ndarray, w: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows that are scored here, their scores, rows that wait for the count of their word)."""
+        seen = times(mix(mix(v.astype(np.uint64)) + w.astype(np.uint64)))
         hot_v, at = among_hot(v)
-        _, own, heads = np.unique(v, return_inverse=True, return_counts=True)
-        before = heads[own]
+        before = times(v)
         if hot_v.any():
-            before = np.where(hot_v, known.value[2][at] if len(known.value[2]) else before, before)
-        real = doc != nobody
+            before = np.where(hot_v, known.value[2][at], before)
         good = real & (seen >= least)
         hot_w, at_w = among_hot(w)
         value = np.log10(seen / before)
         backed = real & ~good & hot_w
         if backed.any():
             value[backed] = np.log10(alpha * known.value[1][at_w[backed]] / total)
-        ids, sums, n = summed(doc[good | backed], value[good | backed], 1)
-        rest = np.flatnonzero(real & ~good & ~hot_w)
-        return _result(ids, sums, n, packs(spread(w[rest]) + parts, EMPTY, w[rest], doc[rest]))
+        keep = np.flatnonzero(good | backed)
+        return keep, value[keep], np.flatnonzero(real & ~good & ~hot_w)
+
+    def bigrams(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        if bucket >= parts:  # first words go on as they are, without the penalty
+            _, w, doc = unpack(table)
+            real = doc != nobody
+            return _result([], packs(np.full(int(real.sum()), bucket - parts), EMPTY, w[real], doc[real]))
+        sums, words_left, docs_left = [], [EMPTY], [EMPTY]
+        for v, w, doc in sliced(table, SLICES):
+            if len(v):
+                keep, value, rest = judged(v, w, doc != nobody)
+                sums.append(per_document(doc[keep], value))
+                words_left.append(w[rest])
+                docs_left.append(doc[rest])
+        w, doc = np.concatenate(words_left), np.concatenate(docs_left)
+        order = np.argsort(doc, kind="stable")  # long runs of each document again
+        return _result(sums_by_place(sums, places), packs(spread(w[order]) + parts, EMPTY, w[order], doc[order]))
 
     exploded = rows.mapInArrow(explode, PACK).groupBy("bucket").applyInArrow(bigrams, RESULT)
     half = written(exploded, "bigrams")
+    del exploded
+    released(spark)
     named = words.select(F.col("word"), F.col("cnt")).where(F.col("cnt") > 0)
 
     # The counts that the rest needs, in the same buckets: packed rows of `words`, one per task and bucket.
@@ -202,7 +277,7 @@ def scored(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, hot: int =
 
     def unigrams(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _result(EMPTY, np.zeros(0), EMPTY, []).select(["doc", "value", "n"])
+            return _result([], [])
         word = unfive(b"".join(right.column("w").to_pylist()))
         cnt = np.frombuffer(b"".join(right.column("cnt").to_pylist()), np.int64)
         order = np.argsort(word)
@@ -212,16 +287,17 @@ def scored(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, hot: int =
             own = left.filter(pa.compute.equal(left.column("bucket"), int(bucket)))
             raw = {c: b"".join(own.column(c).to_pylist()) for c in ("w", "docs", "runs")}
             w = unfive(raw["w"])
-            docs_.append(np.repeat(np.frombuffer(raw["docs"], np.int64), np.frombuffer(raw["runs"], np.uint32)))
+            docs_.append(np.repeat(np.frombuffer(raw["docs"], np.int64), np.frombuffer(raw["runs"], np.uint16)))
             c = cnt[np.searchsorted(word, w)]
             values.append(np.log10((alpha if bucket >= parts else 1.0) * c / total))
-        ids, sums, n = summed(np.concatenate(docs_), np.concatenate(values), 1)
-        return _result(ids, sums, n, []).select(["doc", "value", "n"])
+        return _result(sums_by_place([per_document(np.concatenate(docs_), np.concatenate(values))], places), [])
 
     rest = half.where("bucket is not null").select("bucket", "w", "docs", "runs").withColumn("place", F.pmod("bucket", F.lit(parts)))
     counts = named.mapInArrow(pack_words, "bucket int, w binary, cnt binary").withColumn("place", F.pmod("bucket", F.lit(parts)))
-    backed = rest.groupBy("place").cogroup(counts.groupBy("place")).applyInArrow(unigrams, "doc long, value double, n long")
-    sums = half.where("doc is not null").select("doc", "value", "n").unionByName(backed).groupBy("doc").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
+    backed = rest.groupBy("place").cogroup(counts.groupBy("place")).applyInArrow(unigrams, RESULT)
+    columns = ("place", "ids", "sums", "counts")
+    packed = half.where("place is not null").select(*columns).unionByName(backed.select(*columns))
+    sums = packed.groupBy("place").applyInArrow(_totals, "doc long, value double, n long")
     every = rows.where("doc_id is not null").select("doc_id").distinct()
     out = every.join(sums, F.col("doc_id") == F.col("doc"), "left")
     n, value = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("value", F.lit(0.0))
