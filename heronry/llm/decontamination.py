@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .textkernel import FOLD, mix, passes, text_buffers
 
-Q = 8
-EDIT_RATE = 0.09
+Q = 7
+EDIT_RATE = 0.1
 #: Items with fewer characters say nothing about where a text comes from and are not looked for.
 LEAST_CHARS = 24
 #: Bytes of items in a block that is sent to the tasks.

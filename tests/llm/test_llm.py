@@ -308,6 +308,23 @@ def test_decontamination(spark, docs, none):
     assert dc.contamination(none, b).count() == 0
 
 
+def test_decontamination_budget_is_a_tenth():
+    """24 substitutions in an item of 250 characters are in its budget, 27 are not."""
+    r = random.Random(4)
+    item = " ".join(r.choice(WORDS) for _ in range(80))[:250]
+
+    def with_edits(k):
+        t = list(item)
+        for i in range(k):
+            t[i * len(t) // k + 2] = "q"
+        return ("zzz " + "".join(t) + " zzz").encode()
+
+    index = dc.Index([(7, item)])
+    for k, found in ((0, True), (24, True), (27, False)):
+        raw = np.frombuffer(with_edits(k), np.uint8)
+        assert {x[1] for x in index.search(raw, np.array([0, len(raw)]))} == ({7} if found else set())
+
+
 def test_preferences(spark):
     turns = [
         (0, 0, "system", "be kind"), (0, 1, "user", "hi"), (0, 2, "assistant", "hello é"), (0, 3, "user", "more"), (0, 4, "assistant", "ok"),
