@@ -135,6 +135,19 @@ def budget_packed(rows: DataFrame, by: str, order: list[Column], length: str, bu
     return one.select(by, F.col("x.__l.__r").alias("pos"), *[F.col(f"x.__l.{c}").alias(c) for c in keep], F.col("x.__t").alias("picked"))
 
 
+def quota_packed(rows: DataFrame, by: str, key: str, size: str, quota: int) -> DataFrame:
+    """All rows, with `picked` by the quota in the order of key, which is unique in a group; a size is a whole
+    number, 0 or more. What is used never falls, so once a size doesn't fit no later row of that size does: of each
+    size only the first quota / size rows can fit, and only those are gathered, however large the group."""
+    n, place = F.col(size), F.row_number().over(Window.partitionBy(by, size).orderBy(key))
+    able = rows.where((n > 0) & (n <= quota)).select(by, key, size).withColumn("__r", place).where(F.col("__r") <= quota).where(F.col("__r") * n <= quota)
+    lists = able.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), n.alias("n")))).alias("l"))
+    lists = lists.select(F.col(by).alias("__by"), F.explode(F.arrays_zip("l", packed(F.transform("l", lambda x: x["n"]), quota).alias("t"))).alias("x"))
+    taken = lists.where("x.t").select("__by", F.col("x.l.k").alias("__key"), F.lit(True).alias("__taken"))
+    out = rows.join(taken, F.col(by).eqNullSafe(F.col("__by")) & F.col(key).eqNullSafe(F.col("__key")), "left")
+    return out.withColumn("picked", F.coalesce("__taken", n == 0)).drop("__by", "__key", "__taken")
+
+
 def latest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__r = 1").drop("__r")
 

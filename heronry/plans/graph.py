@@ -176,7 +176,7 @@ def components(t: Tables):
 def group_quota(t: Tables):
     """#165 groups in order against a quota; one that doesn't fit is rejected, later ones may fit."""
     rows = t.customer.select(F.col("c_nationkey").alias("scope_id"), F.col("c_custkey").alias("id"), (1 + F.col("c_custkey") % 7).alias("creates"))
-    out = ev.budget_packed(rows, "scope_id", [F.col("id")], "creates", 60, 40, ["id"])
+    out = ev.quota_packed(rows, "scope_id", "id", "creates", 60)
     return out.select("scope_id", "id", F.when(F.col("picked"), "accept").otherwise("QUOTA_EXCEEDED").alias("outcome"))
 
 

@@ -57,6 +57,29 @@ def test_budget_skips(spark, lengths, budget, take):
     assert one(spark, ev.packed(F.array(*[F.lit(n) for n in lengths]).cast("array<bigint>"), budget)) == take
 
 
+def by_quota(rows, quota):
+    used, out = {}, {}
+    for g, k, n in sorted(rows):
+        out[g, k] = used.get(g, 0) + n <= quota
+        used[g] = used.get(g, 0) + n * out[g, k]
+    return out
+
+
+def test_quota_decides_every_row(spark, tmp_path):
+    spark.range(1, 301).select(F.col("id").alias("c_custkey"), (F.col("id") % 2).cast("int").alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    got = {(r["scope_id"], r["id"]): r["outcome"] for r in catalog.QUERIES["group_quota"](spark, str(tmp_path)).collect()}
+    want = by_quota([(i % 2, i, 1 + i % 7) for i in range(1, 301)], 60)
+    assert got == {k: "accept" if x else "QUOTA_EXCEEDED" for k, x in want.items()}
+
+
+@pytest.mark.parametrize("quota", [0, 1, 7, 30])
+def test_quota_is_the_loop(spark, quota):
+    # In group 3 the only row that fits after the first comes last.
+    rows = [(g, k, (k * k * 7 + g * 5) % 11) for g in range(3) for k in range(80)] + [(3, 0, 29)] + [(3, k, 2) for k in range(1, 90)] + [(3, 90, 1)]
+    got = ev.quota_packed(spark.createDataFrame(rows, "g int, k int, n int").repartition(3), "g", "k", "n", quota).collect()
+    assert len(got) == len(rows) and {(r["g"], r["k"]): r["picked"] for r in got} == by_quota(rows, quota)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 4_000_000)), min_size=1, max_size=30))
 def test_salience_fold_is_the_loop(spark, events):
