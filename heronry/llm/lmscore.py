@@ -33,8 +33,9 @@ ALPHA, LEAST, HOT = 0.4, 2, 20_000
 PARTITION_BYTES = 20 << 20
 #: Bytes of text behind each place where sums of documents meet.
 PLACE_BYTES = 48 << 20
-#: Words are told apart by so many leading bits of their hashes.
-BITS = np.uint64(40)
+#: A word's code is so many leading bits of its hash. Words that would share a code, and those whose code is one of
+#: the last SPARE, have a spare code each.
+BITS, SPARE = 40, 1 << 20
 
 PACK = "bucket int, v binary, w binary, docs binary, runs binary"
 EMPTY = np.zeros(0, np.int64)
@@ -56,12 +57,32 @@ def unfive(raw: bytes) -> np.ndarray:
 
 
 def word_rows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word, row of each) of each pass over a column of texts."""
+    """(hash of each word, its row) of each pass over a column of texts."""
     data, offsets = text_buffers(texts)
     for a, b in passes(offsets):
         words, doc = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         if len(words):
-            yield (words >> (np.uint64(64) - BITS)).astype(np.int64), doc + a
+            yield words.view(np.int64), doc + a
+
+
+def codes(words: np.ndarray, special: np.ndarray) -> np.ndarray:
+    """Codes of hashes; special are the sorted hashes of the words with spare codes. No two hashes share one."""
+    out = (words.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+    if len(special):
+        at = np.minimum(np.searchsorted(special, words), len(special) - 1)
+        own = special[at] == words
+        out[own] = (1 << BITS) - SPARE + at[own]
+    return out
+
+
+def without_own_code(words: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words that need a spare code, of all words; at 40 million words about 1600."""
+    code = F.shiftrightunsigned("word", 64 - BITS)
+    shared = [x["code"] for x in words.groupBy(code.alias("code")).agg(F.count("*").alias("n")).where("n > 1").select("code").collect()]
+    found = words.where(code.isin(shared) | (code >= (1 << BITS) - SPARE)).select("word").collect()
+    if len(found) > SPARE:
+        raise ValueError(f"{len(found)} words need one of {SPARE} spare codes")
+    return np.sort(np.array([x["word"] for x in found], np.int64))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +163,21 @@ def times(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def pair_times(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each v and each pair (v, w) occurs; pairs are told apart exactly, by the rank of v and the code of w."""
+    order = np.argsort(v)
+    s = v[order]
+    new = np.append(True, s[1:] != s[:-1])
+    number = np.diff(np.append(np.flatnonzero(new), len(s)))
+    rank, before = np.empty(len(v), np.int64), np.empty(len(v), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    before[order] = np.repeat(number, number)
+    if len(number) < 1 << 63 - BITS:
+        return before, times(rank << BITS | w)
+    second, w = np.unique(w, return_inverse=True)
+    return before, times(rank * len(second) + w)
+
+
 def per_document(doc: np.ndarray, value: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, sums, word counts); every row is a word unless n says how many it is."""
     ids, inverse = np.unique(doc, return_inverse=True)
@@ -191,8 +227,13 @@ def scored(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, hot: int =
     total = int(words.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).first()["n"])
     size = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"])
     parts, places = max(12, size // partition_bytes), max(12, size // PLACE_BYTES)
-    frequent = words.where(F.col("cnt") * F.lit(hot) > F.lit(total)).orderBy("word").collect()  # fewer than `hot` rows
-    known = spark.sparkContext.broadcast(tuple(np.array([x[i] for x in frequent], np.int64) for i in range(3)))
+    special = without_own_code(words)
+    released(spark)
+    frequent = words.where(F.col("cnt") * F.lit(hot) > F.lit(total)).collect()  # fewer than `hot` rows
+    hashes, cnt, heads = (np.array([x[i] for x in frequent], np.int64) for i in range(3))
+    code = codes(hashes, special)
+    order = np.argsort(code)
+    known = spark.sparkContext.broadcast((code[order], cnt[order], heads[order], special))
 
     def among_hot(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         table = known.value[0]
@@ -212,7 +253,8 @@ def scored(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, hot: int =
             keep = np.array([x is not None for x in batch.column("doc_id").to_pylist()], bool)
             names = np.where(keep, names, np.iinfo(np.int64).min)
             out = []
-            for w, row in word_rows(batch.column("text")):
+            for hashes, row in word_rows(batch.column("text")):
+                w = codes(hashes, known.value[3])
                 follow = np.flatnonzero(row[1:] == row[:-1])
                 v, x, doc = w[follow], w[follow + 1], names[row[follow]]
                 bucket = np.where(among_hot(v)[0], spread(v * 31 + x), spread(v))
@@ -228,9 +270,8 @@ def scored(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, hot: int =
 
     def judged(v: np.ndarray, w: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows that are scored here, their scores, rows that wait for the count of their word)."""
-        seen = times(mix(mix(v.astype(np.uint64)) + w.astype(np.uint64)))
+        before, seen = pair_times(v, w)
         hot_v, at = among_hot(v)
-        before = times(v)
         if hot_v.any():
             before = np.where(hot_v, known.value[2][at], before)
         good = real & (seen >= least)
@@ -268,7 +309,7 @@ def scored(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, hot: int =
     # The counts that the rest needs, in the same buckets: packed rows of `words`, one per task and bucket.
     def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, c = batch.column("word").to_numpy(), batch.column("cnt").to_numpy()
+            w, c = codes(batch.column("word").to_numpy(), known.value[3]), batch.column("cnt").to_numpy()
             bucket = spread(w)
             order = np.argsort(bucket, kind="stable")
             rows = [(int(bucket[p[0]]), five(w[p]), c[p].tobytes()) for p in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)] if len(order) else []

@@ -415,6 +415,34 @@ def test_lm_scores(docs, none):
     assert lm.scored(none).count() == 0
 
 
+def test_lm_words_with_one_code(spark):
+    """Two words whose hashes agree in the leading 40 bits, and one whose code is a spare one, keep their own counts."""
+    a, b, c = "w1682715", "w2893187", "w3311"
+    h, _ = lm.word_hashes(np.frombuffer(f"{a} {b} {c}".encode(), np.uint8), np.array([0, 23]))
+    assert h[0] >> np.uint64(24) == h[1] >> np.uint64(24) and h[0] != h[1] and h[2] >> np.uint64(24) >= (1 << 40) - (1 << 20)
+    texts = [f"{a} x {a} y {a} x {a}", f"{b} x {b}", f"z {b} {a} x {b} x", f"{c} z {c} z {c}", f"y {c} {b} {a}"]
+    uni, heads, bi = Counter(), Counter(), Counter()
+    for w in map(str.split, texts):
+        uni.update(w)
+        heads.update(w[:-1])
+        bi.update(zip(w, w[1:], strict=False))
+    total = sum(uni.values())
+    score = lambda v, w: bi[v, w] / heads[v] if bi[v, w] > 1 else 0.4 * uni[w] / total
+    want = {i: math.log10(uni[w[0]] / total) + sum(math.log10(score(*p)) for p in zip(w, w[1:], strict=False)) for i, w in enumerate(map(str.split, texts))}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for hot in (lm.HOT, 8, 1):
+        got = {r["doc_id"]: r["log_score"] for r in lm.scored(d, hot=hot, partition_bytes=40).collect()}
+        assert got == {i: pytest.approx(x, abs=2e-6) for i, x in want.items()}
+
+
+def test_lm_pairs_are_counted_exactly():
+    r = np.random.default_rng(5)
+    v, w = r.integers(0, 40, 3000) << 30, r.integers(0, 30, 3000) << 30
+    one, two = Counter(v.tolist()), Counter(zip(v.tolist(), w.tolist(), strict=True))
+    before, seen = lm.pair_times(v, w)
+    assert before.tolist() == [one[x] for x in v.tolist()] and seen.tolist() == [two[x] for x in zip(v.tolist(), w.tolist(), strict=True)]
+
+
 def test_packed_runs_of_any_length():
     import pyarrow as pa
 
