@@ -33,6 +33,12 @@ def word_count(text: Column) -> Column:
     return F.when(F.octet_length(flat) == 0, F.lit(0)).otherwise(blanks + 1).cast("long")
 
 
+def row_key() -> Column:
+    """Tells the rows of docs apart by doc_id, text and source; never null."""
+    doc, source = F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("="), F.col("source").cast("string"))
+    return F.concat_ws(":", *[F.coalesce(x, F.lit("~")) for x in (doc, F.md5(F.col("text").cast("string").cast("binary")), source)])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size) -> with target. The total is share of all sizes, dealt by weight, no source
     over most of its size. A source is full if its limit is at most its weight times the common level;
@@ -108,15 +114,17 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 def permuted(rows: DataFrame, seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """rows (source, doc_id, size, ...) with `offset`, the words before each in its source's random order.
     The order is that of a hash; it is cut into buckets by the hash's leading bits, so that no task sorts
-    more than a bucket of a source: sums of the buckets before, then sums inside the bucket."""
+    more than a bucket of a source: sums of the buckets before, then sums inside the bucket. Rows with a `row` key
+    but no doc_id are placed by that key, and rows that repeat a doc_id are put in order by it."""
     buckets = max(1, rows.count() // bucket_rows)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    own = [F.col("row")] if "row" in rows.columns else []
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), *own)))
     lead = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
     keyed = rows.withColumn("key", key).withColumn("bucket", F.floor(lead * F.lit(buckets) / F.lit(1 << 32)).cast("long"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", *own, "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     return joined.withColumn("offset", (F.col("start") + F.col("within")).cast("long")).drop("s", "b", "start", "within", "bucket", "key")
@@ -127,12 +135,12 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 17, weights: tuple[int, .
     for each row; pieces are (shard, pass, start, words): which words of the record go where, by pass.
 
     With whole, a record goes entire to the shard whose words have its first one, as often as passes
-    have it; else a block's edge may cut a record, and a source's taken words are its target, rounded.
+    have it, and the result has its row_key as row; else a block's edge may cut a record, and a source's taken words are its target, rounded.
     A null or blank text has size 0 and takes nothing. Null is a source of its own, the last. A source
     without words has target 0. Repeated rows are records each. Reruns agree, whatever the partitions."""
     size = word_count(F.col("text").cast("string"))
     # Texts are read once; sums, order and pieces need ids and sizes only.
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *([row_key().alias("row")] if whole else [])), "sizes")
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     aims = aims.withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
     block = aims.groupBy().agg(F.greatest(F.lit(1), F.ceil(F.sum("quota") / F.lit(BLOCKS))).cast("long").alias("block"))
@@ -163,10 +171,15 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 17, weights: tuple[int, .
     nothing = F.expr("cast(array() as array<struct<shard:int,pass:int,start:bigint,words:bigint>>)")
     pieces = F.coalesce(F.when(F.col("size") > 0, F.flatten(F.transform(passes, on))), nothing)
     out = line.withColumn("pieces", pieces).withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "pieces")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "pieces", *(["row"] if whole else []))
 
 
 def mixed_texts(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """One row of docs per pass that the mix takes of it, in mix(whole=True); columns of docs."""
-    times = taken.where("taken > 0").groupBy("doc_id").agg(F.max(F.size("pieces")).alias("times"))
-    return docs.join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    """One row of docs per pass that the mix takes of it, in mix(whole=True); columns of docs. Rows meet the mix by
+    their row_key. The passes of rows that share one differ by one at most, so their sum is dealt out evenly."""
+    times = taken.groupBy(F.col("row").alias("__of")).agg(F.count("*").alias("__rows"), F.sum(F.size("pieces")).alias("__times")).where("__times > 0")
+    joined = docs.withColumn("__row", row_key()).join(times, F.col("__row") == F.col("__of"))
+    # All rows of a window are alike, so it needs no order but that of the join.
+    joined = joined.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("__row")))
+    own = F.expr("__times div __rows + if(__nth <= __times % __rows, 1, 0)")
+    return joined.withColumn("__own", own).where("__own > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__own")))).select(*docs.columns)

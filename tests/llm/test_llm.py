@@ -179,6 +179,26 @@ def test_mix(docs, none):
     assert mx.mix(none).count() == 0
 
 
+def test_mixed_texts_of_rows_without_or_with_repeated_ids(spark):
+    """Each row comes as often as the mix takes it: rows with a null doc_id, with one doc_id and several texts, or all alike."""
+    r = random.Random(8)
+    say = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    rows = [(i, say(r.randrange(5, 40)), f"s{i % 3}") for i in range(60)] + [(None, say(r.randrange(5, 40)), f"s{i % 3}") for i in range(60)]
+    rows += [(7, say(r.randrange(5, 40)), f"s{i % 3}") for i in range(30)] + [(None, "all alike", "s0")] * 9 + [(None, "all alike", None), (5, None, None), (None, None, "s1")]
+    d = spark.createDataFrame([(*x, "en") for x in rows], "doc_id long, text string, source string, lang string").repartition(3)
+    taken = mx.mix(d, whole=True).cache()
+    text = {x["k"]: (x["doc_id"], x["text"], x["source"]) for x in d.withColumn("k", mx.row_key()).collect()}
+    want, target = Counter(), {}
+    for x in taken.collect():
+        want[text[x["row"]]] += len(x["pieces"])
+        target[x["source"]] = x["target"]
+    found = mx.mixed_texts(d, taken).collect()
+    got = Counter((x["doc_id"], x["text"], x["source"]) for x in found)
+    assert got == +want and set(target) == {"s0", "s1", "s2", None}
+    for s, n in target.items():
+        assert abs(sum(len(words_of(x["text"])) for x in found if x["source"] == s) - n) <= 40
+
+
 def test_splitting_tree_is_exact_and_random(spark):
     q = spark.createDataFrame([("a", 100), ("b", 37), (None, 5), ("z", 0)], "source string, blocks long")
     parts = {seed: {(r["source"], r["shard"]): r["blocks"] for r in mx.split_quotas(q, 7, seed).collect()} for seed in (1, 2)}
