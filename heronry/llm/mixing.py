@@ -5,7 +5,8 @@ one line, cut into blocks of a fixed number of words. A source's target is its e
 (the last one may be partial); a quota over one length of the line goes round again. A splitting tree
 deals the quotas to the output shards: at each node the blocks that go left are a multivariate
 hypergeometric draw, made source after source by selection sampling, so that every quota is split exactly.
-A shard takes the next blocks of each permuted line: blocks are disjoint, and rows are shuffled in a shard.
+A shard takes the next blocks of each permuted line: blocks are disjoint. The last step of the dealt method, a shuffle
+of the rows in each shard, is not done: pieces have no position.
 
 Tables of one row per source, or per source and shard, are the only ones in a single task.
 """
