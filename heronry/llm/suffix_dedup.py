@@ -5,7 +5,7 @@ A byte goes if it is covered by a SPAN-byte string that also starts in a documen
 1. Anchors. In each window of SPAN bytes the GRAM-byte string with the least hash is its anchor, so equal
    windows have equal anchors at equal offsets. The windows of an anchor are a run; its bytes are the
    anchor's context. Anchors are dealt by their hash, 19 bytes each: contexts that an earlier document has
-   too (104 bits of prefix polynomial hashes) go entire; anchors that other documents have in other contexts
+   too (96 bits of prefix polynomial hashes) go entire; anchors that other documents have in other contexts
    are in doubt, and only they are looked at further.
 2. Suffix sort. The contexts in doubt are fetched from the texts and dealt by anchor. Suffixes that start
    at the same offset from the same anchor are sorted by mergesort; two suffixes are compared by their
