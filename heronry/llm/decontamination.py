@@ -1,13 +1,16 @@
 """Operator 6: benchmark decontamination by the q-gram lemma.
 
-A text holds a benchmark item if some stretch of it is within e edits of the item (e = EDIT_RATE of the
-item's characters). Then the two share at least len - q + 1 - q * e q-grams, at diagonals (place in the
-text less place in the item) that differ by at most 2 * e. So q-grams are looked up in an index of the
-items, hits are counted in overlapping bands of diagonals, and bands that reach the bound are verified by
-banded alignment. Before that, hits too sparse to reach any item's bound are dropped.
-
-Texts and items are compared by characters, with A-Z as a-z and each run of white space as one blank.
-The items are taken in blocks of bounded size; each block is sent to all tasks.
+A text holds a benchmark item if some stretch of it is within e edits of the item; e is EDIT_RATE of the
+item's characters, or for short items the most that leaves the lemma a bound of one: (len - q) / q. Then
+the two share at least len - q + 1 - q * e q-grams, at diagonals (place in the text less place in the
+item) that differ by at most 2 * e. So q-grams are looked up in an index of the items, hits are counted in
+overlapping bands of diagonals, and bands that reach the bound are verified by banded alignment, all bands
+of a pass at once; items that begin alike share the rows of the alignment up to where they part. Items of
+fewer than q characters are looked for as they are.
+
+Texts and items are compared by characters, with A-Z as a-z and each run of white space as one blank; items
+are stripped. The items are taken in blocks of bounded size; each block is sent to all tasks, and the texts
+are read once per block.
 """
 
 from __future__ import annotations
@@ -24,13 +27,11 @@ from .textkernel import FOLD, mix, passes, text_buffers
 
 Q = 7
 EDIT_RATE = 0.1
-#: Items with fewer characters say nothing about where a text comes from and are not looked for.
-LEAST_CHARS = 24
+#: Hits with their items that are held at once, and cells of an alignment.
+HITS_AT_ONCE, CELLS = 2_000_000, 4_000_000
 #: Bytes of items in a block that is sent to the tasks.
 BLOCK_BYTES = 4 << 20
-#: Length of the windows in which hits are counted before they are put into bands.
-WINDOW = 64
-FILTER_BITS = 22
+FILTER_BITS, TABLE_BITS = 22, 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -48,165 +49,254 @@ def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(low.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32), chars
 
 
-def grams(chars: np.ndarray) -> np.ndarray:
-    """Hash of the Q characters from each place on."""
-    n = len(chars) - Q + 1
+def grams(chars: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hash of the q characters from each place on."""
+    n = len(chars) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     wide, acc = chars.astype(np.uint64), np.zeros(n, np.uint64)
-    for j in range(Q):
+    for j in range(q):
         acc = acc * _BASE + wide[j : j + n]
     return mix(acc)
 
 
-def distinct_places(doc: np.ndarray, item: np.ndarray, band: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, item, band) with the number of item places hit in the band or in the next one."""
-    doc, item, place = np.tile(doc, 2), np.tile(item, 2), np.tile(place, 2)
-    band = np.concatenate([band, band - 1]) + 1
-    sizes = [int(x.max()) + 1 for x in (doc, item, band, place)]
-    if sizes[0] * sizes[1] * sizes[2] * sizes[3] >= 1 << 62:
-        rows = np.unique(np.stack([doc, item, band, place], 1), axis=0)
-        heads, number = np.unique(rows[:, :3], axis=0, return_counts=True)
-    else:  # one number per row sorts much faster
-        key = np.sort(((doc * sizes[1] + item) * sizes[2] + band) * sizes[3] + place)
-        key = key[np.append(True, key[1:] != key[:-1])] // sizes[3]
-        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        number, key = np.diff(np.append(new, len(key))), key[new]
-        heads = np.stack([key // sizes[2] // sizes[1], key // sizes[2] % sizes[1], key % sizes[2]], 1)
-    heads[:, 2] -= 1
-    return heads, number
+class Part:
+    """q-grams of items of Q characters or more, for lookups by hash. Items are in the order of their characters."""
+
+    def __init__(self, ids: np.ndarray, chars: list[np.ndarray]):
+        self.ids, self.chars = ids, chars
+        self.size = np.array([len(x) for x in chars], np.int64)
+        self.edits = np.minimum(np.floor(self.size * EDIT_RATE).astype(np.int64), (self.size - Q) // Q)
+        self.bound = self.size - Q + 1 - Q * self.edits
+        flat = np.concatenate([grams(x) for x in chars])
+        item = np.repeat(np.arange(len(chars)), self.size - Q + 1)
+        place = np.concatenate([np.arange(n - Q + 1) for n in self.size])
+        order = np.argsort(flat, kind="stable")
+        self.gram, first = np.unique(flat[order], return_index=True)
+        self.item, self.place = item[order], place[order]
+        # Postings by gram and item, so that those of a gram and a range of items are one run.
+        self.first = np.append(first, len(flat))
+        self.key = np.repeat(np.arange(len(self.gram)), np.diff(self.first)) * len(chars) + self.item
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[(self.gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        self.reach = int((self.size + self.edits).max())
+
+    def search(self, chars: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, start, end, edits) of stretches of at most `edits` edits."""
+        h = grams(chars)
+        at = np.flatnonzero(self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+        own = h[at]
+        spot = np.minimum(np.searchsorted(self.gram, own), len(self.gram) - 1)
+        true = self.gram[spot] == own
+        return self.bands(chars, bounds, at[true], spot[true], 0, len(self.chars))
+
+    def bands(self, chars: np.ndarray, bounds: np.ndarray, at: np.ndarray, spot: np.ndarray, low: int, high: int) -> list[tuple[int, int, int, int, int]]:
+        """Verified stretches among the hits of items [low, high). Too many hits to hold are taken by items,
+        then by overlapping stretches of the text."""
+        if high - low == len(self.chars):
+            first, many = self.first[spot], self.first[spot + 1] - self.first[spot]
+        else:
+            first = np.searchsorted(self.key, spot * len(self.chars) + low)
+            many = np.searchsorted(self.key, spot * len(self.chars) + high) - first
+        total = int(many.sum())
+        if not total:
+            return []
+        if total > HITS_AT_ONCE:
+            mid, half = (low + high) // 2, int(at[0] + at[-1]) // 2
+            if high - low > 1:
+                return self.bands(chars, bounds, at, spot, low, mid) + self.bands(chars, bounds, at, spot, mid, high)
+            if at[-1] - at[0] > 8 * self.reach:
+                a, b = np.searchsorted(at, (half + 2 * self.reach, half - 2 * self.reach))
+                return self.bands(chars, bounds, at[:a], spot[:a], low, high) + self.bands(chars, bounds, at[b:], spot[b:], low, high)
+        own = np.repeat(np.arange(len(at)), many)
+        posting = np.repeat(first, many) + (np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many))
+        item, place = self.item[posting], self.place[posting]
+        # Diagonals of one stretch span at most 2 * edits; bands of twice that overlap by half. First a count of
+        # the hits of each half in a table that halves may share: what can't reach the bound there goes.
+        shift = int(self.size.max())
+        line = at[own] - place + shift
+        cell = line // (2 * self.edits[item] + 1) * len(self.chars) + item
+        number = np.bincount(slot(cell), minlength=1 << TABLE_BITS)
+        beside = np.maximum(number[slot(cell + len(self.chars))], number[slot(cell - len(self.chars))])
+        keep = np.flatnonzero(number[slot(cell)] + beside >= self.bound[item])
+        own, item, place, line = own[keep], item[keep], place[keep], line[keep]
+        doc = np.searchsorted(bounds, at[own], "right") - 1
+        keep = np.flatnonzero(at[own] + Q <= bounds[doc + 1])
+        item, place, line, doc = item[keep], place[keep], line[keep], doc[keep]
+        if not len(doc):
+            return []
+        # Whole items have a hit at each of their places, all on one diagonal.
+        heads, number = counted(doc, item, line)
+        full = number == self.size[heads[:, 1]] - Q + 1
+        out = [(d, i, x - shift, x - shift + int(self.size[i]), 0) for d, i, x in heads[full].tolist() if np.array_equal(chars[x - shift : x - shift + self.size[i]], self.chars[i])]
+        # Places of the item in each half of a band; halves come in order, so the next one of a document and item is beside.
+        heads = counted(doc, item, line // (2 * self.edits[item] + 1), place)[0][:, :3]
+        heads, number = counted(*heads.T)
+        after = np.append((heads[1:] == heads[:-1] + (0, 0, 1)).all(1), False)
+        both = number + np.where(after, np.append(number[1:], 0), 0)
+        alone = np.append(True, (heads[1:] != heads[:-1] + (0, 0, 1)).any(1))  # its first half is empty
+        heads = np.concatenate([heads[both >= self.bound[heads[:, 1]]], heads[alone & (number >= self.bound[heads[:, 1]])] - (0, 0, 1)])
+        heads = np.unique(heads[self.edits[heads[:, 1]] > 0], axis=0)
+        half = 2 * self.edits[heads[:, 1]] + 1
+        lowest = heads[:, 2] * half - shift
+        if out and len(heads):  # a band with the whole item in it needs no alignment
+            d, i, s = (np.array(x) for x in list(zip(*out, strict=True))[:3])
+            half_of = 2 * self.edits[i] + 1
+            known = {(x, y, z - k) for x, y, z, in zip(d.tolist(), i.tolist(), ((s + shift) // half_of).tolist(), strict=True) for k in (0, 1)}
+            todo = np.array([tuple(x) not in known for x in heads.tolist()], bool)
+            heads, half, lowest = heads[todo], half[todo], lowest[todo]
+        for e in np.unique(self.edits[heads[:, 1]]).tolist():
+            mine = np.flatnonzero(self.edits[heads[:, 1]] == e)
+            # In runs of bounded size: cells of a row of the table, and characters of items that are compared.
+            step = max(1, CELLS // max(6 * e + 2, int(self.size[heads[mine, 1]].max())))
+            mine = mine[np.lexsort((heads[mine, 1], lowest[mine], heads[mine, 0]))]
+            for a in range(0, len(mine), step):
+                m = mine[a : a + step]
+                d, i = heads[m, 0], heads[m, 1]
+                start, end, cost = align(self.chars, i, chars, lowest[m], lowest[m] + 2 * half[m], bounds[d], bounds[d + 1], e)
+                good = np.flatnonzero(cost <= e)
+                out += zip(d[good].tolist(), i[good].tolist(), start[good].tolist(), end[good].tolist(), cost[good].tolist(), strict=True)
+        return out
 
 
 class Index:
-    """q-grams of a block of items, for lookups by hash."""
+    """A block of items: those of fewer than Q characters by their length, the others by their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
         found = []
         for item, text in items:
             raw = np.frombuffer((text or "").strip().encode(), np.uint8)
             chars, _ = folded(raw, np.array([0, len(raw)]))
-            if len(chars) >= LEAST_CHARS:
-                found.append((item, chars))
-        self.ids = np.array([x[0] for x in found], np.int64)
-        self.chars = [x[1] for x in found]
-        self.size = np.array([len(x) for x in self.chars], np.int64)
-        self.edits = np.floor(self.size * EDIT_RATE).astype(np.int64)
-        self.bound = self.size - Q + 1 - Q * self.edits
-        hashes = [grams(x) for x in self.chars]
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(found)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.gram, first = np.unique(flat[order], return_index=True)
-        self.first = np.append(first, len(flat))
-        self.item, self.place = item[order], place[order]
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[(self.gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        # A stretch of size + edits characters has at least `bound` hits; so one of the windows that meet it has this many.
-        self.least = int(np.ceil(WINDOW * self.bound / (self.size + self.edits + WINDOW)).min()) if found else 0
-        self.reach = int((self.size + self.edits).max()) + WINDOW if found else 0
+            if len(chars):
+                found.append((chars.tolist(), item, chars))
+        found.sort(key=lambda x: x[:2])
+        long = [x for x in found if len(x[0]) >= Q]
+        self.part = Part(np.array([x[1] for x in long], np.int64), [x[2] for x in long]) if long else None
+        self.short: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
+        for x in found:
+            if len(x[0]) < Q:
+                self.short.setdefault(len(x[0]), {}).setdefault(int(grams(x[2], len(x[0]))[0]), []).append((x[1], x[2]))
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(document, item id, start, end, edits) of the best stretch of each band that holds an item."""
+        """(document, item id, start, end, edits): of each item the stretches that hold it, of overlapping ones
+        the one with the fewest edits."""
         chars, bounds = folded(data, offsets)
-        if not len(self.ids) or len(chars) < Q:
-            return []
-        h = grams(chars)
-        hit = self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-        at = np.flatnonzero(hit)
-        spot = np.minimum(np.searchsorted(self.gram, h[at]), len(self.gram) - 1)
-        true = self.gram[spot] == h[at]
-        at, spot = at[true], spot[true]
-        if not len(at):
-            return []
-        counts = np.zeros(len(chars) + 1, np.int64)
-        counts[at + 1] = 1
-        counts = np.cumsum(counts)
-        right = np.minimum(np.arange(len(chars)) + WINDOW, len(chars))
-        dense = (counts[right] - counts[:-1]) >= self.least
-        if not dense.any():
-            return []
-        near = np.zeros(len(chars) + 1, np.int64)
-        where = np.flatnonzero(dense)
-        np.add.at(near, np.maximum(where - self.reach, 0), 1)
-        np.add.at(near, np.minimum(where + self.reach + WINDOW, len(chars)), -1)
-        keep = np.cumsum(near)[at] > 0
-        at, spot = at[keep], spot[keep]
-        doc = np.searchsorted(bounds, at, "right") - 1
-        inside = at + Q <= bounds[doc + 1]
-        at, spot, doc = at[inside], spot[inside], doc[inside]
-        if not len(at):
-            return []
-        many = self.first[spot + 1] - self.first[spot]
-        own = np.repeat(np.arange(len(at)), many)
-        posting = np.repeat(self.first[spot], many) + (np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many))
-        item, place, where, doc = self.item[posting], self.place[posting], at[own], doc[own]
-        # Diagonals of one stretch span at most 2 * edits; bands of twice that overlap by half.
-        half = 2 * self.edits[item] + 1
-        diagonal = where - place + int(self.size.max())
-        band = diagonal // half
-        heads, number = distinct_places(doc, item, band, place)
-        good = heads[number >= np.maximum(self.bound[heads[:, 1]], 1)]
         out: dict[tuple[int, int], set] = {}
-        for d, i, b in good.tolist():
-            w = int(2 * self.edits[i] + 1)
-            lowest = b * w - int(self.size.max())
-            text = chars[bounds[d] : bounds[d + 1]]
-            got = align(self.chars[i], text, lowest - int(bounds[d]), lowest + 2 * w - int(bounds[d]), int(self.edits[i]))
-            if got:
-                out.setdefault((d, i), set()).add(got)
-        return [(d, int(self.ids[i]), *x) for (d, i), found in out.items() for x in disjoint(found)]
+        if self.part and len(chars) >= Q:
+            for d, i, s, e, k in self.part.search(chars, bounds):
+                out.setdefault((d, int(self.part.ids[i])), set()).add((s - int(bounds[d]), e - int(bounds[d]), k))
+        for size, items in self.short.items():
+            h = grams(chars, size)
+            names = np.sort(np.array(list(items), np.uint64))
+            spot = np.minimum(np.searchsorted(names, h), len(names) - 1)
+            at = np.flatnonzero(names[spot] == h)
+            doc = np.searchsorted(bounds, at, "right") - 1
+            for s, d in zip(at[at + size <= bounds[doc + 1]].tolist(), doc[at + size <= bounds[doc + 1]].tolist(), strict=True):
+                for item, x in items[int(h[s])]:
+                    if np.array_equal(chars[s : s + size], x):
+                        out.setdefault((d, item), set()).add((s - int(bounds[d]), s - int(bounds[d]) + size, 0))
+        return [(d, i, *x) for (d, i), found in out.items() for x in disjoint(found)]
+
+
+def slot(cell: np.ndarray) -> np.ndarray:
+    """Place of a cell in a table of 2 ** TABLE_BITS."""
+    return ((cell.astype(np.uint64) * _BASE) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def counted(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of columns of small numbers, in order, with how often each is there."""
+    sizes = [int(x.max()) + 1 for x in columns]
+    if float(np.prod(np.array(sizes, float))) >= 2.0**62:
+        return np.unique(np.stack(columns, 1), axis=0, return_counts=True)
+    key = columns[0]  # one number per row sorts much faster
+    for x, n in zip(columns[1:], sizes[1:], strict=True):
+        key = key * n + x
+    key, number = np.unique(key, return_counts=True)
+    out = np.empty((len(key), len(columns)), np.int64)
+    for c in range(len(columns) - 1, 0, -1):
+        key, out[:, c] = np.divmod(key, sizes[c])
+    out[:, 0] = key
+    return out, number
 
 
 def disjoint(found: set) -> list[tuple[int, int, int]]:
-    """Of overlapping stretches the one with the fewest edits."""
+    """Of overlapping stretches the one with the fewest edits; found holds (start, end, edits)."""
     out: list[tuple[int, int, int]] = []
-    for s, e, k in sorted(found, key=lambda x: (x[2], x[0], x[1])):
-        if all(e <= a or s >= b for a, b, _ in out):
-            out.append((s, e, k))
+    for k in sorted({x[2] for x in found}):
+        taken = sorted(out)
+        ends, at = -1, 0
+        for s, e, _ in sorted(x for x in found if x[2] == k):
+            while at < len(taken) and taken[at][1] <= s:
+                at += 1
+            if s >= ends and (at == len(taken) or taken[at][0] >= e):
+                out.append((s, e, k))
+                ends = e
     return sorted(out)
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
-    """Best stretch of text within `most` edits of item, its diagonals within most of [low, high).
-
-    Row r of the table has, for each diagonal of the band, the fewest edits with which the first r
-    characters of the item end there; starts are free."""
-    n = len(item)
-    for start in range(max(low, 0), min(high, len(text) - n + 1)):
-        if text[start] == item[0] and np.array_equal(text[start : start + n], item):
-            return start, start + n, 0
-    if not most:
-        return None
-    a, b = low - most, high + most
-    width, big = b - a, 1 << 20
-    column = np.arange(a, b)
-    cost = np.where((column >= 0) & (column <= len(text)), 0, big)
-    start = column.copy()
+def align(items: list[np.ndarray], own: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, edits) of the best stretch of text[begin:end] within `most` edits of each of the items `own`, its
+    diagonals within most of [low, high); edits over most where there is none. All bands are of one width.
+
+    Row r of a band's table has, for each diagonal, the fewest edits with which the first r characters of
+    the item end there; starts are free. Bands that follow one another with the same place and with items
+    that begin alike have the same rows up to where the items part: those are made once."""
+    n, width, big = len(own), int(high[0] - low[0]) + 2 * most, 1 << 20
+    size = np.array([len(items[i]) for i in own], np.int64)
+    letters = np.full((n, int(size.max())), -1, np.int64)
+    for row, i in enumerate(own.tolist()):
+        letters[row, : size[row]] = items[i]
+    parted = np.zeros(n, np.int64)  # characters that a band's item shares with that of the band before
+    differ = letters[1:] != letters[:-1]
+    shared = np.where(differ.any(1), differ.argmax(1), letters.shape[1])
+    parted[1:] = np.where((low[1:] == low[:-1]) & (begin[1:] == begin[:-1]), np.minimum(shared, np.minimum(size[1:], size[:-1])), 0)
+    left = low - most
     steps = np.arange(width)
-    for r in range(1, n + 1):
-        j = column + r  # place in the text after this row
-        ok = (j >= 1) & (j <= len(text))
-        same = np.zeros(width, bool)
-        same[ok] = text[j[ok] - 1] == item[r - 1]
+    result = [np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, big)]
+    row = np.flatnonzero(parted == 0)  # the bands whose rows are made; each stands for those up to the next
+    column = left[row][:, None] + steps
+    cost = np.where((column >= begin[row][:, None]) & (column <= end[row][:, None]), 0, big)
+    start = column.copy()
+    dead = np.zeros(n, bool)
+    for r in range(1, letters.shape[1] + 1):
+        now = np.flatnonzero((parted < r) & ~dead & (size >= r))
+        if not len(now):
+            break
+        parent = np.searchsorted(row, now, "right") - 1
+        cost, start, row = cost[parent], start[parent], now
+        j = left[now][:, None] + steps + r  # place in the text after this row
+        lo, hi = begin[now][:, None], end[now][:, None]
+        ok = (j > lo) & (j <= hi)
+        same = text[np.clip(j - 1, 0, len(text) - 1)] == letters[now, r - 1][:, None]
         best = np.where(ok, cost + ~same, big)
-        origin = start.copy()
-        up_cost, up_start = np.append(cost[1:], big) + 1, np.append(start[1:], 0)
-        take = up_cost < best
-        best[take], origin[take] = up_cost[take], up_start[take]
+        up = np.full_like(cost, big)
+        up[:, :-1] = cost[:, 1:] + 1
+        up_start = np.zeros_like(start)
+        up_start[:, :-1] = start[:, 1:]
+        origin = np.where(up < best, up_start, start)
+        best = np.minimum(best, up)
         # A run of characters that the item lacks: least of cost - place, from the left.
-        run = np.minimum.accumulate((best - steps) * (width + 1) + (width - steps))
+        run = np.minimum.accumulate((best - steps) * (width + 1) + (width - steps), axis=1)
         source = width - (run % (width + 1))
-        value = best[source] + steps - source
-        take = value < best
-        best[take], origin[take] = value[take], origin[source[take]]
-        cost, start = np.minimum(np.where((j >= 0) & (j <= len(text)), best, big), big), origin
-        if cost.min() > most:
-            return None
-    at = int(np.argmin(cost * (width + 1) + steps))
-    if cost[at] > most:
-        return None
-    return int(start[at]), int(at + a + n), int(cost[at])
+        value = np.take_along_axis(best, source, 1) + steps - source
+        origin = np.where(value < best, np.take_along_axis(origin, source, 1), origin)
+        best = np.minimum(best, value)
+        cost = np.minimum(np.where((j >= lo) & (j <= hi), best, big), big)
+        start = origin
+        done = np.flatnonzero(size == r)
+        done = done[~dead[done]]
+        if len(done):
+            mine = np.searchsorted(row, done, "right") - 1
+            place = np.argmin(cost[mine] * (width + 1) + steps, axis=1)
+            result[0][done], result[2][done] = start[mine, place], cost[mine, place]
+            result[1][done] = left[done] + place + r
+        # A band is over once every diagonal has too many edits, and with it those whose rows it stands for.
+        over = cost.min(1) > most
+        if over.any():
+            owner = np.searchsorted(row, np.arange(n), "right") - 1
+            follows = (owner >= 0) & (parted >= r) | np.isin(np.arange(n), row)
+            dead |= follows & over[np.maximum(owner, 0)]
+    return result[0], result[1], result[2]
 
 
 HITS = "doc_id long, item_id long, begin long, finish long, edits int"

@@ -4,6 +4,7 @@ columns whose names clash with the operators' own."""
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -291,10 +292,21 @@ def edits(item, text):
     return min(row)
 
 
+def budget(n):
+    """Edits allowed for an item of n characters: a tenth, or the most that leaves the q-gram lemma a bound of one."""
+    return min(n // 10, (n - 7) // 7) if n >= 7 else 0
+
+
+def folded(t):
+    return " ".join(w for w in (t or "").translate({c: c + 32 for c in range(65, 91)}).split(" ") if w) if t is not None else ""
+
+
 def test_decontamination(spark, docs, none):
     r = random.Random(9)
     say = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
-    items = [(i, say(n)) for i, n in enumerate((12, 25, 40, 8))] + [(10, "short"), (11, None), (None, say(9)), (12, "")]
+    items = [(i, say(n)) for i, n in enumerate((12, 25, 40, 8))]
+    items += [(100 + n, (say(60) + "z")[: n - 1] + "#") for n in (*range(1, 31), 45, 60, 99, 150, 200)]
+    items += [(10, "short"), (11, None), (None, say(9)), (12, ""), (13, "  "), (14, "What is the capital?")]
 
     def changed(t, k):
         t = list(t)
@@ -303,23 +315,24 @@ def test_decontamination(spark, docs, none):
             t[i : i + 1] = r.choice((["q"], [], ["q", t[i]]))
         return "".join(t)
 
-    rows = [(i, say(20)) for i in range(5)] + [(100, None), (101, ""), (102, say(15000) + items[0][1])]
+    rows = [(i, say(20)) for i in range(5)] + [(100, None), (101, ""), (102, say(1500) + items[0][1]), (103, "He asks: WHAT is  the\ncapital? of it")]
     n = 200
-    for item, t in items[:4]:
-        for k in (0, 1, int(len(t) * 0.04), int(len(t) * 0.08), int(len(t) * 0.2)):
-            rows.append((n, say(6) + "\n" + changed(t, k).upper() + " " + say(7)))
+    for _, t in items:
+        if t and t.strip():
+            for k in sorted({0, 1, 2, int(len(t) * 0.04), int(len(t) * 0.08), int(len(t) * 0.1), int(len(t) * 0.2)}):
+                rows.append((n, say(6) + "\n" + changed(t, k).upper() + " " + say(7)))
+                n += 1
+            rows.append((n, t.replace(" ", "  \n ")))
             n += 1
-        rows.append((n, t.replace(" ", "  \n ")))
-        n += 1
     d = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "doc_id long, text string, item_id int, edits int").repartition(3)
     b = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, answer string")
-    fold = lambda t: "".join(" " if i and c == " " and 0 else c for i, c in enumerate(" ".join(t.split()).translate({c: c + 32 for c in range(65, 91)})))
     want = defaultdict(set)
+    known = [(i, folded(t)) for i, t in items if i is not None and t and t.strip()]
     for doc, t in rows:
-        for item, x in items[:4]:
-            if t and len(t) < 5000 and edits(fold(x), fold(t)) <= int(len(fold(x)) * dc.EDIT_RATE):
+        text = folded((t or "").replace("\n", " "))
+        for item, x in known:
+            if x in text or (budget(len(x)) and edits(x, text) <= budget(len(x))):
                 want[doc].add(item)
-    want[102].add(0)
     for block in (dc.BLOCK_BYTES, 200):
         got = {x["doc_id"]: set(x["item_ids"]) for x in dc.contamination(d, b, block).collect()}
         assert got == dict(want)
@@ -328,6 +341,32 @@ def test_decontamination(spark, docs, none):
     assert dc.contamination(none, b).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [dc.HITS_AT_ONCE, 3000])
+def test_decontamination_of_items_with_one_stem(monkeypatch, at_once):
+    """500 items that begin alike against a text that repeats their beginning: found as by brute force, in the time of a few."""
+    monkeypatch.setattr(dc, "HITS_AT_ONCE", at_once)
+    r = random.Random(6)
+    stem = " ".join(r.choice(WORDS) for _ in range(40))[:98]
+    items = [(i, stem + f" {i * 7919 % 1000:03d}{r.choice('abc')}") for i in range(500)]
+    text = " ".join(stem[:-3] + f"{r.randrange(1000)}{r.choice(WORDS)}" for _ in range(18)) + " " + items[3][1] + "x " + items[499][1][:-2]
+    index, raw = dc.Index(items), np.frombuffer(text.encode(), np.uint8)
+    began, got = time.time(), {}
+    for x in index.search(raw, np.array([0, len(raw)])):
+        got[x[1]] = min(x[4], got.get(x[1], 99))
+    assert time.time() - began < 5 or at_once == 3000
+    assert got[3] == 0
+    for i in range(3, 500, 31):
+        assert got.get(i, 99) == (edits(items[i][1], text) if edits(items[i][1], text) <= budget(len(items[i][1])) else 99)
+
+
+def test_decontamination_of_repetitive_text(monkeypatch):
+    monkeypatch.setattr(dc, "HITS_AT_ONCE", 2000)
+    item, text = "ab" * 30, "ab" * 900 + "c" + "ab" * 25
+    found = dc.Index([(1, item)]).search(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert {x[4] for x in found} >= {0} and all(a[3] <= b[2] or b[3] <= a[2] for a in found for b in found if a is not b)
+    assert sum(x[4] == 0 for x in found) == 900 * 2 // 60
+
+
 def test_decontamination_budget_is_a_tenth():
     """24 substitutions in an item of 250 characters are in its budget, 27 are not."""
     r = random.Random(4)
