@@ -31,8 +31,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Words that the mix takes of each document, and the shards that they go to."""
+    out = mix(table(spark, sf_dir, "documents"))
+    shards = F.concat_ws(";", F.transform("pieces", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["pass"].cast("string"), x["start"].cast("string"), x["words"].cast("string"))))
+    return out.select("doc_id", "size", "source_size", "target", "taken", shards.alias("pieces"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +91,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+#: A level of the splitting tree over 16 shards.
+_LEVEL = """n{now} AS (
+  SELECT source, name, pos, CASE WHEN drawn <= share THEN lo ELSE lo + (hi - lo) // 2 END AS lo, CASE WHEN drawn <= share THEN lo + (hi - lo) // 2 ELSE hi END AS hi FROM (
+    SELECT *, row_number() OVER (PARTITION BY lo, hi ORDER BY md5('17:' || lo || ':' || hi || ':' || name || ':' || pos), source, pos) AS drawn,
+      floor(count(*) OVER (PARTITION BY lo, hi) * ((hi - lo) // 2) / (hi - lo)::DOUBLE + ('0x' || substr(md5('17:' || lo || ':' || hi), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) AS share FROM n{was})),
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": """
 WITH RECURSIVE words AS (
@@ -128,13 +137,30 @@ fill(source, source_size, most, weight, target, step) AS (
       (sum(source_size) OVER () * 1.5::DOUBLE - sum(CASE WHEN step > 0 AND target >= most THEN most ELSE 0 END) OVER ())
         * weight / sum(CASE WHEN step > 0 AND target >= most THEN 0 ELSE weight END) OVER () END, step + 1
   FROM fill WHERE step < 60),
-t AS (SELECT source, source_size, least(target, most) AS target FROM fill WHERE step = 60),
+t AS (
+  SELECT source, source_size, least(target, most) AS target, floor(least(target, most) + 0.5)::BIGINT AS quota, coalesce('=' || source, '~') AS name,
+    greatest(1, ceil(sum(floor(least(target, most) + 0.5)::BIGINT) OVER () / 4096.0))::BIGINT AS block FROM fill WHERE step = 60),
+i AS (SELECT *, unnest(range(0, greatest(1, ceil(source_size / block::DOUBLE))::BIGINT)) AS i FROM t),
+p AS (SELECT *, least(block, source_size - i * block) AS words, unnest(range(0, greatest(1, ceil(quota / greatest(source_size, 1)::DOUBLE))::BIGINT)) AS pass FROM i),
+k AS (SELECT *, md5('17:block:' || name || ':' || pass || ':' || i) AS key FROM p),
 o AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS quota,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('17:' || d.doc_id), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(pos + size, quota) - pos) + greatest(0, least(pos + source_size + size, quota) - (pos + source_size)))::BIGINT AS taken FROM o
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY pass, key, i) - 1 AS pos,
+    coalesce(sum(words) OVER (PARTITION BY source ORDER BY pass, key, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM k),
+b AS (SELECT source, name, i, pass, pos, block, least(words, quota - before) AS take FROM o WHERE least(words, quota - before) > 0),
+n0 AS (SELECT source, name, pos, 0 AS lo, 16 AS hi FROM b),
+"""
+    + "".join(_LEVEL.format(now=i + 1, was=i) for i in range(4))
+    + """h AS (SELECT source, lo AS shard, row_number() OVER (PARTITION BY source ORDER BY lo) - 1 AS pos FROM n4),
+q AS (SELECT b.*, h.shard FROM b JOIN h ON h.source IS NOT DISTINCT FROM b.source AND h.pos = b.pos),
+l AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('17:' || d.doc_id), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (
+  SELECT l.doc_id, q.shard, q.pass, greatest(l.at, q.i * q.block) - l.at AS start, least(l.at + l.size, q.i * q.block + q.take) - greatest(l.at, q.i * q.block) AS words
+  FROM l JOIN q ON q.source IS NOT DISTINCT FROM l.source AND l.at < q.i * q.block + q.take AND l.at + l.size > q.i * q.block),
+y AS (SELECT doc_id, sum(words)::BIGINT AS taken, string_agg(shard || ':' || pass || ':' || start || ':' || words, ';' ORDER BY shard, pass, start) AS pieces FROM x GROUP BY doc_id)
+SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(y.taken, 0) AS taken, coalesce(y.pieces, '') AS pieces FROM l LEFT JOIN y USING (doc_id)
 """,
     "op7_preference_formatting": """
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
