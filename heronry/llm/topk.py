@@ -5,7 +5,8 @@ bucket gives each query a lower bound of its k-th score. From it each bucket has
 pairs of query block and bucket in which no product can reach the bound are not formed at all. Inside a
 bucket a query prunes by length (a prefix of the bucket, as it is sorted by length) where the threshold is
 low, or by coordinates (the feasible range of its largest coordinates) where it is high. What is left is
-verified by integer products, so scores and ties are exact.
+verified by integer products, so scores and ties are exact: in floats where those hold them, else in whole
+numbers of any size. A score among the best that a long can't hold is an error.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,13 +27,14 @@ COSINE, FOCUS = 0.75, 3
 
 
 def quantised(vectors: DataFrame, key: str, column: str, scale: int) -> DataFrame:
-    """(id, v, norm): floor(scale * x) of every component as long; rows with a null or non-finite
+    """(id, v, norm): floor(scale * x) of every component, a whole number as double; rows with a null or non-finite
     component, or a null or empty vector or id, take no part."""
     x = F.transform(F.col(column), lambda c: c.cast("double"))
     rows = vectors.select(F.col(key).cast("long").alias("id"), x.alias("x")).where("id is not null and x is not null and size(x) > 0")
     rows = rows.where(~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))))
-    rows = rows.select("id", F.transform("x", lambda c: F.floor(c * F.lit(scale)).cast("long")).alias("v"))
-    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))))
+    # rint(y) is y's floor or the number above it; F.floor would end at the largest long.
+    rows = rows.select("id", F.transform("x", lambda c: F.rint(c * F.lit(scale)) - F.when(F.rint(c * F.lit(scale)) > c * F.lit(scale), 1.0).otherwise(0.0)).alias("v"))
+    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))
 
 
 PACKED = "block long, top double, rows int, dim int, ids binary, matrix binary"
@@ -48,7 +50,7 @@ def _packer(size: int):
         def block(rows: list) -> pa.RecordBatch:
             nonlocal count
             dim = max(len(v) for _, _, v in rows)
-            matrix = np.zeros((len(rows), dim), np.int64)
+            matrix = np.zeros((len(rows), dim))
             for i, (_, _, v) in enumerate(rows):
                 matrix[i, : len(v)] = v
             small = np.abs(matrix).max(initial=0) < 1 << 15
@@ -60,7 +62,7 @@ def _packer(size: int):
                     "rows": pa.array([len(rows)], pa.int32()),
                     "dim": pa.array([dim], pa.int32()),
                     "ids": pa.array([np.array([i for _, i, _ in rows], np.int64).tobytes()], pa.binary()),
-                    "matrix": pa.array([matrix.astype(np.int16 if small else np.int64).tobytes()], pa.binary()),
+                    "matrix": pa.array([matrix.astype(np.int16 if small else np.float64).tobytes()], pa.binary()),
                 }
             )
 
@@ -84,21 +86,21 @@ def packed(rows: DataFrame, size: int, count: int) -> DataFrame:
 
 def unpacked(ids: bytes, matrix: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids) // 8
-    kind = np.int16 if len(matrix) == 2 * n * dim else np.int64
-    return np.frombuffer(ids, np.int64), np.frombuffer(matrix, kind).reshape(n, dim).astype(np.int64)
+    kind = np.int16 if len(matrix) == 2 * n * dim else np.float64
+    return np.frombuffer(ids, np.int64), np.frombuffer(matrix, kind).reshape(n, dim).astype(np.float64)
 
 
-def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact integer products; through floats where those are exact."""
-    bound = float(np.abs(rows).max(initial=0)) * float(np.abs(query).max(initial=0)) * len(query)
-    if bound < 2.0**53:
-        return (rows.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    return rows @ query
+def products(rows: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
+    """Integer products; exact says that floats hold them, sums on the way included."""
+    if exact:
+        return (rows @ query).astype(np.int64)
+    own = np.array([int(x) for x in query], object)
+    return np.array([sum(int(a) * b for a, b in zip(row, own, strict=True)) for row in rows], object)
 
 
-def bucket_search(q: np.ndarray, own: int, bound: float, ids: np.ndarray, m: np.ndarray, real: np.ndarray, norm: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_search(q: np.ndarray, own: int, bound: float, ids: np.ndarray, real: np.ndarray, exact: bool, norm: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of the bucket's best k for one query among those that can reach the bound."""
-    length = float(np.sqrt((q.astype(np.float64) ** 2).sum()))
+    length = float(np.sqrt((q**2).sum()))
     upto = len(ids)
     pick = None
     if np.isfinite(bound) and length > 0 and bound > 0:
@@ -125,16 +127,18 @@ def bucket_search(q: np.ndarray, own: int, bound: float, ids: np.ndarray, m: np.
     found = ids[:upto] if pick is None else ids[pick]
     if not len(found):
         return ids[:0], ids[:0]
-    exact = rows.dtype == np.float64
-    score = (rows @ q.astype(np.float64)).astype(np.int64) if exact else products(m[:upto] if pick is None else m[pick], q)
-    good = (found != own) & (score >= bound) if np.isfinite(bound) else found != own
+    score = products(rows, q, exact)
+    good = (found != own) & (score >= bound).astype(bool) if np.isfinite(bound) else found != own
     found, score = found[good], score[good]
-    if len(found) > k:
+    if len(found) > k and exact:
         least = np.partition(score, len(score) - k)[len(score) - k]
         good = score >= least
         found, score = found[good], score[good]
-    best = np.lexsort((found, -score))[:k]
-    return found[best], score[best]
+    best = np.lexsort((found, -score))[:k] if exact else np.array(sorted(range(len(found)), key=lambda i: (-score[i], found[i]))[:k], np.int64)
+    found, score = found[best], score[best]
+    if not exact and any(abs(x) >= 1 << 63 for x in score):
+        raise ValueError(f"the score of query {own} with vector {found[np.argmax(np.abs(score))]} exceeds a long")
+    return found, score.astype(np.int64)
 
 
 FOUND = "query_id long, vec_id long, score long"
@@ -150,13 +154,13 @@ def _search(k: int, bounds_only: bool):
                 dim = max(row["qdim"], row["dim"])
                 queries = np.pad(queries, ((0, 0), (0, dim - queries.shape[1])))
                 m = np.pad(m, ((0, 0), (0, dim - m.shape[1])))
-                norm = np.sqrt((m.astype(np.float64) ** 2).sum(1))
+                norm = np.sqrt((m**2).sum(1))
                 exact = float(np.abs(m).max(initial=0)) * float(np.abs(queries).max(initial=0)) * dim < 2.0**53
-                real = m.astype(np.float64) if exact else m
                 bounds = np.frombuffer(row["bounds"], np.float64) if row["bounds"] is not None else np.full(len(qids), -np.inf)
-                found = [bucket_search(q, int(own), b, ids, m, real, np.maximum(norm, 1e-300), k) for q, own, b in zip(queries, qids, bounds, strict=True)]
+                found = [bucket_search(q, int(own), b, ids, m, exact, np.maximum(norm, 1e-300), k) for q, own, b in zip(queries, qids, bounds, strict=True)]
                 if bounds_only:
                     kth = np.array([s[k - 1] if len(s) >= k else -np.inf for _, s in found], np.float64)
+                    kth = np.where(np.abs(kth) < 2.0**53, kth, np.nextafter(kth, -np.inf))  # it was rounded
                     yield pa.RecordBatch.from_pydict({"qblock": pa.array([row["qblock"]], pa.int64()), "bounds": pa.array([kth.tobytes()], pa.binary()), "least": [float(kth.min())]})
                 else:
                     yield pa.RecordBatch.from_pydict(
@@ -170,27 +174,37 @@ def _search(k: int, bounds_only: bool):
     return run
 
 
+def level(length: Column) -> Column:
+    """Sixteen levels to a doubling of the length; zero has the lowest."""
+    return F.when(length > 0, F.floor(F.log2(length) * 16)).otherwise(F.lit(-20_000)).cast("int")
+
+
 def top_k(vectors: DataFrame, every: int, k: int = 20, scale: int = 64, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """Queries are the rows whose id is divisible by `every`, candidates all rows with another id ->
     (query_id, rank int, vec_id, score), k rows per query or as many as there are; ties go to the smaller id.
 
     Vectors of unequal length are padded with zeros. An empty table gives an empty result; rows that repeat
-    an id are candidates each, but not for that id's queries."""
+    an id are candidates each, but not for that id's query, which is the least of their vectors."""
     rows = written(quantised(vectors, key, column, scale), "vectors")
     count = rows.count()
-    candidates = written(packed(rows, BUCKET_ROWS, count), "buckets")
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0)
+    candidates = written(packed(rows, BUCKET_ROWS, count).withColumn("level", level(F.col("top"))), "buckets")
+    asked = rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min(F.struct("v", "norm")).alias("x")).select("id", "x.v", "x.norm")
     queries = packed(asked, QUERY_ROWS, count // every + 1)
     queries = written(queries.select(F.col("block").alias("qblock"), F.col("top").alias("qtop"), F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"), F.col("dim").alias("qdim")), "queries")
     longest = candidates.orderBy(F.col("top").desc(), "block").limit(1).select("ids", "matrix", "dim")
     first = queries.crossJoin(F.broadcast(longest)).withColumn("bounds", F.lit(None).cast("binary"))  # one bucket of BUCKET_ROWS
     bounds = written(first.mapInArrow(_search(k, True), BOUNDS), "bounds")
     asked_blocks = queries.join(bounds, "qblock")
-    # Blocks of queries against buckets, by their lengths and bounds alone; then the vectors of the pairs left.
-    buckets = candidates.select("block", "top")
-    listed = buckets.groupBy().agg(F.collect_list(F.struct("block", "top")).alias("buckets"))
-    pairs = asked_blocks.select("qblock", "qtop", "least").crossJoin(listed).select("qblock", "qtop", "least", F.explode("buckets").alias("b"))
-    pairs = pairs.where(F.col("qtop") * F.col("b.top") * (1 + 1e-9) >= F.col("least")).select("qblock", F.col("b.block").alias("block"))
+    # Blocks of queries meet buckets by levels of length, from the least that can reach the bound to the highest;
+    # then the vectors of the pairs left.
+    ends = candidates.agg(F.min("level").alias("low"), F.max("level").alias("high")).first()
+    if ends["low"] is None:
+        return first.mapInArrow(_search(k, False), FOUND).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
+    reach = F.when((F.col("least") > 0) & (F.col("qtop") > 0), level(F.col("least") / F.col("qtop")) - 1)
+    lowest = F.least(F.lit(ends["high"]), F.greatest(F.lit(ends["low"]), F.coalesce(reach, F.lit(ends["low"]))))
+    wanted = asked_blocks.select("qblock", "qtop", "least", F.explode(F.sequence(lowest, F.lit(ends["high"]))).alias("level"))
+    pairs = wanted.join(candidates.select("block", "top", "level"), "level")
+    pairs = pairs.where(F.col("qtop") * F.col("top") * (1 + 1e-9) >= F.col("least")).select("qblock", "block")
     work = pairs.join(asked_blocks, "qblock").join(candidates.select("block", "ids", "matrix", "dim"), "block")
     found = work.repartition(F.col("qblock"), F.col("block")).mapInArrow(_search(k, False), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -152,6 +152,20 @@ def test_top_k(spark, rows, monkeypatch):
     assert dict(got) == {k: x for k, x in want.items() if x}
 
 
+def test_top_k_of_large_numbers_and_repeated_ids(spark):
+    """Products over 2**53 are exact, lengths differ, a repeated query id has one list, a score beyond a long is an error."""
+    big = [(0, [2e7, 1.0]), (1, [2e7, 1.0 + 1 / 64]), (2, [2e7, 1.0]), (3, [-2e7, 5.0]), (4, [2e7]), (5, []), (6, [0.0, 0.0])]
+    d = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in tk.top_k(d, 20, 9).orderBy("rank").collect()]
+    q = {i: [math.floor(64 * x) for x in v] + [0] * (2 - len(v)) for i, v in big if v}
+    assert got == [(j, -s) for s, j in sorted((-sum(a * b for a, b in zip(q[0], q[j], strict=True)), j) for j in q if j)]
+    twice = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 1.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in tk.top_k(twice, 20, 9).orderBy("rank").collect()] == [(2, 8192), (2, 8192), (1, 4096)]
+    over = spark.createDataFrame([(0, [1e18, 1e18]), (1, [1e18, 1e18])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="exceeds a long"):
+        tk.top_k(over, 20, 9).collect()
+
+
 def test_mix(docs, none):
     rows = docs.collect()
     a = mx.mix(docs).collect()
@@ -317,6 +331,43 @@ def test_classifier_gradients():
         assert (up - down) / (2 * step) == pytest.approx(float(g[at]), rel=0.15, abs=2e-4)
 
 
+def plain_score(model, raw):
+    """The network once more, window by window."""
+    first = [i for i in range(0, len(raw) + cl.WIDTH, cl.BLOCK_BYTES)] if raw else []
+    text = lambda i: raw[i] if 0 <= i < len(raw) else 0
+    window = lambda i: bytes(text(i + j) for j in range(cl.WIDTH))
+    total = len(first) * cl.BLOCK
+    again = [any(window(i * cl.STRIDE) == window(i * cl.STRIDE - lag) for lag in cl.LAGS) and any(window(i * cl.STRIDE)) for i in range(total + 3)]
+    chunks, blocks = [], []
+    for b in range(len(first)):
+        acts = []
+        for w in range(b * cl.BLOCK, (b + 1) * cl.BLOCK):
+            if w == total - 1:
+                continue
+            x = [v for byte in window(w * cl.STRIDE) for v in model.embed[byte]] + [cl.EXTRA_SIZE * again[w], cl.EXTRA_SIZE * (w < total - 3 and all(again[w : w + 4]))]
+            acts.append(np.array(x, np.float64) @ model.filters.astype(np.float64))
+        blocks.append(np.maximum(np.max(acts, 0) + model.bias, 0))
+    if len(blocks) <= cl.CHUNK:
+        chunks = [np.max(blocks, 0)] if blocks else []
+    else:
+        at = 0
+        while at == 0 or at + cl.CHUNK - cl.STEP < len(blocks):
+            chunks.append(np.max(blocks[at : at + cl.CHUNK], 0))
+            at += cl.STEP
+    feats = np.concatenate([np.mean(chunks, 0), np.max(chunks, 0)]) if chunks else np.zeros(2 * cl.FILTERS)
+    return 1 / (1 + math.exp(-float(feats @ model.out + model.out_bias[0])))
+
+
+def test_classifier_scores_like_a_plain_pass(monkeypatch):
+    monkeypatch.setattr(cl, "SLICE", 3)
+    r, model = np.random.default_rng(3), cl.fresh_model(2)
+    model.bias += r.normal(0, 0.2, cl.FILTERS).astype(np.float32)
+    model.out += r.normal(0, 0.5, 2 * cl.FILTERS).astype(np.float32)
+    texts = [b"", b"a", b"word word word word again and again " * 8, bytes(r.integers(32, 255, 2600).astype(np.uint8)), b"ab " * 400, b"x" * 256, b"y" * 249, "é über ".encode() * 300]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    assert cl.scores(model, data, off).tolist() == pytest.approx([plain_score(model, x) for x in texts], abs=1e-4)
+
+
 def test_classifier(spark, docs, none):
     r = random.Random(5)
     say = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
@@ -335,6 +386,10 @@ def test_classifier(spark, docs, none):
     other = labels.withColumn("quality", F.when(cl.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
     assert all((a == b).all() for a, b in zip(model.parts(), cl.trained(d, other).parts(), strict=True))
     assert cl.scored(none, cl.trained(none, labels)).count() == 0 and cl.scored(docs, model).count() == docs.count()
+    clash = cl.scored(d.select("doc_id", "text", F.lit(1).alias("score"), F.lit(2).alias("in_score"), F.lit(3).alias("Predicted")), model)
+    assert len({c.lower() for c in clash.columns}) == 7 and clash.columns[:2] == ["doc_id", "text"] and clash.columns[-2:] == ["score", "predicted"]
+    twice = cl.trained(d.unionByName(d.withColumn("text", F.concat("text", F.lit("~")))), labels)
+    assert all((a == b).all() for a, b in zip(model.parts(), twice.parts(), strict=True))
 
 
 def edits(item, text):
