@@ -1,11 +1,15 @@
 """Operator 4: main text of web pages by two passes of block rules.
 
-Markup is read into blocks: runs of text between block-level tags, each with its words, the share of its
+Markup is read into blocks: runs of text between block-level tags, each with its length, the share of its
 characters in links, the share of stop words, and the containers it is in. Pass one decides what the rules
-can: blocks in menus, footers, adverts, forms and the like, and blocks made of links, are bad; long blocks
-with enough stop words are good. Pass two gives the rest, short or in doubt, the label of the nearest
-decided neighbours; inside an article element its edges count as good neighbours, elsewhere the page's
-edges count as bad ones.
+can: blocks made of links are bad, long blocks with enough stop words are good. On a page of a language
+whose stop words aren't known, length and links decide. Pass two gives the rest, short or in doubt, the label
+of the nearest decided neighbours.
+
+Containers set the ends of that search. Menus, footers, asides and the like, by element or by a name that a
+container bears, are bad. An article element's edges count as good neighbours and what is outside of it is
+bad, unless more good text stands outside than the article has in all (a teaser); without one the page's edges
+are bad neighbours.
 """
 
 from __future__ import annotations
@@ -19,45 +23,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Element names.
-SKIPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "select", "textarea", "button", "audio", "video")
+# Element names. The text of the first is never read; those of the second are left out of a block.
+RAW = frozenset("script style noscript title textarea iframe noembed noframes xmp".split())
+LEFT_OUT = frozenset("svg template object canvas select datalist button audio video".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
+    "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BAD_CONTAINERS = frozenset("nav footer aside form menu dialog fieldset".split())
+BAD_CONTAINERS = frozenset("nav footer aside menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold a block's text themselves: for these only a whole class or role counts as a name.
+TEXT_BLOCKS = HEADINGS | frozenset("p li pre blockquote td th dd dt figcaption caption summary".split())
 #: Closed by the start of a block, as their end tags may be left out.
-IMPLIED = {"li": ("li",), "p": ("p",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",)}
-# Words in class, id and role that name what isn't the article.
+IMPLIED = {"li": ("li", "p"), "p": ("p",), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "tr": ("tr", "td", "th", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p"), "option": ("option",)}
+# Words in class, id and role of what isn't the article.
 BAD_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "sidebar sidebars side widget widgets footer masthead topbar toolbar header cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
-    "signup login comment comments commentlist respond disqus replies reader-comments share sharing social related recommended pagination pager copyright complementary "
-    "contentinfo search form skip tags".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs "
+    "sidebar sidebars widget widgets footer masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
+    "signup login comment comments commentlist respond disqus replies share sharing social related recommended pagination pager copyright complementary "
+    "contentinfo".split()
 )
-GOOD_NAMES = frozenset("article post entry content main story body text".split())
-# Frequent function words of the languages in use.
+# Frequent function words of some languages.
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has have he her his i in is it its not of on or she that the their they this to was we were which will with you "
     "au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour qu que qui sa se ses son sur un une vous "
     "aber als am auch auf aus bei bin bis das dass dem den der des die durch ein eine einem einen einer er es für hat ich ihr im in ist mit nach nicht noch nur "
     "oder sich sie sind so über um und von vor war was wie wir zu zum zur "
-    "al como con cuando del el ella en entre era es esta este ha hay la las lo los más me mi muy no nos o para pero por que se si sin sobre su sus también un una y ya".split()
+    "al como con cuando del el ella en entre era es esta este ha hay la las lo los más me mi muy no nos o para pero por que se si sin sobre su sus también un una y ya "
+    "alla anche che ci come da dal della delle di e gli ho il nel non più questo sono una "
+    "ao com da das do dos e em foi mais mas na não os pela uma "
+    "aan dat een het hij ik maar met niet ook te van voor wat zijn".split()
 )
 LINKS, STOPS_HIGH, STOPS_LOW, SHORT, LONG = 0.33, 0.30, 0.15, 70, 200
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<skip>" + "|".join(SKIPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=skip)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
-    re.S | re.I,
-)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTED = re.compile(r"=\s*([\"'])")
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPLIT = re.compile(r"[\s_]+|-")
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W\d_]+")
+WIDE = re.compile("[⺀-\U0010ffff]")
 
 
 @dataclass
@@ -67,124 +74,204 @@ class Block:
     bad: bool
     article: int
     heading: bool
+    form: int
 
-    def label(self) -> str:
-        """Pass one: good, bad, or short and near (open)."""
-        n = len(self.text)
-        if self.bad:
-            return "bad"
-        density = self.linked / n if n else 0.0
-        if density > LINKS and not (self.heading and self.article):
-            return "bad"
-        if "\xa9" in self.text[:8] and not self.article:
-            return "bad"
-        if n < SHORT or self.heading:
-            return "short"
-        words = [w.lower() for w in WORD.findall(self.text)]
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if stops >= STOPS_HIGH:
-            return "good" if n >= LONG or self.article else "near"
-        return "near" if stops >= STOPS_LOW or self.article else "bad"
-
-
-def names_of(rest: str) -> set[str]:
-    out = set()
-    for m in NAMES.finditer(rest):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        out.update(value.split())
-        out.update(x for x in SPLIT.split(value) if x)
-    return out
+    def measured(self) -> None:
+        """Length, an ideograph as three characters, and the shares of links and stop words."""
+        wide = 0 if self.text.isascii() else len(WIDE.findall(self.text))
+        self.size = len(self.text) + 2 * wide
+        self.links = self.linked / len(self.text)
+        words = [w.lower() for w in WORD.findall(self.text)] if self.size >= SHORT else []
+        self.stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """('', text, ''), ('<', name, attributes) and ('/', name, ''). A quote ends a value only after an equals sign; one
+    that is never closed is none. What is cut off at the page's end is a tag, not text. Elements of LEFT_OUT that
+    aren't closed any more are marked as empty."""
+    at, n, last_close = 0, len(page), {}
+    none_from = {'"': n, "'": n}
+
+    def tag_end(pos: int) -> int:
+        while True:
+            end = page.find(">", pos)
+            if end < 0:
+                return n
+            m = QUOTED.search(page, pos, end)
+            if not m:
+                return end
+            close = page.find(m[1], m.end()) if m.end() < none_from[m[1]] else -1
+            if close < 0:
+                none_from[m[1]] = min(none_from[m[1]], m.end())
+                return end
+            pos = close + 1
+
+    while at < n:
+        lt = page.find("<", at)
+        if lt != at:
+            yield "", page[at : lt if lt >= 0 else n], ""
+        if lt < 0:
+            return
+        m = NAME.match(page, lt + 1)
+        if m:
+            name, end = m[0].lower(), tag_end(m.end())
+            at = end + 1
+            rest = page[m.end() : end]
+            if name in LEFT_OUT and name not in last_close:
+                last_close[name] = page.lower().rfind("</" + name)
+            yield "<", name, "/" if at > last_close.get(name, n) else rest
+            if name in RAW:
+                close = re.compile(f"</{name}(?![a-z0-9])", re.I).search(page, at)
+                if close:
+                    at = close.start()
+                elif name in ("script", "style"):
+                    return
+        elif page.startswith("<!--", lt):
+            end = page.find("-->", lt + 2)
+            at = n if end < 0 else end + 3
+        elif page.startswith("</", lt) and NAME.match(page, lt + 2):
+            end = page.find(">", lt)
+            at = n if end < 0 else end + 1
+            yield "/", NAME.match(page, lt + 2)[0].lower(), ""
+        elif page[lt + 1 : lt + 2] in ("!", "?", "/"):
+            end = page.find(">", lt)
+            at = n if end < 0 else end + 1
+        else:
+            yield "", "<", ""
+            at = lt + 1
+
+
+def named_bad(name: str, attributes: dict[str, str]) -> bool:
+    """Whether an element is hidden or bears a name of what isn't the article."""
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or HIDDEN_STYLE.search(attributes.get("style", "")):
+        return True
+    if name in ("article", "main", "body", "html"):
+        return False
+    said = set((attributes.get("class", "") + " " + attributes.get("role", "")).lower().split())
+    if name not in TEXT_BLOCKS:
+        said |= set(attributes.get("id", "").lower().split())
+        said |= {part for word in said for part in SPLIT.split(word)}
+    return bool(said & BAD_NAMES)
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in its order. Tags may be unclosed, crossed or cut off."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, bad, article number
+    stack: list[tuple[str, bool, int, int, bool]] = []  # name, bad, article, form, whether its text is left out
+    open_names: dict[str, int] = {}
     parts: list[str] = []
-    linked, links, articles, at = 0, 0, 0, 0
+    linked, links, articles, forms = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
-        if parts:
-            text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
-            if text:
-                bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                out.append(Block(text, min(linked, len(text)), bad, article, any(s[0] in HEADINGS for s in stack[-3:])))
-            parts.clear()
+        text = SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
+        if text:
+            _, bad, article, form, _ = stack[-1] if stack else ("", False, 0, 0, False)
+            out.append(Block(text, min(linked, len(text)), bad, article, any(s[0] in HEADINGS for s in stack[-3:]), form))
+        parts.clear()
         linked = 0
 
-    def put(text: str) -> None:
-        nonlocal linked
-        if text:
-            parts.append(text)
-            if links:
-                linked += len(text.strip())
-
-    for m in TOKEN.finditer(page):
-        put(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if name is None:
-            if m["skip"]:
-                put(" ")
-            continue
-        name = name.lower()
-        if name == "br":
-            put(" ")
+    def pop(name: str) -> None:
+        while True:
+            last = stack.pop()[0]
+            open_names[last] -= 1
+            if last == name:
+                return
+
+    for kind, name, rest in tokens(page):
+        silent = bool(stack) and stack[-1][4]
+        if not kind:
+            if not silent:
+                parts.append(name)
+                if links:
+                    linked += len(name.strip())
+        elif name == "br" or name in RAW:
+            parts.append(" ")
         elif name == "a":
-            links = 0 if m["close"] else 1
-        elif name in BLOCKS:
-            flush()
-            links = 0
-            if m["close"]:
-                if any(s[0] == name for s in stack):
-                    while stack.pop()[0] != name:
-                        pass
-            elif name not in VOID:
-                ends = IMPLIED.get(name, ("p",) if name != "p" else ())
-                if stack and stack[-1][0] in ends:
-                    stack.pop()
-                bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                if name in ("article", "main"):
-                    if not article and not bad:
-                        articles += 1
-                        article = articles
-                said = names_of(m["rest"]) if m["rest"].strip() else set()
-                named_bad = bool(said & BAD_NAMES) and not (name in ("article", "main", "body", "html") or (said & GOOD_NAMES and not article))
-                header = name == "header" and not article
-                stack.append((name, bad or name in BAD_CONTAINERS or header or named_bad or bool(m["rest"].strip() and HIDDEN.search(m["rest"])), article))
-    put(page[at:])
+            links = int(kind == "<")
+        elif name in BLOCKS or name in LEFT_OUT:
+            if name in LEFT_OUT:
+                parts.append(" ")
+            elif not silent or (kind == "/" and open_names.get(name)):
+                flush()
+                links = 0
+            if kind == "/":
+                if open_names.get(name):
+                    pop(name)
+            elif name not in VOID and not (name in LEFT_OUT and rest.endswith("/")):
+                ends = IMPLIED.get(name, ("p",) if name in BLOCKS else ())
+                while stack and stack[-1][0] in ends:
+                    pop(stack[-1][0])
+                _, bad, article, form, _ = stack[-1] if stack else ("", False, 0, 0, False)
+                attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if rest.strip() else {}
+                bad = bad or name in BAD_CONTAINERS or (name == "header" and not article) or named_bad(name, attributes)
+                if name in ("article", "main") and not article and not bad:
+                    articles += 1
+                    article = articles
+                if name in ("form", "fieldset") and not form:
+                    forms += 1
+                    form = forms
+                stack.append((name, bad, article, form, silent or name in LEFT_OUT))
+                open_names[name] = open_names.get(name, 0) + 1
     flush()
     return out
 
 
+def labelled(found: list[Block]) -> list[str]:
+    """Pass one: good, bad, near (in doubt) or short, for each block."""
+    total = sum(len(b.text) for b in found if not b.bad)
+    held: dict[int, int] = {}
+    for b in found:
+        b.measured()
+        if b.form and not b.bad:
+            held[b.form] = held.get(b.form, 0) + len(b.text)
+    for b in found:  # a form is none of the article's, unless the page is in it
+        b.bad = b.bad or (b.form > 0 and 2 * held.get(b.form, 0) <= total)
+    known = [b.stops >= STOPS_LOW for b in found if not b.bad and b.links <= LINKS and b.size >= LONG]
+    foreign = bool(known) and not any(known)
+    inside = sum(b.size for b in found if b.article and not b.bad and b.links <= LINKS)
+    outside = sum(b.size for b in found if not b.article and not b.bad and b.links <= LINKS and b.size >= LONG and (foreign or b.stops >= STOPS_HIGH))
+    articles = inside and inside >= outside
+    out = []
+    for b in found:
+        if not articles:
+            b.article = 0
+        if b.bad or (articles and not b.article) or (b.links > LINKS and not (b.heading and b.article)) or ("\xa9" in b.text[:8] and not b.article):
+            out.append("bad")
+        elif b.size < SHORT or b.heading:
+            out.append("short")
+        elif foreign or b.stops >= STOPS_HIGH:
+            out.append("good" if b.size >= LONG or b.article else "near")
+        else:
+            out.append("near" if b.stops >= STOPS_LOW or b.article else "bad")
+    return out
+
+
 def classified(found: list[Block]) -> list[bool]:
-    """Pass two: whether each block belongs to the main text."""
-    labels = [b.label() for b in found]
-    if any(b.article for b in found):  # with an article on the page, what is outside isn't it
-        labels = [x if b.article else "bad" for x, b in zip(labels, found, strict=True)]
-    out = [x == "good" for x in labels]
-    edges: dict[int, tuple[int, int]] = {}
-    for i, b in enumerate(found):
-        if b.article:
-            edges[b.article] = (edges.get(b.article, (i, i))[0], i)
-
-    def neighbour(i: int, step: int) -> str:
-        first, last = edges.get(found[i].article, (0, len(found) - 1))
-        j = i + step
-        while first <= j <= last:
-            if labels[j] in ("good", "bad") and not (found[j].bad and found[i].article):
-                return labels[j]
-            j += step
-        return "good" if found[i].article else "bad"
+    """Pass two: whether each block belongs to the main text. What is bad by its container inside an article isn't
+    the neighbour of the article's blocks. One sweep from the left and one from the right."""
+    labels = labelled(found)
+
+    def swept(order: range) -> list[str]:
+        out, scope, last = [""] * len(found), -1, "bad"
+        for i in order:
+            b = found[i]
+            if b.article != scope:
+                scope, last = b.article, "good" if b.article else "bad"
+            out[i] = last
+            if labels[i] in ("good", "bad") and not (b.bad and b.article):
+                last = labels[i]
+        return out
 
+    left, right = swept(range(len(found))), swept(range(len(found) - 1, -1, -1))
+    out = []
     for i, x in enumerate(labels):
-        if x in ("short", "near"):
-            sides = {neighbour(i, -1), neighbour(i, 1)}
-            if len(sides) == 1:
-                out[i] = sides == {"good"}
-            else:  # between a good and a bad one: a heading goes with what follows, else only doubtful blocks stay
-                out[i] = neighbour(i, 1) == "good" if found[i].heading else x == "near"
+        if x in ("good", "bad"):
+            out.append(x == "good")
+        elif left[i] == right[i]:
+            out.append(left[i] == "good")
+        else:  # between a good and a bad one: a heading goes with what follows, else only doubtful blocks stay
+            out.append(right[i] == "good" if found[i].heading else x == "near")
     return out
 
 

@@ -4,9 +4,11 @@ columns whose names clash with the operators' own."""
 import hashlib
 import math
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -299,6 +301,164 @@ def test_html():
         assert isinstance(ht.main_text(odd), str)
 
 
+LONG = "This is the text of the page and it is long enough for the rules that we have. " * 4
+MID = "It was one of the parts that they have in the page, and it is there for you to read."
+ODD_PAGES = {
+    "head isn't closed": (f"<head><title>T</title><p>{LONG}<p>{LONG}", [LONG, LONG]),
+    "no head, no body": (f"<title>T</title>{LONG}", [LONG]),
+    "svg closes itself": (f"<article><p>{MID} <svg viewBox='0 0 1 1'/> {MID}</p><p>{MID}</p></article>", [MID + " " + MID, MID]),
+    "svg with text": (f"<article><p>{MID} <svg><text>icon</text></svg> {MID}</p></article>", [MID + " " + MID]),
+    "svg isn't closed": (f"<article><p>{MID}<svg><p>{MID}</p></article>", [MID, MID]),
+    "math": (f"<article><p>{MID} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {MID}</p></article>", [MID + " x=2 " + MID]),
+    "hidden as a value": (f'<article><p data-x="hidden">{MID}</p><p title="not hidden">{MID}</p><p hidden>{MID} no</p></article>', [MID, MID]),
+    "a form around the page": (f"<form id=main><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><input type=hidden value=1></form>", ["Title", LONG, LONG]),
+    "a form in the page": (f"<p>{LONG}</p><form>Your name <input> and {MID}</form><p>{LONG}</p>", [LONG, LONG]),
+    "words of names": (f'<article><p id="notice-1">{MID}</p><section class="side"><p>{MID}</p></section><div class="search-results"><p>{MID}</p></div></article>', [MID, MID, MID]),
+    "names of containers": (f'<article><p>{MID}</p><div class="cookie-notice"><p>{MID} a</p></div><section id=comments>{MID} b</section><p class="ad">{MID} c</p></article>', [MID]),
+    "Italian": ("<body><nav><a href=/>Prima</a> <a href=/>Seconda</a></nav><p>" + "Quando arrivammo davanti alla casa vecchia nessuno aveva ancora acceso luci. " * 5 + "</p>", ["Quando arrivammo davanti alla casa vecchia nessuno aveva ancora acceso luci. " * 5]),
+    "Japanese": ("<body><nav><a href=/>一番</a></nav><p>" + "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。" * 6 + "</p>", ["吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。" * 6]),
+    "a teaser": (f"<div><p>{LONG}</p><p>{LONG}</p></div><article><h3>Next</h3><p>{MID}</p></article>", [LONG, LONG, MID]),
+    "two articles": (f"<article><p>{LONG}</p></article><div class=ad>{MID}</div><article><p>{LONG}</p></article>", [LONG, LONG]),
+    "an unclosed quote": (f'<article><p>{MID}</p><a href="x>y</a><p>{MID}</p></article>', [MID, MID]),
+    "references": ("<article><p>1 &lt; 2 &amp;&amp; 3 &gt; 2 &#233;&eacute;&nbsp;&copy; &unknown; &amp;amp;</p></article>", ["1 < 2 && 3 > 2 éé © &unknown; &amp;"]),
+    "stray signs": (f"<article><p>a < b and <3 {MID}</p></article>", [f"a < b and <3 {MID}"]),
+    "a comment with tags": (f"<article><p>{MID}<!-- <p>no</p> > --> and more</p></article>", [MID + " and more"]),
+    "crossed tags": (f"<article><p><b>{MID}<i>x</b></i></p></div></section><p>{MID}</p></article>", [MID + "x", MID]),
+    "cut off": (f"<article><p>{MID}</p><p>end <a href='x", [MID, "end"]),
+    "script with an end tag in a string": (f"<article><p>{MID}</p><script>var s = '<p>no</p>';</script><p>{MID}</p></article>", [MID, MID]),
+    "links": (f"<article><p>{MID}</p><ul><li><a href=/1>The first of the links</a><li><a href=/2>The second of the links</a></ul><p>{MID}</p></article>", [MID, MID]),
+    "a button in a sentence": (f"<article><p>{MID} <button>Press</button> {MID}</p></article>", [MID + " " + MID]),
+    "a button that isn't closed": (f"<article><p>{MID}<button>Press</p><p>{MID}</p></article>", [MID + " Press", MID]),
+    "nothing": ("<nav><a href=/>x</a></nav><footer>&copy; y</footer>", []),
+}
+
+
+@pytest.mark.parametrize("name", ODD_PAGES)
+def test_html_of_odd_pages(name):
+    page, want = ODD_PAGES[name]
+    assert ht.main_text(page).split("\n\n") == ([" ".join(x.split()) for x in want] or [""])
+
+
+class PlainReader(HTMLParser):
+    """Blocks once more, from the library's parser, for pages whose tags are all closed."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.path, self.out, self.text, self.linked, self.numbers = [], [], "", 0, Counter()
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        text = " ".join(self.text.split())
+        if text:
+            held = [x for x in self.path if x["name"] in ("article", "main") and not x["bad"]]
+            form = [x for x in self.path if x["name"] in ("form", "fieldset")]
+            bad = any(x["bad"] for x in self.path)
+            outer = next((x for i, x in enumerate(self.path) if x in held and not any(y["bad"] for y in self.path[:i])), None)
+            self.out.append({"text": text, "links": min(self.linked, len(text)) / len(text), "bad": bad, "article": outer and outer["number"], "form": form and form[0]["number"], "head": any(x["name"] in ht.HEADINGS for x in self.path)})
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        self.end() if tag in ht.BLOCKS else None
+        words = set()
+        for key, value in attrs:
+            for word in (value or "").lower().split():
+                if key in ("class", "role") or (key == "id" and tag not in ht.TEXT_BLOCKS):
+                    words |= {word} | (set() if tag in ht.TEXT_BLOCKS else set(word.replace("_", "-").split("-")))
+        bad = tag in ("nav", "footer", "aside", "menu", "dialog") or ("hidden", None) in attrs or (bool(words & ht.BAD_NAMES) and tag not in ("article", "main", "body", "html"))
+        bad = bad or (tag == "header" and not any(x["name"] in ("article", "main") for x in self.path))
+        self.numbers[0] += 1
+        self.path.append({"name": tag, "bad": bad, "number": self.numbers[0]})
+
+    def handle_endtag(self, tag):
+        self.end() if tag in ht.BLOCKS else None
+        self.path.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        self.linked += len(data.strip()) if any(x["name"] == "a" for x in self.path) else 0
+
+
+def plain_text(page):
+    """The rules once more, each block looking for its neighbours on its own."""
+    found = PlainReader(page).out
+    everything = sum(len(b["text"]) for b in found if not b["bad"])
+    for b in found:
+        b["stops"] = (lambda w: sum(x.lower() in ht.STOP_WORDS for x in w) / len(w) if w else 0)(re.findall(r"[^\W\d_]+", b["text"]))
+    for b in [b for b in found if b["form"]]:
+        if 2 * sum(len(x["text"]) for x in found if x["form"] == b["form"] and not x.get("was", x["bad"])) <= everything:
+            b["was"], b["bad"] = b["bad"], True
+    free = [b for b in found if not b["bad"] and b["links"] <= 0.33]
+    long = [b for b in free if len(b["text"]) >= 200]
+    foreign = bool(long) and all(b["stops"] < 0.15 for b in long)
+    inside = sum(len(b["text"]) for b in free if b["article"])
+    use = inside and inside >= sum(len(b["text"]) for b in long if not b["article"] and (foreign or b["stops"] >= 0.3))
+
+    def label(b):
+        art = use and b["article"]
+        if b["bad"] or (use and not b["article"]) or (b["links"] > 0.33 and not (b["head"] and art)):
+            return "bad"
+        if len(b["text"]) < 70 or b["head"]:
+            return "short"
+        if foreign or b["stops"] >= 0.3:
+            return "good" if art or len(b["text"]) >= 200 else "near"
+        return "near" if art or b["stops"] >= 0.15 else "bad"
+
+    def side(i, step):
+        j = i + step
+        while 0 <= j < len(found) and (not use or found[j]["article"] == found[i]["article"]):
+            if label(found[j]) in ("good", "bad") and not (use and found[j]["bad"]):
+                return label(found[j])
+            j += step
+        return "good" if use and found[i]["article"] else "bad"
+
+    out = []
+    for i, b in enumerate(found):
+        kind = label(b)
+        if kind in ("short", "near"):
+            before, after = side(i, -1), side(i, 1)
+            kind = before if before == after else after if b["head"] else "good" if kind == "near" else "bad"
+        if kind == "good":
+            out.append(b["text"])
+    return "\n\n".join(out)
+
+
+def test_html_against_a_plain_version():
+    r = random.Random(12)
+    words = ["the", "of", "and", "is", "it", "that", "heron", "river", "stone", "quick", "blue", "lantern", "walks"]
+
+    def text():
+        stops = r.random() < 0.7
+        return " ".join(r.choice(words if stops else words[6:]) for _ in range(r.choice((2, 6, 15, 60))))
+
+    def part(depth):
+        kind = r.random()
+        if depth and kind < 0.45:
+            tag = r.choice(("div", "section", "article", "main", "nav", "footer", "aside", "header", "form", "fieldset", "ul", "table"))
+            mark = r.choice(("", "", "", ' class="side-ad x"', ' id="content"', " hidden", ' class="post_comments"', ' role="navigation"'))
+            return f"<{tag}{mark}>" + "".join(part(depth - 1) for _ in range(r.randrange(1, 5))) + f"</{tag}>"
+        if kind < 0.6:
+            return f"<h2>{text()}</h2>"
+        if kind < 0.7:
+            return f"<li><a href='/'>{text()}</a> {r.choice(words)}</li>"
+        return f"<p{r.choice(('', '', ' class=ad', ' id=ad'))}>{text()} <a href='/x'>{r.choice(words)}</a></p>"
+
+    kept = 0
+    for _ in range(1500):
+        page = "<html><body>" + "".join(part(3) for _ in range(r.randrange(1, 8))) + "</body></html>"
+        assert ht.main_text(page) == plain_text(page), page
+        kept += bool(plain_text(page))
+    assert 300 < kept < 1450
+
+
+def test_html_takes_time_in_proportion():
+    for part in ("<p>short one</p>", '<a title="x>y', "<p>", "<svg>", "<!-", "<b class='", "<button>x", "<li><ul>"):
+        began = time.process_time()
+        ht.main_text("<article>" + part * 30_000 + "</article>")
+        assert time.process_time() - began < 3, part
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = ht.extracted(df).collect()
