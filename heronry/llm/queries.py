@@ -183,13 +183,15 @@ FROM x
     "op9_lm_scoring": """
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT doc_id, unnest(w) AS w, unnest([NULL] || w[1:len(w) - 1]) AS v FROM w WHERE len(w) > 0),
-u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
-h AS (SELECT v, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v),
-b AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w),
+t AS (SELECT doc_id, unnest(w) AS w, unnest([NULL] || w[1:len(w) - 1]) AS v, unnest([NULL, NULL] || w[1:len(w) - 2]) AS u FROM w WHERE len(w) > 0),
+c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS c, sum(count(*)) OVER (PARTITION BY v) AS h FROM t WHERE v IS NOT NULL GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS c, sum(count(*)) OVER (PARTITION BY u, v) AS h FROM t WHERE u IS NOT NULL GROUP BY u, v, w),
 s AS (
-  SELECT t.doc_id, CASE WHEN b.c >= 2 THEN log10(b.c / h.c) WHEN t.v IS NULL THEN log10(u.c / (SELECT count(*) FROM t)) ELSE log10(0.4::DOUBLE * u.c / (SELECT count(*) FROM t)) END AS x
-  FROM t JOIN u ON u.w = t.w LEFT JOIN h ON h.v = t.v LEFT JOIN b ON b.v = t.v AND b.w = t.w),
+  SELECT t.doc_id, CASE WHEN c3.c > 1 THEN log10((c3.c - 1) / (c3.h - 1))
+    ELSE CASE WHEN t.u IS NULL THEN 0 ELSE log10(0.4::DOUBLE) END + CASE WHEN c2.c > 1 THEN log10((c2.c - 1) / (c2.h - 1))
+    ELSE CASE WHEN t.v IS NULL THEN 0 ELSE log10(0.4::DOUBLE) END + log10(c1.c / (SELECT count(*) FROM t)) END END AS x
+  FROM t JOIN c1 ON c1.w = t.w LEFT JOIN c2 ON c2.v = t.v AND c2.w = t.w LEFT JOIN c3 ON c3.u = t.u AND c3.v = t.v AND c3.w = t.w),
 a AS (SELECT doc_id, count(*) AS n, sum(x) AS x FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(a.n, 0)::BIGINT AS n_words, round(coalesce(a.x, 0), 6) AS log_score, round(a.x / a.n, 6) AS mean_score FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN a USING (doc_id)
 """,

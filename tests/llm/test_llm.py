@@ -717,70 +717,98 @@ def test_suffix_sort_is_a_sort():
         assert near[p] == (same if group[order[p - 1]] == group[order[p]] else 0)
 
 
-def test_lm_scores(docs, none):
-    rows = [(r["doc_id"], words_of(r["text"])) for r in docs.collect()]
-    uni, heads, bi = Counter(), Counter(), Counter()
+def backoff(rows, order=3, own=1):
+    """Brute force: ({doc: score}, {doc: words}) of [(doc, words)]; documents without id are only counted."""
+    grams, heads = Counter(), Counter()
     for _, w in rows:
-        uni.update(w)
-        heads.update(w[:-1])
-        bi.update(zip(w, w[1:], strict=False))
-    total, want, count = sum(uni.values()), defaultdict(float), Counter()
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                grams[tuple(w[i : i + n])] += 1
+                heads[tuple(w[i : i + n])] += i + n < len(w)
+    total, score, count = sum(len(w) for _, w in rows), defaultdict(float), Counter()
     for d, w in rows:
-        if d is None:
-            continue
-        want[d] += 0.0
-        count[d] += len(w)
         for i, x in enumerate(w):
-            if not i:
-                want[d] += math.log10(uni[x] / total)
-            elif bi[w[i - 1], x] >= 2:
-                want[d] += math.log10(bi[w[i - 1], x] / heads[w[i - 1]])
-            else:
-                want[d] += math.log10(0.4 * uni[x] / total)
-    for hot, size in ((lm.HOT, lm.PARTITION_BYTES), (20, 500), (1, 4000)):
-        got = {r["doc_id"]: r for r in lm.scored(docs, hot=hot, partition_bytes=size).collect()}
-        assert {d: r["n_words"] for d, r in got.items()} == {d: count[d] for d in want}
-        assert {d: r["log_score"] for d, r in got.items()} == pytest.approx(dict(want), abs=1e-5)
-        assert all((r["mean_score"] is None) == (not count[d]) for d, r in got.items())
+            history, back = tuple(w[max(0, i - order + 1) : i]), 0.0
+            while history and grams[*history, x] <= own:
+                history, back = history[1:], back + math.log10(0.4)
+            score[d] += back + (math.log10((grams[*history, x] - own) / (heads[history] - own)) if history else math.log10(grams[x,] / total))
+        score[d] += 0.0
+        count[d] += len(w)
+    return {d: x for d, x in score.items() if d is not None}, count
+
+
+def lines(seed, n, hot):
+    """Texts with a frequent word, pair and line."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        w = [r.choice(WORDS[:12] + [f"w{r.randrange(400)}"] * 8) for _ in range(r.randrange(0, 40))]
+        for _ in range(hot):
+            at = r.randrange(len(w) + 1)
+            w[at:at] = r.choice((["all", "of", "this"], ["all", "of"], ["this", "all", "of", "this", "line"], ["all"]))
+        out.append(w)
+    return out
+
+
+@pytest.mark.parametrize(("coded", "bytes_", "order", "own"), [(None, lm.PARTITION_BYTES, 3, 1), (None, 700, 3, 1), (5, 400, 3, 1), (0, 900, 3, 1), (None, 700, 2, 1), (None, 700, 3, 0)])
+def test_lm_scores(spark, docs, coded, bytes_, order, own):
+    for rows in ([(r["doc_id"], words_of(r["text"])) for r in docs.collect()], list(enumerate(lines(4, 150, 4))), list(enumerate(lines(5, 60, 1)))):
+        d = spark.createDataFrame([(i, " ".join(w), 1, "x") for i, w in rows], "doc_id long, text string, n long, word string").repartition(3)
+        want, count = backoff(rows, order, own)
+        got = {r["doc_id"]: r for r in lm.scored(d, order=order, own=own, partition_bytes=bytes_, coded=coded).collect()}
+        assert {i: r["n_words"] for i, r in got.items()} == {i: count[i] for i in want}
+        assert {i: r["log_score"] for i, r in got.items()} == pytest.approx(want, abs=1e-5)
+        assert all((r["mean_score"] is None) == (not count[i]) for i, r in got.items())
+
+
+def test_lm_of_nothing(none, spark):
     assert lm.scored(none).count() == 0
+    d = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (3, "a")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_words"], r["mean_score"]) for r in lm.scored(d).collect()} == {1: (0, None), 2: (0, None), 3: (1, round(math.log10(2 / 3), 6))}
+
+
+def test_lm_sends_frequent_ngrams_to_all(spark):
+    """The lists hold the frequent words, pairs and lines with their counts; the paths past the buckets are taken."""
+    rows = lines(4, 150, 4)
+    known, _ = lm.known_of(spark.createDataFrame([(" ".join(w),) for w in rows], "text string").repartition(3), 12)
+    assert known.spread.any() and len(known.pairs) and len(known.triples)
+    at = lambda *w: lm.joined(*[known.number(lm.word_hashes_of(x))[:1] for x in w])[0]
+    pairs = Counter(p for w in rows for p in zip(w, w[1:], strict=False))
+    assert known.pair_cnt[known.pairs.tolist().index(at("all", "of"))] == pairs["all", "of"]
+    threes = Counter(p for w in rows for p in zip(w, w[1:], w[2:], strict=False))
+    assert known.triple_cnt[known.triples.tolist().index(at("all", "of", "this"))] == threes["all", "of", "this"]
 
 
 def test_lm_words_with_one_code(spark):
     """Two words whose hashes agree in the leading 40 bits, and one whose code is a spare one, keep their own counts."""
     a, b, c = "w1682715", "w2893187", "w3311"
-    h, _ = lm.word_hashes(np.frombuffer(f"{a} {b} {c}".encode(), np.uint8), np.array([0, 23]))
+    h = np.concatenate([lm.word_hashes_of(x) for x in (a, b, c)]).view(np.uint64)
     assert h[0] >> np.uint64(24) == h[1] >> np.uint64(24) and h[0] != h[1] and h[2] >> np.uint64(24) >= (1 << 40) - (1 << 20)
     texts = [f"{a} x {a} y {a} x {a}", f"{b} x {b}", f"z {b} {a} x {b} x", f"{c} z {c} z {c}", f"y {c} {b} {a}"]
-    uni, heads, bi = Counter(), Counter(), Counter()
-    for w in map(str.split, texts):
-        uni.update(w)
-        heads.update(w[:-1])
-        bi.update(zip(w, w[1:], strict=False))
-    total = sum(uni.values())
-    score = lambda v, w: bi[v, w] / heads[v] if bi[v, w] > 1 else 0.4 * uni[w] / total
-    want = {i: math.log10(uni[w[0]] / total) + sum(math.log10(score(*p)) for p in zip(w, w[1:], strict=False)) for i, w in enumerate(map(str.split, texts))}
+    want, _ = backoff(list(enumerate(map(str.split, texts))))
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for hot in (lm.HOT, 8, 1):
-        got = {r["doc_id"]: r["log_score"] for r in lm.scored(d, hot=hot, partition_bytes=40).collect()}
-        assert got == {i: pytest.approx(x, abs=2e-6) for i, x in want.items()}
+    for coded in (None, 2, 0):
+        assert {r["doc_id"]: r["log_score"] for r in lm.scored(d, coded=coded, partition_bytes=40).collect()} == pytest.approx(want, abs=2e-6)
 
 
-def test_lm_pairs_are_counted_exactly():
-    r = np.random.default_rng(5)
-    v, w = r.integers(0, 40, 3000) << 30, r.integers(0, 30, 3000) << 30
-    one, two = Counter(v.tolist()), Counter(zip(v.tolist(), w.tolist(), strict=True))
-    before, seen = lm.pair_times(v, w)
-    assert before.tolist() == [one[x] for x in v.tolist()] and seen.tolist() == [two[x] for x in zip(v.tolist(), w.tolist(), strict=True)]
+def test_lm_words_that_share_a_hash_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(lm, "range_hashes", lambda prefix, a, b: (b - a).astype(np.uint64) + np.uint64(1 << 50))
+    import pyarrow as pa
 
+    batches = [pa.RecordBatch.from_pydict({"text": ["same size", "other"]})]
+    with pytest.raises(ValueError, match="share"):
+        list(lm.counts(10, 0.1)(iter([pa.RecordBatch.from_pydict({"text": ["same size", "that fell"]}), *batches])))
 
-def test_packed_runs_of_any_length():
-    import pyarrow as pa
 
-    doc = np.repeat(np.array([5, -3, 9]), [200_000, 65_535, 1])
-    v, w = np.arange(len(doc)) % (1 << 40), np.arange(len(doc))[::-1].copy()
-    rows = lm.packs(np.zeros(len(doc), np.int64), v, w, doc)
-    got = lm.unpack(pa.Table.from_batches([lm.pack_batch(rows)]))
-    assert all((a == b).all() for a, b in zip(got, (v, w, doc), strict=True))
+def test_lm_packed_numbers():
+    known = lm.Known(9, 2, *[np.zeros(0, np.int64)] * 2, np.zeros(9), np.zeros(9), np.arange(9) % 2 == 1, *[lm.EMPTY] * 6)
+    r = np.random.default_rng(5)
+    x = [np.where(r.random(70_000) < 0.3, r.integers(1 << 16, 1 << 40, 70_000), r.integers(0, 9, 70_000)) for _ in range(4)]
+    x[3] = np.where(known.is_spread(x[2]), x[3], 0)
+    doc = np.repeat(np.array([5, -3]), [69_990, 10])
+    [row] = lm.packs(known, np.zeros(len(doc), np.int64), doc, x)
+    assert (lm.documents(row[2], row[3]) == doc).all()
+    assert all((a == b).all() for a, b in zip(lm.unpack(known, row[1], doc, 4), x, strict=True))
 
 
 def test_sharding(docs, none):
