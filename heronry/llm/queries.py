@@ -183,7 +183,7 @@ FROM x
     "op9_lm_scoring": """
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT doc_id, unnest(w) AS w, unnest([NULL] || w[1:len(w) - 1]) AS v, unnest([NULL, NULL] || w[1:len(w) - 2]) AS u FROM w WHERE len(w) > 0),
+t AS (SELECT doc_id, unnest(w) AS w, unnest([NULL] || w[1:len(w) - 1]) AS v, unnest(([NULL, NULL] || w)[1:len(w)]) AS u FROM w WHERE len(w) > 0),
 c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w),
 c2 AS (SELECT v, w, count(*) AS c, sum(count(*)) OVER (PARTITION BY v) AS h FROM t WHERE v IS NOT NULL GROUP BY v, w),
 c3 AS (SELECT u, v, w, count(*) AS c, sum(count(*)) OVER (PARTITION BY u, v) AS h FROM t WHERE u IS NOT NULL GROUP BY u, v, w),
