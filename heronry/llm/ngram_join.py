@@ -3,25 +3,28 @@
 Two documents link when den * |A & B| >= num * |A | B| for their sets of word shingles.
 
 1. Equal sets are one class, found by a 128-bit hash of the set, so that exact copies cost one row each.
-2. Blocking without loss. If A and B link, |A ^ B| <= d, with d from their sizes. The range of shingle
-   hashes is cut into d + 1 segments; at least one segment of A then equals B's. Each set emits one
-   signature per segment, and sets that share a signature are put in one block (connected components).
-   A segment that is empty tells nothing: there are some segments to spare, and a set with more empty ones
-   than those also emits the segments of another cut. Under SHARED_BELOW segments are short, and sets that
-   share passages only would meet; so sets of which too few shingles are in any other set go first.
-3. T-occurrence search in each block (DivideSkip): inverted lists of the block's shingles; for each set
-   the L longest of its lists are set aside, the short ones are merged and counted, sets that reach
-   T - L occurrences are probed by binary search in the long lists, and those that reach T link.
-   Pairs that are connected already are not probed again, so a block of copies costs no pairs.
-4. A block over the size limit is cut into parts, and each pair of parts is searched on its own; the
+2. Inverted lists of all shingles, dealt by shingle. Lists of one class tell nothing. Of each other list the length
+   goes back to its classes. Who links with another class shares at least T = num / den * n of its n shingles with
+   it; classes with fewer shingles in lists go.
+3. Of a class the T - 1 longest lists are set aside; the short ones are merged: classes that meet in a list that
+   is short for both are put in one block (connected components). Every link is in a block: lengths, and
+   shingles where those agree, order all lists alike, and the first list of two linked classes' common ones
+   is short for both, as T - 1 more follow it.
+4. T-occurrence search in each block (DivideSkip) over the classes' lists: for each class the L longest of its
+   lists are set aside, the short ones are merged, classes that reach T - L occurrences are probed by binary
+   search in the long lists, and those that reach T link. Pairs that are connected already are not
+   probed again, so a block of copies costs no pairs.
+5. A block over the size limit is cut into parts, and each pair of parts is searched on its own; the
    links of those parts are joined by connected components.
+
+A list that fills more than a quarter of a bucket isn't dealt: it is known as long by all tasks, fewer than four
+times the buckets, and its classes have it at once. Lists are merged in each batch before any is dealt in step 3.
+A shingle is told apart by its bucket and 48 bits of its hash.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
-from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -36,92 +39,12 @@ from .textkernel import mix, shingle_sets, text_buffers
 
 #: Shingles that one search task holds.
 BLOCK_SHINGLES = 1_500_000
-#: Bytes of text behind each bucket of signatures.
-SIGNATURE_BYTES = 40 << 20
-#: Bytes of text behind each bucket of shingles.
-SHINGLE_BYTES = 16 << 20
-#: Cuts tried for sets with an empty segment; the last one emits empty segments too.
-CUTS = 7
-#: Similarity under which sets go first that can't link, by the number of their shingles in other sets.
-SHARED_BELOW = 0.85
+#: Bytes of text behind each bucket of lists, and of classes.
+LIST_BYTES, CLASS_BYTES = 16 << 20, 40 << 20
 #: DivideSkip's weight of a long list's probes.
 MU = 0.01
-
-
-class Levels:
-    """Size classes such that linked sets are in the same or in adjacent ones."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.low, self.most, self.cuts = num, den, [1], {}, {}
-
-    def _add(self) -> None:
-        s = self.low[-1]
-        self.low.append(max(s + 1, (s - 1) * self.den // self.num + 1))
-
-    def of(self, size: int) -> int:
-        while self.low[-1] <= size:
-            self._add()
-        return bisect_right(self.low, size) - 1
-
-    def difference(self, level: int) -> int:
-        """Most elements in which a linked pair can differ whose smaller set is in this level."""
-        if level not in self.most:
-            while len(self.low) < level + 3:
-                self._add()
-            a = self.low[level + 1] - 1
-            b = min(a * self.den // self.num, self.low[level + 2] - 1)
-            self.most[level] = (a + b) * (self.den - self.num) // (self.den + self.num)
-        return self.most[level]
-
-
-    def segments(self, level: int) -> tuple[int, int]:
-        """(number of segments, empty ones that a set may have in one cut). With d + 1 + spare segments a linked
-        pair has over `spare` equal ones; a set with at most `spare` empty ones has one that isn't empty among
-        them. `spare` is the least that a set of this level exceeds with a chance under 5 %."""
-        if level not in self.cuts:
-            d, size, spare = self.difference(level), self.low[level], 0
-            # Where d is about a set's size or more, no number of segments will do: then the cuts go on to the last.
-            while d and d < 0.7 * size:
-                n = d + 1 + spare
-                mean = n * exp(-size / n)
-                term = tail = exp(-mean)
-                for i in range(1, spare + 1):
-                    term *= mean / i
-                    tail += term
-                if (1 - tail < 0.05) if mean < 30 else (spare > mean + 1.65 * mean**0.5):
-                    break
-                spare += 1
-                if spare > 2 * d + 16:
-                    spare = 0
-                    break
-            self.cuts[level] = (d + 1 + spare if d else 0, spare)
-        return self.cuts[level]
-
-
-def signatures(s: np.ndarray, levels: Levels) -> np.ndarray:
-    """Segment signatures of a sorted set of hashes, for its own level and the one below."""
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    out, own = [], levels.of(len(s))
-    for level in (own, own - 1):
-        n, spare = levels.segments(level) if level >= 0 else (0, 0)
-        if not n:
-            continue
-        for cut in range(CUTS):
-            h = s if not cut else np.sort(mix(s + np.uint64(cut)))
-            segment = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-            sums = np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=sums[1:])
-            at = np.searchsorted(segment, np.arange(n + 1, dtype=np.uint64))
-            full = at[1:] > at[:-1]
-            names = np.arange(n, dtype=np.uint64) + np.uint64((level * CUTS + cut) << 32)
-            sig = mix(sums[at[1:]] - sums[at[:-1]] + mix(names + np.uint64(1)))
-            enough = len(full) - int(full.sum()) <= spare
-            out.append(sig if cut == CUTS - 1 and not enough else sig[full])
-            if enough:
-                break
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
+#: The level of a list that isn't dealt; those of others are by length, eight to a doubling.
+LONGEST = 255
 
 THIN = T.StructType(
     [
@@ -150,142 +73,193 @@ def _named_sets(batch: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], list[t
     return sets, [_set_names(s) if len(s) else (None, None) for s in sets]
 
 
-def _sets_kernel(k: int):
-    """Size and 128-bit name of each row's set."""
+def _distinct(sets: list[np.ndarray], names: list[tuple], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, their class) of the wanted rows' classes, each once."""
+    first = {name: i for i, name in reversed(list(enumerate(names))) if name[0] is not None and wanted[i]}
+    flat = np.concatenate([sets[i] for i in first.values()]) if first else np.zeros(0, np.uint64)
+    own = np.repeat(np.array([name[0] for name in first], np.uint64), [len(sets[i]) for i in first.values()]) if first else flat
+    return flat, own.view(np.int64)
+
+
+def _sets_kernel(k: int, parts: int):
+    """Size and 128-bit name of each row's set; and, with n = -1, shingles (c1) that are in so many of a batch's
+    classes (c2) that their lists may be too long to be dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, names = _named_sets(batch, k)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([None if x[0] is None else _as_long(x[0]) for x in names], pa.int64()),
-                    pa.array([None if x[1] is None else _as_long(x[1]) for x in names], pa.int64()),
-                ],
-                names=["doc_id", "n", "c1", "c2"],
-            )
+            flat, _ = _distinct(sets, names, np.array(batch.column("doc_id").is_valid()))
+            least = max(8, len(flat) / (8 * parts))
+            slot = (flat >> np.uint64(44)).astype(np.int64)
+            often, count = np.unique(flat[np.bincount(slot, minlength=1 << 20)[slot] >= least], return_counts=True)
+            often, count = often[count >= least].view(np.int64), count[count >= least]
+            c1, c2 = ([None if x[i] is None else _as_long(x[i]) for x in names] for i in (0, 1))
+            columns = [batch.column("doc_id").cast(pa.int64()).to_pylist() + [None] * len(often), [len(s) for s in sets] + [-1] * len(often), c1 + often.tolist(), c2 + count.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "n", "c1", "c2"])
 
     return run
 
 
-PACK = "bucket int, sigs binary, owners binary, runs binary"
+PACK = "bucket int, tokens binary, levels binary, owners binary, runs binary"
 
 
-def _packed(flat: np.ndarray, own: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Hashes and their owners as one row per bucket: six bytes a hash, owners as runs of equal ones."""
-    bucket = ((flat >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)
+def _packed(bucket: np.ndarray, token: np.ndarray, own: np.ndarray, size: int, level: np.ndarray | None = None) -> list[tuple]:
+    """A row per bucket: `size` bytes of each token, a byte of its level, owners as runs of equal ones."""
     order = np.lexsort((own, bucket))
     rows = []
     for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
         o = own[part]
         new = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
-        low = np.ascontiguousarray(flat[part]).view(np.uint8).reshape(-1, 8)[:, :6]
-        rows.append((int(bucket[part[0]]), low.tobytes(), o[new].tobytes(), np.diff(np.append(new, len(o))).astype(np.uint32).tobytes()))
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "sigs", "owners", "runs"])
+        low = np.ascontiguousarray(token[part]).view(np.uint8).reshape(-1, 8)[:, :size]
+        runs = np.diff(np.append(new, len(o))).astype(np.uint32).tobytes()
+        rows.append((int(bucket[part[0]]), low.tobytes(), level[part].astype(np.uint8).tobytes() if level is not None else None, o[new].tobytes(), runs))
+    return rows
 
 
-def _unpacked(table: pa.Table, slices: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hash, owner) of the rows of a bucket, by hash and owner, without repeats; in slices of the hashes, so
-    that what is sorted at once stays small."""
-    raw = {c: b"".join(x.as_py() for x in table.column(c)) for c in ("sigs", "owners", "runs")}
-    six = np.frombuffer(raw["sigs"], np.uint8).reshape(-1, 6)
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=[x.split()[0] for x in PACK.split(", ")])
+
+
+def _unpacked(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, owner, level) of the packed rows of a bucket."""
+    raw = {c: b"".join(x or b"" for x in table.column(c).to_pylist()) for c in ("tokens", "levels", "owners", "runs")}
+    token = np.zeros((len(raw["tokens"]) // size, 8), np.uint8)
+    token[:, :size] = np.frombuffer(raw["tokens"], np.uint8).reshape(-1, size)
     own = np.repeat(np.frombuffer(raw["owners"], np.int64), np.frombuffer(raw["runs"], np.uint32))
-    part = six[:, 0] % slices  # the low byte of a hash
-    for i in range(slices):
-        mine = np.flatnonzero(part == i)
-        sig = np.zeros((len(mine), 8), np.uint8)
-        sig[:, :6] = six[mine]
-        sig, o = sig.view("<u8").ravel(), own[mine]
-        order = np.lexsort((o, sig))
-        sig, o = sig[order], o[order]
-        new = np.append(True, (sig[1:] != sig[:-1]) | (o[1:] != o[:-1])) if len(sig) else np.zeros(0, bool)
-        yield sig[new], o[new]
+    return token.view("<u8").ravel(), own, np.frombuffer(raw["levels"], np.uint8)
+
+
+def _in_order(token: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(token, owner) by both, without repeats."""
+    order = np.lexsort((own, token))
+    token, own = token[order], own[order]
+    new = np.append(True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])) if len(token) else np.zeros(0, bool)
+    return token[new], own[new]
+
+
+def _bucket_of(token: np.ndarray, parts: int) -> np.ndarray:
+    return (((token >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)).astype(np.int64)
+
 
+def _named(token: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """Bucket and 48 bits."""
+    return (token & np.uint64((1 << 48) - 1)) | (np.asarray(bucket).astype(np.uint64) << np.uint64(48))
 
-def _shingle_kernel(k: int, parts: int):
-    """Shingles of each class of a batch, dealt to buckets."""
+
+def _postings_kernel(k: int, parts: int, class_parts: int, longest: np.ndarray):
+    """Shingles of the classes of a batch: in the buckets of their lists, or, if those aren't dealt, after those in the
+    buckets of their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, names = _named_sets(batch, k)
-            first = {name: i for i, name in reversed(list(enumerate(names))) if name[0] is not None}
-            flat = np.concatenate([sets[i] for i in first.values()]) if first else np.zeros(0, np.uint64)
-            own = np.repeat(np.array([name[0] for name in first], np.uint64), [len(sets[i]) for i in first.values()]) if first else flat
-            yield _packed(flat, own, parts)
+            flat, own = _distinct(sets, names, np.ones(len(sets), bool))
+            known = np.isin(flat, longest)
+            bucket = _bucket_of(flat, parts)
+            rows = _packed(bucket[~known], flat[~known], own[~known], 6)
+            level = np.full(int(known.sum()), LONGEST)
+            yield _table(rows + _packed(parts + own[known] % class_parts, _named(flat[known], bucket[known]), own[known], 8, level))
+
+    return run
+
+
+def _lengths_kernel(parts: int, class_parts: int):
+    """The lists of a bucket: of those with several classes each class gets shingle and level. What isn't a
+    list goes on."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        if bucket >= parts:
+            return table.set_column(0, "bucket", pa.array(np.full(table.num_rows, bucket - parts), pa.int32()))
+        out = []
+        token, own, _ = _unpacked(table, 6)
+        some = token & np.uint64(7)
+        for i in range(8):  # what is sorted at once stays small
+            t, o = _in_order(token[some == i], own[some == i])
+            if not len(t):
+                continue
+            new = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            number = np.diff(np.append(new, len(t)))
+            length = np.repeat(number, number)
+            keep = length > 1
+            level = np.minimum(LONGEST - 1, np.floor(8 * np.log2(length[keep])))
+            out += _packed(o[keep] % class_parts, _named(t[keep], bucket), o[keep], 8, level)
+        return pa.Table.from_batches([_table(out)])
 
     return run
 
 
-def _in_others(table: pa.Table) -> pa.Table:
-    """(c1, shared): of each class the shingles of this bucket that another class has too."""
-    found = []
-    for sig, own in _unpacked(table):
-        group = np.cumsum(np.append(False, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
-        found.append(own[np.bincount(group)[group] > 1] if len(sig) else own)
-    c1, n = np.unique(np.concatenate(found), return_counts=True)
-    return pa.table({"c1": pa.array(c1, pa.int64()), "shared": pa.array(n, pa.int64())})
+LISTS = "c1 long, rep long, n long, short binary, tokens binary"
+
 
+def _lists_kernel(num: int, den: int):
+    """Of each class that can link its lists, short ones first, and again those that are merged."""
 
-def _signature_kernel(k: int, num: int, den: int, parts: int):
-    """Signatures dealt to buckets, packed in six bytes each, their sets (c1) as runs of equal ones; one row
-    per bucket and part of a batch. Of a class only the first row in a batch has signatures, and of rows with
-    one signature only the first; the others go with it as a signature of their own that only the two have."""
+    def run(lists: pa.Table, classes: pa.Table) -> pa.Table:
+        token, own, level = _unpacked(lists, 8)
+        order = np.lexsort((token, level, own))
+        token, own = token[order], own[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
+        token, own = token[new], own[new]  # a long list may come from several batches
+        start = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+        shared = np.diff(np.append(start, len(own)))
+        name, rep, n = (classes.column(c).to_numpy() for c in ("c1", "rep", "n"))
+        by = np.argsort(name)
+        at = by[np.searchsorted(name[by], own[start])] if len(start) else start
+        merged = shared - -(-n[at] * num // den) + 1
+        alive = np.flatnonzero(merged > 0)
+        columns = [name[at[alive]], rep[at[alive]], n[at[alive]]]
+        short = [token[a : a + m].tobytes() for a, m in zip(start[alive].tolist(), merged[alive].tolist(), strict=True)]
+        whole = [token[a : a + m].tobytes() for a, m in zip(start[alive].tolist(), shared[alive].tolist(), strict=True)]
+        return pa.table([*[pa.array(c, pa.int64()) for c in columns], pa.array(short, pa.binary()), pa.array(whole, pa.binary())], names=[x.split()[0] for x in LISTS.split(", ")])
+
+    return run
+
+
+def _merge_kernel(parts: int):
+    """Short lists dealt by shingle. Of a list only the first class in a batch is dealt; the others go with it as a list of
+    their own that only the two have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(num, den)
         for batch in batches:
-            sets, names = _named_sets(batch, k)
-            seen: set = set()
-            sigs, owner = [], []
-            for s, name in zip(sets, names, strict=True):
-                if len(s) and name not in seen:
-                    seen.add(name)
-                    x = signatures(s, levels)
-                    sigs.append(x)
-                    owner.append(np.full(len(x), name[0], np.uint64))
-            flat = np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)
-            own = np.concatenate(owner) if owner else flat
+            raw = batch.column("short").to_pylist()
+            flat = mix(np.frombuffer(b"".join(raw), np.uint64))
+            own = np.repeat(batch.column("c1").to_numpy(), [len(x) // 8 for x in raw])
             _, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
             holder = own[first[inverse]]
             keep = np.arange(len(flat)) == first[inverse]
             pairs = np.unique(np.stack([own, holder], 1)[holder != own], axis=0)
-            tie = mix(pairs[:, 0] * np.uint64(3) + mix(pairs[:, 1]))
+            tie = mix(pairs[:, 0].astype(np.uint64) * np.uint64(3) + mix(pairs[:, 1].astype(np.uint64)))
             flat = np.concatenate([flat[keep], tie, tie])
             own = np.concatenate([own[keep], pairs[:, 0], pairs[:, 1]])
-            yield _packed(flat, own, parts)
+            yield _table(_packed(_bucket_of(flat, parts), flat, own, 8))
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Edges between each set of a bucket and the least one with the same signature."""
-    found = [np.zeros((0, 2), np.int64)]
-    for sig, own in _unpacked(table):
-        if len(sig):
-            new = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            least = np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(own))))
-            found.append(np.unique(np.stack([own, least], 1)[own != least], axis=0))
-    pairs = np.unique(np.concatenate(found), axis=0)
+def _meetings(table: pa.Table) -> pa.Table:
+    """Edges between each class of a bucket's lists and the least one of the same list."""
+    token, own = _in_order(*_unpacked(table, 8)[:2])
+    pairs = np.zeros((0, 2), np.int64)
+    if len(token):
+        new = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        least = np.repeat(np.minimum.reduceat(own, new), np.diff(np.append(new, len(own))))
+        pairs = np.unique(np.stack([own, least], 1)[own != least], axis=0)
     return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
 
 
-def t_occurrence(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Component label (an index) of each of the sets, linked at num / den, by DivideSkip."""
+def t_occurrence(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Component label (an index) of each of the sets, linked at num / den, by DivideSkip. sizes are those of the whole
+    sets, of which elements that no other set has may be left out here."""
     m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(sizes, kind="stable")
     sizes = sizes[order]
     label = np.arange(m)
-    if m == 2:
-        inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if den * inter >= num * (len(sets[0]) + len(sets[1]) - inter):
-            label[1] = 0
-        return label
+    held = np.array([len(sets[i]) for i in order])
     tokens, codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    owner = np.repeat(np.arange(m), sizes)
+    bounds = np.concatenate([[0], np.cumsum(held)])
+    owner = np.repeat(np.arange(m), held)
     by_token = np.lexsort((owner, codes))
     posted = owner[by_token]
     start = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(tokens)))])
@@ -294,7 +268,7 @@ def t_occurrence(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     for i in range(m - 1):
         q = int(sizes[i])
         top = int(np.searchsorted(sizes, q * den // num, "right"))
-        if top <= i + 1 or not (label[i + 1 : top] != label[i]).any():
+        if top <= i + 1 or not held[i] or not (label[i + 1 : top] != label[i]).any():
             continue
         need = -(-2 * num * q // (num + den))
         mine = codes[bounds[i] : bounds[i + 1]]
@@ -305,23 +279,29 @@ def t_occurrence(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         short = short[length[short] > 1]
         if not len(short):
             continue
-        merged = np.concatenate([posted[start[t] : start[t + 1]] for t in short])
-        counts = np.bincount(merged, minlength=m)
-        found = np.arange(i + 1, top)
-        found = found[(counts[i + 1 : top] >= need - long) & (label[i + 1 : top] != label[i])]
-        found = found[np.argsort(-counts[found], kind="stable")]
+        # The lists are sorted runs, which this sort merges.
+        merged = np.sort(np.concatenate([posted[start[t] : start[t + 1]] for t in short]), kind="stable")
+        first = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
+        found, counts = merged[first], np.diff(np.append(first, len(merged)))
+        good = (found > i) & (found < top) & (counts >= need - long)
+        found, counts = found[good], counts[good]
+        good = label[found] != label[i]
+        found, counts = found[good], counts[good]
+        by = np.argsort(-counts, kind="stable")
+        found, counts = found[by], counts[by]
         far, step = mine[:long].astype(np.int64), 1
         while len(found):
-            now, found = found[:step], found[step:]
+            now, have, found, counts = found[:step], counts[:step], found[step:], counts[step:]
             step = min(step * 4, 256)
             probe = (far[:, None] * m + now[None, :]).ravel()
             at = np.searchsorted(key, probe)
             hits = (key[np.minimum(at, len(key) - 1)] == probe).reshape(len(far), len(now)).sum(0)
-            both = counts[now] + hits
+            both = have + hits
             for j in now[den * both >= num * (q + sizes[now] - both)]:
                 if label[j] != label[i]:
                     label[label == label[j]] = label[i]
-            found = found[label[found] != label[i]]
+            good = label[found] != label[i]
+            found, counts = found[good], counts[good]
     out = np.empty(m, np.int64)
     out[order] = order[label]
     return out
@@ -330,86 +310,84 @@ def t_occurrence(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 LINKS = "rep long, root long, whole boolean"
 
 
-def _search_kernel(k: int, num: int, den: int):
+def _search_kernel(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        data, offsets = text_buffers(table.column("text"))
-        sets = shingle_sets(data, offsets, k)
-        rep, block = table.column("rep").to_numpy(), table.column("block").to_numpy()
-        c1, c2 = table.column("c1").to_numpy(), table.column("c2").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        rep, n, block = (table.column(c).to_numpy() for c in ("rep", "n", "block"))
         whole = table.column("parts").to_numpy() == 1
-        # A doc_id that comes with several texts is here with each; the row of the wanted set counts.
-        names = [_set_names(s) for s in sets]
-        right = np.array([_as_long(x) == p and _as_long(y) == q for (x, y), p, q in zip(names, c1, c2, strict=True)], bool)
-        rows = np.flatnonzero(right)
-        rows = rows[np.lexsort((rep[rows], block[rows]))]
+        rows = np.lexsort((rep, block))
         out: list[tuple[int, int, bool]] = []
-        cuts = np.flatnonzero(np.diff(block[rows])) + 1 if len(rows) else []
-        for group in np.split(rows, cuts) if len(rows) else []:
-            group = group[np.unique(np.stack([rep[group], c1[group], c2[group]], 1), axis=0, return_index=True)[1]]
+        for group in np.split(rows, np.flatnonzero(np.diff(block[rows])) + 1) if len(rows) else []:
             if len(group) < 2:
                 continue
-            label = t_occurrence([sets[i] for i in group], num, den)
+            label = t_occurrence([sets[i] for i in group], n[group], num, den)
             ids = rep[group]
-            for one in np.unique(label[np.arange(len(label))]):
-                members = ids[label == one]
-                if len(members) > 1:
-                    least = int(members.min())
-                    out += [(int(x), least, bool(whole[group[0]])) for x in members if x != least]
-        return pa.table(
-            {"rep": pa.array([x[0] for x in out], pa.int64()), "root": pa.array([x[1] for x in out], pa.int64()), "whole": pa.array([x[2] for x in out], pa.bool_())}
-        )
+            by = np.argsort(label, kind="stable")
+            for members in np.split(ids[by], np.flatnonzero(np.diff(label[by])) + 1):
+                least = int(members.min())
+                out += [(int(x), least, bool(whole[group[0]])) for x in members if x != least]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 3
+        return pa.table({"rep": pa.array(columns[0], pa.int64()), "root": pa.array(columns[1], pa.int64()), "whole": pa.array(columns[2], pa.bool_())})
 
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int, num: int, den: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int, num: int, den: int, block_shingles: int = BLOCK_SHINGLES, list_bytes: int = LIST_BYTES) -> DataFrame:
     """docs (doc_id long, text string, ...) -> (doc_id, n_shingles, component_id), a row for each row.
 
     Null text counts as empty. A document without words has n_shingles 0 and is linked with nothing.
     Rows with a null doc_id are sized, take no part in links and have a null component. Rows that
     repeat a doc_id each keep their own set. Other columns are not looked at."""
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    thin = written(texts.mapInArrow(_sets_kernel(k), THIN), "sets")
-    linked = thin.where("doc_id is not null and c1 is not null")
     total = int(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"])
-    parts = max(12, total // SIGNATURE_BYTES)
-    classes = linked.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    texts = texts.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "rep")
-    if num < SHARED_BELOW * den:
-        buckets = max(12, total // SHINGLE_BYTES)
-        shared = texts.select("text").mapInArrow(_shingle_kernel(k, buckets), PACK).groupBy("bucket").applyInArrow(_in_others, "c1 long, shared long")
-        shared = written(shared, "shared").groupBy("c1").agg(F.sum("shared").alias("shared"))
-        released(docs.sparkSession)
-        # Whoever links with another set shares at least num / den of its own shingles with it.
-        able = classes.join(shared, "c1").where(F.col("shared") * F.lit(den) >= F.col("n") * F.lit(num))
-        texts = written(texts.join(able.select("rep").distinct().hint("merge"), "rep", "left_semi"), "able")
-        released(docs.sparkSession)
-    packed = texts.select("text").mapInArrow(_signature_kernel(k, num, den, parts), PACK)
-    blocks = components(packed.groupBy("bucket").applyInArrow(_shared, "u long, v long"), "blocks")
-    released(docs.sparkSession)
-    members = written(classes.join(blocks, F.col("c1") == F.col("node")).select("rep", "n", "c1", "c2", F.col("component").alias("block")), "members")
-    totals = members.groupBy("block").agg(F.sum("n").alias("all"))
-    totals = totals.select("block", F.ceil(F.col("all") / F.lit(block_shingles)).cast("int").alias("parts"))
-    tasks = max(48, int(members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // block_shingles) * 2)
+    parts, class_parts = max(12, total // list_bytes), max(12, total // CLASS_BYTES)
+    found = written(texts.mapInArrow(_sets_kernel(k, parts), THIN), "sets")
+    thin = found.where("n >= 0")
+    classes = thin.where("doc_id is not null and c1 is not null").groupBy("c1").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("c2").alias("low"), F.max("c2").alias("high"))
+    classes = written(classes, "classes")
+    state = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count(F.when(F.col("low") != F.col("high"), 1)).alias("bad")).first()
+    if state["bad"]:
+        raise ValueError(f"{state['bad']} pairs of sets share a 64-bit hash")
+    often = found.where("n = -1").groupBy("c1").agg(F.sum("c2").alias("lists")).where(F.col("lists") * F.lit(8 * parts) >= F.lit(state["all"]))
+    longest = np.array([x["c1"] for x in often.select("c1").collect()], np.int64).view(np.uint64)  # at most 8 * parts
+    postings = texts.where("doc_id is not null and text is not null").select("text").mapInArrow(_postings_kernel(k, parts, class_parts, longest), PACK)
+    lengths = postings.groupBy("bucket").applyInArrow(_lengths_kernel(parts, class_parts), PACK)
+    named = classes.select("c1", "rep", "n").groupBy(F.pmod("c1", F.lit(class_parts)).cast("int").alias("bucket"))
+    run = _lists_kernel(num, den)
+    lists = written(lengths.groupBy("bucket").cogroup(named).applyInArrow(lambda x, y: run(x, y), LISTS), "lists")
+    del postings, lengths
+    released(spark)
+    merged = lists.select("c1", "short").mapInArrow(_merge_kernel(parts), PACK)
+    blocks = components(merged.groupBy("bucket").applyInArrow(_meetings, "u long, v long"), "blocks")
+    del merged
+    released(spark)
+    members = lists.select("c1", "rep", F.length("tokens").alias("size")).join(blocks, F.col("c1") == F.col("node")).select("c1", "size", F.col("component").alias("block"))
+    members = written(members.withColumn("size", F.floor(F.col("size") / 8)), "members")
+    totals = members.groupBy("block").agg(F.sum("size").alias("all"))
+    totals = totals.select("block", F.greatest(F.lit(1), F.ceil(F.col("all") / F.lit(block_shingles))).cast("int").alias("parts"))
+    tasks = max(48, int(members.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // block_shingles) * 2)
     dealt = members.join(totals, "block")
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("c1"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = dealt.select("*", own.alias("own")).select("*", other.alias("other"))
     dealt = dealt.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
     bucket = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("block"), F.lit(tasks))).otherwise(F.lit(tasks) + F.pmod(F.xxhash64("block", "one", "two"), F.lit(1 << 40)))
     # A part pair of a large block is a block of its own.
     apart = F.when(F.col("parts") == 1, F.col("block")).otherwise(F.xxhash64("block", "one", "two"))
-    dealt = dealt.select("rep", "c1", "c2", "parts", apart.alias("block"), bucket.alias("bucket"))
+    dealt = dealt.select("c1", "parts", apart.alias("block"), bucket.alias("bucket"))
     # A merge join at every size: the members grow with the documents, so they are not to be broadcast.
-    links = written(texts.join(dealt.hint("merge"), "rep").groupBy("bucket").applyInArrow(_search_kernel(k, num, den), LINKS), "links")
+    searched = lists.select("c1", "rep", "n", "tokens").join(dealt.hint("merge"), "c1").groupBy("bucket").applyInArrow(_search_kernel(num, den), LINKS)
+    links = written(searched, "links")
     if links.where("not whole").limit(1).count():
         many = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")), "joined")
         roots = many.select(F.col("node").alias("rep"), F.col("component").alias("root"))
     else:
         roots = links.select("rep", "root")
     roots = roots.groupBy("rep").agg(F.min("root").alias("root"))
-    named = classes.join(roots, "rep", "left").select("c1", "c2", F.coalesce("root", "rep").alias("component"))
-    out = thin.select("doc_id", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
+    named = classes.join(roots, "rep", "left").select("c1", F.coalesce("root", "rep").alias("component"))
+    held = thin.where("c1 is not null").join(named, "c1", "left").select("doc_id", "n", "component")
+    out = held.unionByName(thin.where("c1 is null").select("doc_id", "n", F.lit(None).cast("long").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 

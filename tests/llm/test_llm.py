@@ -94,27 +94,53 @@ def linked(rows, k, num, den):
     return out
 
 
-@pytest.mark.parametrize(("k", "num", "den", "block"), [(3, 90, 100, nj.BLOCK_SHINGLES), (5, 80, 100, nj.BLOCK_SHINGLES), (3, 50, 100, 150), (1, 70, 100, 60)])
-def test_jaccard(docs, k, num, den, block):
+@pytest.mark.parametrize(("k", "num", "den", "block", "lists"), [(3, 90, 100, nj.BLOCK_SHINGLES, nj.LIST_BYTES), (5, 80, 100, nj.BLOCK_SHINGLES, 900), (3, 50, 100, 150, 500), (1, 70, 100, 60, nj.LIST_BYTES), (2, 34, 100, 400, 2000)])
+def test_jaccard(docs, k, num, den, block, lists):
     rows = docs.collect()
-    got = nj.jaccard_components(docs, k, num, den, block).collect()
+    got = nj.jaccard_components(docs, k, num, den, block, lists).collect()
     assert len(got) == len(rows)
     want = linked(rows, k, num, den)
     assert {(g["doc_id"], g["component_id"]) for g in got} == {(d, want.get(d)) for d in {r["doc_id"] for r in rows}}
     assert Counter(g["n_shingles"] for g in got) == Counter(len(shingles(r["text"], k)) for r in rows)
 
 
-def test_jaccard_random_sets_share_a_segment():
+def test_jaccard_of_near_copies_and_of_a_shared_line(spark, monkeypatch):
+    """Groups of near copies at all distances, and a line that all texts have: its lists aren't dealt."""
+    r = random.Random(21)
+    line = " ".join(r.choice(WORDS) for _ in range(6))
+    rows = []
+    for g in range(25):
+        base = [r.choice(WORDS) + str(r.randrange(40)) for _ in range(r.choice((4, 9, 30, 70)))]
+        for _ in range(r.choice((1, 2, 6))):
+            w = list(base)
+            for _ in range(r.randrange(0, 8)):
+                w[r.randrange(len(w))] = r.choice(WORDS)
+            rows.append((len(rows) * 7 % 1009, " ".join(w) + (" " + line if r.random() < 0.9 else "")))
+    rows += [(2000 + i, line) for i in range(5)] + [(3000 + i, " ".join([line] * i)) for i in range(1, 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    seen = []
+    kernel = nj._postings_kernel
+    monkeypatch.setattr(nj, "_postings_kernel", lambda *x: seen.append(len(x[3])) or kernel(*x))
+    for k, num in ((1, 60), (2, 70), (3, 90), (3, 40)):
+        got = {g["doc_id"]: g["component_id"] for g in nj.jaccard_components(d, k, num, 100, 300, 400).collect()}
+        assert got == linked(rows, k, num, 100), (k, num)
+    assert max(seen) > 0
+
+
+def test_t_occurrence_is_a_join():
     r = np.random.default_rng(1)
-    for num, den in ((90, 100), (80, 100), (50, 100)):
-        levels = nj.Levels(num, den)
-        for _ in range(300):
-            n = int(r.integers(1, 120))
-            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
-            b = np.unique(np.concatenate([r.permutation(a)[: int(n * r.uniform(0.5, 1))], r.integers(0, 1 << 63, int(n * r.uniform(0, 0.3))).astype(np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if len(b) and den * both >= num * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-                assert len(np.intersect1d(nj.signatures(a, levels), nj.signatures(b, levels)))
+    for num in (90, 70, 35):
+        for _ in range(60):
+            base = [r.integers(0, 60, int(r.integers(1, 30))).astype(np.uint64) for _ in range(3)]
+            sets = [np.unique(np.concatenate([r.permutation(base[r.integers(3)])[: int(r.integers(1, 30))], r.integers(0, 60, int(r.integers(0, 4))).astype(np.uint64)])) for _ in range(12)]
+            label = np.arange(12)
+            for i in range(12):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if 100 * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                        label[label == label[i]] = label[j]
+            got = nj.t_occurrence(sets, np.array([len(s) for s in sets]), num, 100)
+            assert [[int(x == y) for y in got] for x in got] == [[int(x == y) for y in label] for x in label]
 
 
 def test_one_of_each(docs, none):
