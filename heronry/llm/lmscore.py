@@ -39,12 +39,12 @@ from .textkernel import mix, passes, prefix_hashes, range_hashes, text_buffers,
 
 ALPHA, ORDER, OWN = 0.4, 3, 1
 #: Bytes of text for each bucket of n-grams, and behind each place where sums of documents meet.
-PARTITION_BYTES, PLACE_BYTES = 10 << 20, 48 << 20
+PARTITION_BYTES, PLACE_BYTES = 8 << 20, 48 << 20
 #: A word that isn't frequent has the leading BITS of its hash as code. Words that would share a code, and those
 #: whose code is one of the last SPARE, have a spare code each.
 BITS, SPARE = 40, 1 << 20
 #: Words that are counted, and n-grams that are packed, at once.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 3 << 18
 NOBODY = np.iinfo(np.int64).min
 EMPTY = np.zeros(0, np.int64)
 NUMBERS = ("prev", "first", "second", "next")
@@ -217,7 +217,7 @@ def documents(docs: bytes | memoryview, runs: bytes | memoryview) -> np.ndarray:
 def packs(known: Known, bucket: np.ndarray, doc: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
     """A packed row for each bucket; the last of four columns only where the third is a spread word."""
     out = []
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
         raw = [known.packed(x[part]) for x in columns[:3]]
         if len(columns) == 4:
@@ -310,13 +310,18 @@ class Scorer:
         t = np.where(head[pair], 0, w[pair - 1]) if self.order > 2 else np.zeros_like(a)
         after = np.minimum(pair + 2, len(w) - 1)
         x = np.where((pair + 2 < len(w)) & ~head[after], w[after], 0) if self.order > 2 else np.zeros_like(a)
-        common, at = found_in(known.pairs, joined(a, b))
-        triple, where = found_in(known.triples, joined(t, a, b))
-        here = np.flatnonzero(common & triple & (t > 0))
-        scores.append((d[here], self.log(known.triple_cnt[where[here]]) - self.pair_heads(known, t[here], a[here])))
-        here = np.flatnonzero(common & (t == 0))
-        scores.append((d[here], self.log(known.pair_cnt[at[here]]) - self.log(known.heads[a[here]])))
-        deal = np.flatnonzero(common & (t > 0) & ~triple)
+        common = np.zeros(len(a), bool)
+        some = np.flatnonzero(known.is_spread(a) & known.is_spread(b)) if len(known.pairs) else EMPTY
+        own, at = found_in(known.pairs, joined(a[some], b[some]))
+        some, at = some[own], at[own]
+        common[some] = True
+        triple, where = found_in(known.triples, joined(t[some], a[some], b[some]))
+        triple &= t[some] > 0
+        here = some[triple]
+        scores.append((d[here], self.log(known.triple_cnt[where[triple]]) - self.pair_heads(known, t[here], a[here])))
+        second = t[some] == 0
+        scores.append((d[some[second]], self.log(known.pair_cnt[at[second]]) - self.log(known.heads[a[some[second]]])))
+        deal = some[~triple & ~second]
         out = packs(known, self.parts + self.bucket_of(joined(t[deal], a[deal], b[deal])), d[deal], [y[deal] for y in (t, a, b)])
         deal = np.flatnonzero(~common)
         bucket = self.bucket_of(np.where(known.is_spread(a[deal]), joined(a[deal], b[deal]), a[deal]))
@@ -355,25 +360,47 @@ class Scorer:
             yield from packed()
 
     def score(self, table: pa.Table) -> pa.Table:
-        """Scores of the n-grams of a bucket; words that are left go on."""
+        """Scores of the n-grams of a bucket; words that are left go on. A bucket is scored in parts by what it is dealt by."""
         known, bucket = self.sent.value, table.column("bucket")[0].as_py()
         columns = 4 if bucket < self.parts else 3
-        found, docs = [], []
+        size = sum(int(np.frombuffer(r.as_buffer(), np.uint16).sum()) for r in table.column("runs"))
+        x, at = [np.empty(size, np.int64) for _ in range(columns + 1)], 0
         for words, d, r in zip(*(table.column(c) for c in ("words", "docs", "runs")), strict=True):
-            docs.append(documents(d.as_buffer(), r.as_buffer()))
-            found.append(unpack(known, words.as_buffer(), docs[-1], columns))
-        doc = np.concatenate(docs)
-        x = [np.concatenate(c) for c in zip(*found, strict=True)]
-        del found, docs
-        if columns == 3:
-            t, a, b = x
-            seen = times(joined(t, a, b))
-            at = found_in(known.pairs, joined(a, b))[1]
-            value = self.back + self.log(known.pair_cnt[at]) - self.log(known.heads[a])
-            good = np.flatnonzero(seen > self.own)
-            value[good] = self.log(seen[good]) - self.pair_heads(known, t[good], a[good])
-            return table_of(sums_by_place(doc, value, np.ones(len(doc), np.int64), self.places))
-        t, a, b, after = x
+            doc = documents(d.as_buffer(), r.as_buffer())
+            for column, values in zip(x, [*unpack(known, words.as_buffer(), doc, columns), doc], strict=True):
+                column[at : at + len(doc)] = values
+            at += len(doc)
+        key = x[2] * 31 + x[1] if columns == 3 else np.where(known.is_spread(x[1]), x[2] * 31 + x[1], x[1])
+        part = (mix(key.astype(np.uint64)) >> np.uint64(62)).astype(np.uint8)
+        del key
+        scores, left = [], []
+        for i in range(4):
+            mine = np.flatnonzero(part == i)
+            doc = x[-1][mine]
+            if columns == 3:
+                value = self.of_frequent_pairs(known, *(c[mine] for c in x[:3]))
+                scores.append(per_document(doc, value, np.ones(len(doc), np.int64)))
+            else:
+                b = x[2][mine]
+                value, waits = self.of_pairs(known, x[0][mine], x[1][mine], b, x[3][mine])
+                n = np.ones(len(doc), np.int64)
+                n[waits] = 0
+                scores.append(per_document(doc, value, n))
+                left.append((b[waits], doc[waits]))
+        out = sums_by_place(*(np.concatenate(c) for c in zip(*scores, strict=True)), self.places)
+        return table_of(out + self.left(known, *(np.concatenate(c) for c in zip(*left, strict=True))) if left else out)
+
+    def of_frequent_pairs(self, known: Known, t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Scores of n-grams (t a b) of frequent pairs (a b); all of each are here."""
+        seen = times(joined(t, a, b))
+        at = found_in(known.pairs, joined(a, b))[1]
+        value = self.back + self.log(known.pair_cnt[at]) - self.log(known.heads[a])
+        good = np.flatnonzero(seen > self.own)
+        value[good] = self.log(seen[good]) - self.pair_heads(known, t[good], a[good])
+        return value
+
+    def of_pairs(self, known: Known, t: np.ndarray, a: np.ndarray, b: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores of n-grams (t a b), rows whose word waits for its count); all of each a, or of each (a b), are here."""
         spread = known.is_spread(a)
         pair = joined(a, b)
         value = np.where(t > 0, self.back, 0.0)  # of giving up the longest order
@@ -399,14 +426,11 @@ class Scorer:
         frequent = last & (b < known.limit)
         value[last] += self.back
         value[frequent] += np.log10(known.cnt[b[frequent]] / known.total)
-        waits = np.flatnonzero(last & ~frequent)
         # And c(a b .) for the n-gram (a b x) if b is spread.
         goes = np.flatnonzero(known.is_spread(b) & (after > 0))
         follows, triple = times(pair[goes]), times(joined(a[goes], b[goes], after[goes]))
         value[goes[triple > self.own]] -= self.log(follows[triple > self.own])
-        n = np.ones(len(doc), np.int64)
-        n[waits] = 0
-        return table_of(sums_by_place(doc, value, n, self.places) + self.left(known, b[waits], doc[waits]))
+        return value, np.flatnonzero(last & ~frequent)
 
     def pack_words(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The table of words without the frequent ones, packed in the buckets of the words that are left."""
