@@ -13,8 +13,9 @@ A byte goes if it is covered by a SPAN-byte string that also starts in a documen
    in SPAN bytes are verified byte by byte, and each such class keeps its smallest doc_id.
 3. The spans of both steps meet the texts once more, by document.
 
-A context that an earlier text of the same batch has isn't dealt by its anchor. An anchor with very many
-contexts in doubt is dealt by the hash of each window. So no partition holds a frequent passage's copies.
+A context that an earlier text of the same batch has isn't dealt by its anchor. An anchor with many contexts
+in doubt is dealt by the hash of each window, and of a window only the first document of a place of texts is
+dealt. So a partition has a frequent window at most once per place, and a frequent context once per batch.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ WINDOW = SPAN - GRAM + 1
 #: Bytes of text behind each partition of anchors, and of each partition of documents.
 PARTITION_BYTES, DOC_BYTES = 18 << 20, 12 << 20
 #: Contexts in doubt from which an anchor is dealt by windows.
-FREQUENT = 20_000
+FREQUENT = 1_000
 #: Bytes of text whose contexts are compared before any is dealt.
 FIND_BYTES = 8 << 20
 PLACE = np.uint64(28)
@@ -216,6 +217,17 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
 
 
+def gone_spans(doc: np.ndarray, name: np.ndarray, start: np.ndarray, bucket_of) -> list[dict]:
+    """Packed runs of windows that go, by the bucket of their document."""
+    order = np.lexsort((start, name, doc))
+    doc, name, start = doc[order], name[order], start[order]
+    if not len(doc):
+        return []
+    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (name[1:] != name[:-1]) | (start[1:] > start[:-1] + 1)))
+    end = start[np.append(new[1:], len(start)) - 1]
+    return packs(bucket_of(doc[new]), doc[new], name[new], {"start": start[new], "more": end - start[new]})
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -314,11 +326,24 @@ def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_by
             step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             windows = [pieces[i][s : s + SPAN] for i, s in zip(row.tolist(), step.tolist(), strict=True)]
             own = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=6).digest(), "little") for w in windows], np.int64)
-            spread = (mix(own.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            out += packs(spread, x["doc"][row], x["name"][row], {"a": own, "start": x["start"][row] + step, "more": step * 0, "shift": step * 0}, windows)
+            # Of a window only the first document's places are dealt; what later documents here have of it goes at once.
+            doc, start = x["doc"][row], x["start"][row] + step
+            order = np.lexsort((doc, own))
+            group = np.cumsum(np.append(False, own[order][1:] != own[order][:-1]))
+            first = np.empty(len(own), np.int64)
+            first[order] = order[np.flatnonzero(np.append(True, group[1:] != group[:-1]))[group]]
+            later = np.array([d > doc[f] and windows[i] == windows[f] for i, (d, f) in enumerate(zip(doc.tolist(), first.tolist(), strict=True))], bool)
+            out += gone_spans(doc[later], x["name"][row][later], start[later], lambda d: parts + place_of(d))
+            sent = np.flatnonzero(~later)
+            spread = (mix(own.view(np.uint64)) % np.uint64(parts)).astype(np.int64)[sent]
+            none = np.zeros(len(sent), np.int64)
+            out += packs(spread, doc[sent], x["name"][row][sent], {"a": own[sent], "start": start[sent], "more": none, "shift": none}, [windows[i] for i in sent])
         return pa.Table.from_pylist(out, PACK)
 
     def decide(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        if bucket >= parts:  # decided already
+            return table.set_column(0, "bucket", pa.array([bucket - parts] * table.num_rows, pa.int32()))
         x = unpack(table)
         length = x["more"] + SPAN
         origin = np.cumsum(length) - length
@@ -354,13 +379,7 @@ def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_by
             doc = x["doc"][part][row[sorted_]]
             gone = np.flatnonzero(doc > least_of(cls, doc))
             which, start = row[sorted_[gone]], step[sorted_[gone]] + x["start"][part][row[sorted_[gone]]]
-            again = np.lexsort((start, which))
-            which, start = which[again], start[again]
-            if len(which):
-                new = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)))
-                end = start[np.append(new[1:], len(start)) - 1]
-                d, name = x["doc"][part][which[new]], x["name"][part][which[new]]
-                out += packs(place_of(d), d, name, {"start": start[new], "more": end - start[new]})
+            out += gone_spans(x["doc"][part][which], x["name"][part][which], start, place_of)
         return pa.Table.from_pylist(out, PACK)
 
     def finish(texts: pa.Table, spans: pa.Table) -> pa.Table:
