@@ -179,6 +179,21 @@ SELECT pair_id, chosen_id, rejected_id, prompt_turns,
   array_to_string(list_transform(list_filter(range(k + 1, len(rs) + 1), lambda i: r[i].role = 'assistant'),
     lambda i: (length(array_to_string(rs[k + 1:i - 1], '')) + length(r[i].role) + 5) || '-' || length(array_to_string(rs[k + 1:i], ''))), ',') AS rejected_mask
 FROM x
+""",
+    "op8_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+o AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49, 200)) AS o FROM d),
+y AS (SELECT doc_id, o, substr(x, 2 * o + 1, 498) AS y FROM o),
+g AS (SELECT doc_id, o, y, unnest(range(0, least(200, length(y) // 2 - 49))) AS j FROM y),
+m AS (SELECT doc_id, o + j AS i, min(doc_id) OVER (PARTITION BY substr(y, 2 * j + 1, 100)) AS first FROM g),
+r AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM m WHERE first < doc_id),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM r),
+s AS (SELECT doc_id, min(i) AS b, max(i) + 50 AS e FROM k GROUP BY doc_id, run),
+p AS (SELECT doc_id, e AS b, lead(b) OVER (PARTITION BY doc_id ORDER BY b) AS e FROM (SELECT doc_id, b, e FROM s UNION ALL SELECT doc_id, -1, 0 FROM d)),
+t AS (SELECT p.doc_id, string_agg(substr(x, (2 * p.b + 1)::BIGINT, (2 * (coalesce(p.e, length(x) // 2) - p.b))::BIGINT), '' ORDER BY p.b) AS kept FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id),
+c AS (SELECT doc_id, sum(e - b)::BIGINT AS removed, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t ON t.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
 """,
     "op9_lm_scoring": """
 WITH w AS (
@@ -194,5 +209,27 @@ s AS (
   FROM t JOIN c1 ON c1.w = t.w LEFT JOIN c2 ON c2.v = t.v AND c2.w = t.w LEFT JOIN c3 ON c3.u = t.u AND c3.v = t.v AND c3.w = t.w),
 a AS (SELECT doc_id, count(*) AS n, sum(x) AS x FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(a.n, 0)::BIGINT AS n_words, round(coalesce(a.x, 0), 6) AS log_score, round(a.x / a.n, 6) AS mean_score FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN a USING (doc_id)
+""",
+    "op10_sharding": """
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 8 AS size, hex(encode(coalesce(text, ''))) AS x,
+    (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 4096)::INTEGER AS vslot FROM documents),
+k AS (
+  SELECT doc_id, size, vslot, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(x, '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS text_crc32 FROM d, crc),
+v AS (SELECT vslot, count(*) AS n, sum(size)::BIGINT AS bytes FROM d GROUP BY vslot),
+o AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, vslot) AS step FROM v),
+p(step, vslot, shard, loads) AS (
+  SELECT 0::BIGINT, -1, -1::BIGINT, list_transform(range(24), lambda i: 0::BIGINT)
+  UNION ALL
+  SELECT o.step, o.vslot, list_position(loads, list_min(loads)) - 1,
+    list_transform(loads, lambda z, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN z + o.bytes ELSE z END)
+  FROM p JOIN o ON o.step = p.step + 1),
+m AS (SELECT p.vslot, p.shard::INTEGER AS shard, sum(v.n) OVER (PARTITION BY p.shard ORDER BY p.vslot) - v.n AS first FROM p JOIN v ON v.vslot = p.vslot)
+SELECT k.doc_id, k.size, k.text_crc32, 'bytes' AS law, m.shard, (m.first + row_number() OVER (PARTITION BY k.vslot ORDER BY k.doc_id, k.text_crc32, k.size) - 1)::BIGINT AS slot,
+  NULL::INTEGER AS grown_shard, k.vslot FROM k JOIN m ON m.vslot = k.vslot
 """,
 }

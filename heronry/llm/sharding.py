@@ -9,12 +9,15 @@ whatever the number of records, and so it is safe to broadcast.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .runtime import forgotten_at_exit, shared_dir
+
 SLOTS = 4096
 #: Bytes that each record costs beside its text.
 RECORD_BYTES = 8
@@ -35,12 +38,12 @@ def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """docs -> (doc_id, size, text_crc32, vslot), a row for each row. A null text has 0 bytes and the
     checksum of the empty string; a record without doc_id is placed by its text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"))).otherwise(F.xxhash64(text))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.md5(text.cast("binary")))).cast("binary"))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(RECORD_BYTES)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(key, F.lit(slots)).cast("int").alias("vslot"),
+        (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % slots).cast("int").alias("vslot"),
     )
 
 
@@ -107,15 +110,17 @@ def map_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def store_map(spark: SparkSession, rows: list[tuple], path: str) -> None:
-    """Adds a version of the map to the table at path."""
-    map_table(spark, rows).coalesce(1).write.mode("append").parquet(path)
+    """Adds a version of the map to the table at path; a version that is there is replaced."""
+    for version in {x[0] for x in rows}:
+        one = map_table(spark, [x for x in rows if x[0] == version]).drop("version")
+        one.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> list[tuple]:
     """A stored version of the map, the latest if none is named."""
     table = spark.read.schema(MAP).parquet(path)
     latest = version if version is not None else table.agg(F.max("version")).first()[0]
-    return [tuple(x) for x in table.where(F.col("version") == latest).orderBy("vslot").collect()]
+    return [tuple(x) for x in table.where(F.col("version") == latest).select(*MAP.names).orderBy("vslot").collect()]
 
 
 def placed(records: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -132,7 +137,10 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
     Law `bytes`: a slot has a share of the records that is small beside a shard's, and slots are dealt by
     their bytes. Equal texts with different doc_ids are in different slots, so that a large group of
     copies doesn't fill one shard. An empty table gives an empty table; repeated rows are placed each."""
-    records = sized(docs, slots)
-    sums = [(x["vslot"], x["rows"], x["bytes"]) for x in slot_sums(records).collect()]
-    out = placed(records, map_table(docs.sparkSession, new_map(sums, shards)))
+    spark, records = docs.sparkSession, sized(docs, slots)
+    sums = [(x["vslot"], x["rows"], x["bytes"]) for x in slot_sums(records).collect()]  # a row per virtual slot
+    path = f"{shared_dir(spark)}/shard-map-{uuid.uuid4().hex}"
+    forgotten_at_exit(spark, path)
+    store_map(spark, new_map(sums, shards), path)
+    out = placed(records, map_table(spark, load_map(spark, path)) if sums else map_table(spark, []))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")

@@ -727,6 +727,12 @@ def test_suffix_dedup(spark, docs, none, frequent):
     runs = [(i, "ab" * (20 + i) + "c" * i * 3 + "x" * 70) for i in range(12)] + [(20, "x" * 49), (21, "x" * 50), (22, "x" * 500)]
     df = spark.createDataFrame(runs, "doc_id long, text string").repartition(4)
     assert Counter(tuple(r) for r in sd.deduplicated(df, 500, 500, frequent).collect()) == removal(runs)
+    # One phrase in many surroundings, each of them in several texts.
+    r = random.Random(3)
+    ends = ["".join(r.choice("abcdefgh ") for _ in range(40)) for _ in range(12)]
+    runs = [(i, " ".join(r.choice(ends) + " a phrase that many texts have in them " + r.choice(ends) for _ in range(r.randrange(1, 4)))) for i in range(60)]
+    df = spark.createDataFrame(runs, "doc_id long, text string").repartition(4)
+    assert Counter(tuple(r) for r in sd.deduplicated(df, 3000, 2000, frequent).collect()) == removal(runs)
     assert sd.deduplicated(none).count() == 0
 
 
@@ -844,6 +850,25 @@ def test_sharding(docs, none):
     for r in got:
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and sh.shard(none).count() == 0
+    # Placement against a plain version: slots by hash, the largest first to the emptiest shard, rows by slot.
+    def vslot(d, text):
+        key = str(d) if d is not None else "text:" + hashlib.md5(text.encode()).hexdigest()
+        return int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % 64
+
+    held = defaultdict(list)
+    for r in rows:
+        text = r["text"] or ""
+        held[vslot(r["doc_id"], text)].append((r["doc_id"] is None, r["doc_id"], zlib.crc32(text.encode()), len(text.encode()) + 8))
+    load, where = [0] * 5, {}
+    for v in sorted(held, key=lambda v: (-sum(x[3] for x in held[v]), v)):
+        where[v] = load.index(min(load))
+        load[where[v]] += sum(x[3] for x in held[v])
+    want, at = Counter(), Counter()
+    for v in sorted(held):
+        for _, d, crc, size in sorted(held[v]):
+            want[(d, size, crc, "bytes", where[v], at[where[v]], None, v)] += 1
+            at[where[v]] += 1
+    assert Counter(map(tuple, got)) == want
     again = sh.shard(docs.repartition(5), 5, 64).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
@@ -867,6 +892,7 @@ def test_sharding_of_many_is_even_and_rebalances(spark, tmp_path):
     assert len(load) == 25 and max(load.values()) <= 1.05 * min(load.values()) and {x[0] for x in grown} == {2}
     assert sum(was[x[1]] != x[2] for x in grown) <= len(grown) / 25 * 1.6
     sh.store_map(spark, first, f"{tmp_path}/m")
+    sh.store_map(spark, first, f"{tmp_path}/m")  # again: still one copy
     sh.store_map(spark, grown, f"{tmp_path}/m")
     assert sh.load_map(spark, f"{tmp_path}/m") == sorted(grown, key=lambda x: x[1]) and sh.load_map(spark, f"{tmp_path}/m", 1) == sorted(first, key=lambda x: x[1])
 
