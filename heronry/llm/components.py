@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import forgotten, settled, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,9 +35,10 @@ def components(edges: DataFrame, tag: str = "components", rounds: int = 60) -> D
         if not state["n"] or seen == (state["n"], state["x"]):
             break
         seen = (state["n"], state["x"])
-        now = written(_stars(_stars(now, True), False), tag)
+        before, now = now, written(_stars(_stars(now, True), False), tag)
+        forgotten(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     # All edges are now from a node to its component's smallest node, which is in its own component too.
     named = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return named.unionByName(named.select(F.col("component").alias("node"), "component").distinct())
+    return settled(named.unionByName(named.select(F.col("component").alias("node"), "component").distinct()), tag, now)

@@ -34,12 +34,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import released, written
+from .runtime import released, settled, written
 from .textkernel import mix, passes, prefix_hashes, range_hashes, text_buffers, word_spans
 
 ALPHA, ORDER, OWN = 0.4, 3, 1
 #: Bytes of text for each bucket of n-grams, and behind each place where sums of documents meet.
-PARTITION_BYTES, PLACE_BYTES = 8 << 20, 48 << 20
+PARTITION_BYTES, PLACE_BYTES = 14 << 20, 48 << 20
 #: A word that isn't frequent has the leading BITS of its hash as code. Words that would share a code, and those
 #: whose code is one of the last SPARE, have a spare code each.
 BITS, SPARE = 40, 1 << 20
@@ -196,52 +196,67 @@ def exact_counts(names: dict[int, np.ndarray]):
     return run
 
 
-PACK = "bucket int, words binary, docs binary, runs binary, place int, ids binary, sums binary, counts binary"
+PACK = "bucket int, words binary, place int, sums binary"
 LONGEST = (1 << 16) - 1
 
 
-def runs_of(doc: np.ndarray) -> tuple[bytes, bytes]:
+def blob(*parts: np.ndarray | bytes) -> bytes:
+    """Columns of bytes behind one another, compressed."""
+    raw = [x if isinstance(x, bytes) else x.tobytes() for x in parts]
+    return zstandard.compress(np.cumsum([len(x) for x in raw]).astype("<i8").tobytes() + b"".join(raw), 2)
+
+
+def unblob(packed: pa.Buffer | bytes, columns: int) -> list[memoryview]:
+    raw = memoryview(zstandard.decompress(packed))
+    ends = np.frombuffer(raw[: 8 * columns], "<i8") + 8 * columns
+    return [raw[a:b] for a, b in zip(np.append(8 * columns, ends), ends, strict=False)]
+
+
+def runs_of(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Documents as runs of equal ones; a run over LONGEST is several."""
     new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     n = np.diff(np.append(new, len(doc)))
     pieces = -(-n // LONGEST)
     runs = np.full(int(pieces.sum()), LONGEST)
     runs[np.cumsum(pieces) - 1] = n - (pieces - 1) * LONGEST
-    return np.repeat(doc[new], pieces).tobytes(), runs.astype(np.uint16).tobytes()
+    return np.repeat(doc[new], pieces), runs.astype(np.uint16)
 
 
-def documents(docs: bytes | memoryview, runs: bytes | memoryview) -> np.ndarray:
+def documents(docs: memoryview, runs: memoryview) -> np.ndarray:
     return np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(runs, np.uint16))
 
 
+def by_bucket(bucket: np.ndarray) -> list[np.ndarray]:
+    """Rows of each bucket, in their order."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+
+
 def packs(known: Known, bucket: np.ndarray, doc: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
-    """A packed row for each bucket; the last of four columns only where the third is a spread word."""
+    """A packed row for each bucket: documents, runs, words; the last of four columns only where the third is a spread word."""
     out = []
-    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+    for part in by_bucket(bucket):
         raw = [known.packed(x[part]) for x in columns[:3]]
         if len(columns) == 4:
             raw.append(known.packed(columns[3][part][known.is_spread(columns[2][part])]))
-        ends = np.cumsum([len(x) for x in raw]).astype("<i8").tobytes()
-        words = zstandard.compress(ends + b"".join(raw), 1)
-        out.append((int(bucket[part[0]]), words, *runs_of(doc[part]), None, None, None, None))
+        out.append((int(bucket[part[0]]), blob(*runs_of(doc[part]), *raw), None, None))
     return out
 
 
-def unpack(known: Known, words: bytes, doc: np.ndarray, columns: int) -> list[np.ndarray]:
-    raw = memoryview(zstandard.decompress(words))
-    ends = np.frombuffer(raw[: 8 * columns], "<i8") + 8 * columns
-    parts = [raw[a:b] for a, b in zip(np.append(8 * columns, ends), ends, strict=False)]
-    out = [known.unpacked(x, len(doc)) for x in parts[:3]]
+def unpack(known: Known, words: pa.Buffer | bytes, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns of words, documents)."""
+    parts = unblob(words, columns + 2)
+    doc = documents(*parts[:2])
+    out = [known.unpacked(x, len(doc)) for x in parts[2:5]]
     if columns == 4:
         some = np.flatnonzero(known.is_spread(out[2]))
         out.append(np.zeros(len(doc), np.int64))
-        out[3][some] = known.unpacked(parts[3], len(some))
-    return out
+        out[3][some] = known.unpacked(parts[5], len(some))
+    return out, doc
 
 
 def table_of(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
     names = [x.split()[0] for x in PACK.split(", ")]
     return pa.table({n: pa.array(c, pa.int32() if n in ("bucket", "place") else pa.binary()) for n, c in zip(names, columns, strict=True)})
 
@@ -264,19 +279,19 @@ def per_document(doc: np.ndarray, value: np.ndarray, n: np.ndarray) -> tuple[np.
 
 
 def sums_by_place(doc: np.ndarray, value: np.ndarray, n: np.ndarray, places: int) -> list[tuple]:
-    """Sums by document, packed by place: ids, sums, word counts."""
+    """Sums by document, packed by place: steps between ids, sums, word counts."""
     real = doc != NOBODY
     ids, sums, n = per_document(doc[real], value[real], n[real])
     place = (mix(ids.view(np.uint64) + np.uint64(7)) % np.uint64(places)).astype(np.int64)
-    order = np.argsort(place, kind="stable")
-    parts = np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(order) else []
-    return [(None, None, None, None, int(place[p[0]]), ids[p].tobytes(), sums[p].tobytes(), n[p].astype(np.uint32).tobytes()) for p in parts]
+    return [(None, None, int(place[p[0]]), blob(np.diff(ids[p], prepend=0), sums[p], n[p].astype(np.uint32))) for p in by_bucket(place)]
 
 
 def _totals(table: pa.Table) -> pa.Table:
     """(doc, value, n) of the documents of a place."""
-    raw = {c: b"".join(table.column(c).to_pylist()) for c in ("ids", "sums", "counts")}
-    ids, value, n = per_document(np.frombuffer(raw["ids"], np.int64), np.frombuffer(raw["sums"], np.float64), np.frombuffer(raw["counts"], np.uint32))
+    parts = [unblob(x.as_buffer(), 3) for x in table.column("sums")]
+    ids = np.concatenate([np.cumsum(np.frombuffer(x[0], np.int64)) for x in parts])
+    value, n = np.concatenate([np.frombuffer(x[1], np.float64) for x in parts]), np.concatenate([np.frombuffer(x[2], np.uint32) for x in parts])
+    ids, value, n = per_document(ids, value, n)
     return pa.table({"doc": pa.array(ids, pa.int64()), "value": pa.array(value), "n": pa.array(n)})
 
 
@@ -336,9 +351,7 @@ class Scorer:
         keep = keep[np.argsort(doc[keep], kind="stable")]  # long runs of each document
         w, doc = w[keep], doc[keep]
         bucket = 2 * self.parts + self.bucket_of(w)
-        order = np.argsort(bucket, kind="stable")
-        parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
-        return [(int(bucket[p[0]]), small(w[p] - known.limit, 5), *runs_of(doc[p]), None, None, None, None) for p in parts]
+        return [(int(bucket[p[0]]), blob(*runs_of(doc[p]), small(w[p] - known.limit, 5)), None, None) for p in by_bucket(bucket)]
 
     def explode(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, at = self.sent.value, [], 0
@@ -363,18 +376,18 @@ class Scorer:
         """Scores of the n-grams of a bucket; words that are left go on. A bucket is scored in parts by what it is dealt by."""
         known, bucket = self.sent.value, table.column("bucket")[0].as_py()
         columns = 4 if bucket < self.parts else 3
-        size = sum(int(np.frombuffer(r.as_buffer(), np.uint16).sum()) for r in table.column("runs"))
+        size = sum(int(np.frombuffer(unblob(w.as_buffer(), columns + 2)[1], np.uint16).sum()) for w in table.column("words"))
         x, at = [np.empty(size, np.int64) for _ in range(columns + 1)], 0
-        for words, d, r in zip(*(table.column(c) for c in ("words", "docs", "runs")), strict=True):
-            doc = documents(d.as_buffer(), r.as_buffer())
-            for column, values in zip(x, [*unpack(known, words.as_buffer(), doc, columns), doc], strict=True):
+        for words in table.column("words"):
+            found, doc = unpack(known, words.as_buffer(), columns)
+            for column, values in zip(x, [*found, doc], strict=True):
                 column[at : at + len(doc)] = values
             at += len(doc)
         key = x[2] * 31 + x[1] if columns == 3 else np.where(known.is_spread(x[1]), x[2] * 31 + x[1], x[1])
-        part = (mix(key.astype(np.uint64)) >> np.uint64(62)).astype(np.uint8)
+        part = (mix(key.astype(np.uint64)) >> np.uint64(61)).astype(np.uint8)
         del key
         scores, left = [], []
-        for i in range(4):
+        for i in range(8):
             mine = np.flatnonzero(part == i)
             doc = x[-1][mine]
             if columns == 3:
@@ -439,9 +452,7 @@ class Scorer:
             w, c = known.number(batch.column("name").to_numpy()), batch.column("cnt").to_numpy()
             w, c = w[w >= known.limit], c[w >= known.limit]
             bucket = self.bucket_of(w)
-            order = np.argsort(bucket, kind="stable")
-            parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
-            rows = [(int(bucket[p[0]]), small(w[p] - known.limit, 5), c[p].tobytes()) for p in parts]
+            rows = [(int(bucket[p[0]]), small(w[p] - known.limit, 5), c[p].tobytes()) for p in by_bucket(bucket)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["bucket", "w", "cnt"])
 
@@ -452,9 +463,9 @@ class Scorer:
         cnt = np.frombuffer(b"".join(right.column("cnt").to_pylist()), np.int64)
         order = np.argsort(word)
         word, cnt = word[order], cnt[order]
-        raw = {c: b"".join(left.column(c).to_pylist()) for c in ("words", "docs", "runs")}
-        doc = documents(raw["docs"], raw["runs"])
-        value = np.log10(cnt[np.searchsorted(word, unsmall(raw["words"], 5))] / self.sent.value.total)
+        parts = [unblob(x.as_buffer(), 3) for x in left.column("words")]
+        doc = np.concatenate([documents(*x[:2]) for x in parts])
+        value = np.log10(cnt[np.searchsorted(word, np.concatenate([unsmall(x[2], 5) for x in parts]))] / self.sent.value.total)
         return table_of(sums_by_place(doc, value, np.ones(len(doc), np.int64), self.places))
 
 
@@ -469,7 +480,7 @@ def without_own_code(words: DataFrame) -> np.ndarray:
 
 
 def known_of(rows: DataFrame, parts: int, coded: int | None = None, chunk: int = CHUNK_WORDS) -> tuple[Known, DataFrame]:
-    """What all tasks are to know, and the table of words (name, cnt)."""
+    """What all tasks are to know, and the table of words (kind 1: name, cnt)."""
     spark = rows.sparkSession
     texts = rows.select("text")
     fill = 4 * parts  # a word, pair or n-gram over 1 / fill of all words fills a quarter of a bucket
@@ -501,7 +512,7 @@ def known_of(rows: DataFrame, parts: int, coded: int | None = None, chunk: int =
         inside = lambda w: found_in(known.pairs, joined(w[:-1], w[1:]))[0].all()
         three = sorted((int(joined(*w[:, None])[0]), n) for k, w, n, _ in got if k == 3 and inside(w))
         known.triples, known.triple_cnt = (np.array([x[i] for x in three], np.int64) for i in range(2))
-    return known, words.select("name", "cnt")
+    return known, names
 
 
 def scored(docs: DataFrame, alpha: float = ALPHA, order: int = ORDER, own: int = OWN, partition_bytes: int = PARTITION_BYTES, coded: int | None = None) -> DataFrame:
@@ -514,7 +525,7 @@ def scored(docs: DataFrame, alpha: float = ALPHA, order: int = ORDER, own: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"])
     parts, places = max(12, size // partition_bytes), max(12, size // PLACE_BYTES)
-    known, words = known_of(rows, parts, coded)
+    known, names = known_of(rows, parts, coded)
     released(spark)
     scorer = Scorer(spark.sparkContext.broadcast(known), parts, places, alpha, order, own)
     exploded = rows.mapInArrow(scorer.explode, PACK)
@@ -523,16 +534,16 @@ def scored(docs: DataFrame, alpha: float = ALPHA, order: int = ORDER, own: int =
     half = written(dealt.groupBy("way").applyInArrow(lambda table: _scored_or_passed(scorer, table), PACK), "ngrams")
     del exploded, dealt
     released(spark)
-    rest = half.where("bucket is not null").select((F.col("bucket") - 2 * parts).alias("bucket"), "words", "docs", "runs")
-    counted = words.mapInArrow(scorer.pack_words, "bucket int, w binary, cnt binary")
+    rest = half.where("bucket is not null").select((F.col("bucket") - 2 * parts).alias("bucket"), "words")
+    counted = names.where("kind = 1").select("name", "cnt").mapInArrow(scorer.pack_words, "bucket int, w binary, cnt binary")
     backed = rest.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(lambda left, right: scorer.unigrams(left, right), PACK)
-    columns = ("place", "ids", "sums", "counts")
-    packed = half.where("place is not null").select(*columns).unionByName(backed.select(*columns))
+    packed = half.where("place is not null").select("place", "sums").unionByName(backed.select("place", "sums"))
     sums = packed.groupBy("place").applyInArrow(_totals, "doc long, value double, n long")
     every = rows.where("doc_id is not null").select("doc_id").distinct()
     out = every.join(sums, F.col("doc_id") == F.col("doc"), "left")
     n, value = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("value", F.lit(0.0))
-    return out.select("doc_id", n.alias("n_words"), F.round(value, 6).alias("log_score"), F.when(n > 0, F.round(value / n, 6)).alias("mean_score"))
+    out = out.select("doc_id", n.alias("n_words"), F.round(value, 6).alias("log_score"), F.when(n > 0, F.round(value / n, 6)).alias("mean_score"))
+    return settled(out, "scores", names, half)
 
 
 def _scored_or_passed(scorer: Scorer, table: pa.Table) -> pa.Table:

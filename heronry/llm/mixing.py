@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import written
+from .runtime import settled, written
 
 WEIGHTS = (3, 1, 2)
 #: Rows that one bucket of a permuted line has in the mean.
@@ -156,8 +156,8 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 17, weights: tuple[int, .
         F.sort_array(F.collect_list(F.struct("pos", "i", "pass", "take"))).alias("blocks"), F.sort_array(F.collect_list("lo")).alias("dealt")
     )
     pairs = F.zip_with("blocks", "dealt", lambda x, s: F.struct(x["i"].alias("i"), x["pass"].alias("pass"), s.alias("shard"), x["take"].alias("take")))
-    plan = written(plan.select("of", "source_size", "target", "block", "passes", F.sort_array(pairs).alias("plan")), "plan")
-    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan  # BLOCKS blocks a pass, and one per source
+    stored = written(plan.select("of", "source_size", "target", "block", "passes", F.sort_array(pairs).alias("plan")), "plan")
+    plan = F.broadcast(stored) if stored.count() <= BROADCAST_SOURCES else stored  # BLOCKS blocks a pass, and one per source
     line = permuted(rows, seed).join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
     def piece(e: Column) -> Column:
@@ -177,7 +177,7 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 17, weights: tuple[int, .
     nothing = F.expr("cast(array() as array<struct<shard:int,pass:int,start:bigint,words:bigint,place:double>>)")
     pieces = F.when(F.col("size") > 0, F.sort_array(F.filter(F.transform(entries, piece), lambda x: x["words"] > 0))).otherwise(nothing)
     out = line.withColumn("pieces", pieces).withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
-    return out.select("doc_id", "row", "source", "size", "source_size", "target", "taken", "pieces")
+    return settled(out.select("doc_id", "row", "source", "size", "source_size", "target", "taken", "pieces"), "mix", rows, stored)
 
 
 def mixed_texts(docs: DataFrame, taken: DataFrame, chunks: int = 8) -> DataFrame:

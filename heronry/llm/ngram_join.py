@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import components
-from .runtime import released, written
+from .runtime import released, settled, written
 from .textkernel import mix, shingle_sets, text_buffers
 
 #: Shingles that one search task holds.
@@ -379,8 +379,10 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, block_shingl
     # A merge join at every size: the members grow with the documents, so they are not to be broadcast.
     searched = lists.select("c1", "rep", "n", "tokens").join(dealt.hint("merge"), "c1").groupBy("bucket").applyInArrow(_search_kernel(num, den), LINKS)
     links = written(searched, "links")
+    scratch = [found, classes, lists, blocks, members, links]
     if links.where("not whole").limit(1).count():
         many = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")), "joined")
+        scratch.append(many)
         roots = many.select(F.col("node").alias("rep"), F.col("component").alias("root"))
     else:
         roots = links.select("rep", "root")
@@ -389,15 +391,15 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, block_shingl
     held = thin.where("c1 is not null").join(named, "c1", "left").select("doc_id", "n", "component")
     out = held.unionByName(thin.where("c1 is null").select("doc_id", "n", F.lit(None).cast("long").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return settled(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "joined", *scratch)
 
 
 def one_of_each(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """docs, all columns, with one document of each component: the one with the smallest doc_id. Rows that
     repeat both doc_id and text are one document. Rows with a null doc_id are in no group and stay."""
     found = jaccard_components(docs.select("doc_id", "text"), k, num, den)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.where("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    kept = docs.where("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("__kept_id"), "left_semi")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
     once = kept.withColumn("__times", F.row_number().over(same)).where("__times = 1").drop("__times")
     return once.unionByName(docs.where("doc_id is null"))

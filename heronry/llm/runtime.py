@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    """The folder in spark.checkpoint.dir; where that is unset, on one machine only (tests), a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='heronry-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -37,7 +38,23 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     forgotten_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def forgotten(*frames: DataFrame) -> None:
+    """Deletes tables that `written` made; nothing may read them any more."""
+    for df in frames:
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settled(df: DataFrame, tag: str, *frames: DataFrame) -> DataFrame:
+    """df written, without the tables that it was made from."""
+    out = written(df, tag)
+    forgotten(*frames)
+    return out
 
 
 def released(spark: SparkSession) -> None:

@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import settled, written
 from .textkernel import mix, passes, powers, prefix_hashes, range_hashes, text_buffers
 
 SPAN, GRAM = 50, 16
@@ -416,7 +416,8 @@ def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_by
             }
         )
 
-    spans = written(rows.mapInArrow(find, PACK_SQL).groupBy("bucket").applyInArrow(judge, PACK_SQL), "spans").withColumnRenamed("bucket", "place")
+    stored = written(rows.mapInArrow(find, PACK_SQL).groupBy("bucket").applyInArrow(judge, PACK_SQL), "spans")
+    spans = stored.withColumnRenamed("bucket", "place")
     # The place of a document is computed in Python; this one only has to agree with itself.
     lookup = rows.mapInArrow(lambda batches: _placed(batches, place_of), "place int, doc_id long, text string")
     texts = lookup.groupBy("place")
@@ -424,7 +425,7 @@ def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_by
     contexts = texts.cogroup(doubt.groupBy("place")).applyInArrow(_both(fetch), PACK_SQL)
     more = contexts.groupBy("bucket").applyInArrow(decide, PACK_SQL).withColumnRenamed("bucket", "place")
     known = spans.where("a is null or length(a) = 0").select("place", *PACK.names[1:])
-    return texts.cogroup(known.unionByName(more).groupBy("place")).applyInArrow(_both(finish), RESULT)
+    return settled(texts.cogroup(known.unionByName(more).groupBy("place")).applyInArrow(_both(finish), RESULT), "kept", stored)
 
 
 def _placed(batches: Iterator[pa.RecordBatch], place_of) -> Iterator[pa.RecordBatch]:

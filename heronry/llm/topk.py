@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import written
+from .runtime import settled, written
 
 BUCKET_ROWS, QUERY_ROWS = 8192, 1024
 #: Local cosine threshold from which coordinates prune better than lengths; coordinates looked at.
@@ -208,4 +208,5 @@ def top_k(vectors: DataFrame, every: int, k: int = 20, scale: int = 64, key: str
     work = pairs.join(asked_blocks, "qblock").join(candidates.select("block", "ids", "matrix", "dim"), "block")
     found = work.repartition(F.col("qblock"), F.col("block")).mapInArrow(_search(k, False), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return settled(out, "best", rows, candidates, queries, bounds)
