@@ -7,19 +7,18 @@ last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from heronry.llm.classifier import scored, trained
+from heronry.llm.classifier import accepted, trained
 from heronry.llm.decontamination import decontaminated
 from heronry.llm.mixing import mix, mixed_texts
 from heronry.llm.ngram_join import one_of_each
-from heronry.llm.runtime import table, written
+from heronry.llm.runtime import forgotten, table, written
 from heronry.llm.sharding import shard
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score under 0.3 go."""
-    return scored(docs, trained(docs, table(spark, sf_dir, "labels"))).where(F.col("predicted") == 1).select(*docs.columns)
+    return accepted(docs, trained(docs, table(spark, sf_dir, "labels")))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; each is written once, and deleted when the next one is."""
+    docs, held = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        forgotten(*held)
+        held = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

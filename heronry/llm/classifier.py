@@ -264,3 +264,14 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
             )
 
     return docs.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs with a score of threshold or more, with their own columns whatever their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = np.round(scores(model, *text_buffers(batch.column("text"))), 6)
+            yield batch.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

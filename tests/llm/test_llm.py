@@ -839,8 +839,8 @@ def test_lm_packed_numbers():
     x[3] = np.where(known.is_spread(x[2]), x[3], 0)
     doc = np.repeat(np.array([5, -3]), [69_990, 10])
     [row] = lm.packs(known, np.zeros(len(doc), np.int64), doc, x)
-    assert (lm.documents(row[2], row[3]) == doc).all()
-    assert all((a == b).all() for a, b in zip(lm.unpack(known, row[1], doc, 4), x, strict=True))
+    words, docs_ = lm.unpack(known, row[1], 4)
+    assert (docs_ == doc).all() and all((a == b).all() for a, b in zip(words, x, strict=True))
 
 
 def test_sharding(docs, none):
@@ -930,5 +930,47 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter((x["doc_id"], x["shard"], x["slot"]) for x in cp.run(spark, str(tmp_path)).collect()) == Counter((x["doc_id"], x["shard"], x["slot"]) for x in last)
 
 
+def test_pipeline_accounts_for_every_row(spark, tmp_path):
+    """Null and repeated doc_ids, rows all alike, long and blank texts, extra columns with the operators' own names."""
+    import corpus_pipeline as cp
+
+    r = random.Random(13)
+    say = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    items = [(i, say(25)) for i in range(2)]
+    rows = [(i, say(r.randrange(30, 90))) for i in range(40)] + [(None, say(40)) for _ in range(5)] + [(None, "one and the same text of a row that has no id at all")] * 3
+    rows += [(3, say(50)), (3, rows[3][1]), (4, rows[5][1]), (50, say(9000)), (51, None), (52, "  "), (None, None), (53, say(20) + items[0][1]), (None, items[1][1] + " " + say(9))]
+    rows += [(60 + i, "!! ".join(say(50).upper().split())) for i in range(20)] + [(None, "!! ".join(say(50).upper().split()))]
+    extra = "score double, predicted int, row string, pieces int, kept_id long, bucket int, size long, component_id long"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    docs = spark.createDataFrame([(d, t, "en", None if i % 7 == 0 else f"s{i % 2}", len(t or ""), 0.5, 7, "r", 1, 2, 3, 4, 5) for i, (d, t) in enumerate(rows)], schema)
+    labels = [(i, 1, 0) for i in range(40)] + [(60 + i, 0, 0) for i in range(20)]
+    for folder, n in (("all", 1 << 30), ("none", 0)):
+        docs.limit(n).write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        spark.createDataFrame(labels[:n], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+        spark.createDataFrame(items[:n], "item_id long, text string").write.parquet(f"{tmp_path}/{folder}/benchmark.parquet")
+    path = f"{tmp_path}/all"
+    many = lambda df: Counter((x["doc_id"], x["text"]) for x in df.collect())
+    kept = spark.read.parquet(f"{path}/documents.parquet")
+    model = cl.trained(kept, spark.read.parquet(f"{path}/labels.parquet"))
+    stages = dict(cp.STAGES)
+    now = stages["quality_classifier"](spark, kept, path)
+    passed = {t: s >= cl.THRESHOLD for t in {t for _, t in rows} for s in cl.scores(model, np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())])).round(6)}
+    want = Counter(x for x in rows if passed[x[1]])
+    assert many(now) == want and now.columns == docs.columns and sum(want.values()) < len(rows) - 18
+    assert {tuple(x) for x in now.select(*[c.split()[0] for c in extra.split(", ")]).distinct().collect()} == {(0.5, 7, "r", 1, 2, 3, 4, 5)}
+    near = stages["ngram_jaccard_join"](spark, now, path)
+    groups = linked(list(want.elements()), 5, 80, 100)
+    texts = lambda c: Counter({x: n for x, n in c.items() if x[0] is None})
+    assert texts(many(near)) == texts(want) and {x[0] for x in many(near)} - {None} == {d for d in groups if groups[d] == d}
+    assert all(n == 1 for x, n in many(near).items() if x[0] is not None) and set(many(near)) <= set(want)
+    clean = stages["benchmark_decontamination"](spark, near, path)
+    assert many(clean) == Counter({x: n for x, n in many(near).items() if not any(folded(t) in folded(x[1] or "") for _, t in items)})
+    mixed = stages["mixing"](spark, clean, path)
+    assert mixed.columns == docs.columns and set(many(mixed)) <= set(many(clean)) and max(many(mixed).values()) <= 6
+    assert any(x[0] is None for x in many(mixed)) and all(n <= 2 * many(clean)[x] for x, n in many(mixed).items())
+    assert Counter(x["doc_id"] for x in stages["sharding"](spark, mixed, path).collect()) == Counter(d for d, _ in many(mixed).elements())
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_queries_are_registered():
     assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
