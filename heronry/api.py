@@ -43,7 +43,7 @@ def search_knowledge(
     pool = scoped(chunks, "scope", scopes)
     live = pool.where("status = 'published'")
     base = live if prefilter else pool
-    lists = {"sparse": rt.bm25_search(base.select("doc_id", "text"), questions, 2 * k).select("item_id", "doc_id", "rank")}
+    lists = {"sparse": rt.bm25_search(rt.indexed(base.select("doc_id", "text")), questions, 2 * k).select("item_id", "doc_id", "rank")}
     if vectors is not None and question_vectors is not None:
         own = vectors.join(base.select("doc_id"), "doc_id", "left_semi")
         lists["dense"] = rt.dense_search(own, question_vectors, 2 * k, "doc_id", "item_id").select("item_id", "doc_id", "rank")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -81,19 +82,25 @@ def chain_depth(links: DataFrame, rounds: int = 5) -> DataFrame:
     return up.select("node", "depth", "root", F.col("up").isNotNull().alias("too_deep"))
 
 
-def levels(nodes: DataFrame, needs: DataFrame, rounds: int = 64) -> DataFrame:
+def levels(nodes: DataFrame, needs: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(node, level) for nodes with needs (node, need): 0 without needs, else one over the highest need.
-    Nodes on a cycle, or behind one, have a null level."""
-    done = written(nodes.join(needs, "node", "left_anti").select("node", F.lit(0).alias("level")), "levels")
-    left = written(needs, "needs")
+    Nodes on a cycle, or behind one, have a null level; so has a node with a need that isn't there. Each round takes
+    the needs that are met off the table and goes on until none is."""
+    left = written(needs.select("node", "need").distinct(), "needs")
+    ready = written(nodes.select("node").distinct().join(left, "node", "left_anti").select("node", F.lit(0).alias("level")), "levels")
+    done = [ready]
     for level in range(1, rounds):
-        open_ = left.join(done.select(F.col("node").alias("need")), "need", "left_anti")
-        ready = left.select("node").distinct().join(open_, "node", "left_anti").join(done, "node", "left_anti")
-        ready = written(ready.select("node", F.lit(level).alias("level")), "levels")
         if ready.isEmpty():
             break
-        done = done.unionByName(ready)
-    return nodes.select("node").join(done, "node", "left")
+        met = left.join(ready.select(F.col("node").alias("need")), "need", "left_semi").select("node").distinct()
+        left = written(left.join(ready.select(F.col("node").alias("need")), "need", "left_anti").select("node", "need"), "needs")
+        ready = written(met.join(left, "node", "left_anti").select("node", F.lit(level).alias("level")), "levels")
+        done.append(ready)
+        if len(done) > 32:  # few tables, however deep it goes
+            done = [written(reduce(DataFrame.unionByName, done), "levels")]
+    else:
+        raise RuntimeError(f"needs over {rounds} levels")
+    return nodes.select("node").join(reduce(DataFrame.unionByName, done), "node", "left")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -121,3 +128,55 @@ def superseded(relations: DataFrame, key: list[str]) -> DataFrame:
 
 def lifecycle(confidence: Column, evidence: Column) -> Column:
     return F.when((confidence >= 0.6) & (F.size(evidence) > 0), "active").otherwise("candidate")
+
+
+#: Extractors of hard relations in the order in which they are asked: name, format of the files, relation and its inverse.
+EXTRACTORS = (("java_calls", "java", {"calls": "called_by"}), ("ddl_keys", "ddl", {"references": "referenced_by"}), ("cross_references", "markdown", {"references": "referenced_by"}))
+
+
+def inverse_pairs(extractors: tuple = EXTRACTORS) -> dict[str, str]:
+    """The inverse of each declared relation; an error if names are odd, or a relation has two inverses."""
+    out: dict[str, str] = {}
+    for name, form, pairs in extractors:
+        if not form or not pairs:
+            raise ValueError(f"{name}: a format and at least one pair of relations are needed")
+        for key, value in pairs.items():
+            for relation in (key, value):
+                if not re.fullmatch(r"[a-z][a-z0-9_:]{0,63}", relation):
+                    raise ValueError(f"{name}: {relation!r} is no name of a relation")
+            if pairs.get(value, key) != key:
+                raise ValueError(f"{name}: {key} and {value} aren't each other's inverse")
+            for one, other in ((key, value), (value, key)):
+                if out.setdefault(one, other) != other:
+                    raise ValueError(f"{name}: {one} has the inverses {out[one]} and {other}")
+    return out
+
+
+def discovered(files: DataFrame, vocabularies: DataFrame, extractors: tuple = EXTRACTORS) -> DataFrame:
+    """files (.., domain, format), vocabularies (domain, relations array<string>) -> a row per file and extractor of its
+    format that has a relation of the domain's vocabulary, with its place."""
+    inverse_pairs(extractors)
+    rows = [(i, name, form, list(pairs)) for i, (name, form, pairs) in enumerate(extractors)]
+    table = files.sparkSession.createDataFrame(rows, "place int, extractor string, format string, keys array<string>")
+    joined = files.join(vocabularies, "domain").join(F.broadcast(table), "format")  # as many rows as extractors
+    return joined.where(F.arrays_overlap("keys", "relations")).drop("keys", "relations")
+
+
+def rebuilt(edges: DataFrame, fresh: DataFrame, scopes: DataFrame) -> DataFrame:
+    """edges with those of the scopes (scope_id) replaced by fresh ones; fresh edges of other scopes don't count."""
+    return edges.join(scopes, "scope_id", "left_anti").unionByName(fresh.join(scopes, "scope_id", "left_semi").select(*edges.columns))
+
+
+def trace(paths: DataFrame, question: Column, at: Column) -> DataFrame:
+    """Best paths (node, start, hop, weight) as rows of an append-only trace, with an identifier of each."""
+    name = F.concat_ws("|", question.cast("string"), F.col("start").cast("string"), F.col("node").cast("string"), F.col("hop").cast("string"))
+    return paths.select(F.sha2(name, 256).alias("trace_id"), question.alias("question_id"), "start", "node", "hop", "weight", at.alias("created_at"))
+
+
+def call_edges(methods: DataFrame, calls: DataFrame) -> DataFrame:
+    """methods (path, name, chunk), calls (path, caller chunk, name) -> calls and called_by edges between the chunks of a
+    file; of methods with one name the first is meant, and a method that calls itself has no edge."""
+    first = methods.groupBy("path", "name").agg(F.min("chunk").alias("dst"))
+    found = calls.select("path", F.col("caller").alias("src"), "name").join(first, ["path", "name"]).where("src <> dst").select("path", "src", "dst").distinct()
+    back = found.select("path", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("called_by").alias("relation"))
+    return found.withColumn("relation", F.lit("calls")).unionByName(back)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.functions.text import STOP_WORDS
+from heronry.operators import retrieval as rt
 
+_INDEXES: dict[str, dict[str, rt.Index]] = {}
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +57,14 @@ class Tables:
         status = F.when(F.col("version_id") % 10 == 3, F.when(F.col("source_id") % 5 == 0, "draft").otherwise("published")).otherwise("superseded")
         return d.withColumn("status", status)
 
+    @property
+    def index(self) -> rt.Index:
+        """The inverted index of documents: written once per session and folder, then probed by every search."""
+        held = _INDEXES.setdefault(self.spark.sparkContext.applicationId, {})
+        if self.dir not in held:
+            held[self.dir] = rt.indexed(self.documents, stored=True)
+        return held[self.dir]
+
     @property
     def versions(self) -> DataFrame:
         return self.chunks.select("version_id", "source_id", "status").distinct()

@@ -19,7 +19,7 @@ SPARSE = f"{BM25}, {Q_TOKENS}, {WEIGHTED}, {RANKED}"
 
 
 def sparse(t: Tables, k: int = 10):
-    return rt.bm25_search(t.documents, t.benchmark, k)
+    return rt.bm25_search(t.index, t.benchmark, k)
 
 
 @query(f"SELECT doc_id, unnest({sql_tokens()}) AS term FROM documents")
@@ -38,13 +38,13 @@ def term_id(t: Tables):
 @query(f"WITH {BM25} SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df, size")
 def bm25_stats(t: Tables):
     """#81, #106 document frequencies and IDF."""
-    return rt.bm25_stats(t.documents).select("term", "df", F.round("idf", 6).alias("idf"))
+    return rt.bm25_stats(t.index).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT doc_id, term, round(weight, 6) AS weight FROM post WHERE weight > 0")
 def bm25_encode(t: Tables):
     """#107 weighted postings."""
-    return rt.bm25_encode(t.documents).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return rt.bm25_encode(t.index).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {SPARSE} SELECT item_id, doc_id, round(score, 5) AS score, rank FROM ranked WHERE rank <= 10")
@@ -56,7 +56,7 @@ def bm25_topk(t: Tables):
 @query(f"WITH {BM25}, {Q_TOKENS}, hits AS (SELECT item_id, doc_id, sum(weight) AS score FROM post JOIN qtf USING (term) GROUP BY ALL), {RANKED} SELECT item_id, doc_id, round(score, 5) AS score, rank FROM ranked WHERE rank <= 10")
 def bm25_topk_binary(t: Tables):
     """#108 with binary query weights."""
-    return rt.bm25_search(t.documents, t.benchmark, 10, "binary").select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+    return rt.bm25_search(t.index, t.benchmark, 10, "binary").select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
 DENSE = """dense AS (
@@ -267,15 +267,16 @@ def multi_query_recall(t: Tables):
 
 
 @query(
-    f"""WITH {CHUNKS}, asked AS (SELECT i AS doc_id, CASE WHEN i % 4 = 0 THEN 'de' ELSE 'en' END AS scope FROM range(0, 1500, 7) r(i))
+    f"""WITH {CHUNKS}, asked AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'de' ELSE 'en' END AS scope FROM (SELECT doc_id FROM chunks UNION ALL SELECT -1 - doc_id FROM chunks WHERE doc_id < 100))
 SELECT a.doc_id, CASE WHEN c.doc_id IS NULL THEN 'not_found' WHEN c.scope <> a.scope THEN 'scope_mismatch' WHEN c.status <> 'published' THEN 'unavailable' ELSE 'available' END AS state,
   CASE WHEN c.scope = a.scope AND c.status = 'published' THEN substr(c.text, 1, 500) END AS excerpt, p.doc_id AS parent_id
 FROM asked a LEFT JOIN chunks c USING (doc_id) LEFT JOIN chunks p ON p.doc_id = c.doc_id - c.doc_id % 10 AND p.doc_id <> c.doc_id"""
 )
 def get_evidence(t: Tables):
     """#57, #119 evidence by id: availability, scope and parent."""
-    scope = F.when(F.col("id") % 4 == 0, "de").otherwise("en")
-    asked = t.spark.range(0, 1500, 7).select(F.col("id").alias("doc_id"), scope.alias("wanted"))
+    ids = t.documents.select("doc_id")
+    asked = ids.unionByName(ids.where("doc_id < 100").select((-1 - F.col("doc_id")).alias("doc_id")))  # and some that aren't there
+    asked = asked.withColumn("wanted", F.when(F.col("doc_id") % 4 == 0, "de").otherwise("en"))
     c = t.chunks.select("doc_id", "scope", "status", "text", (F.col("doc_id") - F.col("doc_id") % 10).alias("up"), F.lit(True).alias("there"))
     parents = t.chunks.select(F.col("doc_id").alias("parent_id"))
     rows = asked.join(c, "doc_id", "left").join(parents, (F.col("up") == F.col("parent_id")) & (F.col("up") != F.col("doc_id")), "left")

@@ -101,6 +101,7 @@ def token_estimate(t: Tables):
 
 
 KINDS = ("section", "symbol", "legal:article", "legal:clause", "medical:dose", "Heading", "table", "x:", "view")
+# Closed kinds of chunks.
 L1 = "section heading paragraph list table".split()
 LEGACY = "section symbol endpoint schema table column constraint index view procedure function method type interface class heading paragraph list".split()
 
@@ -142,10 +143,14 @@ def chunk_paragraphs(t: Tables):
     return ck.paragraphs(t.documents, "doc_id", "text", "^[^\\n]{0,39}$").select("doc_id", "paragraph", "start_line", "end_line", F.sha2("content", 256).alias("sha"))
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+|([。！？；])', '\\1\\2' || chr(1), 'g'), chr(1)), lambda z: trim(z, ' ') <> '') AS s FROM documents),
+y AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM x), z AS (SELECT doc_id, i, s, len(regexp_split_to_array(trim(s, ' '), '\\s+')) AS n FROM y),
+f(doc_id, i, chunk, used) AS (SELECT doc_id, i, 0, n FROM z WHERE i = 1 UNION ALL
+  SELECT z.doc_id, z.i, CASE WHEN f.used + z.n <= 1024 THEN f.chunk ELSE f.chunk + 1 END, CASE WHEN f.used + z.n <= 1024 THEN f.used + z.n ELSE z.n END FROM f JOIN z ON z.doc_id = f.doc_id AND z.i = f.i + 1)
+SELECT doc_id, chunk::INTEGER AS chunk, md5(string_agg(s, ' ' ORDER BY i)) AS content FROM z JOIN f USING (doc_id, i) GROUP BY doc_id, chunk""")
 def chunk_greedy_pack(t: Tables):
     """#19 sentences packed to 1024 words."""
-    return t.documents.select("doc_id", F.posexplode(ck.packed_sentences(F.col("text"))).alias("chunk", "content"))
+    return t.documents.select("doc_id", F.posexplode(ck.packed_sentences(F.col("text"))).alias("chunk", "content")).withColumn("content", F.md5(F.col("content").cast("binary")))
 
 
 @query("WITH w AS (SELECT c_nationkey, c_custkey, c_name, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 50 AS win FROM customer) SELECT c_nationkey, win::BIGINT AS \"window\", count(*)::BIGINT AS n, 'name' || chr(10) || string_agg(c_name, chr(10) ORDER BY c_custkey) AS content FROM w GROUP BY ALL")
@@ -169,13 +174,26 @@ def rendered(t: Tables):
     return md.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path"), F.concat(F.lit("# Talk\n\n"), body).alias("content"))
 
 
-@query()
+#: Conversations as Markdown files, line by line, and their blocks: runs of one kind between blank lines.
+MARKDOWN = """md AS (SELECT 'c' || conv_id AS path, '# Talk' || chr(10) || chr(10) || string_agg('## ' || role || ' ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text) AS content FROM conversations GROUP BY conv_id),
+ln AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM md),
+kd AS (SELECT *, CASE WHEN trim(line) = '' THEN NULL WHEN starts_with(trim(line), '#') THEN 'heading' WHEN starts_with(trim(line), '|') THEN 'table' WHEN regexp_matches(trim(line), '^([-*+]|[0-9]+[.)]\\s)') THEN 'list' ELSE 'paragraph' END AS kind FROM ln),
+gr AS (SELECT *, sum(CASE WHEN kind = 'heading' OR kind IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) AS g,
+  last_value(CASE WHEN kind = 'heading' AND starts_with(line, '## ') THEN line END IGNORE NULLS) OVER (PARTITION BY path ORDER BY i) AS h2 FROM (SELECT *, lag(kind) OVER (PARTITION BY path ORDER BY i) AS before FROM kd)),
+bl AS (SELECT path, '# Talk' || coalesce(' > ' || h2, '') AS position, CASE WHEN h2 IS NULL THEN '' ELSE '# Talk' END AS parent, kind, min(i)::INTEGER AS start_line, max(i)::INTEGER AS end_line, trim(string_agg(line, chr(10) ORDER BY i)) AS content FROM gr WHERE kind IS NOT NULL GROUP BY path, g, kind, h2)"""
+
+
+@query(f"WITH {MARKDOWN} SELECT path, 'markdown' AS format, position, parent, kind, start_line, end_line, content FROM bl")
 def chunk_blocks(t: Tables):
     """#20 structural blocks of Markdown."""
     return parsers.parsed(rendered(t).withColumn("format", F.lit("markdown")))
 
 
-@query()
+@query(f"""WITH {MARKDOWN}, sc AS (SELECT path, position, parent, min(start_line) AS a, max(end_line) AS b, string_agg(content, chr(10) || chr(10) ORDER BY start_line) AS content FROM bl GROUP BY ALL),
+sz AS (SELECT *, len(regexp_split_to_array(trim(content), '\\s+')) AS n, row_number() OVER (PARTITION BY path ORDER BY a) AS i FROM sc),
+mg AS (SELECT *, parent <> '' AND max(CASE WHEN parent <> '' AND n >= 64 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY a) = 0 AS joins FROM sz),
+ot AS (SELECT path, CASE WHEN parent = '' OR joins THEN 0 ELSE i END AS k, min(a) AS start_line, max(b) AS end_line, string_agg(content, chr(10) || chr(10) ORDER BY a) AS content, arg_min(position, a) AS position, arg_min(parent, a) AS parent FROM mg GROUP BY 1, 2)
+SELECT path, 'sections' AS format, position, parent, 'section' AS kind, start_line, end_line, content FROM ot""")
 def chunk_sections(t: Tables):
     """#21 sections, short ones merged, long ones cut."""
     return parsers.parsed(rendered(t).withColumn("format", F.lit("sections")))
@@ -188,41 +206,31 @@ def json_keypaths(t: Tables):
     return parsers.parsed(files).select(F.col("path").cast("long").alias("event_id"), "position", "content")
 
 
-@query()
+#: Pages cut at block tags, each part with the tag before it. The tables' pages have these references and no others.
+_PARTS = "regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<(/?)(p|div|h[1-6]|li|ul|ol|table|tr|td|th|section|article|br|blockquote|pre)(\\s[^>]*)?>', chr(1) || '\\1\\2' || chr(2), 'g')"
+_TEXT = "regexp_replace(regexp_replace(x, '^[^' || chr(2) || ']*' || chr(2), ''), '<[^>]*>', '', 'g')"
+for _name, _sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+    _TEXT = f"replace({_TEXT}, '&{_name};', '{_sign}')"
+
+
+@query(f"""WITH s AS (SELECT page_id, string_split(chr(2) || {_PARTS}, chr(1)) AS a FROM pages), p AS (SELECT page_id, unnest(a) AS x, generate_subscripts(a, 1) AS o FROM s),
+q AS (SELECT page_id, o, CASE WHEN x SIMILAR TO 'h[1-6]' || chr(2) || '.*' OR regexp_matches(x, '^h[1-6]' || chr(2)) THEN 'heading' WHEN starts_with(x, 'li' || chr(2)) THEN 'list' WHEN starts_with(x, 'td' || chr(2)) OR starts_with(x, 'th' || chr(2)) THEN 'table' ELSE 'paragraph' END AS kind,
+  trim(regexp_replace({_TEXT}, '\\s+', ' ', 'g')) AS content FROM p)
+SELECT page_id::VARCHAR AS path, 'html' AS format, 'block:' || i AS position, '' AS parent, kind, i::INTEGER AS start_line, i::INTEGER AS end_line, content FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY o) AS i FROM q WHERE content <> '')""")
 def html_to_blocks(t: Tables):
     """#3 blocks of every page."""
     return parsers.parsed(t.pages.select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("format"), F.col("html").alias("content")))
 
 
-SCHEMA = """CREATE TABLE region (r INT PRIMARY KEY);
-CREATE TABLE nation (n INT, r INT, CONSTRAINT fk_nr FOREIGN KEY (r) REFERENCES region (r)); -- a comment; with a semicolon
-CREATE TABLE orders (o INT, note VARCHAR(9) DEFAULT 'a;b', n INT, FOREIGN KEY (n) REFERENCES nation(n), FOREIGN KEY (o) REFERENCES orders(o));
-ALTER TABLE orders ADD CONSTRAINT fk_or FOREIGN KEY (n) REFERENCES region(r);
-INSERT INTO region VALUES (1);
-CREATE VIEW v AS SELECT * FROM nation;"""
-
-
-@query("SELECT * FROM (VALUES ('nation', 'region', 'fk_nr'), ('orders', 'nation', ''), ('orders', 'region', 'fk_or')) f(src, dst, name) UNION ALL SELECT dst, src, name FROM (VALUES ('nation', 'region', 'fk_nr'), ('orders', 'nation', ''), ('orders', 'region', 'fk_or')) f(src, dst, name)")
-def ddl_fk_edges(t: Tables):
-    """#129 foreign keys of a schema, each way."""
-    rows = t.rows("src string, dst string, name string", *parsers.foreign_keys(SCHEMA))
-    return rows.unionByName(rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "name"))
-
-
-@query()
-def ddl_objects(t: Tables):
-    """#30 objects of a schema."""
-    return parsers.parsed(t.rows("path string, format string, content string", ("schema.sql", "ddl", SCHEMA)))
-
-
-# Two linked files: chunks are headings with their line ranges.
-DOCS = (("a.md", "# Start\nSee [use](#use-it) and [other](b.md#second-part).\n# Use it\n![pic](x.png) [web](https://x) as in 4.2.1 above\n"), ("b.md", "# First\ntext\n# Second part\nback to [start](a.md), see 4.2.1\n# 4.2.1 Terms\nx\n"))
-
-
-@query()
+@query("""WITH n AS (SELECT n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation),
+e AS (SELECT 'r' || r || '.md#' || (2 * i) AS src, 'r' || r || '.md#1' AS dst FROM n UNION ALL SELECT 'r' || r || '.md#' || (2 * i), 'r' || ((r + 1) % 5) || '.md#1' FROM n)
+SELECT src, dst, 'references' AS relation FROM e UNION ALL SELECT dst, src, 'referenced_by' FROM e""")
 def xref_edges(t: Tables):
-    """#130 anchors, relative files and clauses, as references each way."""
-    return references(t.rows("file string, content string", *DOCS))
+    """#130 anchors and relative files of linked Markdown files, as references each way; images and code don't count."""
+    line = F.format_string("# Nation %d\nSee [up](#region-%d) and [next](x/r%d.md#region-%d), not ![pic](#nation-%d) or `[no](#nation-%d)`.\n", "n_nationkey", "n_regionkey", (F.col("n_regionkey") + 1) % 5, (F.col("n_regionkey") + 1) % 5, F.col("n_nationkey") + 1, F.col("n_nationkey") + 1)
+    g = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))).alias("l"))
+    key = F.col("n_regionkey").cast("string")
+    return references(g.select(F.concat(F.lit("r"), key, F.lit(".md")).alias("file"), F.concat(F.lit("# Region "), key, F.lit("\n"), F.array_join(F.transform("l", lambda x: x["l"]), "")).alias("content")))
 
 
 def references(files):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,10 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df written once as Parquet in the folder that spark.checkpoint.dir names (all executors see it), and
-    read back; only where that is unset, in a temporary folder of this machine."""
+    read back; where that is unset, on one machine only, in a temporary folder."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='heronry-')}"
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -8,7 +8,6 @@ from __future__ import annotations
 import ast
 import email
 import email.policy
-import html
 import io
 import json
 import re
@@ -21,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronry.sources import pdf
+
 MOST_BYTES = 20 << 20
 # Formats by file ending.
 FORMATS = {
@@ -31,56 +32,65 @@ Row = tuple[str, str, str, int, int, str]
 
 
 def format_of(path: F.Column, content: F.Column) -> F.Column:
-    """Format by ending; JSON and YAML with a top-level openapi or swagger key are openapi; Go needs a package
-    line; null if unknown."""
+    """Format by ending; JSON with a top-level openapi or swagger member, and YAML with such a key at a line's start,
+    are openapi; Go needs a package line; null if unknown."""
     end = F.lower(F.regexp_extract(path, "(\\.[^./]+)$", 1))
     known = F.element_at(F.create_map(*[F.lit(x) for p in FORMATS.items() for x in p]), end)
-    api = content.rlike("(?m)^\\s*[{]?\\s*[\"']?(openapi|swagger)[\"']?\\s*:")
+    members = F.json_object_keys(F.when(F.try_parse_json(content).isNotNull(), content))
+    json_api = F.coalesce(F.arrays_overlap(members, F.array(F.lit("openapi"), F.lit("swagger"))), F.lit(False))
+    yaml_api = content.rlike("(?m)^[\"']?(openapi|swagger)[\"']?\\s*:") | json_api
     package = content.rlike("(?im)^\\s*package(\\s|$)")
-    return F.when(known.isin("json", "yaml") & api, "openapi").when((known == "go") & ~package, F.lit(None)).otherwise(known)
+    api = ((known == "json") & json_api) | ((known == "yaml") & yaml_api)
+    return F.when(api, "openapi").when((known == "go") & ~package, F.lit(None)).otherwise(known)
+
+
+LIST_ITEM = re.compile(r"[-*+]|\d+[.)]\s")
+
+
+def path_of(headings: list[tuple[int, str]]) -> str:
+    return " > ".join("#" * level + " " + title for level, title in headings)
 
 
 def markdown(text: str) -> list[Row]:
-    """Headings, paragraphs, lists and tables under the path of their headings; fenced code stays in one."""
+    """Headings, paragraphs, lists and tables under the path of their headings, with its marks. Blank lines end a block;
+    fenced code stays in one; lines that begin a comment don't count."""
     out: list[Row] = []
     stack: list[tuple[int, str]] = []
     block: list[str] = []
     kind, start, fence = "", 0, False
 
-    def path() -> str:
-        return " / ".join(t for _, t in stack)
-
-    def flush(end: int) -> None:
+    def flush() -> None:
         nonlocal kind
-        if block:
-            out.append((path(), path(), kind, start, end, "\n".join(block)))
-            block.clear()
+        body = "\n".join(block).strip()
+        if body:
+            out.append((path_of(stack), path_of(stack[:-1]), kind, start, start + len(block) - 1, body))
+        block.clear()
         kind = ""
 
     for i, line in enumerate(text.split("\n"), 1):
         mark = line.strip()
+        fenced = fence or mark.startswith(("```", "~~~"))
         if mark.startswith(("```", "~~~")):
             fence = not fence
-        head = None if fence else re.match(r"(#{1,6})\s+(.*?)\s*#*\s*$", line)
-        if head:
-            flush(i - 1)
-            level = len(head[1])
+        if not mark and not fenced:
+            flush()
+        elif mark.startswith("<!--") and not fenced:
+            continue
+        elif mark.startswith("#") and not fenced:
+            flush()
+            level = len(mark) - len(mark.lstrip("#"))
             while stack and stack[-1][0] >= level:
                 stack.pop()
-            up = path()
-            stack.append((level, head[2]))
-            out.append((path(), up, "heading", i, i, head[2]))
-            continue
-        if not mark and not fence:
-            flush(i - 1)
-            continue
-        own = "paragraph" if fence else "list" if re.match(r"\s*([-*+]|\d+[.)])\s+", line) else "table" if mark.startswith("|") else "paragraph"
-        if block and own != kind and not (kind == "list" and line.startswith(" ")):
-            flush(i - 1)
-        if not block:
-            kind, start = own, i
-        block.append(line)
-    flush(len(text.split("\n")))
+            stack.append((level, mark.lstrip("#").strip()))
+            out.append((path_of(stack), path_of(stack[:-1]), "heading", i, i, mark))
+        else:
+            own = "paragraph" if fenced else "table" if mark.startswith("|") else "list" if LIST_ITEM.match(mark) else "paragraph"
+            if block and own != kind:
+                flush()
+            if not block:
+                kind, start = own, i
+            block.append(line)
+    flush()
     return out
 
 
@@ -194,7 +204,7 @@ def html_blocks(text: str) -> list[Row]:
     p.feed(text)
     p.close()
     p.flush()
-    return [(f"block:{i}", "", k, i, i, html.unescape(x)) for i, (k, x) in enumerate(p.rows, 1)]
+    return [(f"block:{i}", "", k, i, i, x) for i, (k, x) in enumerate(p.rows, 1)]
 
 
 def csv_windows(text: str, size: int = 50) -> list[Row]:
@@ -233,28 +243,111 @@ def python_symbols(text: str, most: int = 1024) -> list[Row]:
     return out
 
 
-def braced_symbols(text: str) -> list[Row]:
-    """Java and Go: types, methods and functions by their braces; without one, the file by lines."""
+def without_words(text: str) -> str:
+    """Java or Go source of the same shape, with blanks for comments, strings and characters."""
+
+    def blank(m: re.Match) -> str:
+        return re.sub(r"[^\n]", " ", m[0])
+
+    return re.sub(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"{3}.*?(?:\"{3}|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)+'|`[^`]*`?", blank, text, flags=re.S)
+
+
+JAVA_HEAD = re.compile(r"((?:@\w+(?:\([^)]*\))?\s+|(?:public|private|protected|static|final|abstract|synchronized|default|native|strictfp)\s+)*)(?:(class|interface|enum|record|@interface)\s+(\w+)|(?:<[^>{}();]+>\s*)?(?:([\w.]+(?:<[^;{}()=]*>)?(?:\[\])*)\s+)?(\w+)\s*\(([^;{}]*?)\)\s*(?:throws\s+[\w.,\s]+)?(?=[{;])|[\w.]+(?:<[^;{}()=]*>)?(?:\[\])*\s+(\w+)\s*(?==[^=]|;))")
+NOT_NAMES = frozenset("if for while switch catch return new else try do throw synchronized assert yield case".split())
+
+
+def closing(text: str, at: int) -> int:
+    """Place of the brace that closes the one at `at`, or the text's end."""
+    depth = 0
+    for m in re.compile(r"[{}]").finditer(text, at):
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            return m.start()
+    return len(text) - 1
+
+
+def java_symbols(text: str) -> list[Row]:
+    """Types, and their fields and methods as Type#name under the nested type's path; a source whose braces don't match
+    is its lines. A body is looked at only for types in it."""
+    plain = without_words(text)
+    line = lambda i: plain.count("\n", 0, i) + 1
+    out: list[Row] = []
+    if plain.count("{") != plain.count("}") or "{" not in plain:
+        return [("file", "", "section", 1, text.count("\n") + 1, text)] if text.strip() else []
+
+    def members(begin: int, end: int, owner: str) -> None:
+        at = begin
+        while at < end:
+            m = JAVA_HEAD.match(plain, at, end)
+            if not m or not m.end() > at or (m[5] or m[7]) in NOT_NAMES or m[4] in NOT_NAMES:
+                # What is no declaration is passed over, with its body.
+                at = closing(plain, at) + 1 if plain[at] == "{" else at + (len(re.match(r"\w+|.", plain[at:at + 200], re.S)[0]))
+                continue
+            brace = plain.find("{", m.end() - 1, end)
+            if m[2]:
+                last = closing(plain, brace) if brace >= 0 else end
+                path = f"{owner}.{m[3]}" if owner else m[3]
+                out.append((path, owner, "interface" if m[2] == "interface" else "class", line(m.start()), line(last), text[m.start() : last + 1].strip()))
+                members(brace + 1, last, path)
+            elif m[5] and owner:
+                last = closing(plain, brace) if plain[m.end() : m.end() + 1] == "{" else m.end()
+                out.append((f"{owner}#{m[5]}", owner, "method", line(m.start()), line(last), text[m.start() : last + 1].strip()))
+            elif m[7] and owner:
+                last = plain.find(";", m.end(), end)
+                opened = plain.find("{", m.end(), last if last >= 0 else end)
+                if opened >= 0:  # an initialiser with a body
+                    last = plain.find(";", closing(plain, opened), end)
+                last = last if last >= 0 else end - 1
+                out.append((f"{owner}#{m[7]}", owner, "field", line(m.start()), line(last), text[m.start() : last + 1].strip()))
+            else:
+                last = m.end()
+            at = last + 1
+
+    members(0, len(plain), "")
+    return out or [("file", "", "section", 1, text.count("\n") + 1, text)]
+
+
+def java_calls(text: str) -> list[Row]:
+    """Methods of java_symbols, and a row of kind call for each unqualified or qualified call in them: its name, under the
+    caller's path."""
+    out = []
+    for path, parent, kind, first, last, body in java_symbols(text):
+        if kind == "method":
+            out.append((path, parent, kind, first, last, path.rpartition("#")[2]))
+            code = without_words(body)
+            head = code.find("{")
+            for m in re.finditer(r"(?<!new )\b(\w+)\s*\(", code[head + 1 :] if head >= 0 else ""):
+                if m[1] not in NOT_NAMES:
+                    out.append((m[1], path, "call", first + code.count("\n", 0, head + 1 + m.start()), last, m[1]))
+    return out
+
+
+def go_symbols(text: str) -> list[Row]:
+    """Functions, methods as Type.name, and types of a Go source."""
+    plain = without_words(text)
     out: list[Row] = []
-    head = re.compile(r"^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*(?:(class|interface|enum|record)\s+(\w+)|type\s+(\w+)\s+(?:struct|interface)|func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(|[\w<>\[\],.?]+\s+(\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?\{)", re.M)
-    for m in head.finditer(text):
-        at = text.find("{", m.end() - 1)
-        if at < 0 or m[5] in ("if", "for", "while", "switch", "catch", "return", "new"):
-            continue
-        depth, end = 0, at
-        for end in range(at, len(text)):
-            depth += (text[end] == "{") - (text[end] == "}")
-            if not depth:
-                break
-        name = m[2] or m[3] or m[4] or m[5]
-        start = text.count("\n", 0, m.start()) + 1
-        out.append((name, "", "class" if m[1] else "type" if m[3] else "function" if m[4] else "method", start, text.count("\n", 0, end) + 1, text[m.start() : end + 1].strip()))
+    for m in re.finditer(r"^(?:func\s+(?:\(\s*(?:\w+\s+)?\*?(\w+)(?:\[[^\]]*\])?\s*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\(|type\s+(\w+)(?:\[[^\]]*\])?\s+(struct|interface)?)", plain, re.M):
+        stop = plain.find("\n", m.end())
+        brace = plain.find("{", m.end())
+        if m[3]:
+            last = closing(plain, brace) if m[4] and brace >= 0 else (stop if stop >= 0 else len(plain)) - 1
+            row = (m[3], "", "interface" if m[4] == "interface" else "type")
+        else:
+            if brace < 0:
+                continue
+            last = closing(plain, brace)
+            row = (f"{m[1]}.{m[2]}", m[1], "method") if m[1] else (m[2], "", "function")
+        out.append((*row, plain.count("\n", 0, m.start()) + 1, plain.count("\n", 0, last) + 1, text[m.start() : last + 1].strip()))
     return out or [("file", "", "section", 1, text.count("\n") + 1, text)]
 
 
+BETWEEN = re.compile(r"(?:\s+|--[^\n]*|/\*.*?\*/)*", re.S)
+
+
 def statements(text: str) -> list[tuple[int, str]]:
     """(line, statement): cut at semicolons outside quotes, brackets, comments and BEGIN ... END bodies."""
     out, depth, quote, start, body = [], 0, "", 0, 0
+    line = lambda at: text.count("\n", 0, BETWEEN.match(text, at).end()) + 1
     i = 0
     while i < len(text):
         c = text[i]
@@ -277,11 +370,11 @@ def statements(text: str) -> list[tuple[int, str]]:
             body += (word in ("BEGIN", "CASE")) - (word == "END")
             i += len(word) - 1
         elif c == ";" and not depth and body <= 0:
-            out.append((text.count("\n", 0, start) + 1, text[start:i].strip()))
+            out.append((line(start), text[start:i].strip()))
             start, body = i + 1, 0
         i += 1
     if text[start:].strip():
-        out.append((text.count("\n", 0, start) + 1, text[start:].strip()))
+        out.append((line(start), text[start:].strip()))
     return [(n, re.sub(r"--[^\n]*|/\*.*?\*/", " ", s, flags=re.S).strip()) for n, s in out if s]
 
 
@@ -364,35 +457,108 @@ def openapi(text: str) -> list[Row]:
     return out
 
 
-def zipped(raw: bytes, member: str, tag: str, kind: str) -> list[Row]:
-    """Texts of an Office file: one row per element `tag` in the members that match."""
+def local(e: ElementTree.Element) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def said(e: ElementTree.Element) -> str:
+    return "".join(x.text or "" for x in e.iter() if local(x) == "t")
+
+
+def attribute(e: ElementTree.Element, name: str) -> str:
+    return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), "")
+
+
+def word_text(raw: bytes) -> str:
+    """Text of a Word file in its order: headings by their style as #, list items as -, rows of tables between |."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        body = next(e for e in ElementTree.fromstring(z.read("word/document.xml")).iter() if local(e) == "body")
+    out = []
+    for e in body:
+        if local(e) == "p" and said(e).strip():
+            style = next((attribute(x, "val") for x in e.iter() if local(x) == "pStyle"), "")
+            level = re.fullmatch(r"Heading\s*([1-9]?)", style)
+            listed = style.startswith("List") or any(local(x) == "numPr" for x in e.iter())
+            out.append(("#" * int(level[1] or 1) + " " if level else "# " if style == "Title" else "- " if listed else "") + said(e))
+        elif local(e) == "tbl":
+            for row in (x for x in e if local(x) == "tr"):
+                cells = [t for t in (" ".join(said(p) for p in c.iter() if local(p) == "p").strip() for c in row if local(c) == "tc") if t]
+                out += ["| " + " | ".join(cells) + " |"] if cells else []
+    return "\n".join(out)
+
+
+def word_blocks(text: str) -> list[Row]:
+    """Headings, single lines, and runs of list items and of table rows, by the path of headings."""
+    out: list[Row] = []
+    stack: list[tuple[int, str]] = []
+    for i, raw in enumerate(text.split("\n"), 1):
+        line = raw.strip()
+        head = re.fullmatch(r"(#{1,9})\s+(.*)", line)
+        if head:
+            while stack and stack[-1][0] >= len(head[1]):
+                stack.pop()
+            stack.append((len(head[1]), head[2].strip()))
+        kind = "heading" if head else "table" if re.fullmatch(r"\|.*\|", line) else "list" if LIST_ITEM.match(line) else "paragraph"
+        if not line:
+            continue
+        line = re.sub(r"^([-*+]|\d+[.)])\s*", "", line) if kind == "list" else line
+        last = out[-1] if out else None
+        if last and kind in ("table", "list") and last[2] == kind and last[4] == i - 1:
+            out[-1] = (*last[:4], i, last[5] + "\n" + line)
+        else:
+            out.append((path_of(stack) if stack else "# document", path_of(stack[:-1]), kind, i, i, line))
+    return out
+
+
+def slides(raw: bytes) -> list[Row]:
+    """Paragraphs of the slides in their order."""
+    out: list[Row] = []
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        names = [n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)]
+        for name in sorted(names, key=lambda n: int(re.search(r"\d+", n)[0])):
+            for i, e in enumerate((x for x in ElementTree.fromstring(z.read(name)).iter() if local(x) == "p"), 1):
+                if said(e).strip():
+                    out.append((f"{name}:{i}", name, "paragraph", i, i, said(e)))
+    return out
+
+
+def workbook(raw: bytes) -> list[Row]:
+    """One table per sheet, its rows between |; sheets in the workbook's order, cells at their columns."""
     out: list[Row] = []
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(e.itertext()) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        for name in sorted(n for n in z.namelist() if re.fullmatch(member, n)):
-            for i, e in enumerate((x for x in ElementTree.fromstring(z.read(name)).iter() if x.tag.rpartition("}")[2] == tag), 1):
-                if tag == "row":
-                    cells = [(c.get("t"), "".join(c.itertext())) for c in e]
-                    text = " | ".join(shared[int(v)] if t == "s" and v.isdigit() else v for t, v in cells)
-                else:
-                    text = "".join(x.text or "" for x in e.iter() if x.tag.rpartition("}")[2] == "t")
-                if text.strip():
-                    out.append((f"{name}:{i}", name, kind, i, i, text))
+        names, shared, line = z.namelist(), [], 1
+        if "xl/sharedStrings.xml" in names:
+            shared = [said(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if local(e) == "si"]
+        files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        titles = [attribute(e, "name") for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if local(e) == "sheet"] if "xl/workbook.xml" in names else []
+        for n, name in enumerate(files):
+            rows = []
+            for row in (x for x in ElementTree.fromstring(z.read(name)).iter() if local(x) == "row"):
+                cells: list[str] = []
+                for c in (x for x in row if local(x) == "c"):
+                    column = 0
+                    for letter in re.match(r"[A-Z]*", attribute(c, "r"))[0]:
+                        column = column * 26 + ord(letter) - 64
+                    cells += [""] * max(0, column - 1 - len(cells))
+                    v = "".join(x.text or "" for x in c.iter() if local(x) in ("v", "t"))
+                    cells.append(shared[int(v)] if attribute(c, "t") == "s" and v.isdigit() else v)
+                if any(x.strip() for x in cells):
+                    rows.append("| " + " | ".join(cells) + " |")
+            if rows:
+                out.append((f"sheet:{titles[n] if n < len(titles) else f'Sheet{n + 1}'}", "", "table", line, line + len(rows) - 1, "\n".join(rows)))
+                line += len(rows) + 1
     return out
 
 
 PARSERS: dict[str, Callable[[str], list[Row]]] = {
     "markdown": markdown, "sections": sections, "json": key_paths, "yaml": yaml_paths, "xml": xml_paths, "html": html_blocks, "csv": csv_windows, "eml": mail,
-    "python": python_symbols, "java": braced_symbols, "go": braced_symbols, "ddl": ddl, "openapi": openapi,
+    "python": python_symbols, "java": java_symbols, "java_calls": java_calls, "go": go_symbols, "ddl": ddl, "openapi": openapi,
+    "ddl_keys": lambda text: [(dst, src, "reference", 0, 0, name) for src, dst, name in foreign_keys(text)],
     "txt": lambda text: [(f"p{i}", "", "paragraph", 0, 0, p) for i, p in enumerate((x for x in re.split(r"\n\s*\n", text) if x.strip()), 1)],
 }
 BINARY: dict[str, Callable[[bytes], list[Row]]] = {
-    "word": lambda raw: zipped(raw, r"word/document\.xml", "p", "paragraph"),
-    "pptx": lambda raw: zipped(raw, r"ppt/slides/slide\d+\.xml", "p", "paragraph"),
-    "xlsx": lambda raw: zipped(raw, r"xl/worksheets/sheet\d+\.xml", "row", "table"),
-}
+    "word": lambda raw: word_blocks(word_text(raw)), "pptx": slides, "xlsx": workbook, "pdf": lambda raw: pdf.page_blocks(pdf.text_of(raw)),
+}
 OUT = "path string, format string, position string, parent string, kind string, start_line int, end_line int, content string"
 
 
@@ -418,8 +584,40 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("path", "format", "content").mapInPandas(run, OUT)
 
 
+def text_of(raw: bytes, fmt: str | None) -> str:
+    """The text of a file: Office files and PDF by their extractors, others as UTF-8 with marks for odd bytes."""
+    if fmt == "word":
+        return word_text(raw)
+    if fmt == "pdf":
+        return pdf.text_of(raw)
+    if fmt in BINARY:
+        return "\n".join(r[5] for r in BINARY[fmt](raw))
+    return raw.decode("utf-8", "replace")
+
+
+def texts(files: DataFrame) -> DataFrame:
+    """files (path, format, content binary) -> (path, format, text, error)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, fmt, content in zip(batch["path"], batch["format"], batch["content"], strict=True):
+                try:
+                    rows.append((path, fmt, None if content is None else text_of(bytes(content), fmt), None))
+                except Exception as e:  # noqa: BLE001  one bad file is a row, not the end of the job
+                    rows.append((path, fmt, None, f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(rows, columns=["path", "format", "text", "error"])
+
+    return files.select("path", "format", "content").mapInPandas(run, "path string, format string, text string, error string")
+
+
 def ingested(spark, folder: str) -> DataFrame:
-    """All files under a folder, parsed by their format."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("length").between(1, MOST_BYTES))
+    """All files under a folder, parsed by their format. Empty files and files over MOST_BYTES are error rows, and so
+    are files of no known format."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return parsed(files.select("path", format_of(F.col("path"), text).alias("format"), "content").where("format is not null"))
+    rows = files.select("path", format_of(F.col("path"), text).alias("format"), "content", "length")
+    why = F.when(F.col("length") == 0, "empty file").when(F.col("length") > MOST_BYTES, "over 20 MB").when(F.col("format").isNull(), "unknown format")
+    rows = rows.withColumn("why", why)
+    bad = rows.where("why is not null").select("path", "format", F.lit("").alias("position"), F.lit("").alias("parent"), F.lit("error").alias("kind"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.col("why").alias("content"))
+    return parsed(rows.where("why is null").select("path", "format", "content")).unionByName(bad)

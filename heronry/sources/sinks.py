@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.operators.events import fingerprint
+from heronry.session import written
 
 
 def upsert(rows: DataFrame, path: str, partitions: list[str]) -> None:
@@ -26,13 +27,14 @@ def one_dimension(vectors: DataFrame, column: str = "embedding") -> int:
 
 
 def published(rows: DataFrame, base: str, revision: int, columns: list[str]) -> str:
-    """Writes a revision, reads it back, compares fingerprints, and only then adds it to the pointer table."""
+    """Writes a revision, reads it back, compares its fingerprint with that of rows as they were written, and only then adds
+    it to the pointer table. rows are evaluated once: both come from what was staged."""
     spark = rows.sparkSession
     path = f"{base}/revision={revision}"
-    rows.write.mode("overwrite").parquet(path)
+    staged = written(rows, "staged")
+    staged.write.mode("overwrite").parquet(path)
     one = F.lit("all").alias("g")
-    want, got = (df.select("*", one) for df in (rows, spark.read.parquet(path)))
-    a, b = (fingerprint(df, columns, ["g"]).first() for df in (want, got))
+    a, b = (fingerprint(df.select("*", one), columns, ["g"]).first() for df in (staged, spark.read.parquet(path)))
     if a != b:
         raise RuntimeError("what was written differs from what was to be written")
     digest = a["fingerprint"] if a else ""
@@ -40,6 +42,18 @@ def published(rows: DataFrame, base: str, revision: int, columns: list[str]) ->
     return path
 
 
+def manifest(spark: SparkSession, projections: dict[str, DataFrame]) -> DataFrame:
+    """Writes each projection once, reads it back, and lists (name, n, matches_replay): whether the rows on disk are those
+    that the projection gives when it is made again."""
+    out = []
+    for name, rows in projections.items():
+        stored = written(rows, f"projection-{name}")
+        state = [F.count("*").alias("n"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("h")]
+        a, b = stored.agg(*state).first(), rows.agg(*state).first()
+        out.append((name, a["n"], a == b))
+    return spark.createDataFrame(out, "name string, n long, matches_replay boolean")
+
+
 def current(spark: SparkSession, base: str) -> DataFrame:
     """The newest revision that the pointer table names."""
     latest = spark.read.parquet(f"{base}/pointer").agg(F.max("revision")).first()[0]

@@ -156,7 +156,7 @@ def test_chunkers(spark):
 
 def test_parsers():
     md = parsers.markdown("# A\ntext\n\n- x\n- y\n## B\n| a |\n```\n# no\n```\n")
-    assert [(r[0], r[2]) for r in md] == [("A", "heading"), ("A", "paragraph"), ("A", "list"), ("A / B", "heading"), ("A / B", "table"), ("A / B", "paragraph")]
+    assert [(r[0], r[2]) for r in md] == [("# A", "heading"), ("# A", "paragraph"), ("# A", "list"), ("# A > ## B", "heading"), ("# A > ## B", "table"), ("# A > ## B", "paragraph")]
     assert [r[0] for r in parsers.key_paths('{"a": [1, {"b": null}], "c": "x"}')] == ["path:/", "path:/a/0", "path:/a/1/b", "path:/c"]
     assert [r[0] for r in parsers.xml_paths("<r><a/><a><b>t</b></a></r>")] == ["/r/a[1]", "/r/a[2]", "/r/a[2]/b[1]"]
     assert [(r[0], r[2]) for r in parsers.python_symbols("class A:\n    def f(self):\n        pass\ndef g(): pass\n")] == [("A", "class"), ("A.f", "method"), ("g", "function")]
@@ -164,7 +164,13 @@ def test_parsers():
     api = parsers.openapi('{"openapi": "3", "components": {"schemas": {"P": {}}}, "paths": {"/p": {"post": {"requestBody": {"$ref": "#/components/schemas/P"}}}}}')
     assert [(r[0], r[1]) for r in api] == [("P", ""), ("POST /p", "P")]
     assert parsers.mail("Subject: Hi\nFrom: a@b.c\n\nbody\n")[0][0] == "msg:Hi"
-    assert [r[2] for r in parsers.braced_symbols("public class A {\n  int f(int x) {\n    return x;\n  }\n}\n")] == ["class", "method"]
+    assert [r[2] for r in parsers.java_symbols("public class A {\n  int f(int x) {\n    return x;\n  }\n}\n")] == ["class", "method"]
+    java = "// {\npackage x;\n@Old\npublic class R {\n  static final String mark = \"}\";\n  int[] a = {1, 2};\n  R(int x) { a = null; }\n  void n(int x) throws E, F {\n    m(1); if (x > 0) { n(x); } new T(2);\n  }\n  abstract int f(Map<String, List<Integer>> m);\n  enum K { A; int g() { return 1; } }\n}\n"
+    assert [r[0] for r in parsers.java_symbols(java)] == ["R", "R#mark", "R#a", "R#R", "R#n", "R#f", "R.K", "R.K#g"]
+    assert [(r[0], r[1], r[3]) for r in parsers.java_calls(java) if r[2] == "call"] == [("m", "R#n", 9), ("n", "R#n", 9)]
+    assert parsers.java_symbols("class A { void f( {")[0][0] == "file"
+    go = "package m\n\ntype T struct {\n\ta int // }\n}\ntype ID int\nfunc (t *T) Run(x int) error {\n\treturn nil\n}\nfunc F(a int) int { return 5 }\n"
+    assert [(r[0], r[2], r[3], r[4]) for r in parsers.go_symbols(go)] == [("T", "type", 3, 5), ("ID", "type", 6, 6), ("T.Run", "method", 7, 9), ("F", "function", 10, 10)]
 
 
 def test_a_bad_file_is_a_row(spark):
