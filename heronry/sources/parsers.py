@@ -612,12 +612,12 @@ def texts(files: DataFrame) -> DataFrame:
 
 
 def ingested(spark, folder: str) -> DataFrame:
-    """All files under a folder, parsed by their format. Empty files and files over MOST_BYTES are error rows, and so
-    are files of no known format."""
+    """All files under a folder, parsed by their format. Files over MOST_BYTES are error rows, and so are files of no known
+    format. Spark's reader doesn't list empty files, so they give no rows."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     text = F.make_valid_utf8(F.col("content").cast("string"))
     rows = files.select("path", format_of(F.col("path"), text).alias("format"), "content", "length")
-    why = F.when(F.col("length") == 0, "empty file").when(F.col("length") > MOST_BYTES, "over 20 MB").when(F.col("format").isNull(), "unknown format")
+    why = F.when(F.col("length") > MOST_BYTES, "over 20 MB").when(F.col("format").isNull(), "unknown format")
     rows = rows.withColumn("why", why)
     bad = rows.where("why is not null").select("path", "format", F.lit("").alias("position"), F.lit("").alias("parent"), F.lit("error").alias("kind"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.col("why").alias("content"))
     return parsed(rows.where("why is null").select("path", "format", "content")).unionByName(bad)
