@@ -153,8 +153,10 @@ def latest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, columns: list[str], groups: list[str]) -> DataFrame:
-    """SHA-256 of each group's sorted row hashes, in two levels: rows are hashed and summed up in buckets by
-    the hash's first two digits, then the buckets are hashed, so that no group is one list of all its rows."""
+    """SHA-256 of each group's sorted row hashes, as a tree: rows are hashed and summed up in buckets by the hash's first
+    four digits, those by the first two, then these are hashed; no list has more than 65536ths of a group, or 256 sums."""
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
-    part = rows.select(*groups, row.alias("h")).groupBy(*groups, F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return part.groupBy(*groups).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+    part = rows.select(*groups, row.alias("h")).groupBy(*groups, F.substring("h", 1, 4).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    summed = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256)
+    part = part.groupBy(*groups, F.substring("b", 1, 2).alias("a")).agg(summed.alias("h")).withColumnRenamed("a", "b")
+    return part.groupBy(*groups).agg(summed.alias("fingerprint"))

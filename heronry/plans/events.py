@@ -250,7 +250,8 @@ def quota_check(t: Tables):
 
 @query(
     f"""WITH {ENTRIES}, h AS (SELECT scope_id, sha256(concat_ws('|', memory_id::VARCHAR, coalesce(kind, '~'), coalesce(status, '~'))) AS h FROM entries),
-p AS (SELECT scope_id, substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY ALL) SELECT scope_id, sha256(string_agg(h, '' ORDER BY b)) AS fingerprint FROM p GROUP BY 1"""
+q AS (SELECT scope_id, substr(h, 1, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY ALL),
+p AS (SELECT scope_id, substr(b, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY b)) AS h FROM q GROUP BY scope_id, substr(b, 1, 2)) SELECT scope_id, sha256(string_agg(h, '' ORDER BY b)) AS fingerprint FROM p GROUP BY 1"""
 )
 def state_fingerprint(t: Tables):
     """#85 order-free fingerprint of each scope's state."""

@@ -603,7 +603,7 @@ def non_inferiority(t: Tables):
 def anchor_match(t: Tables):
     """#222 first document that holds the heading: each document against all headings, a stated set of questions."""
     h = t.benchmark.select("item_id", F.substring_index("text", " ", 2).alias("heading"))
-    return h.join(t.documents.select("doc_id", "text"), F.expr("contains(text, heading)")).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    return rt.containing(t.documents.select("doc_id", "text"), h, "text", "heading").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1)) || '/' || regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '^/+|/+$', '', 'g') AS remote FROM pages WHERE NOT contains(url, '?') AND NOT contains(url, '#') AND length(regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '^/+|/+$', '', 'g')) > 0")

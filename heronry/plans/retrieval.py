@@ -206,7 +206,7 @@ def final_score(t: Tables):
 
 
 ROUNDS = f"""{SPARSE}, cand AS (
-  SELECT item_id % 3 AS round, item_id * 100 + rank AS pos, doc_id::VARCHAR AS evidence_id, round(score / 1000, 3) AS score, CASE WHEN doc_id % 2 = 0 THEN round(score, 3) END AS dense_score,
+  SELECT item_id % 8 AS question, item_id % 3 AS round, item_id * 100 + rank AS pos, doc_id::VARCHAR AS evidence_id, round(score / 1000, 3) AS score, CASE WHEN doc_id % 2 = 0 THEN round(score, 3) END AS dense_score,
     CASE WHEN doc_id % 3 = 0 THEN round(score, 3) END AS sparse_score, 'p' || (item_id % 4) AS sub_problem_id, ['dense', 'sparse', 'graph'][item_id % 3 + 1] AS retriever
   FROM ranked WHERE rank <= 10)"""
 
@@ -215,7 +215,7 @@ def candidates(t: Tables):
     s = sparse(t)
     pick = F.element_at(F.array(F.lit("dense"), F.lit("sparse"), F.lit("graph")), (F.col("item_id") % 3 + 1).cast("int"))
     return s.select(
-        (F.col("item_id") % 3).alias("round"), (F.col("item_id") * 100 + F.col("rank")).alias("pos"), F.col("doc_id").cast("string").alias("evidence_id"),
+        (F.col("item_id") % 8).alias("question"), (F.col("item_id") % 3).alias("round"), (F.col("item_id") * 100 + F.col("rank")).alias("pos"), F.col("doc_id").cast("string").alias("evidence_id"),
         F.round(F.col("score") / 1000, 3).alias("score"), F.when(F.col("doc_id") % 2 == 0, F.round("score", 3)).alias("dense_score"),
         F.when(F.col("doc_id") % 3 == 0, F.round("score", 3)).alias("sparse_score"), F.concat(F.lit("p"), F.col("item_id") % 4).alias("sub_problem_id"), pick.alias("retriever"),
     )
@@ -223,24 +223,24 @@ def candidates(t: Tables):
 
 @query(
     f"""WITH {ROUNDS}, m AS (
-  SELECT evidence_id, arg_max({{'s': score, 'd': dense_score, 'p': sparse_score}}, {{'a': score, 'b': -round, 'c': -pos}}) AS b,
-    list_sort(list(DISTINCT sub_problem_id)) AS subs, list_sort(list(DISTINCT retriever)) AS rets FROM cand GROUP BY evidence_id)
-SELECT evidence_id, b.s AS score, b.d AS dense_score, b.p AS sparse_score, array_to_string(subs, ',') AS sub_problem_ids, array_to_string(rets, ',') AS retrievers,
-  row_number() OVER (ORDER BY b.s DESC, b.d DESC NULLS LAST, b.p DESC NULLS LAST, evidence_id)::INTEGER AS final_rank FROM m"""
+  SELECT question, evidence_id, arg_max({{'s': score, 'd': dense_score, 'p': sparse_score}}, {{'a': score, 'b': -round, 'c': -pos}}) AS b,
+    list_sort(list(DISTINCT sub_problem_id)) AS subs, list_sort(list(DISTINCT retriever)) AS rets FROM cand GROUP BY question, evidence_id)
+SELECT question, evidence_id, b.s AS score, b.d AS dense_score, b.p AS sparse_score, array_to_string(subs, ',') AS sub_problem_ids, array_to_string(rets, ',') AS retrievers,
+  row_number() OVER (PARTITION BY question ORDER BY b.s DESC, b.d DESC NULLS LAST, b.p DESC NULLS LAST, evidence_id)::INTEGER AS final_rank FROM m"""
 )
 def merge_rounds(t: Tables):
-    """#83, #117 candidates of several rounds as one list."""
-    out = rt.merged_rounds(candidates(t))
+    """#83, #117 candidates of several rounds as one list for each question."""
+    out = rt.merged_rounds(candidates(t), ["question"])
     return out.withColumns({c: F.concat_ws(",", c) for c in ("sub_problem_ids", "retrievers")})
 
 
 @query(
-    f"""WITH {ROUNDS}, x AS (SELECT pos AS ledger_id, evidence_id, score, row_number() OVER (PARTITION BY evidence_id ORDER BY score DESC, pos) > 1 AS dup FROM cand)
-SELECT ledger_id, evidence_id, score, CASE WHEN dup THEN 'deduped' WHEN row_number() OVER (PARTITION BY dup ORDER BY score DESC, ledger_id) <= 20 THEN 'selected' ELSE 'truncated' END AS decision FROM x"""
+    f"""WITH {ROUNDS}, x AS (SELECT question, pos AS ledger_id, evidence_id, score, row_number() OVER (PARTITION BY question, evidence_id ORDER BY score DESC, pos) > 1 AS dup FROM cand)
+SELECT question, ledger_id, evidence_id, score, CASE WHEN dup THEN 'deduped' WHEN row_number() OVER (PARTITION BY question, dup ORDER BY score DESC, ledger_id) <= 20 THEN 'selected' ELSE 'truncated' END AS decision FROM x"""
 )
 def context_select(t: Tables):
     """#174 selected, truncated and deduped candidates."""
-    return rt.selection(candidates(t).select(F.col("pos").alias("ledger_id"), "evidence_id", "score"), 20)
+    return rt.selection(candidates(t).select("question", F.col("pos").alias("ledger_id"), "evidence_id", "score"), 20, ["question"])
 
 
 @query(
