@@ -4,14 +4,16 @@ A byte goes if it is covered by a SPAN-byte string that also starts in a documen
 
 1. Anchors. In each window of SPAN bytes the GRAM-byte string with the least hash is its anchor, so equal
    windows have equal anchors at equal offsets. The windows of an anchor are a run; its bytes are the
-   anchor's context. Anchors are dealt by their hash, 19 bytes each: contexts that an earlier document has
-   too (96 bits of prefix polynomial hashes) go entire; anchors that other documents have in other contexts
-   are in doubt, and only they are looked at further.
+   anchor's context. Anchors are dealt by their hash: contexts that an earlier document has too (by prefix
+   polynomial hashes) go entire; anchors that other documents have in other contexts are in doubt.
 2. Suffix sort. The contexts in doubt are fetched from the texts and dealt by anchor. Suffixes that start
    at the same offset from the same anchor are sorted by mergesort; two suffixes are compared by their
    longest common extension, found by binary search over prefix polynomial hashes. Neighbours that agree
    in SPAN bytes are verified byte by byte, and each such class keeps its smallest doc_id.
-3. The spans of both steps meet the texts once more, by document.
+3. The contexts of step 1 are verified too. Those that follow one another in a text and in its earlier text are
+   one run. Inside a batch the bytes of both are compared; else a run's 128-bit BLAKE2 digest is sent to the earlier
+   text, which must give the same for its own bytes. A difference is a collision of hashes, and an error.
+4. The spans of all steps meet the texts once more, by document.
 
 A context that an earlier text of the same batch has isn't dealt by its anchor. An anchor with many contexts
 in doubt is dealt by the hash of each window, and of a window only the first document of a place of texts is
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,34 +87,47 @@ def unsmall(raw: bytes, size: int) -> np.ndarray:
 
 
 #: Packed columns and the bytes of a number in each.
-FIELDS = {"a": 6, "c": 6, "start": 4, "more": 1, "shift": 1}
+FIELDS = {"a": 6, "c": 6, "start": 4, "more": 4, "shift": 1, "src": 8, "src_name": 4, "src_start": 4}
+#: What a packed row has: windows that go; contexts in doubt; windows that go and their earlier text; digests for an earlier text.
+GOES, DOUBT, CLAIMED, DIGEST = range(4)
+COLUMNS = ("docs", "names", "runs", *FIELDS, "data")
+PACK = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("packed", pa.binary())])
+PACK_SQL = "bucket int, kind int, packed binary"
 
 
-def packs(bucket: np.ndarray, doc: np.ndarray, name: np.ndarray, fields: dict[str, np.ndarray], data: list[bytes] | None = None) -> list[dict]:
-    """A packed row per bucket; documents (id and text hash) as runs of equal ones."""
+def packs(kind: int, bucket: np.ndarray, doc: np.ndarray, name: np.ndarray, fields: dict[str, np.ndarray], data: list[bytes] | None = None) -> list[dict]:
+    """A packed row per bucket, compressed; documents (id and text hash) as runs of equal ones."""
     out = []
     order = np.argsort(bucket, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
         d, t = doc[part], name[part]
         new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])))
-        row = {"bucket": int(bucket[part[0]]), "docs": d[new].tobytes(), "names": small(t[new], 4), "runs": small(np.diff(np.append(new, len(d))), 4)}
-        row |= {k: small(fields[k][part], size) if k in fields else None for k, size in FIELDS.items()}
-        row["data"] = b"".join(data[i] for i in part) if data is not None else None
-        out.append(row)
+        raw = [d[new].tobytes(), small(t[new], 4), small(np.diff(np.append(new, len(d))), 4)]
+        raw += [small(fields[k][part], size) if k in fields else b"" for k, size in FIELDS.items()]
+        raw.append(b"".join(data[i] for i in part) if data is not None else b"")
+        ends = np.cumsum([len(x) for x in raw]).astype("<i8").tobytes()
+        out.append({"bucket": int(bucket[part[0]]), "kind": kind, "packed": zstandard.compress(ends + b"".join(raw), 1)})
     return out
 
 
-PACK = pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in ("docs", "names", "runs", *FIELDS, "data")]])
-PACK_SQL = "bucket int, " + ", ".join(f"{k} binary" for k in ("docs", "names", "runs", *FIELDS, "data"))
-
-
-def unpack(table: pa.Table) -> dict[str, np.ndarray]:
-    raw = {k: b"".join(x or b"" for x in table.column(k).to_pylist()) for k in table.column_names if k not in ("bucket", "place")}
+def unpack(packed: pa.ChunkedArray) -> dict[str, np.ndarray]:
+    """The columns of packed rows of one kind; a field that they don't have is empty."""
+    found: dict[str, list] = {k: [] for k in COLUMNS}
+    for x in packed:
+        raw = memoryview(zstandard.decompress(x.as_buffer()))
+        ends = np.frombuffer(raw[: 8 * len(COLUMNS)], "<i8") + 8 * len(COLUMNS)
+        for k, i, j in zip(COLUMNS, [8 * len(COLUMNS), *ends[:-1].tolist()], ends.tolist(), strict=True):
+            found[k].append(raw[i:j])
+    raw = {k: b"".join(v) for k, v in found.items()}
     runs = unsmall(raw["runs"], 4)
     out = {"doc": np.repeat(np.frombuffer(raw["docs"], np.int64), runs), "name": np.repeat(unsmall(raw["names"], 4), runs)}
     return out | {k: unsmall(raw[k], size) for k, size in FIELDS.items()} | {"data": np.frombuffer(raw["data"], np.uint8)}
 
 
+def of_kind(table: pa.Table, *kinds: int) -> pa.ChunkedArray:
+    return table.filter(np.isin(table.column("kind").to_numpy(), kinds)).column("packed") if table.num_rows else pa.chunked_array([], pa.binary())
+
+
 def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, number of the group of each row in that order) of rows by keys, the last one first."""
     order = np.lexsort(keys)
@@ -225,7 +240,22 @@ def gone_spans(doc: np.ndarray, name: np.ndarray, start: np.ndarray, bucket_of)
         return []
     new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (name[1:] != name[:-1]) | (start[1:] > start[:-1] + 1)))
     end = start[np.append(new[1:], len(start)) - 1]
-    return packs(bucket_of(doc[new]), doc[new], name[new], {"start": start[new], "more": end - start[new]})
+    return packs(GOES, bucket_of(doc[new]), doc[new], name[new], {"start": start[new], "more": end - start[new]})
+
+
+def claimed_runs(doc: np.ndarray, name: np.ndarray, start: np.ndarray, more: np.ndarray, src: np.ndarray, src_name: np.ndarray, src_start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts and the same ones in earlier texts -> (first context of each run, its length): runs go on as long as
+    contexts touch in both texts."""
+    shift = src_start - start
+    order = np.lexsort((start, shift, src_name, src, name, doc))
+    same = np.ones(max(0, len(order) - 1), bool)
+    for x in (doc, name, src, src_name, shift):
+        same &= x[order][1:] == x[order][:-1]
+    end = (start + more + SPAN)[order]
+    # Contexts of a text come in order of their ends as of their starts.
+    new = np.flatnonzero(np.append(True, ~(same & (start[order][1:] <= end[:-1])))) if len(order) else np.zeros(0, np.int64)
+    last = np.append(new[1:], len(order)) - 1
+    return order[new], end[last] - start[order[new]] if len(order) else start
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -265,60 +295,77 @@ def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_by
                     found = anchors(piece, off)
                     names = text_names(piece, off)
                     keep = ~null[found[0] + a]
-                    got.append([ids[found[0][keep] + a], names[found[0][keep]], *[x[keep] for x in found[1:]]])
-                doc, name, a, c, start, more, shift = (np.concatenate(x) for x in zip(*got, strict=True))
-                order, group = groups(c, a)
-                low = np.empty(len(doc), np.int64)
-                low[order] = least_of(group, doc[order])
-                known = doc > low  # an earlier document of these has the context
+                    got.append([ids[found[0][keep] + a], names[found[0][keep]], found[0][keep] + a, *[x[keep] for x in found[1:]]])
+                doc, name, row, a, c, start, more, shift = (np.concatenate(x) for x in zip(*got, strict=True))
+                order, _ = groups(doc, c, a)
+                new = np.append(True, (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1]))[: len(order)]
+                first = np.empty(len(doc), np.int64)  # the row of the first document with the context
+                first[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                known = doc > doc[first]  # an earlier document of these has the context
+                mine, its = np.flatnonzero(known), first[known]
+                run, length = claimed_runs(row[mine], mine * 0, start[mine], more[mine], row[its], its * 0, start[its])
+                for x, y, n in zip((offsets[row[mine]] + start[mine])[run].tolist(), (offsets[row[its]] + start[its])[run].tolist(), length.tolist(), strict=True):
+                    if not np.array_equal(data[x : x + n], data[y : y + n]):
+                        raise RuntimeError("contexts with equal hashes differ")
                 fields = {"a": a, "c": c, "start": start, "more": more, "shift": shift}
                 bucket = (mix(a.view(np.uint64) & np.uint64((1 << 48) - 1)) % np.uint64(parts)).astype(np.int64)
-                out = packs(bucket[~known], doc[~known], name[~known], {k: v[~known] for k, v in fields.items()})
-                out += packs(parts + place_of(doc[known]), doc[known], name[known], {k: fields[k][known] for k in ("start", "more")})
+                out = packs(DOUBT, bucket[~known], doc[~known], name[~known], {k: v[~known] for k, v in fields.items()})
+                out += packs(GOES, parts + place_of(doc[known]), doc[known], name[known], {k: fields[k][known] for k in ("start", "more")})
                 yield pa.RecordBatch.from_pylist(out, PACK)
 
     def judge(table: pa.Table) -> pa.Table:
-        """Packed rows by place of document: spans that go (no a), and contexts in doubt (with a)."""
+        """Packed rows by place of document: windows that go, and contexts in doubt."""
         bucket = table.column("bucket")[0].as_py()
         if bucket >= parts:
             place = pa.array([bucket - parts] * table.num_rows, pa.int32())
             return table.set_column(0, "bucket", place)
-        x = unpack(table)
-        order, group = groups(x["c"], x["a"])
-        x = {k: v[order] for k, v in x.items() if k != "data"}
-        low = least_of(group, x["doc"])
-        gone = x["doc"] > low
+        x = unpack(table.column("packed"))
+        del x["data"], x["src"], x["src_name"], x["src_start"]
+        order, group = groups(x["doc"], x["c"], x["a"])
+        x = {k: v[order] for k, v in x.items()}
+        new = np.append(True, (x["a"][1:] != x["a"][:-1]) | (x["c"][1:] != x["c"][:-1]))[: len(order)]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]  # a context's first document comes first
+        gone = np.flatnonzero(x["doc"] > x["doc"][first])
         # Of each context the rows of its first document; of each anchor those with other contexts and documents.
-        left = np.flatnonzero(~gone)
+        left = np.flatnonzero(x["doc"] == x["doc"][first])
         y = {k: v[left] for k, v in x.items()}
         anchor = np.cumsum(np.append(False, y["a"][1:] != y["a"][:-1])) if len(left) else np.zeros(0, np.int64)
         several = least_of(anchor, y["doc"]) != -least_of(anchor, -y["doc"]) if len(left) else np.zeros(0, bool)
         many = np.bincount(anchor)[anchor] > frequent if len(left) else several
-        out = packs(place_of(x["doc"][gone]), x["doc"][gone], x["name"][gone], {k: x[k][gone] for k in ("start", "more")})
+        source = {"src": x["doc"][first[gone]], "src_name": x["name"][first[gone]], "src_start": x["start"][first[gone]]}
+        out = packs(CLAIMED, place_of(x["doc"][gone]), x["doc"][gone], x["name"][gone], {k: x[k][gone] for k in ("start", "more")} | source)
         # c is 1 for anchors that are dealt by windows
         doubt = {k: y[k][several] for k in ("a", "start", "more", "shift")} | {"c": many[several].astype(np.int64)}
-        out += packs(place_of(y["doc"][several]), y["doc"][several], y["name"][several], doubt)
+        out += packs(DOUBT, place_of(y["doc"][several]), y["doc"][several], y["name"][several], doubt)
         return pa.Table.from_pylist(out, PACK)
 
     def fetch(texts: pa.Table, spans: pa.Table) -> pa.Table:
-        """Bytes of the contexts in doubt, dealt by anchor."""
-        doubt = spans.filter(pa.compute.and_(pa.compute.is_valid(spans.column("a")), pa.compute.greater(pa.compute.binary_length(spans.column("a")), 0))) if spans.num_rows else spans
-        if not doubt.num_rows:
+        """Bytes of the contexts in doubt, dealt by anchor; digests of the runs that earlier texts have, for those."""
+        doubt, claimed = of_kind(spans, DOUBT), of_kind(spans, CLAIMED)
+        if not len(doubt) and not len(claimed):
             return pa.Table.from_pylist([], PACK)
-        x = unpack(doubt)
         data, offsets, ids, null = named(texts)
         names = np.concatenate([text_names(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in passes(offsets)])
-        where: dict[tuple[int, int], int] = {}
-        for i in np.flatnonzero(~null):
-            where.setdefault((int(ids[i]), int(names[i])), int(i))
-        pair = [where[(d, n)] for d, n in zip(x["doc"].tolist(), x["name"].tolist(), strict=True)]
+        where = places_of(ids, names, null)
+        out: list[dict] = []
+        if len(claimed):
+            x = unpack(claimed)
+            run, length = claimed_runs(x["doc"], x["name"], x["start"], x["more"], x["src"], x["src_name"], x["src_start"])
+            y = {k: x[k][run] for k in ("doc", "name", "start", "src", "src_name", "src_start")}
+            begin = offsets[[where[p] for p in zip(y["doc"].tolist(), y["name"].tolist(), strict=True)]] + y["start"]
+            digests = [digest(data[i : i + n]) for i, n in zip(begin.tolist(), length.tolist(), strict=True)]
+            out += packs(DIGEST, parts + place_of(y["src"]), y["src"], y["src_name"], {"start": y["src_start"], "more": length}, digests)
+        if not len(doubt):
+            return pa.Table.from_pylist(out, PACK)
+        x = unpack(doubt)
+        pair = [where[p] for p in zip(x["doc"].tolist(), x["name"].tolist(), strict=True)]
         begin = offsets[pair] + x["start"]
         wide = x["c"] == 1
         pieces = [data[b : b + m + SPAN].tobytes() for b, m in zip(begin.tolist(), x["more"].tolist(), strict=True)]
         bucket = (mix(x["a"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
         tight = np.flatnonzero(~wide)
         fields = ("a", "start", "more", "shift")
-        out = packs(bucket[tight], x["doc"][tight], x["name"][tight], {k: x[k][tight] for k in fields}, [pieces[i] for i in tight])
+        out += packs(DOUBT, bucket[tight], x["doc"][tight], x["name"][tight], {k: x[k][tight] for k in fields}, [pieces[i] for i in tight])
         if wide.any():
             index = np.flatnonzero(wide)
             times = x["more"][index] + 1
@@ -337,14 +384,14 @@ def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_by
             sent = np.flatnonzero(~later)
             spread = (mix(own.view(np.uint64)) % np.uint64(parts)).astype(np.int64)[sent]
             none = np.zeros(len(sent), np.int64)
-            out += packs(spread, doc[sent], x["name"][row][sent], {"a": own[sent], "start": start[sent], "more": none, "shift": none}, [windows[i] for i in sent])
+            out += packs(DOUBT, spread, doc[sent], x["name"][row][sent], {"a": own[sent], "start": start[sent], "more": none, "shift": none}, [windows[i] for i in sent])
         return pa.Table.from_pylist(out, PACK)
 
     def decide(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        if bucket >= parts:  # decided already
+        if bucket >= parts:  # for a place, as it is
             return table.set_column(0, "bucket", pa.array([bucket - parts] * table.num_rows, pa.int32()))
-        x = unpack(table)
+        x = unpack(table.column("packed"))
         length = x["more"] + SPAN
         origin = np.cumsum(length) - length
         order = np.argsort(x["a"], kind="stable")
@@ -383,12 +430,19 @@ def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_by
         return pa.Table.from_pylist(out, PACK)
 
     def finish(texts: pa.Table, spans: pa.Table) -> pa.Table:
-        """Removes the spans and sums up each text."""
+        """Verifies digests, removes the spans and sums up each text."""
         data, offsets, ids, null = named(texts)
         names = np.concatenate([text_names(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in passes(offsets)]) if texts.num_rows else np.zeros(0, np.int64)
+        where = places_of(ids, names, null)
+        x = unpack(of_kind(spans, DIGEST))
+        begin = offsets[[where[p] for p in zip(x["doc"].tolist(), x["name"].tolist(), strict=True)]] + x["start"] if len(x["doc"]) else x["doc"]
+        for i, (at, n) in enumerate(zip(begin.tolist(), x["more"].tolist(), strict=True)):
+            if digest(data[at : at + n]) != x["data"][16 * i : 16 * i + 16].tobytes():
+                raise RuntimeError("contexts with equal hashes differ")
         cut: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        if spans.num_rows:
-            x = unpack(spans.select([*PACK.names]))
+        x = [unpack(of_kind(spans, k)) for k in (GOES, CLAIMED)]
+        x = {k: np.concatenate([y[k] for y in x]) for k in ("doc", "name", "start", "more")}
+        if len(x["doc"]):
             order = np.lexsort((x["name"], x["doc"]))
             d, n = x["doc"][order], x["name"][order]
             for part in np.split(order, np.flatnonzero((d[1:] != d[:-1]) | (n[1:] != n[:-1])) + 1):
@@ -421,11 +475,23 @@ def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_by
     # The place of a document is computed in Python; this one only has to agree with itself.
     lookup = rows.mapInArrow(lambda batches: _placed(batches, place_of), "place int, doc_id long, text string")
     texts = lookup.groupBy("place")
-    doubt = spans.where("a is not null and length(a) > 0").select("place", *PACK.names[1:])
-    contexts = texts.cogroup(doubt.groupBy("place")).applyInArrow(_both(fetch), PACK_SQL)
+    asked = spans.where(F.col("kind").isin(DOUBT, CLAIMED))
+    contexts = texts.cogroup(asked.groupBy("place")).applyInArrow(_both(fetch), PACK_SQL)
     more = contexts.groupBy("bucket").applyInArrow(decide, PACK_SQL).withColumnRenamed("bucket", "place")
-    known = spans.where("a is null or length(a) = 0").select("place", *PACK.names[1:])
-    return settled(texts.cogroup(known.unionByName(more).groupBy("place")).applyInArrow(_both(finish), RESULT), "kept", stored)
+    known = spans.where(F.col("kind").isin(GOES, CLAIMED)).unionByName(more)
+    return settled(texts.cogroup(known.groupBy("place")).applyInArrow(_both(finish), RESULT), "kept", stored)
+
+
+def digest(data: np.ndarray) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def places_of(ids: np.ndarray, names: np.ndarray, null: np.ndarray) -> dict[tuple[int, int], int]:
+    """First row of each text, by doc_id and text hash."""
+    out: dict[tuple[int, int], int] = {}
+    for i in np.flatnonzero(~null):
+        out.setdefault((int(ids[i]), int(names[i])), int(i))
+    return out
 
 
 def _placed(batches: Iterator[pa.RecordBatch], place_of) -> Iterator[pa.RecordBatch]:

@@ -699,6 +699,26 @@ def test_preferences(spark):
     assert pf.paired(df.limit(0)).count() == 0
 
 
+def test_preferences_of_repeats_ties_and_long_conversations(spark):
+    """Repeated rows are turns each, equal turn numbers go by role and text, thousands of turns are one pair."""
+    r = random.Random(2)
+    long = [(i, r.choice(("user", "assistant")), f"line {i % 7}") for i in range(2500)]
+    data = {0: [(0, "user", "a"), (0, "user", "a"), (1, "assistant", "z"), (1, "assistant", "b")], 1: [(1, "assistant", "b"), (0, "user", "a"), (0, "user", "a")], 2: long, 3: long[:1200] + [(1200, "assistant", "other")]}
+    rows = [(c, *t, 7) for c, turns in data.items() for t in turns]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pair_id int").repartition(3)
+    got = {x["pair_id"]: x for x in pf.paired(df).collect()}
+    for pair in (0, 1):
+        a, b = (sorted(data[2 * pair + i]) for i in (0, 1))
+        shared = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x[1:] != y[1:]), min(len(a), len(b)))
+        shared = min(shared, len(a) - 1, len(b) - 1)
+        show = lambda turns: "".join(f"<|{role}|>\n{text}<|end|>\n" for _, role, text in turns)
+        x = got[pair]
+        assert (x["prompt_turns"], x["prompt"], x["chosen"], x["rejected"]) == (shared, show(a[:shared]), show(a[shared:]), show(b[shared:]))
+        for text, mask, turns in ((x["chosen"], x["chosen_mask"], a[shared:]), (x["rejected"], x["rejected_mask"], b[shared:])):
+            assert [text[m["begin"] : m["finish"]] for m in mask] == [f"{t}<|end|>\n" for _, role, t in turns if role == "assistant"]
+
+
 def removal(rows):
     """Brute force: (bytes, removed, spans, hash) by (doc_id, text)."""
     first = {}
@@ -736,6 +756,27 @@ def test_suffix_dedup(spark, docs, none, frequent):
     assert sd.deduplicated(none).count() == 0
 
 
+def test_suffix_runs_cover_their_contexts_and_no_more():
+    r = np.random.default_rng(7)
+    rows = []
+    for doc in range(6):
+        at = 0
+        for _ in range(40):
+            more = int(r.integers(0, 35))
+            if r.random() < 0.7:
+                src = int(r.integers(2))
+                rows.append((doc, doc * 3, at, more, src, src * 5, at + int(r.choice([0, 7]))))
+            at += more + 1
+    r.shuffle(rows)
+    x = [np.array(c) for c in zip(*rows, strict=True)]
+    run, length = sd.claimed_runs(*x)
+    cells = lambda d, s, src, t, n: {(d, src, s + i, t + i) for i in range(n)}
+    want = set().union(*[cells(d, s, src, t, m + sd.SPAN) for d, _, s, m, src, _, t in rows])
+    got = [cells(x[0][i], x[2][i], x[4][i], x[6][i], n) for i, n in zip(run, length, strict=True)]
+    assert set().union(*got) == want and sum(map(len, got)) == len(want) and len(run) < len(rows)
+    assert len(sd.claimed_runs(*[c[:0] for c in x])[0]) == 0
+
+
 def test_suffix_sort_is_a_sort():
     r = np.random.default_rng(2)
     data = np.append(r.integers(97, 99, 3000).astype(np.uint8), np.zeros(sd.SPAN, np.uint8))
