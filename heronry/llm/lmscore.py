@@ -485,11 +485,11 @@ def known_of(rows: DataFrame, parts: int, coded: int | None = None, chunk: int =
     texts = rows.select("text")
     fill = 4 * parts  # a word, pair or n-gram over 1 / fill of all words fills a quarter of a bucket
     counted = texts.mapInArrow(counts(max(chunk, 64 * parts), 0.5 / fill), "kind long, name long, cnt long, heads long, check long")
-    sums = [F.sum("cnt").alias("cnt"), F.sum("heads").alias("heads"), F.min("check").alias("low"), F.max("check").alias("high")]
+    sums = [F.sum("cnt").alias("cnt"), F.sum("heads").alias("heads"), (F.min("check") != F.max("check")).alias("bad")]
     names = written(counted.groupBy("kind", "name").agg(*sums), "words")
     released(spark)
     words = names.where("kind = 1")
-    state = words.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"), F.count(F.when(F.col("low") != F.col("high"), 1)).alias("bad")).first()
+    state = words.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"), F.count_if("bad").alias("bad")).first()
     if state["bad"]:
         raise ValueError(f"{state['bad']} pairs of words share a 64-bit hash")
     total = int(state["n"])
