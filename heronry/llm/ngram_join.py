@@ -41,6 +41,8 @@ from .textkernel import mix, shingle_sets, text_buffers
 BLOCK_SHINGLES = 1_500_000
 #: Bytes of text behind each bucket of lists, and of classes.
 LIST_BYTES, CLASS_BYTES = 16 << 20, 40 << 20
+#: Shingles that are dealt at once.
+DEALT = 1 << 20
 #: DivideSkip's weight of a long list's probes.
 MU = 0.01
 #: The level of a list that isn't dealt; those of others are by length, eight to a doubling.
@@ -73,14 +75,6 @@ def _named_sets(batch: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], list[t
     return sets, [_set_names(s) if len(s) else (None, None) for s in sets]
 
 
-def _distinct(sets: list[np.ndarray], names: list[tuple], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, their class) of the wanted rows' classes, each once."""
-    first = {name: i for i, name in reversed(list(enumerate(names))) if name[0] is not None and wanted[i]}
-    flat = np.concatenate([sets[i] for i in first.values()]) if first else np.zeros(0, np.uint64)
-    own = np.repeat(np.array([name[0] for name in first], np.uint64), [len(sets[i]) for i in first.values()]) if first else flat
-    return flat, own.view(np.int64)
-
-
 def _sets_kernel(k: int, parts: int):
     """Size and 128-bit name of each row's set; and, with n = -1, shingles (c1) that are in so many of a batch's
     classes (c2) that their lists may be too long to be dealt."""
@@ -88,7 +82,9 @@ def _sets_kernel(k: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, names = _named_sets(batch, k)
-            flat, _ = _distinct(sets, names, np.array(batch.column("doc_id").is_valid()))
+            valid = np.array(batch.column("doc_id").is_valid())
+            own = {name: i for i, name in enumerate(names) if name[0] is not None and valid[i]}.values()
+            flat = np.concatenate([sets[i] for i in own]) if own else np.zeros(0, np.uint64)
             least = max(8, len(flat) / (8 * parts))
             slot = (flat >> np.uint64(44)).astype(np.int64)
             often, count = np.unique(flat[np.bincount(slot, minlength=1 << 20)[slot] >= least], return_counts=True)
@@ -151,15 +147,32 @@ def _postings_kernel(k: int, parts: int, class_parts: int, longest: np.ndarray):
     """Shingles of the classes of a batch: in the buckets of their lists, or, if those aren't dealt, after those in the
     buckets of their classes."""
 
+    longest = np.sort(longest)
+
+    def dealt(flat: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        known = np.zeros(len(flat), bool)
+        if len(longest):
+            known = longest[np.minimum(np.searchsorted(longest, flat), len(longest) - 1)] == flat
+        bucket = _bucket_of(flat, parts)
+        rows = _packed(bucket[~known], flat[~known], own[~known], 6)
+        level = np.full(int(known.sum()), LONGEST)
+        return _table(rows + _packed(parts + own[known] % class_parts, _named(flat[known], bucket[known]), own[known], 8, level))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, names = _named_sets(batch, k)
-            flat, own = _distinct(sets, names, np.ones(len(sets), bool))
-            known = np.isin(flat, longest)
-            bucket = _bucket_of(flat, parts)
-            rows = _packed(bucket[~known], flat[~known], own[~known], 6)
-            level = np.full(int(known.sum()), LONGEST)
-            yield _table(rows + _packed(parts + own[known] % class_parts, _named(flat[known], bucket[known]), own[known], 8, level))
+            seen: set = set()
+            held: list[int] = []
+            size = 0
+            for i, name in enumerate(names):  # whole classes, about DEALT shingles at a time
+                if name[0] is not None and name not in seen:
+                    seen.add(name)
+                    held.append(i)
+                    size += len(sets[i])
+                if held and (size >= DEALT or i == len(names) - 1):
+                    own = np.repeat(np.array([names[j][0] for j in held], np.uint64), [len(sets[j]) for j in held])
+                    yield dealt(np.concatenate([sets[j] for j in held]), own.view(np.int64))
+                    held, size = [], 0
 
     return run
 
