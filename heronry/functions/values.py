@@ -19,7 +19,8 @@ def uuid5(name: Column, space: str = URL_SPACE) -> Column:
 def instant(text: Column) -> Column:
     """ISO-8601 with a zone (Z or an offset) -> timestamp; null without one, or if it is none."""
     zoned = text.rlike("^\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}(:\\d{2}(\\.\\d{1,6})?)?(Z|[+-]\\d{2}:\\d{2})$")
-    return F.when(zoned, text.try_cast("timestamp"))
+    whole = F.regexp_replace(text, "^(.{10}[T ]\\d{2}:\\d{2})(?=Z|[+-])", "$1:00")
+    return F.when(zoned, whole.try_cast("timestamp"))
 
 
 def isoformat(at: Column) -> Column:
