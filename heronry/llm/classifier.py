@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkernel import passes, text_buffers
+from .textkernel import passes, slices, text_buffers, trimmed
 
 EMBED, WIDTH, STRIDE, FILTERS = 4, 8, 4, 16
 LAGS = range(2, 25)
@@ -256,7 +256,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     fields = docs.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole)):
             data, offsets = text_buffers(batch.column("text"))
             s = np.round(scores(model, data, offsets), 6)
             yield pa.RecordBatch.from_arrays(
@@ -270,8 +270,10 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     """The rows of docs with a score of threshold or more, with their own columns whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = np.round(scores(model, *text_buffers(batch.column("text"))), 6)
-            yield batch.filter(pa.array(s >= threshold))
+        for whole in batches:
+            for batch in slices(whole):
+                s = np.round(scores(model, *text_buffers(batch.column("text"))), 6)
+                yield batch.filter(pa.array(s >= threshold))
+            trimmed()
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import FOLD, mix, passes, text_buffers
+from .textkernel import FOLD, mix, passes, slices, text_buffers, trimmed
 
 Q = 7
 EDIT_RATE = 0.1
 #: Hits with their items that are held at once, and cells of an alignment.
-HITS_AT_ONCE, CELLS = 2_000_000, 4_000_000
+HITS_AT_ONCE, CELLS = 1_000_000, 2_000_000
 #: Bytes of items in a block that is sent to the tasks.
 BLOCK_BYTES = 4 << 20
 FILTER_BITS, TABLE_BITS = 22, 20
+#: Bytes of text that are searched at once.
+SEARCH_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -318,7 +320,7 @@ def searched(batch: pa.RecordBatch, index: Index) -> list[tuple[int, int, int, i
     """Index.search over the texts of a batch; documents are its rows."""
     data, offsets = text_buffers(batch.column("text"))
     found = []
-    for a, b in passes(offsets):
+    for a, b in passes(offsets, SEARCH_BYTES):
         found += [(x[0] + a, *x[1:]) for x in index.search(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
     return found
 
@@ -330,7 +332,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
 
     def of(index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (x for whole in batches for x in slices(whole)):
                 found = searched(batch, index.value)
                 columns = list(zip(*found, strict=True)) if found else [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
@@ -354,10 +356,12 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLO
     for index in indexes(docs, benchmark, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                clean[[x[0] for x in searched(batch, index.value)]] = False
-                yield batch.filter(pa.array(clean))
+            for whole in batches:
+                for batch in slices(whole):
+                    clean = np.ones(batch.num_rows, bool)
+                    clean[[x[0] for x in searched(batch, index.value)]] = False
+                    yield batch.filter(pa.array(clean))
+                trimmed()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

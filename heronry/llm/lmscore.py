@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import released, settled, written
-from .textkernel import mix, passes, prefix_hashes, range_hashes, text_buffers, word_spans
+from .textkernel import mix, passes, prefix_hashes, range_hashes, text_buffers, thrifty, trimmed, word_spans
 
 ALPHA, ORDER, OWN = 0.4, 3, 1
 #: Bytes of text for each bucket of n-grams, and behind each place where sums of documents meet.
@@ -163,7 +163,7 @@ def counts(chunk: int, least: float):
             for rows in word_rows(batch.column("text")):
                 found.append(rows)
                 if sum(len(x[0]) for x in found) > chunk:
-                    yield summed(found)
+                    yield thrifty(summed)(found)
                     found = []
         if found:
             yield summed(found)
@@ -369,6 +369,7 @@ class Scorer:
                     yield from packed()
                     held = []
             at += batch.num_rows
+            trimmed()
         if held:
             yield from packed()
 
@@ -531,12 +532,12 @@ def scored(docs: DataFrame, alpha: float = ALPHA, order: int = ORDER, own: int =
     exploded = rows.mapInArrow(scorer.explode, PACK)
     # Sums of what was scored where it stood, and words left there, go past the buckets of n-grams.
     dealt = exploded.withColumn("way", F.when(F.col("bucket") < 2 * parts, F.col("bucket")).otherwise(F.lit(-1) - F.coalesce(F.col("place"), F.col("bucket"))))
-    half = written(dealt.groupBy("way").applyInArrow(lambda table: _scored_or_passed(scorer, table), PACK), "ngrams")
+    half = written(dealt.groupBy("way").applyInArrow(thrifty(lambda table: _scored_or_passed(scorer, table)), PACK), "ngrams")
     del exploded, dealt
     released(spark)
     rest = half.where("bucket is not null").select((F.col("bucket") - 2 * parts).alias("bucket"), "words")
     counted = names.where("kind = 1").select("name", "cnt").mapInArrow(scorer.pack_words, "bucket int, w binary, cnt binary")
-    backed = rest.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(lambda left, right: scorer.unigrams(left, right), PACK)
+    backed = rest.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(thrifty(lambda left, right: scorer.unigrams(left, right)), PACK)
     packed = half.where("place is not null").select("place", "sums").unionByName(backed.select("place", "sums"))
     sums = packed.groupBy("place").applyInArrow(_totals, "doc long, value double, n long")
     every = rows.where("doc_id is not null").select("doc_id").distinct()

@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from .components import components
 from .runtime import released, settled, written
-from .textkernel import mix, shingle_sets, text_buffers
+from .textkernel import mix, shingle_sets, text_buffers, thrifty, trimmed
 
 #: Shingles that one search task holds.
 BLOCK_SHINGLES = 1_500_000
@@ -83,14 +83,19 @@ def _sets_kernel(k: int, parts: int):
         for batch in batches:
             sets, names = _named_sets(batch, k)
             valid = np.array(batch.column("doc_id").is_valid())
-            own = {name: i for i, name in enumerate(names) if name[0] is not None and valid[i]}.values()
-            flat = np.concatenate([sets[i] for i in own]) if own else np.zeros(0, np.uint64)
-            least = max(8, len(flat) / (8 * parts))
-            slot = (flat >> np.uint64(44)).astype(np.int64)
-            often, count = np.unique(flat[np.bincount(slot, minlength=1 << 20)[slot] >= least], return_counts=True)
+            own = [sets[i] for i in {name: i for i, name in enumerate(names) if name[0] is not None and valid[i]}.values()]
+            least = max(8, sum(map(len, own)) / (8 * parts))
+            slot = lambda s: (s >> np.uint64(44)).astype(np.int64)
+            table = np.zeros(1 << 20, np.int32)
+            for s in own:  # a shingle is in a set once, two of one slot seldom
+                table[slot(s)] += 1
+            often = [s[table[slot(s)] >= least] for s in own]
+            often, count = np.unique(np.concatenate(often) if often else np.zeros(0, np.uint64), return_counts=True)
             often, count = often[count >= least].view(np.int64), count[count >= least]
             c1, c2 = ([None if x[i] is None else _as_long(x[i]) for x in names] for i in (0, 1))
             columns = [batch.column("doc_id").cast(pa.int64()).to_pylist() + [None] * len(often), [len(s) for s in sets] + [-1] * len(often), c1 + often.tolist(), c2 + count.tolist()]
+            del sets, own
+            trimmed()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "n", "c1", "c2"])
 
     return run
@@ -173,6 +178,8 @@ def _postings_kernel(k: int, parts: int, class_parts: int, longest: np.ndarray):
                     own = np.repeat(np.array([names[j][0] for j in held], np.uint64), [len(sets[j]) for j in held])
                     yield dealt(np.concatenate([sets[j] for j in held]), own.view(np.int64))
                     held, size = [], 0
+            del sets
+            trimmed()
 
     return run
 
@@ -365,14 +372,14 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, block_shingl
     often = found.where("n = -1").groupBy("c1").agg(F.sum("c2").alias("lists")).where(F.col("lists") * F.lit(8 * parts) >= F.lit(state["all"]))
     longest = np.array([x["c1"] for x in often.select("c1").collect()], np.int64).view(np.uint64)  # at most 8 * parts
     postings = texts.where("doc_id is not null and text is not null").select("text").mapInArrow(_postings_kernel(k, parts, class_parts, longest), PACK)
-    lengths = postings.groupBy("bucket").applyInArrow(_lengths_kernel(parts, class_parts), PACK)
+    lengths = postings.groupBy("bucket").applyInArrow(thrifty(_lengths_kernel(parts, class_parts)), PACK)
     named = classes.select("c1", "rep", "n").groupBy(F.pmod("c1", F.lit(class_parts)).cast("int").alias("bucket"))
-    run = _lists_kernel(num, den)
+    run = thrifty(_lists_kernel(num, den))
     lists = written(lengths.groupBy("bucket").cogroup(named).applyInArrow(lambda x, y: run(x, y), LISTS), "lists")
     del postings, lengths
     released(spark)
     merged = lists.select("c1", "short").mapInArrow(_merge_kernel(parts), PACK)
-    blocks = components(merged.groupBy("bucket").applyInArrow(_meetings, "u long, v long"), "blocks")
+    blocks = components(merged.groupBy("bucket").applyInArrow(thrifty(_meetings), "u long, v long"), "blocks")
     del merged
     released(spark)
     members = lists.select("c1", "rep", F.length("tokens").alias("size")).join(blocks, F.col("c1") == F.col("node")).select("c1", "size", F.col("component").alias("block"))
@@ -390,7 +397,7 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, block_shingl
     apart = F.when(F.col("parts") == 1, F.col("block")).otherwise(F.xxhash64("block", "one", "two"))
     dealt = dealt.select("c1", "parts", apart.alias("block"), bucket.alias("bucket"))
     # A merge join at every size: the members grow with the documents, so they are not to be broadcast.
-    searched = lists.select("c1", "rep", "n", "tokens").join(dealt.hint("merge"), "c1").groupBy("bucket").applyInArrow(_search_kernel(num, den), LINKS)
+    searched = lists.select("c1", "rep", "n", "tokens").join(dealt.hint("merge"), "c1").groupBy("bucket").applyInArrow(thrifty(_search_kernel(num, den)), LINKS)
     links = written(searched, "links")
     scratch = [found, classes, lists, blocks, members, links]
     if links.where("not whole").limit(1).count():

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import settled, written
-from .textkernel import mix, passes, powers, prefix_hashes, range_hashes, text_buffers
+from .textkernel import mix, passes, powers, prefix_hashes, range_hashes, text_buffers, thrifty, trimmed
 
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
@@ -312,6 +312,7 @@ def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_by
                 out = packs(DOUBT, bucket[~known], doc[~known], name[~known], {k: v[~known] for k, v in fields.items()})
                 out += packs(GOES, parts + place_of(doc[known]), doc[known], name[known], {k: fields[k][known] for k in ("start", "more")})
                 yield pa.RecordBatch.from_pylist(out, PACK)
+            trimmed()
 
     def judge(table: pa.Table) -> pa.Table:
         """Packed rows by place of document: windows that go, and contexts in doubt."""
@@ -470,16 +471,16 @@ def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_by
             }
         )
 
-    stored = written(rows.mapInArrow(find, PACK_SQL).groupBy("bucket").applyInArrow(judge, PACK_SQL), "spans")
+    stored = written(rows.mapInArrow(find, PACK_SQL).groupBy("bucket").applyInArrow(thrifty(judge), PACK_SQL), "spans")
     spans = stored.withColumnRenamed("bucket", "place")
     # The place of a document is computed in Python; this one only has to agree with itself.
     lookup = rows.mapInArrow(lambda batches: _placed(batches, place_of), "place int, doc_id long, text string")
     texts = lookup.groupBy("place")
     asked = spans.where(F.col("kind").isin(DOUBT, CLAIMED))
-    contexts = texts.cogroup(asked.groupBy("place")).applyInArrow(_both(fetch), PACK_SQL)
-    more = contexts.groupBy("bucket").applyInArrow(decide, PACK_SQL).withColumnRenamed("bucket", "place")
+    contexts = texts.cogroup(asked.groupBy("place")).applyInArrow(_both(thrifty(fetch)), PACK_SQL)
+    more = contexts.groupBy("bucket").applyInArrow(thrifty(decide), PACK_SQL).withColumnRenamed("bucket", "place")
     known = spans.where(F.col("kind").isin(GOES, CLAIMED)).unionByName(more)
-    return settled(texts.cogroup(known.groupBy("place")).applyInArrow(_both(finish), RESULT), "kept", stored)
+    return settled(texts.cogroup(known.groupBy("place")).applyInArrow(_both(thrifty(finish)), RESULT), "kept", stored)
 
 
 def digest(data: np.ndarray) -> bytes:

@@ -6,7 +6,9 @@ in two lookups: range(a, b) = (H[b] - H[a]) * BASE**-a.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,32 @@ FOLD[list(SPACES)] = 32
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+def trimmed() -> None:
+    """Gives free memory back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def thrifty(f: Callable) -> Callable:
+    """f, of one or two arguments as Spark tells them apart; what it took is given back behind each call."""
+
+    def one(x):
+        try:
+            return f(x)
+        finally:
+            trimmed()
+
+    def two(x, y):
+        try:
+            return f(x, y)
+        finally:
+            trimmed()
+
+    return one if len(inspect.signature(f).parameters) == 1 else two
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -78,6 +106,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, a few at a time."""
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
 def passes(offsets: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of documents [a, b) of about limit bytes; a longer document is a run of its own."""
     a, n = 0, len(offsets) - 1
