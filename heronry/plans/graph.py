@@ -369,7 +369,9 @@ def ttl_purge(t: Tables):
     return rt.unioned(df.agg(F.count("*").alias("purged")).select(F.lit(k).alias("kind"), "purged") for k, df in (("runs", gone), ("sessions", sessions)))
 
 
-@query(f"WITH {CHUNKS} SELECT scope, count(*)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY b)) AS snapshot FROM (SELECT scope, b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT scope, h, substr(h, 1, 2) AS b FROM (SELECT scope, sha256(concat_ws('|', doc_id::VARCHAR, sha256(text))) AS h FROM chunks WHERE status = 'published')) GROUP BY ALL) JOIN (SELECT scope, count(*) FROM chunks WHERE status = 'published' GROUP BY 1) c(scope, m) USING (scope) GROUP BY scope".replace("count(*)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY b))", "any_value(m)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY b))"))
+@query(f"""WITH {CHUNKS}, e AS (SELECT scope, sha256(concat_ws('|', doc_id::VARCHAR, sha256(text))) AS h FROM chunks WHERE status = 'published'),
+q AS (SELECT scope, substr(h, 1, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM e GROUP BY ALL), p AS (SELECT scope, substr(b, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY b)) AS h FROM q GROUP BY scope, substr(b, 1, 2)),
+f AS (SELECT scope, sha256(string_agg(h, '' ORDER BY b)) AS snapshot FROM p GROUP BY 1) SELECT scope, n, snapshot FROM f JOIN (SELECT scope, count(*)::BIGINT AS n FROM e GROUP BY 1) USING (scope)""")
 def evidence_snapshot_hash(t: Tables):
     """#213 hash of each scope's published evidence."""
     rows = t.chunks.where("status = 'published'").select("scope", "doc_id", F.sha2("text", 256).alias("content"))
