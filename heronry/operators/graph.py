@@ -88,15 +88,18 @@ def levels(nodes: DataFrame, needs: DataFrame, rounds: int = 10_000) -> DataFram
     the needs that are met off the table and goes on until none is."""
     left = written(needs.select("node", "need").distinct(), "needs")
     ready = written(nodes.select("node").distinct().join(left, "node", "left_anti").select("node", F.lit(0).alias("level")), "levels")
-    done = [ready]
+    done, fresh = [ready], [ready]  # all levels; those that aren't off the table yet
     for level in range(1, rounds):
         if ready.isEmpty():
             break
-        met = left.join(ready.select(F.col("node").alias("need")), "need", "left_semi").select("node").distinct()
-        left = written(left.join(ready.select(F.col("node").alias("need")), "need", "left_anti").select("node", "need"), "needs")
-        ready = written(met.join(left, "node", "left_anti").select("node", F.lit(level).alias("level")), "levels")
-        done.append(ready)
-        if len(done) > 32:  # few tables, however deep it goes
+        met = reduce(DataFrame.unionByName, fresh).select(F.col("node").alias("need"))
+        open_ = left.join(met, "need", "left_anti").select("node", "need")
+        near = left.join(ready.select(F.col("node").alias("need")), "need", "left_semi").select("node").distinct()
+        ready = written(near.join(open_, "node", "left_anti").select("node", F.lit(level).alias("level")), "levels")
+        done, fresh = [*done, ready], [*fresh, ready]
+        if len(fresh) > 6:  # few tables, however deep it goes
+            left, fresh = written(open_, "needs"), [ready]
+        if len(done) > 32:
             done = [written(reduce(DataFrame.unionByName, done), "levels")]
     else:
         raise RuntimeError(f"needs over {rounds} levels")
