@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heronry.session import written
+from heronry.session import forgotten, settled, written
 
 HARD, SOFT, DECAY = 1.0, 0.3, 0.5
 
@@ -98,12 +98,14 @@ def levels(nodes: DataFrame, needs: DataFrame, rounds: int = 10_000) -> DataFram
         ready = written(near.join(open_, "node", "left_anti").select("node", F.lit(level).alias("level")), "levels")
         done, fresh = [*done, ready], [*fresh, ready]
         if len(fresh) > 6:  # few tables, however deep it goes
-            left, fresh = written(open_, "needs"), [ready]
+            before, left, fresh = left, written(open_, "needs"), [ready]
+            forgotten(before)
         if len(done) > 32:
             done = [written(reduce(DataFrame.unionByName, done), "levels")]
     else:
         raise RuntimeError(f"needs over {rounds} levels")
-    return nodes.select("node").join(reduce(DataFrame.unionByName, done), "node", "left")
+    out = nodes.select("node").join(reduce(DataFrame.unionByName, done), "node", "left")
+    return settled(out, "levels", left, *done)
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -111,14 +113,16 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     own label, so that chains shorten by half."""
     both = written(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
     label = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("c")), "labels")
+    table = label
     for _ in range(rounds):
         near = both.join(label, F.col("v") == F.col("node")).groupBy(F.col("u").alias("node")).agg(F.min("c").alias("n"))
         now = label.join(near, "node").select("node", F.least("c", "n").alias("c"), F.col("c").alias("was"))
         jump = now.select(F.col("node").alias("c"), F.col("c").alias("j"))
-        now = written(now.join(jump, "c", "left").select("node", F.least("c", F.coalesce("j", "c")).alias("c"), "was"), "labels")
-        label = now.select("node", "c")
+        before, now = table, written(now.join(jump, "c", "left").select("node", F.least("c", F.coalesce("j", "c")).alias("c"), "was"), "labels")
+        forgotten(before)
+        table, label = now, now.select("node", "c")
         if now.where("c <> was").isEmpty():
-            return label.withColumnRenamed("c", "component")
+            return settled(label.withColumnRenamed("c", "component"), "components", both, now)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
