@@ -3,58 +3,12 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from heronry.session import forgotten, forgotten_at_exit, settled, shared_dir, table, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, on one machine only (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='heronry-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def forgotten_at_exit(spark: SparkSession, path: str) -> None:
-    """Has the path's file system delete it when the driver's JVM ends; until then results may read it."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written once as a Parquet table in the shared folder and read back: a cut in the lineage
-    that survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    forgotten_at_exit(spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_path = path
-    return out
-
-
-def forgotten(*frames: DataFrame) -> None:
-    """Deletes tables that `written` made; nothing may read them any more."""
-    for df in frames:
-        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def settled(df: DataFrame, tag: str, *frames: DataFrame) -> DataFrame:
-    """df written, without the tables that it was made from."""
-    out = written(df, tag)
-    forgotten(*frames)
-    return out
+__all__ = ["forgotten", "forgotten_at_exit", "released", "settled", "shared_dir", "table", "written"]
 
 
 def released(spark: SparkSession) -> None:
