@@ -9,15 +9,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-START, END = "<|{role}|>\n", "<|end|>\n"
+from pyspark.sql.window import Window
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) -> (conv_id, turns array<struct<turn, role, text>>) in the order of turn,
-    role, text. Null roles count as 'user', null texts as empty; rows without conv_id don't count."""
-    row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.where("conv_id is not null").groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    """(conv_id, turn, role, text) -> (conv_id, turns array<struct<turn, role, text, end>>) in the order of turn, role, text;
+    end is the number of characters up to the turn's end when all are rendered. Null roles count as 'user', null texts as
+    empty; rows without conv_id don't count; rows that repeat are turns each."""
+    role, text = F.coalesce("role", F.lit("user")), F.coalesce("text", F.lit(""))
+    rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.length(rendered_turn(F.struct("role", "text")))).over(before).cast("long"))
+    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "end"))).alias("turns"))
 
 
 def rendered_turn(t: Column) -> Column:
@@ -28,19 +31,12 @@ def rendered(turns: Column) -> Column:
     return F.concat_ws("", F.transform(turns, rendered_turn))
 
 
-def mask(turns: Column) -> Column:
+def mask(turns: Column, base: Column) -> Column:
     """Spans [begin, finish) of a rendered completion that count for the loss: text and end mark of the
-    assistant's turns."""
-    empty = F.expr("cast(array() as array<struct<begin:bigint,finish:bigint>>)")
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
-
-    def step(a: Column, t: Column) -> Column:
-        finish = a["at"] + F.length(rendered_turn(t)).cast("long")
-        begin = a["at"] + F.length(t["role"]).cast("long") + F.lit(5)
-        span = F.array(F.struct(begin.alias("begin"), finish.alias("finish")))
-        return F.struct(finish.alias("at"), F.when(t["role"] == "assistant", F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
-
-    return F.aggregate(turns, start, step)["spans"]
+    assistant's turns. base is the end of the prompt."""
+    own = F.filter(turns, lambda t: t["role"] == "assistant")
+    size = lambda t: F.length(t["text"]) + F.lit(len("<|end|>\n"))
+    return F.transform(own, lambda t: F.struct((t["end"] - base - size(t)).alias("begin"), (t["end"] - base).alias("finish")))
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -62,11 +58,11 @@ def preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     after = F.col("shared") + 1
     rows = rows.select(
         "pair_id", "chosen_id", "rejected_id", F.col("shared").alias("prompt_turns"),
-        F.slice("c", 1, F.col("shared")).alias("p"), F.slice("c", after, F.size("c")).alias("c"), F.slice("r", after, F.size("r")).alias("r"),
+        F.slice("c", 1, F.col("shared")).alias("p"), F.coalesce(F.get("c", F.col("shared") - 1)["end"], F.lit(0).cast("long")).alias("base"), F.slice("c", after, F.size("c")).alias("c"), F.slice("r", after, F.size("r")).alias("r"),
     )
     return rows.select(
         "pair_id", "chosen_id", "rejected_id", "prompt_turns", rendered(F.col("p")).alias("prompt"),
-        rendered(F.col("c")).alias("chosen"), rendered(F.col("r")).alias("rejected"), mask(F.col("c")).alias("chosen_mask"), mask(F.col("r")).alias("rejected_mask"),
+        rendered(F.col("c")).alias("chosen"), rendered(F.col("r")).alias("rejected"), mask(F.col("c"), F.col("base")).alias("chosen_mask"), mask(F.col("r"), F.col("base")).alias("rejected_mask"),
     )
 
 
