@@ -426,7 +426,7 @@ FULL, UPTO = REDUCED.replace("{upto}", ""), REDUCED.replace("{upto}", "AND event
 
 @query(f"WITH {FULL} SELECT * FROM red")
 def reduce_entries(t: Tables):
-    """#134 entries of the whole log."""
+    """#134, #135 entries of the whole log."""
     return ev.reduced_entries(t.log)
 
 
