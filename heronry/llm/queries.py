@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lmscore, suffix_dedup
+from . import bpe, lmscore, merkle, suffix_dedup
 from .classifier import held_out, trained
 from .classifier import scored as quality_scored
 from .decontamination import contamination
+from .hard_negatives import hard_negatives
 from .htmltext import extracted
 from .mixing import mix
 from .ngram_join import jaccard_components
@@ -76,6 +77,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the anchors whose id is divisible by 50; every seventh id has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; of each seventh the claim is tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+    out = merkle.proofs(merkle.document_leaves(docs, tampered))
+    proof = F.sha2(F.array_join("siblings", ""), 256)
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by word_bpe_49k.json, and the text that they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return bpe.digests(bpe.decoded(ids, path))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -87,7 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_exact_top_k, op3_source_mixing, op4_html_extraction, op5_quality_classifier, op6_benchmark_decontamination,
-        op7_preference_formatting, op8_suffix_array_dedup, op9_lm_scoring, op10_sharding, pipeline,
+        op7_preference_formatting, op8_suffix_array_dedup, op9_lm_scoring, op10_sharding,
+        op11_hard_negative_mining, op12_merkle_manifest, op13_bpe_encoding, pipeline,
     )
 }
 
@@ -231,5 +257,52 @@ p(step, vslot, shard, loads) AS (
 m AS (SELECT p.vslot, p.shard::INTEGER AS shard, sum(v.n) OVER (PARTITION BY p.shard ORDER BY p.vslot) - v.n AS first FROM p JOIN v ON v.vslot = p.vslot)
 SELECT k.doc_id, k.size, k.text_crc32, 'bytes' AS law, m.shard, (m.first + row_number() OVER (PARTITION BY k.vslot ORDER BY k.doc_id, k.text_crc32, k.size) - 1)::BIGINT AS slot,
   NULL::INTEGER AS grown_shard, k.vslot FROM k JOIN m ON m.vslot = k.vslot
+""",
+    "op11_hard_negative_mining": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_sum(list_transform(list_zip(a.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a, v c WHERE a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id),
+s AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT s.*, p.vec_id AS negative_id, p.score AS negative_score, row_number() OVER (PARTITION BY s.anchor_id, s.positive_id ORDER BY p.score DESC, p.vec_id)::INTEGER AS rank
+  FROM s JOIN p ON p.anchor_id = s.anchor_id AND NOT p.same AND 50 * s.positive_score <= 100 * p.score AND 100 * p.score <= 95 * s.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+""",
+    "op12_merkle_manifest": """
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+x AS (
+  SELECT doc_id, lang, n_chars, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 7 = 0 AS tampered
+  FROM documents, crc),
+l AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen((n_chars + tampered::BIGINT)::VARCHAR) || ':' || (n_chars + tampered::BIGINT), '-') || tail) AS claim FROM x),
+i AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+up(lang, level, a) AS (
+  SELECT lang, 0, list(leaf ORDER BY i) FROM i GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(1, len(a) + 1, 2), lambda j: sha256(a[j] || coalesce(a[j + 1], ''))) FROM up WHERE len(a) > 1),
+g AS (SELECT lang, a[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM up WHERE len(a) = 1),
+top(level, a) AS (
+  SELECT 0, list(subroot ORDER BY i) FROM g
+  UNION ALL
+  SELECT level + 1, list_transform(range(1, len(a) + 1, 2), lambda j: sha256(a[j] || coalesce(a[j + 1], ''))) FROM top WHERE len(a) > 1),
+s AS (
+  SELECT i.lang, i.i, list(CASE WHEN (i.i >> level) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(a[xor(i.i >> level, 1) + 1], '') ORDER BY level) AS s
+  FROM i JOIN up ON up.lang IS NOT DISTINCT FROM i.lang AND len(a) > 1 GROUP BY i.lang, i.i),
+z AS (SELECT g.lang, list(CASE WHEN (g.i >> level) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(a[xor(g.i >> level, 1) + 1], '') ORDER BY level) AS s FROM g JOIN top ON len(a) > 1 GROUP BY g.lang),
+p AS (
+  SELECT i.doc_id, i.leaf, i.claim, g.subroot, list_concat(coalesce(s.s, []), coalesce(z.s, [])) AS s FROM i JOIN g ON g.lang IS NOT DISTINCT FROM i.lang
+  LEFT JOIN s ON s.lang IS NOT DISTINCT FROM i.lang AND s.i = i.i LEFT JOIN z ON z.lang IS NOT DISTINCT FROM i.lang),
+f AS (
+  SELECT *, (SELECT a[1] FROM top WHERE len(a) = 1) AS root, sha256(array_to_string(list_transform(s, lambda x: x[2:]), '')) AS proof_sha256,
+    list_reduce(list_prepend(claim, s), lambda c, x: sha256(CASE WHEN x[1] = 'L' THEN x[2:] || c ELSE c || x[2:] END)) AS folded_root FROM p)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f
 """,
 }

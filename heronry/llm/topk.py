@@ -26,14 +26,14 @@ BUCKET_ROWS, QUERY_ROWS = 8192, 1024
 COSINE, FOCUS = 0.75, 3
 
 
-def quantised(vectors: DataFrame, key: str, column: str, scale: int) -> DataFrame:
-    """(id, v, norm): floor(scale * x) of every component, a whole number as double; rows with a null or non-finite
+def quantised(vectors: DataFrame, key: str, column: str, scale: int, *kept: str) -> DataFrame:
+    """(id, kept, v, norm): floor(scale * x) of every component, a whole number as double; rows with a null or non-finite
     component, or a null or empty vector or id, take no part."""
     x = F.transform(F.col(column), lambda c: c.cast("double"))
-    rows = vectors.select(F.col(key).cast("long").alias("id"), x.alias("x")).where("id is not null and x is not null and size(x) > 0")
+    rows = vectors.select(F.col(key).cast("long").alias("id"), *kept, x.alias("x")).where("id is not null and x is not null and size(x) > 0")
     rows = rows.where(~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))))
     # rint(y) is y's floor or the number above it; F.floor would end at the largest long.
-    rows = rows.select("id", F.transform("x", lambda c: F.rint(c * F.lit(scale)) - F.when(F.rint(c * F.lit(scale)) > c * F.lit(scale), 1.0).otherwise(0.0)).alias("v"))
+    rows = rows.select("id", *kept, F.transform("x", lambda c: F.rint(c * F.lit(scale)) - F.when(F.rint(c * F.lit(scale)) > c * F.lit(scale), 1.0).otherwise(0.0)).alias("v"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))
 
 
