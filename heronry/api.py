@@ -14,6 +14,7 @@ from heronry.functions import text as tx
 from heronry.operators import events as ev
 from heronry.operators import graph as gr
 from heronry.operators import retrieval as rt
+from heronry.operators import vectors as vx
 
 TOP_K, MOST_ROUNDS, SNAPSHOT_EVENTS, SNAPSHOT_HOURS = 20, 3, 10_000, 24
 WEIGHTS = {"dense": 1.0, "recency": 0.5, "kind": 0.3, "salience": 0.2}
@@ -46,10 +47,10 @@ def search_knowledge(
     lists = {"sparse": rt.bm25_search(rt.indexed(base.select("doc_id", "text")), questions, 2 * k).select("item_id", "doc_id", "rank")}
     if vectors is not None and question_vectors is not None:
         own = vectors.join(base.select("doc_id"), "doc_id", "left_semi")
-        lists["dense"] = rt.dense_search(own, question_vectors, 2 * k, "doc_id", "item_id").select("item_id", "doc_id", "rank")
+        lists["dense"] = vx.search(vx.clustered(own, "doc_id"), question_vectors, 2 * k, "doc_id", "item_id").select("item_id", "doc_id", "rank")
     if edges is not None:
         seeds = rt.unioned(lists.values()).select("item_id", "doc_id").distinct()
-        paths = gr.best_paths(gr.expanded(edges, seeds.select(F.col("doc_id").alias("node")).distinct(), min(3, max(1, hops))))
+        paths = gr.best_reached(edges, seeds.select(F.col("doc_id").alias("node")), min(3, max(1, hops)))
         near = paths.join(seeds.select("item_id", F.col("doc_id").alias("start")), "start").select("item_id", F.col("node").alias("doc_id"), F.col("weight").alias("score"))
         lists["graph"] = rt.ranked(near.groupBy("item_id", "doc_id").agg(F.max("score").alias("score")), "item_id", "score", "doc_id", TOP_K).select("item_id", "doc_id", "rank")
     hits = rt.fused(lists, "item_id", "doc_id").where(F.col("final_rank") <= max(TOP_K, 2 * k))

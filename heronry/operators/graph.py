@@ -51,6 +51,38 @@ def best_paths(paths: DataFrame) -> DataFrame:
     return paths.groupBy("node").agg(best.alias("b")).select("node", "b.*")
 
 
+def undominated(states: DataFrame, more: int) -> DataFrame:
+    """Of states (node, trail: start and the nodes after it) those that a path of up to `more` further nodes may need: of a
+    node the least trail, and for each of its nodes the least trail that avoids it, `more` times over. A further node that
+    blocks one trail leaves another, so the best end is found whatever is avoided. Least trails are aggregates, so no
+    node's trails are gathered."""
+    kept = states.groupBy("node").agg(F.min("trail").alias("trail"))
+    found = kept.withColumn("avoid", F.array().cast("array<bigint>"))
+    for _ in range(more):
+        asked = found.select("node", F.explode("trail").alias("x"), "avoid").select("node", F.array_sort(F.array_union("avoid", F.array("x"))).alias("avoid")).distinct()
+        found = states.join(asked, "node").where(~F.arrays_overlap("trail", "avoid")).groupBy("node", "avoid").agg(F.min("trail").alias("trail"))
+        kept = kept.unionByName(found.select("node", "trail"))
+    return kept.distinct()
+
+
+def best_reached(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """best_paths(expanded(edges, seeds, hops)) without listing the paths: between hops a node keeps the few trails that
+    another hop may need (three of one or two hops, for three hops), so a hop's rows are at most some times the edges,
+    where all paths grow by the degree at each hop."""
+    weight = F.when(F.col("is_hard"), HARD).otherwise(SOFT)
+    e = edges.select(F.col("src").cast("long").alias("__s"), F.col("dst").cast("long").alias("__d"), "is_hard")
+    states, steps = seeds.select(F.col("node").cast("long").alias("node"), F.array().cast("array<bigint>").alias("trail")).distinct(), []
+    for h in range(1, hops + 1):
+        step = states.join(e, F.col("node") == F.col("__s")).where(~F.array_contains("trail", F.col("__d")))
+        step = step.select(F.col("__d").alias("node"), F.concat("trail", F.array("__s")).alias("trail"), (weight * DECAY ** (h - 1)).alias("weight"), F.lit(h).alias("hop"))
+        steps.append(written(step, "hop") if h < hops else step)
+        if h < hops:
+            # A path may end in a loop but needn't go on from it: without the loop it comes as far, and sooner.
+            states = undominated(steps[-1].where(~F.array_contains("trail", F.col("node"))).select("node", "trail").distinct(), hops - h)
+    ends = [x.groupBy("node", "weight", "hop").agg(F.min(F.col("trail")[0]).alias("start")) for x in steps]
+    return settled(best_paths(reduce(DataFrame.unionByName, ends)), "paths", *steps[:-1])
+
+
 def reached(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, depth) over edges (src, dst) from seeds (node), each node at its least depth; a cut per level."""
     seen = written(seeds.select("node", F.lit(0).alias("depth")).distinct(), "reached")

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from heronry.functions.text import STOP_WORDS
 from heronry.operators import retrieval as rt
+from heronry.operators import vectors as vx
+from heronry.session import listing
 
-_INDEXES: dict[str, dict[str, rt.Index]] = {}
+#: Indexes of an application by folder and kind, with the listing of the table's files when they were made.
+_INDEXES: dict[tuple[str, str, str], tuple[tuple, rt.Index | vx.VectorIndex]] = {}
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -57,13 +60,24 @@ class Tables:
         status = F.when(F.col("version_id") % 10 == 3, F.when(F.col("source_id") % 5 == 0, "draft").otherwise("published")).otherwise("superseded")
         return d.withColumn("status", status)
 
+    def _indexed(self, kind: str, name: str, make: Callable[[DataFrame], rt.Index | vx.VectorIndex]):
+        """The stored index of a table: made once per session, and again after the table's files have changed."""
+        key, now = (self.spark.sparkContext.applicationId, self.dir, kind), listing(self.spark, f"{self.dir}/{name}.parquet")
+        if key not in _INDEXES or _INDEXES[key][0] != now:
+            if key in _INDEXES:
+                _INDEXES.pop(key)[1].dropped()
+            _INDEXES[key] = (now, make(getattr(self, name)))
+        return _INDEXES[key][1]
+
     @property
     def index(self) -> rt.Index:
-        """The inverted index of documents: written once per session and folder, then probed by every search."""
-        held = _INDEXES.setdefault(self.spark.sparkContext.applicationId, {})
-        if self.dir not in held:
-            held[self.dir] = rt.indexed(self.documents, stored=True)
-        return held[self.dir]
+        """The inverted index of documents."""
+        return self._indexed("terms", "documents", lambda d: rt.indexed(d, stored=True))
+
+    @property
+    def vector_index(self) -> vx.VectorIndex:
+        """The cluster index of embeddings."""
+        return self._indexed("vectors", "embeddings", vx.clustered)
 
     @property
     def versions(self) -> DataFrame:

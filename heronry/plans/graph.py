@@ -59,13 +59,13 @@ def directed_edges(t: Tables):
 @query(f"WITH RECURSIVE {PATHS} SELECT node, start, hop, weight FROM best")
 def graph_best_path(t: Tables):
     """#61, #88 best path to every node within three hops of the regions."""
-    return gr.best_paths(gr.expanded(edges(t), seeds(t), 3))
+    return gr.best_reached(edges(t), seeds(t), 3)
 
 
 @query(f"WITH RECURSIVE {PATHS} SELECT node, start, hop, weight FROM best ORDER BY weight DESC, hop, node LIMIT 20")
 def graph_expand(t: Tables):
     """#121 expansion with a budget of 20 nodes."""
-    return gr.best_paths(gr.expanded(edges(t), seeds(t), 3)).orderBy(F.col("weight").desc(), "hop", "node").limit(20)
+    return gr.best_reached(edges(t), seeds(t), 3).orderBy(F.col("weight").desc(), "hop", "node").limit(20)
 
 
 # A third list for fusion: documents next to a hit in the order of ids, as a graph.
@@ -603,9 +603,9 @@ def non_inferiority(t: Tables):
 
 @query("WITH h AS (SELECT item_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS heading FROM benchmark) SELECT item_id, min(doc_id) AS doc_id FROM h JOIN documents d ON contains(d.text, h.heading) GROUP BY 1")
 def anchor_match(t: Tables):
-    """#222 first document that holds the heading: each document against all headings, a stated set of questions."""
+    """#222 first document that holds the heading: texts are read once for all headings, by an automaton."""
     h = t.benchmark.select("item_id", F.substring_index("text", " ", 2).alias("heading"))
-    return rt.containing(t.documents.select("doc_id", "text"), h, "text", "heading").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    return rt.containing(t.documents, h, "doc_id", "text", "item_id", "heading").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1)) || '/' || regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '^/+|/+$', '', 'g') AS remote FROM pages WHERE NOT contains(url, '?') AND NOT contains(url, '#') AND length(regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '^/+|/+$', '', 'g')) > 0")

@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from heronry.functions import text as tx
 from heronry.operators import retrieval as rt
+from heronry.operators import termstats as ts
+from heronry.operators import vectors as vx
 from heronry.plans.base import CHUNKS, VERSIONS, Tables, query, sql_bm25, sql_tokens
 
 BM25 = sql_bm25()
@@ -59,6 +61,49 @@ def bm25_topk_binary(t: Tables):
     return rt.bm25_search(t.index, t.benchmark, 10, "binary").select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
+def _stats_sql(by: str) -> str:
+    return f"""WITH {CHUNKS}, tok AS (SELECT {by}, doc_id, {sql_tokens()} AS t FROM chunks), n AS (SELECT {by}, count(*) AS n, avg(len(t)) AS avgdl FROM tok GROUP BY 1),
+df AS (SELECT {by}, term, count(DISTINCT doc_id) AS df FROM (SELECT {by}, doc_id, unnest(t) AS term FROM tok) GROUP BY ALL)
+SELECT {by}, term, df, n, round(avgdl, 6) AS avgdl, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df JOIN n USING ({by})"""
+
+
+def _weighed(t: Tables, by: str):
+    return ts.weighed(ts.counted(t.chunks), by).select(by, "term", "df", "n", F.round("avgdl", 6).alias("avgdl"), F.round("idf", 6).alias("idf"))
+
+
+@query(_stats_sql("scope"))
+def idf_by_scope(t: Tables):
+    """#81 document frequencies and IDF of each scope."""
+    return _weighed(t, "scope")
+
+
+@query(_stats_sql("source"))
+def idf_by_source(t: Tables):
+    """#81 document frequencies and IDF of each uploaded source."""
+    return _weighed(t, "source")
+
+
+@query(
+    f"""WITH {CHUNKS}, tok AS (SELECT doc_id, scope, source, {sql_tokens()} AS t FROM chunks),
+tf AS (SELECT doc_id, scope, source, len(t) AS dl, term, count(*) AS tf FROM (SELECT *, unnest(t) AS term FROM tok) GROUP BY ALL),
+so AS (SELECT source, count(*) AS n, avg(len(t)) AS avgdl FROM tok GROUP BY 1), sod AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL),
+sc AS (SELECT scope, count(*) AS n, avg(len(t)) AS avgdl FROM tok GROUP BY 1), scd AS (SELECT scope, term, count(*) AS df FROM tf GROUP BY ALL),
+w AS (SELECT doc_id, scope, term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS weight
+  FROM tf JOIN sod USING (source, term) JOIN so USING (source)),
+q AS (SELECT item_id, ['de', 'en', 'es', 'fr'][item_id % 4 + 1] AS scope, {sql_tokens()} AS t FROM benchmark),
+qt AS (SELECT item_id, scope, len(t) AS dl, term, count(*) AS tf FROM (SELECT *, unnest(t) AS term FROM q) GROUP BY ALL),
+qw AS (SELECT item_id, scope, term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS own
+  FROM qt JOIN scd USING (scope, term) JOIN sc USING (scope)),
+hits AS (SELECT item_id, doc_id, sum(weight * own) AS score FROM w JOIN qw USING (scope, term) GROUP BY ALL), {RANKED}
+SELECT item_id, doc_id, round(score, 5) AS score, rank FROM ranked WHERE rank <= 10"""
+)
+def bm25_scoped(t: Tables):
+    """#67, #81, #108 top 10 in the question's scope: documents weigh by their source's statistics, questions by the scope's."""
+    scope = F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("item_id") % 4 + 1).cast("int"))
+    out = ts.scoped_search(t.chunks, ts.counted(t.chunks), t.benchmark.withColumn("scope", scope), 10)
+    return out.select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+
+
 DENSE = """dense AS (
   SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
 dranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id)::INTEGER AS rank FROM dense)"""
@@ -66,7 +111,7 @@ dranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc
 
 def dense(t: Tables, k: int = 10):
     queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return rt.dense_search(t.embeddings, queries, k)
+    return vx.search(t.vector_index, queries, k)
 
 
 @query(f"WITH {DENSE} SELECT query_id, vec_id, round(score, 5) AS score, rank FROM dranked WHERE rank <= 10")
@@ -93,8 +138,7 @@ sr AS (SELECT * FROM ranked WHERE rank <= 10)"""
 def hybrid_lists(t: Tables, k: int = 10):
     probe = t.benchmark.select("item_id", ((F.col("item_id") * 7) % 50).alias("vec_id"))
     queries = t.embeddings.join(probe, "vec_id").select(F.col("item_id"), "embedding")
-    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
-    return {"dense": rt.dense_search(vectors, queries, k, "doc_id", "item_id"), "sparse": sparse(t, k)}
+    return {"dense": vx.search(t.vector_index, queries, k, "doc_id", "item_id"), "sparse": sparse(t, k)}
 
 
 @query(f"WITH {HYBRID} SELECT 'dense' AS path, item_id, doc_id, rank FROM dr UNION ALL SELECT 'sparse', item_id, doc_id, rank FROM sr")

@@ -212,7 +212,7 @@ def scope_rebuild(t: Tables):
 @query(f"WITH RECURSIVE {PATHS} SELECT sha256('1|' || start || '|' || node || '|' || hop) AS trace_id, start, node, hop, weight, {TS} AS created_at FROM best")
 def expansion_trace(t: Tables):
     """#133 the best paths of an expansion as rows of its trace."""
-    paths = gr.best_paths(gr.expanded(graph_edges(t), graph_seeds(t), 3))
+    paths = gr.best_reached(graph_edges(t), graph_seeds(t), 3)
     return gr.trace(paths, F.lit(1), ev.moment(NOW)).drop("question_id")
 
 

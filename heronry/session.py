@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,24 +49,43 @@ def _place(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """(path, bytes, time) of the files of a table: what changes when it is written again."""
+    files, where = _place(spark, path)
+    found = [where] if not files.getFileStatus(where).isDirectory() else []
+    out = [(str(s.getPath()), s.getLen(), s.getModificationTime()) for s in map(files.getFileStatus, found)]
+    if not found:
+        walk = files.listFiles(where, True)
+        while walk.hasNext():
+            s = walk.next()
+            out.append((str(s.getPath()), s.getLen(), s.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def forgotten_at_exit(spark: SparkSession, path: str) -> None:
     """Has the path's file system delete it when the driver's JVM ends; until then results may read it."""
     files, where = _place(spark, path)
     files.deleteOnExit(where)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, partitions: Sequence[str] = ()) -> DataFrame:
     """df written once as a Parquet table in the shared folder and read back: a cut in the lineage
-    that survives the loss of executors."""
+    that survives the loss of executors. With partitions, a folder for each of their values."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(partitions) or None)
     forgotten_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    files, where = _place(spark, path)
+    files.delete(where, True)
+
+
 def forgotten(*frames: DataFrame) -> None:
     """Deletes tables that `written` made; nothing may read them any more."""
     for df in frames:
@@ -73,8 +93,8 @@ def forgotten(*frames: DataFrame) -> None:
         files.delete(where, True)
 
 
-def settled(df: DataFrame, tag: str, *frames: DataFrame) -> DataFrame:
+def settled(df: DataFrame, tag: str, *frames: DataFrame, partitions: Sequence[str] = ()) -> DataFrame:
     """df written, without the tables that it was made from."""
-    out = written(df, tag)
+    out = written(df, tag, partitions)
     forgotten(*frames)
     return out

@@ -221,5 +221,8 @@ def test_plans_push_down_and_stay_native(spark):
     small = "/root/testdata/sf0.001"
     p = plan(catalog.QUERIES["scope_filter"](spark, small))
     assert "PushedFilters: [In(lang" in p and "text" not in p
-    for name in ("bm25_topk", "rrf_fuse", "memory_recall", "reduce_entries", "graph_expand"):
+    for name in ("bm25_topk", "memory_recall", "reduce_entries", "graph_expand"):
         assert "Python" not in plan(catalog.QUERIES[name](spark, small)) and "CartesianProduct" not in plan(catalog.QUERIES[name](spark, small))
+    for name in ("dense_topk", "hybrid_recall", "rrf_fuse", "anchor_match"):  # their kernels read Arrow batches
+        p = plan(catalog.QUERIES[name](spark, small))
+        assert "CartesianProduct" not in p and "NestedLoop" not in p
