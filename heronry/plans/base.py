@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from heronry.functions.text import STOP_WORDS
 from heronry.operators import retrieval as rt
 from heronry.operators import vectors as vx
-from heronry.session import listing
+from heronry.session import listing, qualified
 
 #: Indexes of an application by folder and kind, with the listing of the table's files when they were made.
 _INDEXES: dict[tuple[str, str, str], tuple[tuple, rt.Index | vx.VectorIndex]] = {}
@@ -86,9 +86,16 @@ class Tables:
     @property
     def log(self) -> DataFrame:
         """events as a memory event log."""
-        kind = F.when(F.col("event_type") == "signup", "assert").when(F.col("event_type") == "purchase", "revise").when(F.col("event_type") == "error", "retract").otherwise("access")
-        k = F.get_json_object("props", "$.k").cast("int")
-        return self.events.select("event_id", F.col("user_id").alias("aggregate_id"), (F.col("user_id") % 5 + 1).alias("scope_id"), kind.alias("kind"), "ts", "value", k.alias("k"))
+        return as_log(self.events)
+
+    @property
+    def log_stream(self) -> DataFrame:
+        """The same log as a stream of the table's files. A stream's path is a folder, so a table of one file is looked for in
+        its own."""
+        path, rows = f"{self.dir}/events.parquet", self.spark.readStream.schema(self.events.schema)
+        if [f for f, _, _ in listing(self.spark, path)] == [qualified(self.spark, path)]:
+            return as_log(rows.option("pathGlobFilter", "events.parquet").parquet(self.dir))
+        return as_log(rows.parquet(path))
 
     @property
     def entries(self) -> DataFrame:
@@ -116,6 +123,12 @@ class Tables:
         )
 
 
+def as_log(events: DataFrame) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", "assert").when(F.col("event_type") == "purchase", "revise").when(F.col("event_type") == "error", "retract").otherwise("access")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return events.select("event_id", F.col("user_id").alias("aggregate_id"), (F.col("user_id") % 5 + 1).alias("scope_id"), kind.alias("kind"), "ts", "value", k.alias("k"))
+
+
 #: CTEs that oracles share: the same entities in DuckDB's SQL.
 CHUNKS = """chunks AS (
   SELECT doc_id, text, source, lang AS scope, n_chars, sid AS source_id, sid * 10 + doc_id % 3 + 1 AS version_id,

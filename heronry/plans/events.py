@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 from heronry.operators import events as ev
 from heronry.operators import metrics as mt
 from heronry.operators import retrieval as rt
+from heronry.streaming import entries as en
 from heronry.plans.base import ENTRIES, LOG, NOW, Tables, query
+from heronry.session import new_folder
 
 T0, T1 = "2024-01-05 00:00:00", "2024-01-15 00:00:00"
 TS = f"TIMESTAMP '{NOW}'"
@@ -430,6 +432,14 @@ def reduce_entries(t: Tables):
     return ev.reduced_entries(t.log)
 
 
+@query(f"WITH {FULL} SELECT * FROM red")
+def reduce_entries_stream(t: Tables):
+    """#134, #143 the same entries, as a stream of the log leaves them: state holds one entry of each aggregate."""
+    path = new_folder(t.spark, "entries")
+    en.kept(en.entry_changes(t.log_stream), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return en.entries(t.spark, f"{path}/out")
+
+
 @query(
     f"""WITH {UPTO}, now AS (SELECT event_id AS memory_id FROM log WHERE kind IN ('assert', 'revise')) SELECT n.memory_id, coalesce(status, 'retired') AS status, coalesce(retention_stage, 'tombstone') AS retention_stage,
   CASE WHEN status IS NOT NULL THEN valid_to ELSE {TS} END AS valid_to FROM now n LEFT JOIN red USING (memory_id)"""

@@ -49,6 +49,12 @@ def _place(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as its file system says it."""
+    files, where = _place(spark, path)
+    return str(files.makeQualified(where))
+
+
 def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
     """(path, bytes, time) of the files of a table: what changes when it is written again."""
     files, where = _place(spark, path)
@@ -68,6 +74,13 @@ def forgotten_at_exit(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(where)
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """The path of a folder of its own in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    forgotten_at_exit(spark, path)
+    return path
+
+
 def written(df: DataFrame, tag: str, partitions: Sequence[str] = ()) -> DataFrame:
     """df written once as a Parquet table in the shared folder and read back: a cut in the lineage
     that survives the loss of executors. With partitions, a folder for each of their values."""
