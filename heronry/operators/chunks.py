@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 MOST_TOKENS = 1024
@@ -27,21 +30,30 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(marked, "\u0000"), lambda s: F.trim(s) != "")
 
 
+def cuts_of(sizes: np.ndarray, most: int) -> list[int]:
+    """Where packs of items start: a pack takes what fits into `most`, but one item at least. The next start is found by
+    binary search in the running sums."""
+    ends, out, at = np.cumsum(sizes), [], 0
+    while at < len(sizes):
+        out.append(at)
+        at = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def greedy_packs(items: pd.Series, sizes: pd.Series, most: pd.Series) -> pd.Series:
+    def packs(said: np.ndarray, size: np.ndarray, m: int) -> list[str]:
+        cuts = [*cuts_of(np.asarray(size, np.int64), m), len(said)]
+        return [" ".join(said[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+
+    return pd.Series([packs(*x) for x in zip(items, sizes, most, strict=True)])
+
+
 def packed_sentences(text: Column, most: int = MOST_TOKENS) -> Column:
-    """Sentences joined as long as they have up to `most` words; a longer one stands alone."""
-    one = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.size(F.split(F.trim(s), "\\s+")).alias("n")))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = (a["n"] == 0) | (a["n"] + x["n"] <= most)
-        joined = F.when(a["n"] == 0, x["s"]).otherwise(F.concat(a["now"], F.lit(" "), x["s"]))
-        return F.struct(
-            F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))).alias("done"),
-            F.when(fits, joined).otherwise(x["s"]).alias("now"),
-            F.when(fits, a["n"] + x["n"]).otherwise(x["n"]).cast("int").alias("n"),
-        )
-
-    return F.aggregate(one, start, step, lambda a: F.when(a["n"] > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
+    """Sentences joined as long as they have up to `most` words; a longer one stands alone. A null text has none. A text
+    takes time in proportion to its length."""
+    said = F.coalesce(sentences(text), F.array().cast("array<string>"))
+    return greedy_packs(said, F.transform(said, lambda s: F.size(F.split(F.trim(s), "\\s+"))), F.lit(most))
 
 
 def row_windows(rows: DataFrame, sheet: str, order: str, line: Column, header: str, size: int = 50) -> DataFrame:

@@ -148,8 +148,10 @@ def quota_packed(rows: DataFrame, by: str, key: str, size: str, quota: int) -> D
     return out.withColumn("picked", F.coalesce("__taken", n == 0)).drop("__by", "__key", "__taken")
 
 
-def latest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__r = 1").drop("__r")
+def newest(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    """The row with the highest key of each group; a key is unique in its group."""
+    rest = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*rest), key).alias("__x")).select(*by, *[F.col(f"__x.{c}").alias(c) for c in rest])
 
 
 def fingerprint(rows: DataFrame, columns: list[str], groups: list[str]) -> DataFrame:

@@ -114,30 +114,71 @@ def chain_depth(links: DataFrame, rounds: int = 5) -> DataFrame:
     return up.select("node", "depth", "root", F.col("up").isNotNull().alias("too_deep"))
 
 
+def _anchored(unary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """unary (node, need, w), a need each -> (node, anchor, w): the first node up the chain of needs that has not one need
+    itself, and the sum of weights up to it; by pointer doubling. Chains without such a node go round: their nodes come
+    second. Both read one written table."""
+    up = written(unary.select("node", F.col("need").alias("anchor"), "w", F.lit(False).alias("done")), "chains")
+    size, reach = up.count(), 1
+    moving = size
+    while moving and reach <= 2 * size:
+        above = up.select(F.col("node").alias("anchor"), F.col("anchor").alias("__a"), F.col("w").alias("__w"))
+        now = up.join(above, "anchor", "left")
+        now = now.select("node", F.coalesce("__a", "anchor").alias("anchor"), (F.col("w") + F.coalesce("__w", F.lit(0))).alias("w"), F.col("__a").isNull().alias("done"))
+        up = settled(now, "chains", up)
+        moving, reach = up.where("not done").count(), 2 * reach
+    return up.where("done").select("node", "anchor", "w"), up.where("not done").select("node")
+
+
 def levels(nodes: DataFrame, needs: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(node, level) for nodes with needs (node, need): 0 without needs, else one over the highest need.
-    Nodes on a cycle, or behind one, have a null level; so has a node with a need that isn't there. Each round takes
-    the needs that are met off the table and goes on until none is."""
-    left = written(needs.select("node", "need").distinct(), "needs")
-    ready = written(nodes.select("node").distinct().join(left, "node", "left_anti").select("node", F.lit(0).alias("level")), "levels")
-    done, fresh = [ready], [ready]  # all levels; those that aren't off the table yet
-    for level in range(1, rounds):
-        if ready.isEmpty():
+    Nodes on a cycle, or behind one, have a null level; so has a node with a need that isn't there.
+
+    A round takes off the nodes whose needs are all known. At first, and when that takes off few, it contracts nodes with
+    one need before: by pointer doubling they hang on the first node above that has none or several, at the sum of the
+    weights between, so a chain takes the logarithm of its length; who needs one of them needs that node instead, with the
+    weight added, and of two ways to one node the heavier counts. A graph without chains takes a round per level, at most
+    `rounds`."""
+    left = written(needs.select("node", "need").distinct().withColumn("w", F.lit(1).cast("long")), "needs")
+    known = written(nodes.select("node").distinct().join(left, "node", "left_anti").select("node", F.lit(0).cast("long").alias("level")), "levels")
+    done, hung, tables = [known], [], [left, known]
+    count, slow = left.count(), True
+    for _ in range(rounds):
+        if not count:
             break
-        met = reduce(DataFrame.unionByName, fresh).select(F.col("node").alias("need"))
-        open_ = left.join(met, "need", "left_anti").select("node", "need")
-        near = left.join(ready.select(F.col("node").alias("need")), "need", "left_semi").select("node").distinct()
-        ready = written(near.join(open_, "node", "left_anti").select("node", F.lit(level).alias("level")), "levels")
-        done, fresh = [*done, ready], [*fresh, ready]
-        if len(fresh) > 6:  # few tables, however deep it goes
-            before, left, fresh = left, written(open_, "needs"), [ready]
-            forgotten(before)
-        if len(done) > 32:
+        rest, before = left, count
+        if slow:
+            single = left.groupBy("node").agg(F.count("*").alias("n"), F.first("need").alias("need"), F.first("w").alias("w")).where("n = 1")
+            chains, around = (written(x, "chains") for x in _anchored(single))
+            tables += [chains, around]
+            hung.append(chains)
+            anchors = chains.select(F.col("node").alias("need"), "anchor", F.col("w").alias("__w"))
+            # Nodes that go round are no longer asked for, but still needed, so who needs them is never known.
+            rest = left.join(chains.select("node").unionByName(around), "node", "left_anti").join(anchors, "need", "left")
+            rest = rest.select("node", F.coalesce("anchor", "need").alias("need"), (F.col("w") + F.coalesce("__w", F.lit(0))).alias("w"))
+            rest = written(rest.groupBy("node", "need").agg(F.max("w").alias("w")), "needs")
+            tables.append(rest)
+        met = rest.join(reduce(DataFrame.unionByName, done).withColumnRenamed("node", "need"), "need", "left")
+        ready = met.groupBy("node").agg(F.max(F.col("level") + F.col("w")).alias("level"), F.count("*").alias("n"), F.count("level").alias("k")).where("n = k").select("node", "level")
+        ready = written(ready, "levels")
+        left = written(rest.join(ready, "node", "left_anti"), "needs")
+        tables += [ready, left]
+        done.append(ready)
+        if len(done) > 16:
             done = [written(reduce(DataFrame.unionByName, done), "levels")]
+            tables += done
+        count = left.count()
+        if slow and count == before:
+            break
+        slow = before - count < before // 8 + 1
     else:
-        raise RuntimeError(f"needs over {rounds} levels")
-    out = nodes.select("node").join(reduce(DataFrame.unionByName, done), "node", "left")
-    return settled(out, "levels", left, *done)
+        raise RuntimeError(f"needs over {rounds} rounds")
+    found = reduce(DataFrame.unionByName, done)
+    for chains in reversed(hung):  # what was contracted last hangs on what is known
+        above = found.select(F.col("node").alias("anchor"), F.col("level").alias("__l"))
+        found = found.unionByName(chains.join(above, "anchor").select("node", (F.col("__l") + F.col("w")).alias("level")))
+    out = nodes.select("node").join(found.select("node", F.col("level").cast("int").alias("level")), "node", "left")
+    return settled(out, "levels", *tables)
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from heronry.operators.ordering import ordered
+
 EDGES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 
 
@@ -15,17 +17,26 @@ def in_window(ts: str, start: str, end: str) -> Column:
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, points: dict[str, float], half_even: bool = False) -> DataFrame:
-    """Exact, linearly interpolated; rounded half to even if asked."""
-    found = [F.percentile(value, p).alias(n) for n, p in points.items()]
-    out = rows.groupBy(*by).agg(*found)
+    """Exact, linearly interpolated; rounded half to even if asked. A group without values has nulls. The two values that a
+    point lies between are read by their places, so no group's values are gathered."""
+    place = ordered(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v")), [F.col("__v")], by)
+    names = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in points.items()])
+    asked = place.counts().select(*by, "n", F.explode(names).alias("x"))
+    asked = asked.select(*by, F.col("x.name").alias("name"), ((F.col("n") - 1) * F.col("x.p")).alias("exact"))
+    ends = F.array_distinct(F.array(F.floor("exact"), F.ceil("exact")))
+    found = place.at(asked.select(*by, "name", "exact", F.explode(ends).alias("place")), "place")
+    share = F.col("exact") - F.floor("exact")
+    low, high = F.min("__v").cast("double"), F.max("__v").cast("double")
+    lines = found.groupBy(*by, "name", "exact").agg(low.alias("low"), high.alias("high")).select(*by, "name", (F.col("low") + (F.col("high") - F.col("low")) * share).alias("x"))
+    whole = rows.select(*by, F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("x")).distinct()  # groups of nulls only
+    out = lines.unionByName(whole).groupBy(*by).agg(*[F.max(F.when(F.col("name") == n, F.col("x"))).alias(n) for n in points])
     return out.withColumns({n: F.bround(n, 0).cast("long") for n in points}) if half_even else out
 
 
 def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Element n div 2 of each group in order: by rank, so that no group is gathered in one list."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("__r", F.row_number().over(w.orderBy(value))).withColumn("__n", F.count("*").over(w))
-    return ranked.where("__r = __n div 2 + 1").select(*by, F.col(value).alias("p50"), F.col("__n").alias("n"))
+    """Element n div 2 of each group in order, nulls first."""
+    place = ordered(rows.select(*by, F.col(value).alias("p50")), [F.col("p50").asc_nulls_first()], by)
+    return place.at(place.counts().select(*by, "n", F.expr("n div 2").alias("place")), "place").select(*by, "p50", "n")
 
 
 def bucket(value: Column) -> Column:

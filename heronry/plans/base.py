@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.functions.text import STOP_WORDS
+from heronry.operators import layout as ly
 from heronry.operators import retrieval as rt
 from heronry.operators import vectors as vx
 from heronry.session import listing, qualified
 
-#: Indexes of an application by folder and kind, with the listing of the table's files when they were made.
-_INDEXES: dict[tuple[str, str, str], tuple[tuple, rt.Index | vx.VectorIndex]] = {}
+#: Indexes and layouts of an application by folder and kind, with the listing of the table's files when they were made.
+_INDEXES: dict[tuple[str, str, str], tuple[tuple, rt.Index | vx.VectorIndex | ly.Layout]] = {}
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -60,8 +61,8 @@ class Tables:
         status = F.when(F.col("version_id") % 10 == 3, F.when(F.col("source_id") % 5 == 0, "draft").otherwise("published")).otherwise("superseded")
         return d.withColumn("status", status)
 
-    def _indexed(self, kind: str, name: str, make: Callable[[DataFrame], rt.Index | vx.VectorIndex]):
-        """The stored index of a table: made once per session, and again after the table's files have changed."""
+    def _indexed(self, kind: str, name: str, make: Callable[[DataFrame], rt.Index | vx.VectorIndex | ly.Layout]):
+        """The stored index or layout of a table: made once per session, and again after the table's files have changed."""
         key, now = (self.spark.sparkContext.applicationId, self.dir, kind), listing(self.spark, f"{self.dir}/{name}.parquet")
         if key not in _INDEXES or _INDEXES[key][0] != now:
             if key in _INDEXES:
@@ -74,6 +75,11 @@ class Tables:
         """The inverted index of documents."""
         return self._indexed("terms", "documents", lambda d: rt.indexed(d, stored=True))
 
+    @property
+    def chunk_layout(self) -> ly.Layout:
+        """Chunks in folders by status of their version and by scope."""
+        return self._indexed("chunks", "documents", lambda _: ly.laid_out(self.chunks, "doc_id", ("status", "scope")))
+
     @property
     def vector_index(self) -> vx.VectorIndex:
         """The cluster index of embeddings."""
@@ -88,6 +94,17 @@ class Tables:
         """events as a memory event log."""
         return as_log(self.events)
 
+    @property
+    def log_layout(self) -> ly.Layout:
+        """The log in folders by scope and buckets by event."""
+        return self._indexed("log", "events", lambda e: ly.laid_out(as_log(e), "event_id", ("scope_id",)))
+
+    @property
+    def archived_layout(self) -> ly.Layout:
+        """Events that are archived: accesses before the time that #11 asks for."""
+        old = F.col("ts") < F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")
+        return self._indexed("archived", "events", lambda e: ly.laid_out(as_log(e).where((F.col("kind") == "access") & old).select("event_id"), "event_id"))
+
     @property
     def log_stream(self) -> DataFrame:
         """The same log as a stream of the table's files. A stream's path is a folder, so a table of one file is looked for in

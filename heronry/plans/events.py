@@ -9,6 +9,7 @@ from heronry.operators import events as ev
 from heronry.operators import metrics as mt
 from heronry.operators import retrieval as rt
 from heronry.streaming import entries as en
+from heronry.operators.ordering import ordered
 from heronry.plans.base import ENTRIES, LOG, NOW, Tables, query
 from heronry.session import new_folder
 
@@ -18,15 +19,14 @@ TS = f"TIMESTAMP '{NOW}'"
 
 @query(f"WITH {LOG} SELECT event_id, kind, aggregate_id FROM log WHERE event_id <= 5000 AND scope_id IN (1, 3)")
 def log_replay_prefix(t: Tables):
-    """#10 bounded replay of two scopes."""
-    return ev.replay(t.log, 5000).where("scope_id in (1, 3)").select("event_id", "kind", "aggregate_id")
+    """#10 bounded replay of two scopes, which are folders of the log."""
+    return ev.replay(t.log_layout.rows, 5000).where("scope_id in (1, 3)").select("event_id", "kind", "aggregate_id")
 
 
 @query(f"WITH {LOG} SELECT event_id, kind FROM log WHERE NOT (kind = 'access' AND ts < TIMESTAMP '{T0}')")
 def log_minus_archived(t: Tables):
-    """#11 replay without archived events."""
-    archived = t.log.where((F.col("kind") == "access") & (F.col("ts") < ev.moment(T0))).select("event_id")
-    return ev.replay(t.log, archived=archived).select("event_id", "kind")
+    """#11 replay without archived events: both lie in buckets of event_id, so nothing is sent."""
+    return ev.replay(t.log_layout.rows, archived=t.archived_layout.rows).select("event_id", "kind")
 
 
 @query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
@@ -99,10 +99,10 @@ def time_window(t: Tables):
 
 @query(f"WITH {ENTRIES} SELECT memory_id, observed_at, count(*) OVER ()::BIGINT AS total FROM entries WHERE status = 'active' ORDER BY observed_at DESC, memory_id DESC LIMIT 20 OFFSET 40")
 def paginate(t: Tables):
-    """#95 a page with the total."""
-    rows = t.entries.where("status = 'active'").select("memory_id", "observed_at")
-    page = rows.orderBy(F.col("observed_at").desc(), F.col("memory_id").desc()).offset(40).limit(20)
-    return page.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
+    """#95 a page with the total: the rows are written in order once, and a page reads the range that holds it."""
+    rows = ordered(t.entries.where("status = 'active'").select("memory_id", "observed_at"), [F.col("observed_at").desc(), F.col("memory_id").desc()])
+    total = rows.counts().first()
+    return rows.page(40, 20).select("memory_id", "observed_at", F.lit(total["n"] if total else 0).cast("long").alias("total"))
 
 
 DELIVERED = f"""runs AS (SELECT 's' || (conv_id % 50) AS session_id, conv_id * 10 + turn AS returned, {TS} - (conv_id % 14) * INTERVAL 1 DAY AS created_at FROM conversations),
@@ -270,8 +270,8 @@ def vocab_union(t: Tables):
 
 @query(f"WITH {LOG} SELECT aggregate_id, event_id, kind, ts FROM log QUALIFY row_number() OVER (PARTITION BY aggregate_id ORDER BY event_id DESC) = 1")
 def latest_per_key(t: Tables):
-    """#87 last observation of each run."""
-    return ev.latest(t.log, ["aggregate_id"], [F.col("event_id").desc()]).select("aggregate_id", "event_id", "kind", "ts")
+    """#87 last observation of each run: a maximum, combined before the shuffle."""
+    return ev.newest(t.log.select("aggregate_id", "event_id", "kind", "ts"), ["aggregate_id"], "event_id")
 
 
 @query("SELECT o_custkey AS scope_id, max(o_orderkey) AS version_id, arg_max(o_orderstatus, o_orderkey) AS status FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
@@ -530,7 +530,7 @@ def incremental_equals_full(t: Tables):
 def archive_eligible(t: Tables):
     """#145, #215 old accesses and covered asserts that nothing protects."""
     old = F.expr(f"timestamp_ntz'{NOW}' - interval 10 days")
-    rows = t.log.where(((F.col("kind") == "access") & (F.col("ts") < old)) | ((F.col("kind") == "assert") & (F.col("event_id") <= 4000)))
+    rows = t.log_layout.rows.where(((F.col("kind") == "access") & (F.col("ts") < old)) | ((F.col("kind") == "assert") & (F.col("event_id") <= 4000)))
     protected = t.log.groupBy("aggregate_id").agg(F.max("event_id").alias("event_id")).select("event_id")
     return rows.join(protected, "event_id", "left_anti").select("event_id", "kind")
 

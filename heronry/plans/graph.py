@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from heronry.functions import text as tx
 from heronry.operators import events as ev
 from heronry.operators import graph as gr
+from heronry.operators import hashtree as ht
 from heronry.operators import metrics as mt
 from heronry.operators import retrieval as rt
 from heronry.plans.base import CHUNKS, ENTRIES, LOG, NOW, VERSIONS, Tables, query
@@ -485,12 +486,11 @@ def reconcile_candidates(t: Tables):
 
 @query(f"WITH {FULL}, reg AS (SELECT memory_id, status FROM red WHERE memory_id % 7 <> 0 UNION ALL SELECT -1, 'active'), now AS (SELECT memory_id, CASE WHEN memory_id % 5 = 0 THEN 'changed' ELSE status END AS status FROM red) SELECT coalesce(r.memory_id, n.memory_id) AS memory_id, CASE WHEN r.memory_id IS NULL THEN 'missing' WHEN n.memory_id IS NULL THEN 'unexpected' ELSE 'changed' END AS drift FROM reg r FULL JOIN now n USING (memory_id) WHERE r.status IS DISTINCT FROM n.status")
 def projection_drift(t: Tables):
-    """#209 registered rows against recomputed ones."""
+    """#209 registered rows against recomputed ones, by their hash trees: rows of equal leaves aren't looked at."""
     red = ev.reduced_entries(t.log).select("memory_id", "status")
-    reg = red.where("memory_id % 7 <> 0").unionByName(t.rows("memory_id long, status string", (-1, "active"))).withColumnRenamed("status", "was")
+    stored = ht.registered(red.where("memory_id % 7 <> 0").unionByName(t.rows("memory_id long, status string", (-1, "active"))), "memory_id")
     now = red.withColumn("status", F.when(F.col("memory_id") % 5 == 0, "changed").otherwise(F.col("status")))
-    both = reg.join(now, "memory_id", "full").where(~F.col("was").eqNullSafe(F.col("status")))
-    return both.select("memory_id", F.when(F.col("was").isNull(), "missing").when(F.col("status").isNull(), "unexpected").otherwise("changed").alias("drift"))
+    return ht.drift(stored, now, ht.leaves(stored, "memory_id", ["status"], []), "memory_id", ["status"], [])
 
 
 @query("SELECT vec_id, len(list_filter(list_zip(embedding, list_transform(embedding, lambda x: x::DOUBLE + CASE WHEN vec_id % 3 = 0 THEN 1e-3 ELSE 1e-8 END)), lambda z: abs(z[1]::DOUBLE - z[2]) > greatest(1e-6, 1e-5 * greatest(abs(z[1]::DOUBLE), abs(z[2]))))) = 0 AS close FROM embeddings")
