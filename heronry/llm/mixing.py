@@ -71,6 +71,10 @@ def name(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws(":", *[F.lit(str(x)) if isinstance(x, int) else F.col(x).cast("string") if isinstance(x, str) else x for x in parts]))
 
 
+#: Words that a chunk of a shard of mixed texts has at most, about; chunks of a shard at least.
+CHUNK_WORDS, LEAST_CHUNKS = 1 << 21, 8
+
+
 def unit(*parts: Column | str | int) -> Column:
     """A number in [0, 1) that depends on the parts alone."""
     return F.conv(F.substring(name(*parts), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
@@ -180,10 +184,12 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 17, weights: tuple[int, .
     return settled(out.select("doc_id", "row", "source", "size", "source_size", "target", "taken", "pieces"), "mix", rows, stored)
 
 
-def mixed_texts(docs: DataFrame, taken: DataFrame, chunks: int = 8) -> DataFrame:
+def mixed_texts(docs: DataFrame, taken: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """One row of docs per pass that the mix takes of it, in mix(whole=True); columns of docs, dealt by shard and
-    shuffled in it. Rows meet the mix by their row_key. The passes of rows that share one differ by one at
+    shuffled in it. A shard is sorted in as many chunks as its words ask for, so a task's share doesn't grow. Rows meet the mix by their row_key. The passes of rows that share one differ by one at
     most, so their sum is dealt out evenly, to shards at random."""
+    sums = taken.agg(F.sum("taken").alias("words"), F.max(F.array_max(F.transform("pieces", lambda x: x["shard"]))).alias("last")).first()
+    chunks = max(LEAST_CHUNKS, -(-(sums["words"] or 0) // (((sums["last"] or 0) + 1) * chunk_words)))
     times = taken.groupBy(F.col("row").alias("__of")).agg(F.count("*").alias("__rows"), F.sum(F.size("pieces")).alias("__times"), F.max("pieces").alias("__pieces")).where("__times > 0")
     joined = docs.withColumn("__row", row_key()).join(times, F.col("__row") == F.col("__of"))
     # All rows of a window are alike, so it needs no order but that of the join.

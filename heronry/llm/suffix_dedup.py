@@ -52,6 +52,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data)
     if n < SPAN:
         return none
+    if n >> int(PLACE):
+        raise ValueError(f"a text of {n} bytes: places have {PLACE} bits")
     prefix = prefix_hashes(data)
     start = np.arange(n - GRAM + 1)
     gram = range_hashes(prefix, start, start + GRAM)
@@ -264,7 +266,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_bytes: int = DOC_BYTES, frequent: int = FREQUENT) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row.
 
-    A null text has no bytes. Rows without doc_id lose nothing and take nothing from others. Rows that repeat
+    A null text has no bytes; one of 2 ** PLACE bytes (256 MB) or more is an error. Rows without doc_id lose nothing and take nothing from others. Rows that repeat
     a doc_id lose nothing to each other; each loses what smaller ids have. Texts under SPAN bytes stay."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -496,8 +498,12 @@ def places_of(ids: np.ndarray, names: np.ndarray, null: np.ndarray) -> dict[tupl
 
 
 def _placed(batches: Iterator[pa.RecordBatch], place_of) -> Iterator[pa.RecordBatch]:
+    count = 0
     for batch in batches:
-        place = place_of(np.array(batch.column("doc_id").fill_null(0)))
+        # Rows without doc_id are asked for nothing, so they are dealt by where they stand.
+        ids, here = batch.column("doc_id"), np.arange(count, count + batch.num_rows)
+        place = place_of(np.where(np.array(ids.is_null()), here, np.array(ids.fill_null(0))))
+        count += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), batch.column("doc_id"), batch.column("text")], names=["place", "doc_id", "text"])
 
 

@@ -223,6 +223,15 @@ def test_mix(docs, none):
     assert mx.mix(none).count() == 0
 
 
+def test_mixed_texts_deals_more_chunks_of_more_words(docs):
+    """Small chunks give many tasks, and the same rows."""
+    taken = mx.mix(docs, whole=True)
+    few, many = mx.mixed_texts(docs, taken), mx.mixed_texts(docs, taken, 50)
+    rows = lambda df: Counter(tuple(r) for r in df.collect())
+    assert rows(few) == rows(many)
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("__chunk") and "* 8" in few._jdf.queryExecution().optimizedPlan().toString() and "* 8" not in many._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_mixed_texts_of_rows_without_or_with_repeated_ids(spark):
     """Each row comes as often as the mix takes it: rows with a null doc_id, with one doc_id and several texts, or all alike."""
     r = random.Random(8)
@@ -862,6 +871,23 @@ def test_suffix_dedup(spark, docs, none, frequent):
     assert sd.deduplicated(none).count() == 0
 
 
+def test_suffix_dedup_refuses_texts_that_places_cannot_hold(monkeypatch):
+    data, offsets = np.frombuffer(b"ab" * 200, np.uint8), np.array([0, 400])
+    assert len(sd.anchors(data, offsets)[0])
+    monkeypatch.setattr(sd, "PLACE", np.uint64(8))
+    with pytest.raises(ValueError, match="places have 8 bits"):
+        sd.anchors(data, offsets)
+
+
+def test_suffix_dedup_deals_rows_without_ids_evenly():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array([None] * 900 + list(range(100)), pa.int64()), "text": ["x"] * 1000})
+    place_of = lambda d: (sd.mix(d.view(np.uint64) + np.uint64(77)) % np.uint64(10)).astype(np.int64)
+    places = Counter(x for b in sd._placed(iter([rows, rows]), place_of) for x in b.column("place").to_pylist())
+    assert len(places) == 10 and max(places.values()) < 300
+
+
 def test_suffix_runs_cover_their_contexts_and_no_more():
     r = np.random.default_rng(7)
     rows = []
