@@ -41,19 +41,21 @@ def cuts_of(sizes: np.ndarray, most: int) -> list[int]:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def greedy_packs(items: pd.Series, sizes: pd.Series, most: pd.Series) -> pd.Series:
-    def packs(said: np.ndarray, size: np.ndarray, m: int) -> list[str]:
+def greedy_packs(items: pd.Series, sizes: pd.Series, most: pd.Series, between: pd.Series) -> pd.Series:
+    """Texts packed by cuts_of, each pack joined."""
+
+    def packs(said: np.ndarray, size: np.ndarray, m: int, by: str) -> list[str]:
         cuts = [*cuts_of(np.asarray(size, np.int64), m), len(said)]
-        return [" ".join(said[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+        return [by.join(said[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
 
-    return pd.Series([packs(*x) for x in zip(items, sizes, most, strict=True)])
+    return pd.Series([packs(*x) for x in zip(items, sizes, most, between, strict=True)])
 
 
 def packed_sentences(text: Column, most: int = MOST_TOKENS) -> Column:
     """Sentences joined as long as they have up to `most` words; a longer one stands alone. A null text has none. A text
     takes time in proportion to its length."""
     said = F.coalesce(sentences(text), F.array().cast("array<string>"))
-    return greedy_packs(said, F.transform(said, lambda s: F.size(F.split(F.trim(s), "\\s+"))), F.lit(most))
+    return greedy_packs(said, F.transform(said, lambda s: F.size(F.split(F.trim(s), "\\s+"))), F.lit(most), F.lit(" "))
 
 
 def row_windows(rows: DataFrame, sheet: str, order: str, line: Column, header: str, size: int = 50) -> DataFrame:

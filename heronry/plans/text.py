@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heronry.functions import text as tx
+from heronry.operators import blocks as bk
 from heronry.operators import chunks as ck
+from heronry.operators import retrieval as rt
 from heronry.plans.base import ENTRIES, Tables, query
 from heronry.sources import parsers, sinks
 
@@ -100,16 +102,25 @@ def token_estimate(t: Tables):
     return t.documents.select("doc_id", tx.words_estimate(F.col("text")).alias("words"), tx.quarter_estimate(F.col("text")).alias("quarters"))
 
 
-KINDS = ("section", "symbol", "legal:article", "legal:clause", "medical:dose", "Heading", "table", "x:", "view")
 # Closed kinds of chunks.
 L1 = "section heading paragraph list table".split()
 LEGACY = "section symbol endpoint schema table column constraint index view procedure function method type interface class heading paragraph list".split()
 
 
-@query("WITH k(kind) AS (VALUES " + ", ".join(f"('{k}')" for k in KINDS) + f") SELECT kind, kind IN ({', '.join(repr(x) for x in [*L1, *LEGACY])}) OR (regexp_full_match(kind, '[a-z][a-z0-9_]*:[a-z][a-z0-9_]*') AND (split_part(kind, ':', 1) = 'medical' OR kind = 'legal:article')) AS valid FROM k")
+#: Kinds that the tables' words make: words alone, doubled ones, and words in three namespaces.
+KINDS = """w AS (SELECT DISTINCT event_type AS w FROM events UNION SELECT DISTINCT p_type FROM part UNION SELECT DISTINCT p_name FROM part),
+p AS (SELECT unnest(string_split(w, ' ')) AS w FROM w),
+k AS (SELECT DISTINCT unnest([w, lower(w), 'medical:' || w, 'legal:' || w, 'legal:article', 'x:' || w, CASE w WHEN 'error' THEN 'table' WHEN 'click' THEN 'list' ELSE w END]) AS kind FROM p)"""
+
+
+@query(f"WITH {KINDS} SELECT kind, kind IN ({', '.join(repr(x) for x in [*L1, *LEGACY])}) OR (regexp_full_match(kind, '[a-z][a-z0-9_]*:[a-z][a-z0-9_]*') AND (split_part(kind, ':', 1) = 'medical' OR kind = 'legal:article')) AS valid FROM k")
 def chunk_type_valid(t: Tables):
     """#34 closed kinds, older kinds, and declared namespaces (medical: all, legal: article)."""
-    k = t.rows("kind string", *[(k,) for k in KINDS])
+    words = t.events.select(F.col("event_type").alias("w")).union(t.part.select("p_type")).union(t.part.select("p_name")).distinct()
+    w = F.col("w")
+    renamed = F.when(w == "error", "table").when(w == "click", "list").otherwise(w)
+    made = F.array(w, F.lower(w), *[F.concat(F.lit(f"{ns}:"), w) for ns in ("medical", "legal", "x")], F.lit("legal:article"), renamed)
+    k = words.select(F.explode(F.split("w", " ")).alias("w")).select(F.explode(made).alias("kind")).distinct()
     declared = t.rows("ns string, allowed string", ("medical", "*"), ("legal", "article"))
     ns = F.when(F.col("kind").rlike("^[a-z][a-z0-9_]*:[a-z][a-z0-9_]*$"), F.substring_index("kind", ":", 1))
     rows = k.withColumn("__ns", ns).join(declared, F.col("__ns") == F.col("ns"), "left")
@@ -117,21 +128,31 @@ def chunk_type_valid(t: Tables):
     return rows.select("kind", ok.alias("valid"))
 
 
-FILES = (
-    ("a/notes.TXT", "plain"), ("b/api.json", '{"openapi": "3.0.0"}'), ("b/conf.json", '{"a": 1}'), ("c/spec.yaml", "swagger: '2.0'"), ("c/conf.yml", "a: 1"),
-    ("d/main.go", "package main"), ("d/broken.go", "func x() {}"), ("e/q.sql", "select 1"), ("f/page.htm", "<p>x</p>"), ("g/none", "x"), ("h/mail.eml", "From: a"),
-)
+#: Pages, events and documents as files: endings go by the row's number, contents are the tables' own.
+ENDINGS = [".TXT", ".json", ".go", ".sql", ".htm", "", ".eml", ".yaml"]
+FILES = f"""f AS (
+  SELECT regexp_replace(url, '[?#].*$', '') AS path, html AS content FROM pages
+  UNION ALL SELECT 'e/' || event_id || CASE WHEN event_id % 2 = 0 THEN '.json' ELSE '.YML' END, CASE WHEN event_id % 3 = 0 THEN '{{"openapi": ' || props || '}}' WHEN event_id % 3 = 1 THEN '{{"x": {{"swagger": ' || props || '}}}}' ELSE props END FROM events
+  UNION ALL SELECT 'd/' || doc_id || {ENDINGS}[doc_id % {len(ENDINGS)} + 1], CASE WHEN doc_id % 16 = 2 THEN 'package ' || text ELSE text END FROM documents)"""
 
 
 @query(
-    "WITH f(path, content) AS (VALUES " + ", ".join(f"('{p}', '{c.replace(chr(39), chr(39) * 2)}')" for p, c in FILES) + "), e AS (SELECT *, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext FROM f), k(ext, fmt) AS (VALUES "
+    f"WITH {FILES}, e AS (SELECT *, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS ext FROM f), k(ext, fmt) AS (VALUES "
     + ", ".join(f"('{a}', '{b}')" for a, b in parsers.FORMATS.items())
-    + ") SELECT path, CASE WHEN fmt IN ('json', 'yaml') AND (contains(content, 'openapi') OR contains(content, 'swagger')) THEN 'openapi' WHEN fmt = 'go' AND NOT starts_with(content, 'package') THEN NULL ELSE fmt END AS format FROM e LEFT JOIN k USING (ext)"
+    + """), j AS (SELECT *, CASE WHEN json_valid(content) THEN len(list_intersect(json_keys(content), ['openapi', 'swagger'])) > 0 ELSE false END AS member FROM e LEFT JOIN k USING (ext))
+SELECT path, CASE WHEN (fmt = 'json' AND member) OR (fmt = 'yaml' AND (member OR regexp_matches(content, '(^|\\n)["'']?(openapi|swagger)["'']?\\s*:'))) THEN 'openapi'
+  WHEN fmt = 'go' AND NOT regexp_matches(lower(content), '(^|\\n)\\s*package(\\s|$)') THEN NULL ELSE fmt END AS format FROM j"""
 )
 def format_detect(t: Tables):
     """#1, #4 formats by ending and content."""
-    f = t.rows("path string, content string", *FILES)
-    return f.select("path", parsers.format_of(F.col("path"), F.col("content")).alias("format"))
+    page = t.pages.select(F.regexp_replace("url", "[?#].*$", "").alias("path"), F.col("html").alias("content"))
+    i, props = F.col("event_id"), F.col("props")
+    wrapped = F.when(i % 3 == 0, F.concat(F.lit('{"openapi": '), props, F.lit("}"))).when(i % 3 == 1, F.concat(F.lit('{"x": {"swagger": '), props, F.lit("}}"))).otherwise(props)
+    event = t.events.select(F.concat(F.lit("e/"), i.cast("string"), F.when(i % 2 == 0, ".json").otherwise(".YML")).alias("path"), wrapped.alias("content"))
+    d = F.col("doc_id")
+    ending = F.element_at(F.array(*[F.lit(x) for x in ENDINGS]), (d % len(ENDINGS) + 1).cast("int"))
+    document = t.documents.select(F.concat(F.lit("d/"), d.cast("string"), ending).alias("path"), F.when(d % 16 == 2, F.concat(F.lit("package "), F.col("text"))).otherwise(F.col("text")).alias("content"))
+    return rt.unioned([page, event, document]).select("path", parsers.format_of(F.col("path"), F.col("content")).alias("format"))
 
 
 LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), g AS (SELECT *, sum(CASE WHEN length(line) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM l)"
@@ -185,8 +206,8 @@ bl AS (SELECT path, '# Talk' || coalesce(' > ' || h2, '') AS position, CASE WHEN
 
 @query(f"WITH {MARKDOWN} SELECT path, 'markdown' AS format, position, parent, kind, start_line, end_line, content FROM bl")
 def chunk_blocks(t: Tables):
-    """#20 structural blocks of Markdown."""
-    return parsers.parsed(rendered(t).withColumn("format", F.lit("markdown")))
+    """#20 structural blocks of Markdown: lines as rows."""
+    return bk.markdown_blocks(rendered(t)).withColumn("format", F.lit("markdown"))
 
 
 @query(f"""WITH {MARKDOWN}, sc AS (SELECT path, position, parent, min(start_line) AS a, max(end_line) AS b, string_agg(content, chr(10) || chr(10) ORDER BY start_line) AS content FROM bl GROUP BY ALL),
@@ -196,14 +217,14 @@ ot AS (SELECT path, CASE WHEN parent = '' OR joins THEN 0 ELSE i END AS k, min(a
 SELECT path, 'sections' AS format, position, parent, 'section' AS kind, start_line, end_line, content FROM ot""")
 def chunk_sections(t: Tables):
     """#21 sections, short ones merged, long ones cut."""
-    return parsers.parsed(rendered(t).withColumn("format", F.lit("sections")))
+    return bk.markdown_sections(rendered(t)).withColumn("format", F.lit("sections"))
 
 
 @query("SELECT event_id, 'path:/k' AS position, json_extract_string(props, '$.k') AS content FROM events UNION ALL SELECT event_id, 'path:/', props FROM events")
 def json_keypaths(t: Tables):
     """#23 the object and its leaves by path."""
-    files = t.events.select(F.col("event_id").cast("string").alias("path"), F.lit("json").alias("format"), F.col("props").alias("content"))
-    return parsers.parsed(files).select(F.col("path").cast("long").alias("event_id"), "position", "content")
+    files = t.events.select(F.col("event_id").alias("path"), F.col("props").alias("content"))
+    return bk.json_leaves(files).select(F.col("path").alias("event_id"), "position", "content")
 
 
 #: Pages cut at block tags, each part with the tag before it. The tables' pages have these references and no others.
