@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,7 @@ LOW_RISK = (
     ("suspicious_base64", "(?i)\\bbase64[:\\s]"),
     ("jailbreak_marker", "(?i)\\bDAN mode\\b|\\bdeveloper mode\\b|越狱模式"),
 )
+# Fixed value: phrases that claim authority.
 AUTHORITY = (
     "(?i)\\b(?:switch|change)\\s+(?:the\\s+)?scope\\s+to\\b|\\bgrant\\s+(?:writer|admin|hard)\\s+(?:permission|authority)\\b"
     "|\\b(?:write|create)\\s+hard\\s+memor|\\benable\\s+(?:consolidation\\s+)?policy\\b|\\bpromote\\s+memor\\w*\\s+automatically\\b"
@@ -76,19 +79,38 @@ def redacted(text: Column) -> Column:
     return text
 
 
-def matched(text: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
-    """Names of the patterns that are found, in their order."""
-    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in patterns]), lambda x: x.isNotNull())
+#: What a text that matches a pattern has in it for certain, in small letters: looked for first, as it costs little.
+SIGNS = {
+    "chat_delimiter_escape": ("<|",), "delimiter_escape": ("]]>", "</prompt>", "</system>", "###"), "role_hijack": ("ignore ",), "role_hijack_zh": ("忽略",),
+    "identity_override": ("you are now", "act as ", "你现在是", "扮演"), "prompt_disclosure": ("system prompt", "internal prompt", "泄露", "输出"), "tool_call_manipulation": (" the tool ", " the function ", "调用工具"),
+    "user_concealment": (" the user", "不要告诉用户", "瞒着用户"), "suspicious_base64": ("base64",), "jailbreak_marker": (" mode", "越狱模式"),
+}
+
+
+def matched(text: Column, low: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
+    """Names of the patterns that are found, in their order; low is the text in small letters."""
+    found = [(n, reduce(lambda a, b: a | b, [low.contains(s) for s in SIGNS[n]]) & text.rlike(p)) for n, p in patterns]
+    return F.array_compact(F.array(*[F.when(hit, F.lit(n)) for n, hit in found]))
 
 
 def injection(text: Column) -> Column:
-    """struct(risk, names): high patterns first; the low ones count only without a high one."""
-    high, low = matched(F.coalesce(text, F.lit("")), HIGH_RISK), matched(F.coalesce(text, F.lit("")), LOW_RISK)
-    risk = F.when(F.size(high) > 0, "high").when(F.size(low) > 0, "low").otherwise("none")
-    return F.struct(risk.alias("risk"), F.when(F.size(high) > 0, high).otherwise(low).alias("names"))
+    """struct(risk, names): high patterns first; the low ones count only without a high one. A list of one binds what is used
+    more than once, so each pattern is tried once."""
+
+    def judged(x: Column) -> Column:
+        risk = F.when(F.size(x["high"]) > 0, "high").when(F.size(x["low"]) > 0, "low").otherwise("none")
+        return F.struct(risk.alias("risk"), F.when(F.size(x["high"]) > 0, x["high"]).otherwise(x["low"]).alias("names"))
+
+    def tried(x: Column) -> Column:
+        return F.struct(*[matched(x["text"], x["low"], p).alias(n) for n, p in (("high", HIGH_RISK), ("low", LOW_RISK))])
+
+    said = F.coalesce(text, F.lit(""))
+    once = F.transform(F.array(F.struct(said.alias("text"), F.lower(said).alias("low"))), tried)
+    return F.transform(once, judged)[0]
 
 
 def quarantined(text: Column, ref: Column) -> Column:
+    # Fixed value: the stub's wording.
     stub = F.concat(F.lit("[quarantined untrusted content withheld from analysis; source: "), F.coalesce(F.when(ref != "", ref), F.lit("unknown")), F.lit("]"))
     return F.when(injection(text)["risk"] == "high", stub).otherwise(text)
 

@@ -14,6 +14,7 @@ from heronry.operators import retrieval as rt
 from heronry.plans.base import CHUNKS, ENTRIES, LOG, NOW, VERSIONS, Tables, query
 from heronry.plans.events import FULL, sql_pack
 from heronry.plans.retrieval import HYBRID, SPARSE, hybrid_lists, sparse
+from heronry.session import written
 
 TS = f"TIMESTAMP '{NOW}'"
 NATION, CUSTOMER, SUPPLIER, ORDER = 100, 10**12, 2 * 10**12, 3 * 10**12
@@ -487,7 +488,7 @@ def reconcile_candidates(t: Tables):
 @query(f"WITH {FULL}, reg AS (SELECT memory_id, status FROM red WHERE memory_id % 7 <> 0 UNION ALL SELECT -1, 'active'), now AS (SELECT memory_id, CASE WHEN memory_id % 5 = 0 THEN 'changed' ELSE status END AS status FROM red) SELECT coalesce(r.memory_id, n.memory_id) AS memory_id, CASE WHEN r.memory_id IS NULL THEN 'missing' WHEN n.memory_id IS NULL THEN 'unexpected' ELSE 'changed' END AS drift FROM reg r FULL JOIN now n USING (memory_id) WHERE r.status IS DISTINCT FROM n.status")
 def projection_drift(t: Tables):
     """#209 registered rows against recomputed ones, by their hash trees: rows of equal leaves aren't looked at."""
-    red = ev.reduced_entries(t.log).select("memory_id", "status")
+    red = written(ev.reduced_entries(t.log).select("memory_id", "status"), "entries")
     stored = ht.registered(red.where("memory_id % 7 <> 0").unionByName(t.rows("memory_id long, status string", (-1, "active"))), "memory_id")
     now = red.withColumn("status", F.when(F.col("memory_id") % 5 == 0, "changed").otherwise(F.col("status")))
     return ht.drift(stored, now, ht.leaves(stored, "memory_id", ["status"], []), "memory_id", ["status"], [])
