@@ -1,12 +1,12 @@
 """Operator 6: benchmark decontamination by the q-gram lemma.
 
 A text holds a benchmark item if some stretch of it is within e edits of the item; e is EDIT_RATE of the
-item's characters, or for short items the most that leaves the lemma a bound of one: (len - q) / q. Then
-the two share at least len - q + 1 - q * e q-grams, at diagonals (place in the text less place in the
+item's characters. Then the two share at least len - q + 1 - q * e q-grams, at diagonals (place in the text less place in the
 item) that differ by at most 2 * e. So q-grams are looked up in an index of the items, hits are counted in
 overlapping bands of diagonals, and bands that reach the bound are verified by banded alignment, all bands
-of a pass at once; items that begin alike share the rows of the alignment up to where they part. Items of
-fewer than q characters are looked for as they are.
+of a pass at once; items that begin alike share the rows of the alignment up to where they part. q is Q; for
+items so short that Q grams would leave the lemma no bound, it is SHORT_Q, which leaves one. Items of fewer than
+Q characters have no edits and are looked for as they are.
 
 Texts and items are compared by characters, with A-Z as a-z and each run of white space as one blank; items
 are stripped. The items are taken in blocks of bounded size; each block is sent to all tasks, and the texts
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .textkernel import FOLD, mix, passes, slices, text_buffers, trimmed
 
-Q = 7
+Q, SHORT_Q = 7, 5
 EDIT_RATE = 0.1
 #: Hits with their items that are held at once, and cells of an alignment.
 HITS_AT_ONCE, CELLS = 1_000_000, 2_000_000
@@ -62,17 +62,27 @@ def grams(chars: np.ndarray, q: int = Q) -> np.ndarray:
     return mix(acc)
 
 
+def budget(size: int) -> int:
+    """Edits that an item of so many characters may have."""
+    return int(size * EDIT_RATE)
+
+
+def bounded(size: int, q: int) -> bool:
+    """Whether an item shares a q-gram with every stretch within its budget."""
+    return size - q + 1 - q * budget(size) >= 1
+
+
 class Part:
-    """q-grams of items of Q characters or more, for lookups by hash. Items are in the order of their characters."""
+    """q-grams of items of q characters or more, for lookups by hash. Items are in the order of their characters."""
 
-    def __init__(self, ids: np.ndarray, chars: list[np.ndarray]):
-        self.ids, self.chars = ids, chars
+    def __init__(self, ids: np.ndarray, chars: list[np.ndarray], q: int = Q):
+        self.ids, self.chars, self.q = ids, chars, q
         self.size = np.array([len(x) for x in chars], np.int64)
-        self.edits = np.minimum(np.floor(self.size * EDIT_RATE).astype(np.int64), (self.size - Q) // Q)
-        self.bound = self.size - Q + 1 - Q * self.edits
-        flat = np.concatenate([grams(x) for x in chars])
-        item = np.repeat(np.arange(len(chars)), self.size - Q + 1)
-        place = np.concatenate([np.arange(n - Q + 1) for n in self.size])
+        self.edits = np.array([budget(n) for n in self.size.tolist()], np.int64)
+        self.bound = self.size - q + 1 - q * self.edits
+        flat = np.concatenate([grams(x, q) for x in chars])
+        item = np.repeat(np.arange(len(chars)), self.size - q + 1)
+        place = np.concatenate([np.arange(n - q + 1) for n in self.size])
         order = np.argsort(flat, kind="stable")
         self.gram, first = np.unique(flat[order], return_index=True)
         self.item, self.place = item[order], place[order]
@@ -85,7 +95,7 @@ class Part:
 
     def search(self, chars: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, start, end, edits) of stretches of at most `edits` edits."""
-        h = grams(chars)
+        h = grams(chars, self.q)
         at = np.flatnonzero(self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         own = h[at]
         spot = np.minimum(np.searchsorted(self.gram, own), len(self.gram) - 1)
@@ -123,13 +133,13 @@ class Part:
         keep = np.flatnonzero(number[slot(cell)] + beside >= self.bound[item])
         own, item, place, line = own[keep], item[keep], place[keep], line[keep]
         doc = np.searchsorted(bounds, at[own], "right") - 1
-        keep = np.flatnonzero(at[own] + Q <= bounds[doc + 1])
+        keep = np.flatnonzero(at[own] + self.q <= bounds[doc + 1])
         item, place, line, doc = item[keep], place[keep], line[keep], doc[keep]
         if not len(doc):
             return []
         # Whole items have a hit at each of their places, all on one diagonal.
         heads, number = counted(doc, item, line)
-        full = number == self.size[heads[:, 1]] - Q + 1
+        full = number == self.size[heads[:, 1]] - self.q + 1
         out = [(d, i, x - shift, x - shift + int(self.size[i]), 0) for d, i, x in heads[full].tolist() if np.array_equal(chars[x - shift : x - shift + self.size[i]], self.chars[i])]
         # Places of the item in each half of a band; halves come in order, so the next one of a document and item is beside.
         heads = counted(doc, item, line // (2 * self.edits[item] + 1), place)[0][:, :3]
@@ -173,7 +183,8 @@ class Index:
                 found.append((chars.tolist(), item, chars))
         found.sort(key=lambda x: x[:2])
         long = [x for x in found if len(x[0]) >= Q]
-        self.part = Part(np.array([x[1] for x in long], np.int64), [x[2] for x in long]) if long else None
+        by_q = {Q: [x for x in long if bounded(len(x[0]), Q)], SHORT_Q: [x for x in long if not bounded(len(x[0]), Q)]}
+        self.parts = [Part(np.array([x[1] for x in own], np.int64), [x[2] for x in own], q) for q, own in by_q.items() if own]
         self.short: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
         for x in found:
             if len(x[0]) < Q:
@@ -184,9 +195,9 @@ class Index:
         the one with the fewest edits."""
         chars, bounds = folded(data, offsets)
         out: dict[tuple[int, int], set] = {}
-        if self.part and len(chars) >= Q:
-            for d, i, s, e, k in self.part.search(chars, bounds):
-                out.setdefault((d, int(self.part.ids[i])), set()).add((s - int(bounds[d]), e - int(bounds[d]), k))
+        for part in self.parts:
+            for d, i, s, e, k in part.search(chars, bounds) if len(chars) >= part.q else ():
+                out.setdefault((d, int(part.ids[i])), set()).add((s - int(bounds[d]), e - int(bounds[d]), k))
         for size, items in self.short.items():
             h = grams(chars, size)
             names = np.sort(np.array(list(items), np.uint64))

@@ -705,8 +705,8 @@ def edits(item, text):
 
 
 def budget(n):
-    """Edits allowed for an item of n characters: a tenth, or the most that leaves the q-gram lemma a bound of one."""
-    return min(n // 10, (n - 7) // 7) if n >= 7 else 0
+    """Edits allowed for an item of n characters: a tenth; none under seven."""
+    return n // 10
 
 
 def folded(t):
@@ -796,6 +796,25 @@ def test_decontamination_budget_is_a_tenth():
         assert {x[1] for x in index.search(raw, np.array([0, len(raw)]))} == ({7} if found else set())
 
 
+def test_decontamination_finds_a_tenth_of_edits_at_every_length():
+    """Items of 1 to 200 characters with as many edits as they may have, and with one more."""
+    r = random.Random(14)
+    letters = "abcdefghijklmnoprstuvwxyz"
+    for n in range(1, 201):
+        item = "".join(r.choice(letters) for _ in range(n))
+        index = dc.Index([(n, item)])
+        for k in (budget(n), budget(n) + 1):
+            for _ in range(3):
+                t = list(item)
+                for i in sorted(r.sample(range(n), min(k, n)), reverse=True):
+                    t[i : i + 1] = r.choice((["1"], [], [t[i], "2"], ["3"]))
+                text = "4 5 6 7 " + "".join(t) + " 8 9 0 1 2"
+                raw = np.frombuffer(text.encode(), np.uint8)
+                found = {x[1]: x[4] for x in index.search(raw, np.array([0, len(raw)]))}
+                fewest = edits(item, text)
+                assert found.get(n, 99) == (fewest if fewest <= budget(n) else 99), (n, k, item, text)
+
+
 def test_preferences(spark):
     turns = [
         (0, 0, "system", "be kind"), (0, 1, "user", "hi"), (0, 2, "assistant", "hello é"), (0, 3, "user", "more"), (0, 4, "assistant", "ok"),
