@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from .runtime import settled, written
 
-BUCKET_ROWS, QUERY_ROWS = 8192, 1024
+BUCKET_ROWS, QUERY_ROWS = 8192, 4096
 #: Local cosine threshold from which coordinates prune better than lengths; coordinates looked at.
 COSINE, FOCUS = 0.75, 3
 
@@ -175,8 +175,8 @@ def _search(k: int, bounds_only: bool):
 
 
 def level(length: Column) -> Column:
-    """Sixteen levels to a doubling of the length; zero has the lowest."""
-    return F.when(length > 0, F.floor(F.log2(length) * 16)).otherwise(F.lit(-20_000)).cast("int")
+    """Sixteen levels to a doubling of the length; null for zero."""
+    return F.when(length > 0, F.floor(F.log2(length) * 16)).cast("int")
 
 
 def top_k(vectors: DataFrame, every: int, k: int = 20, scale: int = 64, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -197,13 +197,15 @@ def top_k(vectors: DataFrame, every: int, k: int = 20, scale: int = 64, key: str
     asked_blocks = queries.join(bounds, "qblock")
     # Blocks of queries meet buckets by levels of length, from the least that can reach the bound to the highest;
     # then the vectors of the pairs left.
-    ends = candidates.agg(F.min("level").alias("low"), F.max("level").alias("high")).first()
-    if ends["low"] is None:
+    ends = candidates.agg(F.count("*").alias("n"), F.min("level").alias("low"), F.max("level").alias("high")).first()
+    # Buckets of zero vectors are one level under the shortest.
+    low, high = (ends["low"] or 0) - 1, -1 if ends["high"] is None else ends["high"]
+    if not ends["n"]:
         return first.mapInArrow(_search(k, False), FOUND).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
     reach = F.when((F.col("least") > 0) & (F.col("qtop") > 0), level(F.col("least") / F.col("qtop")) - 1)
-    lowest = F.least(F.lit(ends["high"]), F.greatest(F.lit(ends["low"]), F.coalesce(reach, F.lit(ends["low"]))))
-    wanted = asked_blocks.select("qblock", "qtop", "least", F.explode(F.sequence(lowest, F.lit(ends["high"]))).alias("level"))
-    pairs = wanted.join(candidates.select("block", "top", "level"), "level")
+    lowest = F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce(reach, F.lit(low))))
+    wanted = asked_blocks.select("qblock", "qtop", "least", F.explode(F.sequence(lowest, F.lit(high))).alias("level"))
+    pairs = wanted.join(candidates.select("block", "top", F.coalesce("level", F.lit(low)).alias("level")), "level")
     pairs = pairs.where(F.col("qtop") * F.col("top") * (1 + 1e-9) >= F.col("least")).select("qblock", "block")
     work = pairs.join(asked_blocks, "qblock").join(candidates.select("block", "ids", "matrix", "dim"), "block")
     found = work.repartition(F.col("qblock"), F.col("block")).mapInArrow(_search(k, False), FOUND)

@@ -194,6 +194,23 @@ def test_top_k_of_large_numbers_and_repeated_ids(spark):
         tk.top_k(over, 20, 9).collect()
 
 
+def test_top_k_of_zero_vectors(spark, monkeypatch):
+    """A bucket of zero vectors only is one level under the others, not one for each that lies between."""
+    monkeypatch.setattr(tk, "BUCKET_ROWS", 4)
+    rows = [(i, [float(i % 3), 1.0 - i % 2] if i < 12 else [0.0, 0.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in tk.top_k(df, 20, 30, 4).orderBy("query_id", "rank").collect()]
+    scaled = {i: [int(4 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 20):
+        best = sorted((-sum(a * b for a, b in zip(scaled[q], v, strict=True)), i) for i, v in scaled.items() if i != q)[:30]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == want
+    zeros = spark.createDataFrame([(i, [0.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    assert [x["vec_id"] for x in tk.top_k(zeros, 20, 3).where("query_id = 20").orderBy("rank").collect()] == [0, 1, 2]
+    assert tk.top_k(df.limit(0), 20, 3).collect() == []
+
+
 def test_mix(docs, none):
     rows = docs.collect()
     a = mx.mix(docs).collect()
