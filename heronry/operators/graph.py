@@ -85,15 +85,14 @@ def best_reached(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 def reached(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, depth) over edges (src, dst) from seeds (node), each node at its least depth; a cut per level."""
-    seen = written(seeds.select("node", F.lit(0).alias("depth")).distinct(), "reached")
-    front = seen
+    fronts = [written(seeds.select("node", F.lit(0).alias("depth")).distinct(), "front")]
     for d in range(1, depth + 1):
-        step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        front = written(step.join(seen, "node", "left_anti").select("node", F.lit(d).alias("depth")), "reached")
-        if front.isEmpty():
+        step = fronts[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, fronts)
+        fronts.append(written(step.join(seen, "node", "left_anti").select("node", F.lit(d).alias("depth")), "front"))
+        if fronts[-1].isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen
+    return settled(reduce(DataFrame.unionByName, fronts), "reached", *fronts)
 
 
 def capped_expansion(links: DataFrame, seeds: DataFrame, hops: int, nodes: int) -> DataFrame:

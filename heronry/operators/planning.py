@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,6 +65,20 @@ def graph_params(signals: Column, directions: Column, vocabulary: Column) -> Col
     return F.struct(use.alias("use_graph"), F.when(use, F.when(named & known, directions).otherwise(vocabulary)).alias("relation_types"))
 
 
+def outcome(lists: dict[str, DataFrame], questions: DataFrame, requested: int, round_: Column, most: int, query: str = "item_id", key: str = "doc_id") -> DataFrame:
+    """What a recall has come to, for each of the questions: lists are the hits (query, key) of each path after its guards ->
+    (query, returned, failed_paths, missing, status, again). A path without a hit has failed; the status is no_evidence
+    without any hit, partial if a path has failed, else complete; missing is how many of the requested there aren't, and
+    another round is due with something missing and rounds left."""
+    hits = reduce(DataFrame.unionByName, [df.select(query, key, F.lit(name).alias("path")) for name, df in lists.items()])
+    found = hits.groupBy(query).agg(F.countDistinct(key).alias("n"), F.collect_set("path").alias("paths"))  # as many paths as lists
+    rows = questions.join(found, query, "left").withColumn("returned", F.least(F.coalesce("n", F.lit(0)), F.lit(requested)))
+    failed = F.array_except(F.array(*[F.lit(name) for name in lists]), F.coalesce("paths", F.array().cast("array<string>")))
+    status = F.when(F.col("returned") == 0, "no_evidence").when(F.size("failed_paths") > 0, "partial").otherwise("complete")
+    rows = rows.withColumn("failed_paths", failed).withColumn("missing", requested - F.col("returned"))
+    return rows.withColumns({"status": status, "again": (F.col("missing") > 0) & (round_ < most)}).select(query, "returned", "failed_paths", "missing", "status", "again")
+
+
 def digits(n: Column) -> Column:
     return F.length(n.cast("string"))
 

@@ -15,10 +15,11 @@ from heronry.functions import values as vl
 from heronry.operators import events as ev
 from heronry.operators import graph as gr
 from heronry.operators import planning as pl
-from heronry.plans.base import ENTRIES, LOG, NOW, Tables, query
+from heronry.plans.base import CHUNKS, ENTRIES, LOG, NOW, Tables, query
 from heronry.plans.graph import PATHS
 from heronry.plans.graph import edges as graph_edges
 from heronry.plans.graph import seeds as graph_seeds
+from heronry.plans.retrieval import HYBRID, hybrid_lists
 from heronry.sources import parsers, sinks
 
 TS = f"TIMESTAMP '{NOW}'"
@@ -185,6 +186,25 @@ def loop_decision(t: Tables):
     return g.select("conv_id", status.alias("status"), ((F.col("hits") == 0) & (F.col("rounds") < 3)).alias("again"))
 
 
+@query(
+    f"""WITH {HYBRID}, {CHUNKS}, q AS (SELECT item_id, ['de', 'en', 'es', 'fr'][item_id % 4 + 1] AS scope, item_id % 5 AS round FROM benchmark),
+h AS (SELECT 'dense' AS path, item_id, doc_id FROM dr UNION ALL SELECT 'sparse', item_id, doc_id FROM sr),
+g AS (SELECT h.* FROM h JOIN q USING (item_id) JOIN chunks c ON c.doc_id = h.doc_id AND c.scope = q.scope AND c.status = 'published'),
+n AS (SELECT item_id, count(DISTINCT doc_id) AS n, list(DISTINCT path) AS paths FROM g GROUP BY 1),
+o AS (SELECT item_id, round, least(coalesce(n, 0), 3)::INTEGER AS returned, list_filter(['dense', 'sparse'], lambda p: NOT list_contains(coalesce(paths, []), p)) AS failed FROM q LEFT JOIN n USING (item_id))
+SELECT item_id, returned, array_to_string(failed, ',') AS failed_paths, 3 - returned AS missing, CASE WHEN returned = 0 THEN 'no_evidence' WHEN len(failed) > 0 THEN 'partial' ELSE 'complete' END AS status,
+  returned < 3 AND round < 3 AS again FROM o"""
+)
+def recall_outcome(t: Tables):
+    """#118, #173 completion, failed paths, gap and another round, from what the recalls of a question found in its scope."""
+    scope = F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("item_id") % 4 + 1).cast("int"))
+    asked = t.benchmark.select("item_id", scope.alias("scope"))
+    live = t.chunks.where("status = 'published'").select("doc_id", "scope")
+    lists = {name: df.select("item_id", "doc_id").join(asked, "item_id").join(live, ["doc_id", "scope"], "left_semi") for name, df in hybrid_lists(t).items()}
+    out = pl.outcome(lists, t.benchmark.select("item_id", (F.col("item_id") % 5).alias("round")), 3, F.col("round"), 3)
+    return out.withColumns({"failed_paths": F.array_join("failed_paths", ","), "returned": F.col("returned").cast("int"), "missing": F.col("missing").cast("int")})
+
+
 # Extractors, edges by scope, traces.
 VOCABULARIES = (("en", ("calls", "references")), ("de", ("references",)), ("fr", ()), ("es", ("part_of",)))
 

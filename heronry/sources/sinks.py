@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronry.operators.events import fingerprint
-from heronry.session import written
+from heronry.session import forgotten, written
 
 
 def upsert(rows: DataFrame, path: str, partitions: list[str]) -> None:
@@ -35,6 +35,7 @@ def published(rows: DataFrame, base: str, revision: int, columns: list[str]) ->
     staged.write.mode("overwrite").parquet(path)
     one = F.lit("all").alias("g")
     a, b = (fingerprint(df.select("*", one), columns, ["g"]).first() for df in (staged, spark.read.parquet(path)))
+    forgotten(staged)
     if a != b:
         raise RuntimeError("what was written differs from what was to be written")
     digest = a["fingerprint"] if a else ""
