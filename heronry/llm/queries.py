@@ -32,9 +32,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document, and the shards that they go to."""
+    """Words that the mix takes of each document, the shards that they go to, and their places in the shards' shuffle."""
     out = mix(table(spark, sf_dir, "documents"))
-    shards = F.concat_ws(";", F.transform("pieces", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["pass"].cast("string"), x["start"].cast("string"), x["words"].cast("string"))))
+    place = lambda x: (x["place"] * 2.0**52).cast("long")  # noqa: E731  a whole number of 52 bits
+    shards = F.concat_ws(";", F.transform("pieces", lambda x: F.concat_ws(":", *[c.cast("string") for c in (x["shard"], x["pass"], x["start"], x["words"], place(x))])))
     return out.select("doc_id", "size", "source_size", "target", "taken", shards.alias("pieces"))
 
 
@@ -183,9 +184,10 @@ l AS (
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('17:' || d.doc_id), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 x AS (
-  SELECT l.doc_id, q.shard, q.pass, greatest(l.at, q.i * q.block) - l.at AS start, least(l.at + l.size, q.i * q.block + q.take) - greatest(l.at, q.i * q.block) AS words
+  SELECT l.doc_id, q.shard, q.pass, greatest(l.at, q.i * q.block) - l.at AS start, least(l.at + l.size, q.i * q.block + q.take) - greatest(l.at, q.i * q.block) AS words,
+    ('0x' || substr(md5('17:place:' || q.shard || ':' || l.doc_id || ':' || q.pass || ':' || q.i), 1, 13))::BIGINT AS place
   FROM l JOIN q ON q.source IS NOT DISTINCT FROM l.source AND l.at < q.i * q.block + q.take AND l.at + l.size > q.i * q.block),
-y AS (SELECT doc_id, sum(words)::BIGINT AS taken, string_agg(shard || ':' || pass || ':' || start || ':' || words, ';' ORDER BY shard, pass, start) AS pieces FROM x GROUP BY doc_id)
+y AS (SELECT doc_id, sum(words)::BIGINT AS taken, string_agg(shard || ':' || pass || ':' || start || ':' || words || ':' || place, ';' ORDER BY shard, pass, start) AS pieces FROM x GROUP BY doc_id)
 SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(y.taken, 0) AS taken, coalesce(y.pieces, '') AS pieces FROM l LEFT JOIN y USING (doc_id)
 """,
     "op7_preference_formatting": """
