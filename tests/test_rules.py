@@ -111,3 +111,17 @@ def test_manifest_and_rounds(spark):
     prints = ev.fingerprint(spark.createDataFrame([("g", i % 50, "x") for i in range(200)] + [("h", i, "x") for i in range(3)], "g string, i int, x string"), ["i", "x"], ["g"])
     again = ev.fingerprint(spark.createDataFrame([("h", i, "x") for i in (2, 0, 1)] + [("g", i % 50, "x") for i in reversed(range(200))], "g string, i int, x string").repartition(3), ["i", "x"], ["g"])
     assert {tuple(r) for r in prints.collect()} == {tuple(r) for r in again.collect()}
+
+
+def test_outcome_of_a_recall(spark):
+    """Hits by path and question: none, one path's only, repeated ones, more than asked for."""
+    questions = spark.createDataFrame([(1, 0), (2, 0), (3, 2), (4, 3)], "item_id long, round int")
+    dense = spark.createDataFrame([(1, 10), (1, 11), (3, 10)], "item_id long, doc_id long")
+    sparse = spark.createDataFrame([(1, 10), (1, 12), (1, 13), (4, 9)], "item_id long, doc_id long")
+    got = {r["item_id"]: tuple(r)[1:] for r in pl.outcome({"dense": dense, "sparse": sparse}, questions, 3, F.col("round"), 3).collect()}
+    assert got == {
+        1: (3, [], 0, "complete", False),
+        2: (0, ["dense", "sparse"], 3, "no_evidence", True),
+        3: (1, ["sparse"], 2, "partial", True),
+        4: (1, ["dense"], 2, "partial", False),
+    }
