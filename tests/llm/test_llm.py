@@ -1182,4 +1182,4 @@ def test_pipeline_accounts_for_every_row(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
