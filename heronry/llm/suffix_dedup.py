@@ -476,7 +476,7 @@ def deduplicated(docs: DataFrame, partition_bytes: int = PARTITION_BYTES, doc_by
     stored = written(rows.mapInArrow(find, PACK_SQL).groupBy("bucket").applyInArrow(thrifty(judge), PACK_SQL), "spans")
     spans = stored.withColumnRenamed("bucket", "place")
     # The place of a document is computed in Python; this one only has to agree with itself.
-    lookup = rows.mapInArrow(lambda batches: _placed(batches, place_of), "place int, doc_id long, text string")
+    lookup = rows.mapInArrow(lambda batches: _placed(batches, place_of), "place int, doc_id long, text binary")
     texts = lookup.groupBy("place")
     asked = spans.where(F.col("kind").isin(DOUBT, CLAIMED))
     contexts = texts.cogroup(asked.groupBy("place")).applyInArrow(_both(thrifty(fetch)), PACK_SQL)
@@ -504,7 +504,18 @@ def _placed(batches: Iterator[pa.RecordBatch], place_of) -> Iterator[pa.RecordBa
         ids, here = batch.column("doc_id"), np.arange(count, count + batch.num_rows)
         place = place_of(np.where(np.array(ids.is_null()), here, np.array(ids.fill_null(0))))
         count += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), batch.column("doc_id"), batch.column("text")], names=["place", "doc_id", "text"])
+        pack = zstandard.ZstdCompressor(level=1)
+        texts = pa.array([pack.compress(x.encode()) for x in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), batch.column("doc_id"), texts], names=["place", "doc_id", "text"])
+
+
+def opened(texts: pa.Table) -> pa.Table:
+    """The table with its texts as they were; they travel compressed."""
+    unpack_ = zstandard.ZstdDecompressor()
+    raw = [unpack_.decompress(x) for x in texts.column("text").to_pylist()]
+    ends = np.cumsum([0, *map(len, raw)])
+    text = pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(b"".join(raw))])
+    return texts.set_column(texts.schema.get_field_index("text"), "text", text)
 
 
 def _both(f):
@@ -513,6 +524,6 @@ def _both(f):
     def run(texts: pa.Table, spans: pa.Table) -> pa.Table:
         if spans.num_rows:
             spans = spans.rename_columns(["bucket" if c == "place" else c for c in spans.column_names])
-        return f(texts, spans)
+        return f(opened(texts), spans)
 
     return run
