@@ -134,7 +134,7 @@ def levels(nodes: DataFrame, needs: DataFrame, rounds: int = 10_000) -> DataFram
     Nodes on a cycle, or behind one, have a null level; so has a node with a need that isn't there.
 
     A round takes off the nodes whose needs are all known. At first, and when that takes off few, it contracts nodes with
-    one need before: by pointer doubling they hang on the first node above that has none or several, at the sum of the
+    one need before, if they are a quarter of what is left: by pointer doubling they hang on the first node above that has none or several, at the sum of the
     weights between, so a chain takes the logarithm of its length; who needs one of them needs that node instead, with the
     weight added, and of two ways to one node the heavier counts. A graph without chains takes a round per level, at most
     `rounds`."""
@@ -146,8 +146,10 @@ def levels(nodes: DataFrame, needs: DataFrame, rounds: int = 10_000) -> DataFram
         if not count:
             break
         rest, before = left, count
-        if slow:
-            single = left.groupBy("node").agg(F.count("*").alias("n"), F.first("need").alias("need"), F.first("w").alias("w")).where("n = 1")
+        single = left.groupBy("node").agg(F.count("*").alias("n"), F.first("need").alias("need"), F.first("w").alias("w"))
+        many = slow and single.agg(F.count_if(F.col("n") == 1) * 4 >= F.count("*")).first()[0]
+        if many:
+            single = single.where("n = 1")
             chains, around = (written(x, "chains") for x in _anchored(single))
             tables += [chains, around]
             hung.append(chains)
@@ -167,7 +169,7 @@ def levels(nodes: DataFrame, needs: DataFrame, rounds: int = 10_000) -> DataFram
             done = [written(reduce(DataFrame.unionByName, done), "levels")]
             tables += done
         count = left.count()
-        if slow and count == before:
+        if ready.isEmpty():  # nothing more can be known
             break
         slow = before - count < before // 8 + 1
     else:
