@@ -53,3 +53,9 @@ def test_json_leaves(spark):
     got = as_rows(bk.json_leaves(df).where("path not in ('bad', 'deep')"), "path", "position", "parent", "kind", "content")
     assert got == sorted((f"p{i}", p, u, k, c) for i, d in enumerate(docs) for p, u, k, _, _, c in parsers.key_paths(d))
     assert {(x["path"], x["kind"]) for x in bk.json_leaves(df).where("path in ('bad', 'deep')").collect()} == {("bad", "error"), ("deep", "section"), ("deep", "error")}
+
+
+def test_references_of_html_end_with_a_semicolon():
+    """What isn't ended, or is no known name, stands as it is; the others are decoded once."""
+    html = "<h1>a &amp b &amp</h1><p>&amp; &lt;i&gt; &eacute; &#39;&#x41; &#39 &#x41 &amp;lt; &none; &notit; & && &copy</p><script>if (a && b) {}</script>"
+    assert [r[5] for r in parsers.html_blocks(html)] == ["a &amp b &amp", "& <i> é 'A &#39 &#x41 &lt; &none; &notit; & && &copy"]
