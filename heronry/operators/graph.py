@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from heronry.session import forgotten, settled, written
 
 HARD, SOFT, DECAY = 1.0, 0.3, 0.5
+#: Rows that a partition is dealt.
+PART_ROWS = 1 << 19
 
 
 def directed(hard: DataFrame, soft: DataFrame, inverse: dict[str, str]) -> DataFrame:
@@ -26,8 +28,15 @@ def directed(hard: DataFrame, soft: DataFrame, inverse: dict[str, str]) -> DataF
     return out.unionByName(back.withColumn("direction", F.lit("in")))
 
 
-def deduped(edges: DataFrame, keys: list[str]) -> DataFrame:
-    return edges.dropDuplicates(keys)
+def parts_of(table: DataFrame) -> int:
+    """How many partitions a table's rows are dealt to where a task's memory is to stay the same on larger tables."""
+    return max(1, -(-table.count() // PART_ROWS))
+
+
+def deduped(edges: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """One edge per key. With `parts`, edges are dealt to so many partitions by their whole key, so that no node gathers its
+    edges and a task has a share that the table's size doesn't change."""
+    return (edges.repartition(parts, *keys) if parts else edges).dropDuplicates(keys)
 
 
 def expanded(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

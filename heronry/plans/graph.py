@@ -95,15 +95,17 @@ def graph_recall(t: Tables):
 def edge_dedup(t: Tables):
     """#100 one edge per key."""
     e = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("relation"), F.col("l_linestatus").alias("direction"))
-    return gr.deduped(e, ["src", "dst", "relation", "direction"])
+    return gr.deduped(e, ["src", "dst", "relation", "direction"], gr.parts_of(t.lineitem))
 
 
 @query("SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, l_returnflag AS relation FROM lineitem WHERE l_returnflag IN ('R', 'A') AND regexp_full_match(lower(l_returnflag), '[a-z][a-z0-9_]{0,62}') AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
 def edge_write_valid(t: Tables):
     """#125 edges with a declared relation whose target isn't blocked."""
     words = t.rows("relation string", ("R",), ("A",))
-    e = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("relation")).distinct()
-    e = e.where(F.lower("relation").rlike("^[a-z][a-z0-9_]{0,62}$")).join(words, "relation", "left_semi")
+    e = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("relation"))
+    e = e.where(F.lower("relation").rlike("^[a-z][a-z0-9_]{0,62}$")).join(F.broadcast(words), "relation", "left_semi")  # else a relation is a task
+    parts = gr.parts_of(t.lineitem)
+    e = gr.deduped(e, ["src", "dst", "relation"], parts).repartition(parts, "dst")
     return e.join(t.supplier.where("s_acctbal < 0").select(F.col("s_suppkey").alias("dst")), "dst", "left_anti").select("src", "dst", "relation")
 
 

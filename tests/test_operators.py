@@ -1,6 +1,7 @@
 """Operators against plain models and hand-made cases."""
 
 import datetime as dt
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -226,3 +227,14 @@ def test_plans_push_down_and_stay_native(spark):
     for name in ("dense_topk", "hybrid_recall", "rrf_fuse", "anchor_match"):  # their kernels read Arrow batches
         p = plan(catalog.QUERIES[name](spark, small))
         assert "CartesianProduct" not in p and "NestedLoop" not in p
+
+
+def test_valid_edges_are_dealt_by_the_size_of_their_table(spark, tmp_path, monkeypatch):
+    """As many partitions as rows ask for, whatever the session's number; repeated edges, unknown relations, blocked targets."""
+    monkeypatch.setattr(gr, "PART_ROWS", 10)
+    rows = [(i % 7, i % 5, "RAN"[i % 3]) for i in range(95)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, -5.0), (2, 5.0), (9, -1.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    df = catalog.QUERIES["edge_write_valid"](spark, str(tmp_path))
+    assert re.search(r"hashpartitioning\(src[^)]*, 10\), REPARTITION_BY_NUM", plan(df)) and "hashpartitioning(relation" not in plan(df)
+    assert sorted(map(tuple, df.collect())) == sorted({x for x in rows if x[2] != "N" and x[1] != 1})
