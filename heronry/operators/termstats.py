@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronry.functions.text import tokens
-from heronry.operators.retrieval import bm25_weight, idf, ranked, token_rows
-from heronry.session import removed
+from heronry.operators.retrieval import best_of, bm25_weight, exploded, idf, term_counts, token_rows
+from heronry.session import removed, written
 from heronry.sources.sinks import upsert
 
 COLUMNS = ["scope", "source", "term", "docs", "tokens"]
@@ -22,13 +21,11 @@ COLUMNS = ["scope", "source", "term", "docs", "tokens"]
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs (scope, source, text) -> COLUMNS. A null text has no tokens but is a document; null scopes and sources are
     groups of their own."""
-    t = docs.select("scope", "source", tokens(F.col(text)).alias("__t"))
+    t = term_counts(docs, ["scope", "source"], text)
     # A document's distinct terms, and null for itself, each with its occurrences.
-    rows = t.select("scope", "source", F.explode("__t").alias("term"), F.lit(0).alias("doc"), F.lit(1).alias("n"))
-    once = t.select("scope", "source", F.explode(F.array_distinct("__t")).alias("term"), F.lit(1).alias("doc"), F.lit(0).alias("n"))
-    whole = t.select("scope", "source", F.lit(None).cast("string").alias("term"), F.lit(1).alias("doc"), F.size("__t").alias("n"))
-    both = rows.unionByName(once).unionByName(whole)
-    return both.groupBy("scope", "source", "term").agg(F.sum("doc").alias("docs"), F.sum("n").alias("tokens"))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("terms"), F.col("dl").alias("tfs")))
+    rows = t.select("scope", "source", F.explode(F.concat(F.arrays_zip("terms", "tfs"), whole)).alias("x"))
+    return rows.groupBy("scope", "source", F.col("x.terms").alias("term")).agg(F.count("*").alias("docs"), F.sum("x.tfs").alias("tokens"))
 
 
 def summed(stats: DataFrame, by: str) -> DataFrame:
@@ -69,16 +66,19 @@ def departed(spark: SparkSession, path: str, sources: list[str]) -> None:
         removed(spark, f"{path}/source={source}")
 
 
-def scoped_search(docs: DataFrame, stats: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query: str = "item_id") -> DataFrame:
+def scoped_search(docs: DataFrame, stats: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", query: str = "item_id", text: str = "text") -> DataFrame:
     """queries (query, text, scope) over docs (key, text, scope, source) -> (query, key, score, rank). A document's terms
     weigh by the statistics of its source, a question's by those of its scope; only documents of that scope are found.
     A question's term that its scope lacks counts nothing."""
     source, scope = weighed(stats, "source"), weighed(stats, "scope")
+    # A scope's terms are told apart from another's by its name.
+    named = F.concat_ws("\x00", "scope", "term")
     asked = token_rows(queries.select(query, "text"), query, "text").where("term is not null").join(queries.select(query, "scope"), query)
     asked = asked.join(scope, ["scope", "term"])
-    asked = asked.select(query, "scope", "term", bm25_weight(F.col("tf"), F.col("dl"), F.col("n"), F.col("avgdl"), F.col("df")).alias("own"))
-    rows = token_rows(docs.select(key, "text"), key, "text").where("term is not null").join(asked.select("term").distinct(), "term", "left_semi")
-    rows = rows.join(docs.select(key, "scope", "source"), key).join(source, ["source", "term"])
-    rows = rows.select(key, "scope", "term", bm25_weight(F.col("tf"), F.col("dl"), F.col("n"), F.col("avgdl"), F.col("df")).alias("weight"))
-    scores = rows.join(asked, ["scope", "term"]).groupBy(query, key).agg(F.sum(F.col("weight") * F.col("own")).alias("score"))
-    return ranked(scores, query, "score", key, k)
+    asked = written(asked.select(query, "scope", "term", bm25_weight(F.col("tf"), F.col("dl"), F.col("n"), F.col("avgdl"), F.col("df")).alias("own")), "scoped")
+    rows = exploded(term_counts(docs, [key, "scope", "source"], text), key, "scope", "source", "dl")
+    rows = rows.join(asked.select("scope", "term").distinct(), ["scope", "term"], "left_semi").join(source, ["source", "term"])
+    weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("n"), F.col("avgdl"), F.col("df"))
+    rows = rows.groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct(named.alias("term"), weight.alias("weight"))).alias("x"))
+    rows = rows.select("key", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
+    return best_of(rows, asked.select(query, named.alias("term"), "own"), k, key, query)

@@ -10,6 +10,7 @@ from heronry.operators import retrieval as rt
 from heronry.operators import termstats as ts
 from heronry.operators import vectors as vx
 from heronry.plans.base import CHUNKS, VERSIONS, Tables, query, sql_bm25, sql_tokens
+from heronry.session import written
 
 BM25 = sql_bm25()
 Q_TOKENS = f"""qtf AS (SELECT item_id, len(t) AS qdl, term, count(*) AS qtf FROM (SELECT item_id, t, unnest(t) AS term FROM (SELECT item_id, {sql_tokens()} AS t FROM benchmark)) GROUP BY ALL)"""
@@ -68,7 +69,7 @@ SELECT {by}, term, df, n, round(avgdl, 6) AS avgdl, round(ln(1 + (n - df + 0.5::
 
 
 def _weighed(t: Tables, by: str):
-    return ts.weighed(ts.counted(t.chunks), by).select(by, "term", "df", "n", F.round("avgdl", 6).alias("avgdl"), F.round("idf", 6).alias("idf"))
+    return ts.weighed(written(ts.counted(t.chunks), "counts"), by).select(by, "term", "df", "n", F.round("avgdl", 6).alias("avgdl"), F.round("idf", 6).alias("idf"))
 
 
 @query(_stats_sql("scope"))
@@ -100,7 +101,7 @@ SELECT item_id, doc_id, round(score, 5) AS score, rank FROM ranked WHERE rank <=
 def bm25_scoped(t: Tables):
     """#67, #81, #108 top 10 in the question's scope: documents weigh by their source's statistics, questions by the scope's."""
     scope = F.element_at(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("item_id") % 4 + 1).cast("int"))
-    out = ts.scoped_search(t.chunks, ts.counted(t.chunks), t.benchmark.withColumn("scope", scope), 10)
+    out = ts.scoped_search(t.chunks, written(ts.counted(t.chunks), "counts"), t.benchmark.withColumn("scope", scope), 10)
     return out.select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
