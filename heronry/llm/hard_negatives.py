@@ -7,9 +7,10 @@ the rotation and the sums, bounds the rest. A pair that can't reach what is aske
 survives all steps is verified by integer products of the vectors as they were, so scores and ties are exact.
 
 Two searches use it: an anchor's positives (highest scores of its own label), then for each positive the highest scores
-of other labels between two shares of the positive's score. Blocks of anchors meet blocks of candidates on a grid whose
-cells are dealt one by one: the work of a cell (ANCHOR_ROWS times BLOCK_ROWS products) outweighs the two matrices sent
-to it. A block is a row, so no task holds more than two of them, whatever labels or copies the vectors have.
+of other labels between two shares of the positive's score. Blocks of anchors meet blocks of candidates on a grid. Each
+of its tasks has a block of anchors and reads some files of candidates where they lie, so blocks are neither copied for
+the grid nor sent through the driver, and what a task has found so far is asked of its next block. A block is a row, so
+no task works on more than two of them, whatever labels or copies the vectors have.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ STEPS = (0.125, 0.25, 0.5)
 #: Rounding of a rotated product, as a share of the product of lengths: some thousand times what doubles can lose.
 SLACK = 1e-10
 LARGEST = np.iinfo(np.int64).max
+#: Tasks of a grid, or four for each core if that is more: the driver holds some KB, and a shuffle the best rows, of each.
+GRID_TASKS = 1024
 
 PACKED = "block int, rows int, dim int, ids binary, labels binary, matrix binary"
-POSITIVES = "anchor_id long, vec_id long, score long"
+POSITIVES = "ablock int, anchor_id long, vec_id long, score long"
 NEGATIVES = "anchor_id long, nth int, positive_id long, positive_score long, negative_id long, negative_score long"
 
 
@@ -204,9 +207,8 @@ def _sides(row: dict, turn: np.ndarray, cuts: list[int]) -> tuple[Side, Side, bo
     return Side(aids, np.frombuffer(row["alabels"], np.int64), am, turn, cuts), Side(cids, np.frombuffer(row["labels"], np.int64), cm, turn, cuts), exact
 
 
-def found_positives(a: Side, c: Side, exact: bool, k: int, cuts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor's place, candidate's id, score): the cell's k best of each anchor's own label."""
-    best = Best(len(a.ids), k)
+def find_positives(a: Side, c: Side, exact: bool, best: Best, cuts: list[int]) -> None:
+    """Adds the cell's to the best of each anchor's own label."""
 
     def want(i: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return high >= best.need[i]
@@ -223,14 +225,13 @@ def found_positives(a: Side, c: Side, exact: bool, k: int, cuts: list[int]) -> t
             score = verified(a, c, i, j, exact, rows, cols, part is None)
             good = score >= best.need[i]
             best.add(i[good], score[good], c.ids[j[good]])
-    return best.rows()
 
 
-def found_negatives(a: Side, c: Side, exact: bool, least: np.ndarray, most: np.ndarray, k: int, cuts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in the flattened table of bands, candidate's id, score): the cell's k best of other labels in each band.
-    least and most are tables with an anchor a row and a positive a column; a band that isn't there has least above most."""
-    p = least.shape[1]
-    best = Best(least.size, k, least.ravel())
+def find_negatives(a: Side, c: Side, exact: bool, most: np.ndarray, best: Best, cuts: list[int]) -> None:
+    """Adds the cell's to the best of other labels in each band, whose places are those of the flattened table of bands.
+    most is a table with an anchor a row and a positive a column; what a band has at least is the floor that best began
+    with, above most for a band that isn't there."""
+    p = most.shape[1]
 
     def want(i: np.ndarray, j: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         need, good = best.need.reshape(-1, p), np.zeros(low.shape, bool)
@@ -245,16 +246,24 @@ def found_negatives(a: Side, c: Side, exact: bool, least: np.ndarray, most: np.n
         for b in range(p):
             good = (score >= best.need.reshape(-1, p)[i, b]) & (score <= most[i, b])
             best.add(i[good] * p + b, score[good], c.ids[j[good]])
-    return best.rows()
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 def _positives(turn: np.ndarray, k: int, cuts: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, c, exact = _sides(row, turn, cuts)
-                place, ids, score = found_positives(a, c, exact, k, cuts)
-                yield pa.RecordBatch.from_pydict({"anchor_id": a.ids[place], "vec_id": ids, "score": score})
+        held: dict[int, tuple[np.ndarray, Best]] = {}
+        for row in _cells(batches):
+            a, c, exact = _sides(row, turn, cuts)
+            _, best = held.setdefault(row["ablock"], (a.ids, Best(len(a.ids), k)))
+            find_positives(a, c, exact, best, cuts)
+        for block, (ids, best) in held.items():
+            place, found, score = best.rows()
+            yield pa.RecordBatch.from_pydict({"ablock": np.full(len(place), block, np.int32), "anchor_id": ids[place], "vec_id": found, "score": score})
 
     return run
 
@@ -274,34 +283,41 @@ def bands(scores: list[list[int]], low: int, high: int) -> tuple[np.ndarray, np.
 
 def _negatives(turn: np.ndarray, low: int, high: int, k: int, cuts: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, c, exact = _sides(row, turn, cuts)
-                held = {x["anchor_id"]: x["own"] for x in row["positives"]}
-                of = [held.get(i, []) for i in a.ids.tolist()]
+        held: dict[int, tuple[np.ndarray, list, np.ndarray, Best]] = {}
+        for row in _cells(batches):
+            a, c, exact = _sides(row, turn, cuts)
+            if row["ablock"] not in held:
+                positives = {x["anchor_id"]: x["own"] for x in row["positives"]}
+                of = [positives.get(i, []) for i in a.ids.tolist()]
                 least, most = bands([[x["score"] for x in own] for own in of], low, high)
-                place, ids, score = found_negatives(a, c, exact, least, most, k, cuts)
-                p = least.shape[1]
-                own = [of[x // p][x % p] for x in place.tolist()]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "anchor_id": a.ids[place // p],
-                        "nth": pa.array(place % p, pa.int32()),
-                        "positive_id": pa.array([x["vec_id"] for x in own], pa.int64()),
-                        "positive_score": pa.array([x["score"] for x in own], pa.int64()),
-                        "negative_id": ids,
-                        "negative_score": score,
-                    }
-                )
+                held[row["ablock"]] = a.ids, of, most, Best(least.size, k, least.ravel())
+            _, _, most, best = held[row["ablock"]]
+            find_negatives(a, c, exact, most, best, cuts)
+        for ids, of, most, best in held.values():
+            place, found, score = best.rows()
+            p = most.shape[1]
+            own = [of[x // p][x % p] for x in place.tolist()]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "anchor_id": ids[place // p],
+                    "nth": pa.array(place % p, pa.int32()),
+                    "positive_id": pa.array([x["vec_id"] for x in own], pa.int64()),
+                    "positive_score": pa.array([x["score"] for x in own], pa.int64()),
+                    "negative_id": found,
+                    "negative_score": score,
+                }
+            )
 
     return run
 
 
-def on_grid(anchors: DataFrame, candidates: DataFrame, ablocks: int, blocks: int) -> DataFrame:
-    """Each block of anchors beside each block of candidates: a row per cell."""
-    a = anchors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    c = candidates.withColumn("ablock", F.explode(F.sequence(F.lit(0), F.lit(ablocks - 1))))
-    return a.join(c, ["ablock", "block"])
+def on_grid(anchors: DataFrame, candidates: DataFrame, ablocks: int) -> DataFrame:
+    """Each block of anchors beside each block of candidates: a row per cell. A task holds a block of anchors and streams
+    some files of candidates; the hint keeps Spark from broadcasting either side, whatever sizes it reckons with."""
+    tasks = max(GRID_TASKS, 4 * candidates.sparkSession.sparkContext.defaultParallelism)
+    a = anchors.repartitionByRange(ablocks, "ablock")
+    c = candidates.select("dim", "ids", "labels", "matrix").coalesce(-(-tasks // ablocks))
+    return c.crossJoin(a.hint("shuffle_replicate_nl"))
 
 
 def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, scale: int = 256, key: str = "vec_id", column: str = "embedding", label: Column | str = "label") -> DataFrame:
@@ -324,28 +340,19 @@ def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = 5, nega
     ends = anchors.agg(F.max("ablock")).first()[0]
     if ends is None:
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
-    blocks = candidates.agg(F.max("block")).first()[0] + 1
     turn = rotation(candidates)
     cuts = sorted({max(1, round(len(turn) * s)) for s in STEPS} | {len(turn)})
 
-    cells = on_grid(anchors, candidates, ends + 1, blocks)
+    cells = on_grid(anchors, candidates, ends + 1)
     best = Window.partitionBy("anchor_id").orderBy(F.col("score").desc(), "vec_id")
     found = cells.mapInArrow(_positives(turn, positives, cuts), POSITIVES)
     found = written(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= positives), "positives")
 
     # An anchor's few positives go with its block of anchors.
-    homes = anchors.select("ablock", "aids").mapInArrow(_homes, "ablock int, anchor_id long")
-    own = found.join(homes, "anchor_id").groupBy("ablock", "anchor_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("own"))
+    own = found.groupBy("ablock", "anchor_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("own"))
     own = own.groupBy("ablock").agg(F.collect_list(F.struct("anchor_id", "own")).alias("positives"))
-    cells = on_grid(anchors.join(own, "ablock"), candidates, ends + 1, blocks)
+    cells = on_grid(anchors.join(own.hint("merge"), "ablock"), candidates, ends + 1)
     best = Window.partitionBy("anchor_id", "nth").orderBy(F.col("negative_score").desc(), "negative_id")
     out = cells.mapInArrow(_negatives(turn, low, high, negatives, cuts), NEGATIVES).withColumn("rank", F.row_number().over(best))
     out = out.where(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
     return settled(out, "negatives", rows, candidates, found)
-
-
-def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids = np.frombuffer(row["aids"], np.int64)
-            yield pa.RecordBatch.from_pydict({"ablock": np.full(len(ids), row["ablock"], np.int32), "anchor_id": ids})

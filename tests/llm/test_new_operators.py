@@ -170,6 +170,23 @@ def test_hard_negatives_of_large_numbers(spark):
         mined(df, 50, 5, 3, 50, 95, 256)
 
 
+def test_hard_negatives_go_round_the_driver(spark, monkeypatch):
+    """No plan broadcasts a block, or copies it for each cell, however small Spark thinks that it is."""
+    monkeypatch.setattr(hn, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(hn, "ANCHOR_ROWS", 6)
+    plans = []
+    for name in ("written", "settled"):
+        f = getattr(hn, name)
+        monkeypatch.setattr(hn, name, lambda df, *x, f=f: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, *x))
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.normal(size=4)], i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert mined(df, 10, 4, 3, 50, 95, 64) == plain_negatives(rows, 10, 4, 3, 50, 95, 64)
+    assert len(plans) >= 5
+    for plan in plans:
+        assert "Broadcast" not in plan and "Generate" not in plan, plan
+
+
 POOL = [chr(c) for c in [*list(range(32, 127)) * 3, *range(0x80, 0x600)]] + ["<|endoftext|>", "<|startoftext|>", "ẛ̣", "Å", "'ll", "'S", " ", "\n", "꟎", "\U00010d50", "İ", "Σ", "힣", "가", "ཱུ", "\U0001f600", "\x1c", "\x85", " "]
 
 
